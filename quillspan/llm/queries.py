@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import chunk_store, host_rules, lengths, mixing, secrets
+from quillspan.llm import chunk_store, host_rules, lengths, mixing, secrets, tiles
 from quillspan.llm.store import new_path
 
 
@@ -15,6 +15,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.jaccard_components(documents(spark, sf_dir))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.length_histogram(documents(spark, sf_dir)).withColumnRenamed("grp", "lang")
 
@@ -40,7 +44,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_counts, op4_token_store, op6_mixing, op7_secret_scan, op8_quality_rules)
+    f.__name__: f for f in (op2_jaccard_join, op3_token_counts, op4_token_store, op6_mixing, op7_secret_scan, op8_quality_rules)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
