@@ -3,9 +3,11 @@
 Byte-level BPE splits a text before it merges, and never puts a white-space
 character that follows a visible one into the piece before it.  So a text's ids
 are the ids of its units (a white-space run and the visible run behind it), one
-after the other, and each distinct unit needs the library once.  Texts for which
-that isn't certain (special-token strings, separators that libraries class
-differently) are encoded whole.
+after the other, and each distinct unit needs the library once.  Units are told
+apart by 64-bit hashes of their bytes and their ids lie in one flat array, so a
+chunk's ids are gathered in a few array passes.  Texts for which cutting isn't
+certain (special-token strings, separators that libraries class differently) are
+encoded whole.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 
 from quillspan.llm import kernels as K
 
-CACHE_UNITS = 220_000
+CACHE_UNITS = 700_000
 _UNIT = re.compile(r"\s*\S+|\s+")
 
 _odd_space = np.zeros(256, dtype=bool)
@@ -53,25 +55,40 @@ class UnitEncoder:
             heads[i] = token[:1] in ("Ġ", "Ċ") and token not in self.special
         self.heads = heads
         self.most = cache_units
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot: dict[int, int] = {}  # unit's hash -> its place in starts
+        self.starts = np.zeros(1 << 16, np.int64)
+        self.flat = np.empty(1 << 18, self.kind)
+        self.filled = 0
+        self._learn([0, 1], [",", "."], False)
+        self.stops = {",": 0, ".": 1}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: list[str]) -> None:
-        """Units that begin with one space (left off) or one line feed: many in one call, told apart by their head."""
+    def _learn(self, hashes: list[int], units: list[str], headed: bool) -> None:
+        """Give new units their slots.  ``headed`` ones begin with a space or line feed: many go in one call, told apart by their head."""
         for at in range(0, len(units), 4000):
             some = units[at : at + 4000]
-            text = "".join([u if u[:1] == "\n" else " " + u for u in some])
-            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
-            cut = np.flatnonzero(self.heads[ids])
-            if len(cut) != len(some):  # a unit of nothing but its head and the like
-                for u, v in zip(some, self.whole([u if u[:1] == "\n" else " " + u for u in some]), strict=True):
-                    self.young[u] = v
-                continue
-            flat, cut = ids.tobytes(), [*(cut * self.width).tolist(), len(ids) * self.width]
-            self.young.update(zip(some, [flat[a:b] for a, b in zip(cut, cut[1:])]))
+            if headed:
+                ids = np.array(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype=self.kind)
+                cut = np.flatnonzero(self.heads[ids])
+            if not headed or len(cut) != len(some):
+                each = [np.frombuffer(x, self.kind) for x in self.whole(some)]
+                ids = np.concatenate(each)
+                cut = np.cumsum([0, *map(len, each)])[:-1]
+            first, n = len(self.slot), len(some)
+            if first + n + 1 > len(self.starts):
+                self.starts = np.concatenate([self.starts, np.zeros(len(self.starts) + n, np.int64)])
+            if self.filled + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.empty(len(self.flat) + len(ids), self.kind)])
+            self.starts[first : first + n] = self.filled + cut
+            self.flat[self.filled : self.filled + len(ids)] = ids
+            self.filled += len(ids)
+            self.starts[first + n] = self.filled
+            self.slot.update(zip(hashes[at : at + 4000], range(first, first + n), strict=True))
 
     def _simple(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Texts whose white space is single spaces and line feeds between visible characters."""
@@ -82,58 +99,82 @@ class UnitEncoder:
         gap = _plain_space[data]
         odd = _odd_space[data]
         odd[1:] |= gap[1:] & gap[:-1]
-        firsts = bounds[:-1][bounds[:-1] < bounds[1:]]
-        odd[firsts] |= gap[firsts]
+        some = bounds[:-1] < bounds[1:]
+        for edge in (bounds[:-1][some], bounds[1:][some] - 1):
+            odd[edge] |= gap[edge]
         bad[K.per_text(odd, bounds) > 0] = True
         wide = np.unique(np.searchsorted(bounds, np.flatnonzero(_maybe[data]), side="right") - 1)
         for i in wide[~bad[wide]]:
             bad[i] = _WIDE.search(data[bounds[i] : bounds[i + 1]].tobytes().decode()) is not None
         return ~bad
 
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each text; null counts as empty."""
-        data, bounds = K.raw(texts)
-        simple = self._simple(data, bounds)
-        flat = data.tobytes()
-        plain = [flat[bounds[i] : bounds[i + 1]].decode() for i in range(len(bounds) - 1)]
-        marked = [any(s in t for s in self.special) for t in plain]
-        split: list[list[str] | None] = []
-        for i, t in enumerate(plain):
-            if simple[i] and not marked[i]:
-                units = t.replace("\n", " \n").split(" ")
-                units[0] = "\r" + units[0]
-                split.append(units)
-            else:
-                split.append(None)
-        seen = {u for units in split if units for u in units}
-        young, old = self.young, self.old
-        missing = []
-        for u in seen:
-            if u not in young:
-                v = old.get(u)
-                if v is None:
-                    missing.append(u)
-                else:
-                    young[u] = v
-        firsts = [u for u in missing if u[0:1] == "\r"]
-        self._learn([u for u in missing if u[0:1] != "\r"])
-        young.update(zip(firsts, self.whole([u[1:] for u in firsts]), strict=True))
-        out = [b"".join(map(young.__getitem__, units)) if units else b"" for units in split]
-        for i, units in enumerate(split):
-            if units is None:
-                out[i] = self._slow(plain[i], marked[i])
-        if len(young) > self.most:
-            self.old, self.young = young, {}
+    def _slots(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes | None]]:
+        """Slots of the units of all texts that can be cut, how many each has; the others' ids."""
+        w = K.words(texts, trim=True)
+        simple = self._simple(w.data, w.bounds)
+        flat = w.data.tobytes()
+        for mark in self.special:
+            found, mark = flat.find(mark.encode()), mark.encode()
+            while found >= 0:
+                simple[int(np.searchsorted(w.bounds, found, side="right")) - 1] = False
+                found = flat.find(mark, found + 1)
+        slow: list[bytes | None] = [None] * len(simple)
+        for i in np.flatnonzero(~simple):
+            text = flat[w.bounds[i] : w.bounds[i + 1]].decode()
+            slow[i] = self._slow(text)
+        take = np.repeat(simple, w.counts)
+        starts, ends, owner = w.starts[take], w.ends[take], w.owner()[take]
+        lead = starts - (starts > w.bounds[owner])  # the white-space byte in front, unless the text begins here
+        kind = np.where(lead == starts, np.uint64(0), w.data[lead].astype(np.uint64) + np.uint64(1)) if len(starts) else np.empty(0, np.uint64)
+        keys = K.mix(w.hashes[take] + kind * np.uint64(0x9FB21C651E98DF25))
+        if len(self.slot) > self.most:
+            self.clear()
+        distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
+        got = [self.slot.get(k, -1) for k in distinct.tolist()]
+        place = np.array(got, dtype=np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            first = lead[at[new]] == starts[at[new]]
+            for group, headed in ((new[~first], True), (new[first], False)):
+                units = [flat[a:b].decode() for a, b in zip(lead[at[group]].tolist(), ends[at[group]].tolist(), strict=True)]
+                hashes = distinct[group].tolist()
+                self._learn(hashes, units, headed)
+                place[group] = [self.slot[k] for k in hashes]
+        slots, tail = place[back], w.trimmed[take]
+        # the full stop or comma behind a trimmed word is a unit of its own
+        wide = np.repeat(slots, 1 + tail)
+        behind = (np.cumsum(1 + tail) - 1)[tail]
+        wide[behind] = np.where(w.data[ends[tail]] == 44, self.stops[","], self.stops["."])
+        return wide, np.where(simple, w.counts + K.per_text(w.trimmed, w.first), 0), simple, slow
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text; null counts as empty."""
+        slots, many, _, slow = self._slots(texts)
+        total = np.concatenate([[0], np.cumsum(self.starts[slots + 1] - self.starts[slots])])
+        ends = np.cumsum(many)
+        out = total[ends] - total[ends - many]
+        for i, x in enumerate(slow):
+            if x is not None:
+                out[i] = len(x) // self.width
         return out
 
-    def _slow(self, text: str, marked: bool) -> bytes:
-        if marked or _WIDE.search(text):
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; null counts as empty."""
+        slots, many, _, slow = self._slots(texts)
+        begin = self.starts[slots]
+        size = self.starts[slots + 1] - begin
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.repeat(begin - total[:-1], size) + np.arange(total[-1])].tobytes()
+        ends = np.cumsum(many)
+        cut = zip((total[ends - many] * self.width).tolist(), (total[ends] * self.width).tolist(), slow, strict=True)
+        return [ids[a:b] if x is None else x for a, b, x in cut]
+
+    def _slow(self, text: str) -> bytes:
+        if any(m in text for m in self.special) or _WIDE.search(text):
             return self.whole([text])[0]
         units = _UNIT.findall(text)
-        keys = ["\r" + u for u in units]
-        missing = [k for k in dict.fromkeys(keys) if k not in self.young]
-        self.young.update(zip(missing, self.whole([k[1:] for k in missing]), strict=True))
-        return b"".join(map(self.young.__getitem__, keys))
+        known = dict(zip(dict.fromkeys(units), self.whole(list(dict.fromkeys(units))), strict=True))
+        return b"".join([known[u] for u in units])
 
 
 @lru_cache(maxsize=2)

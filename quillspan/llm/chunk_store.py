@@ -78,7 +78,7 @@ def _cut(path: str, end_id: int):
         tail = np.array([end_id], dtype=coder.kind).tobytes()
         seen: set[bytes] = set()
         for batch in batches:
-            for part in K.chunks(batch, "text"):
+            for part in K.chunks(batch, "text", 2 * K.CHUNK_BYTES):
                 chunks: dict[bytes, bytes] = {}
                 recipes = []
                 for doc, ids in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text")), strict=True):

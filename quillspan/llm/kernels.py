@@ -23,6 +23,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _powers: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
 
 
@@ -82,6 +84,7 @@ class Words:
     ends: np.ndarray
     first: np.ndarray  #: index of each text's first word (one more entry than texts)
     hashes: np.ndarray
+    trimmed: np.ndarray | None = None  #: words whose last byte was cut off (see words)
 
     @property
     def counts(self) -> np.ndarray:
@@ -92,7 +95,8 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
+def words(texts: pa.Array, lower: bool = False, trim: bool = False) -> Words:
+    """The words of each text.  ``trim`` cuts a last full stop or comma off words in which a letter or digit stands before it."""
     data, bounds = raw(texts)
     if lower:
         data = _LOWER[data]
@@ -109,11 +113,17 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
         stop[cuts - 1] = solid[cuts - 1]
     starts = np.flatnonzero(begin)
     ends = np.flatnonzero(stop) + 1
+    trimmed = None
+    if trim:
+        last, before, third = (data[np.maximum(ends - k, 0)] for k in (1, 2, 3))
+        latin = (third == 0xC3) & (before != 0x97) & (before != 0xB7) & (before >= 0x80)
+        trimmed = ((last == 44) | (last == 46)) & (ends - starts > 1) & (_ALNUM[before] | (latin & (ends - starts > 2)))
+        ends = ends - trimmed
     up, down = _power_tables(n)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * down[starts]) if n else np.empty(0, np.uint64)
-    return Words(data, bounds, starts, ends, np.searchsorted(starts, bounds), hashes)
+    return Words(data, bounds, starts, ends, np.searchsorted(starts, bounds), hashes, trimmed)
 
 
 def grams(w: Words, k: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:

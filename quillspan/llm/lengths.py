@@ -33,9 +33,8 @@ def encoded_lengths(docs: DataFrame, text: str = "text", group: str = "lang", pa
         coder = bpe.encoder(where)
         seen: dict[tuple[str | None, int], int] = {}
         for batch in batches:
-            for part in K.chunks(batch, "text"):
-                for g, ids in zip(part.column("grp").to_pylist(), coder.encode(part.column("text")), strict=True):
-                    key = (g, len(ids) // coder.width)
+            for part in K.chunks(batch, "text", 2 * K.CHUNK_BYTES):
+                for key in zip(part.column("grp").to_pylist(), coder.counts(part.column("text")).tolist(), strict=True):
                     seen[key] = seen.get(key, 0) + 1
             if len(seen) > 100_000:
                 yield _rows(seen)
