@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import chunk_store, host_rules, lengths, mixing, secrets, tiles
+from quillspan.llm import automaton, chunk_store, edit_prints, host_rules, kneser, lengths, mixing, pieces, secrets, tiles
 from quillspan.llm.store import new_path
 
 
@@ -15,6 +15,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.jaccard_components(documents(spark, sf_dir))
 
@@ -29,6 +33,11 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_store.read_store(spark, root)
 
 
+def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = pieces.decode_documents(pieces.encode_documents(documents(spark, sf_dir), keep_text=True))
+    return decoded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size")).cast("long").alias("taken"))
@@ -43,8 +52,28 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_prints.fingerprints(documents(spark, sf_dir))
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.score(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_jaccard_join, op3_token_counts, op4_token_store, op6_mixing, op7_secret_scan, op8_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_jaccard_join,
+        op3_token_counts,
+        op4_token_store,
+        op5_sampled_pieces,
+        op6_mixing,
+        op7_secret_scan,
+        op8_quality_rules,
+        op9_edit_fingerprints,
+        op10_lm_score,
+    )
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
