@@ -4,7 +4,234 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from quillspan.functions import patterns
+from quillspan.model import LAYERS
+from quillspan.operators import detect, flags, intervals, masking, sampling, scoring, screen
+from quillspan.plans import oracles, rounds, splits, tables
+from quillspan.sources.rules import Rule
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+RULES = (
+    Rule("en:email", "regex_checksum", "CONTACT", patterns.java(oracles.EMAIL)),
+    Rule("en:address", "regex_checksum", "ID", patterns.java(oracles.ADDRESS)),
+    Rule("en:card", "regex_checksum", "ID", patterns.java(oracles.CARD), checksum="luhn"),
+    Rule("en:phone", "regex_checksum", "CONTACT", patterns.java(oracles.PHONE)),
+    Rule("en:credential", "context_cue", "ID", patterns.java(oracles.CUE), group=1),
+)
+TERMS = Rule("en:insults", "gazetteer", "NAME", patterns.java(patterns.gazetteer(["loser", "stupid", "scum", "the MIT License"]), fold=True))
+BY_ID = {r.rule_id: r for r in RULES}
+SCREEN = (("access_key", "AKIA[A-Z0-9]{16}", 1), ("long_number", "[0-9]{16}", 1))
+CORPUS = "es-meddocan"
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _found(spark: SparkSession, sf_dir: str, *ids: str) -> DataFrame:
+    return detect.detect(documents(spark, sf_dir), [BY_ID[i] for i in ids])
+
+
+def _brief(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "start", "end", "rule_id")
+
+
+def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, *BY_ID)
+
+
+def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all(spark, sf_dir).select("doc_id", "start", "end", "rule_id", "phi_type")
+
+
+def detect_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all(spark, sf_dir).groupBy("rule_id", "phi_type").agg(F.count("*").alias("n_spans"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+def detect_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _brief(detect.detect(documents(spark, sf_dir), [TERMS]))
+
+
+def detect_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules again through Arrow and the regex module: the same rows as detect_all."""
+    found = detect.detect(documents(spark, sf_dir), RULES, backend="fallback")
+    return found.select("doc_id", "start", "end", "rule_id", "phi_type")
+
+
+def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _found(spark, sf_dir, "en:email").select("doc_id", "start", "end")
+    return masking.context_windows(found, documents(spark, sf_dir)).select("doc_id", "start", "end", "window", "at", "to")
+
+
+def mask_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masking.mask_documents(documents(spark, sf_dir), _all(spark, sf_dir)).select("doc_id", "masked_text")
+
+
+def line_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masked = masking.mask_documents(documents(spark, sf_dir), _all(spark, sf_dir))
+    rows = masking.masked_lines(masked).select("doc_id", F.posexplode("lines").alias("line", "x"))
+    return rows.select("doc_id", "line", "x.length", "x.doc_offset", F.size("x.tags").alias("n_tags"))
+
+
+def _responses(docs: DataFrame) -> DataFrame:
+    """An auditor's answers made by rule: a flag in the first line, one out of range, one of a type that isn't allowed."""
+    flag = lambda line, start, end, kind: F.concat(F.lit(f'{{"line": {line}, "start": '), start.cast("string"), F.lit(', "end": '), end.cast("string"), F.lit(f', "phi_type": "{kind}"}}'))
+    n = F.col("doc_id") % 50
+    parts = (flag(0, n, n + 4, "NAME"), flag(99999, n, n + 1, "NAME"), flag(0, n, n + 2, "OTHER"), flag(0, n + 3, n, "ID"), F.lit('{"line": true}'))
+    return docs.select("doc_id", F.when(n == 7, F.lit("no JSON")).otherwise(F.concat(F.lit('{"flags": ['), F.concat_ws(", ", *parts), F.lit("]}"))).alias("response"))
+
+
+def flag_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    lines = masking.masked_lines(masking.mask_documents(docs, _all(spark, sf_dir)))
+    return flags.validate(_responses(docs), lines)
+
+
+def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flags.audit_report(documents(spark, sf_dir), flag_validate(spark, sf_dir))
+
+
+def screen_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screen.screen_documents(documents(spark, sf_dir), SCREEN)
+
+
+def token_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = documents(spark, sf_dir).select("lang", splits.token_count(F.col("text")).alias("n"))
+    return splits.nearest_rank(sizes, ["lang"], "n")
+
+
+def _fold(doc_id):
+    return F.when(doc_id % 4 == 0, "dev").when(doc_id % 4 == 1, "test").otherwise("train")
+
+
+def fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("split", _fold(F.col("doc_id")))
+    return splits.fold_summary(docs, _all(spark, sf_dir).withColumn("excluded", F.col("phi_type") == "ID"))
+
+
+def stem_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.stem_groups(documents(spark, sf_dir).select(F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("doc_id")))
+
+
+def crossing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("doc_id")
+    docs = documents(spark, sf_dir).select(F.concat_ws("-", F.floor(number / 5).cast("string"), number.cast("string")).alias("doc_id"), _fold(number).alias("split"))
+    return splits.crossing_summary(docs)
+
+
+def split_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("string"), _fold(F.col("doc_id")).alias("split"), F.col("doc_id").alias("n"))
+    recorded = docs.where("n % 13 <> 0").withColumn("split", F.when(F.col("n") % 17 == 0, F.lit("elsewhere")).otherwise(F.col("split")))
+    return splits.verify(docs, recorded)
+
+
+def doc_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.doc_digests(documents(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def termination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    turn = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    rate = ((F.col("o_orderkey") * 7919 + F.col("o_custkey")) % 1000) / 20000.0 + 0.3
+    series = orders.select(F.col("o_custkey").alias("series"), turn.cast("long").alias("round"), rate.alias("leak_rate"), (1000 + F.col("o_custkey") % 9000).alias("n_dev"))
+    return rounds.termination_table(series.where("round <= 8"))
+
+
+def _on_spans(f: Callable[..., DataFrame], *rest) -> Query:
+    """A query on the arithmetic gold and predictions."""
+    return lambda spark, sf_dir: f(tables.gold(spark, sf_dir), tables.pred(spark, sf_dir), *rest)
+
+
+def _on_pred(f: Callable[..., DataFrame], *rest) -> Query:
+    return lambda spark, sf_dir: f(tables.pred(spark, sf_dir), *rest)
+
+
+def covered_length(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    return scoring.covered_lengths(gold, pred).select("doc_id", "span_index", F.coalesce(F.try_element_at("lengths", F.lit("all")), F.lit(0)).cast("long").alias("n"))
+
+
+def _assigned(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
+    return scoring.assign(gold, intervals.dedupe(pred), mode)
+
+
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.counts(tables.docs(spark, sf_dir), tables.gold(spark, sf_dir, True), tables.pred(spark, sf_dir))
+
+
+def fp_opportunity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.fp_opportunity(tables.docs(spark, sf_dir), tables.gold(spark, sf_dir, True), tables.pred(spark, sf_dir))
+
+
+def _drawn(draw: Callable[..., DataFrame]) -> Query:
+    return lambda spark, sf_dir: draw(scoring.error_spans(tables.gold(spark, sf_dir), tables.pred(spark, sf_dir)), CORPUS, 2)
+
+
+def practice_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = scoring.error_spans(tables.gold(spark, sf_dir), tables.pred(spark, sf_dir))
+    return sampling.practice_pool(errors, sampling.draw_hash(errors, CORPUS, 2))
+
+
+def check_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold, pred = tables.gold(spark, sf_dir), tables.pred(spark, sf_dir)
+    return rounds.check_rules_report(pred, scoring.error_spans(gold, pred), gold)
+
+
+QUERIES: dict[str, Query] = {
+    "detect_counts": detect_counts,
+    "detect_all": detect_all,
+    "detect_regex": lambda s, d: _brief(_found(s, d, "en:email")),
+    "detect_checksum_luhn": lambda s, d: _brief(_found(s, d, "en:card")),
+    "detect_cue": lambda s, d: _brief(_found(s, d, "en:credential")),
+    "detect_gazetteer": detect_gazetteer,
+    "detect_fallback": detect_fallback,
+    "interval_union": _on_pred(intervals.interval_union),
+    "mask_union": _on_pred(intervals.mask_union),
+    "overlapping_pairs": _on_pred(intervals.overlapping_pairs),
+    "dedupe": _on_pred(intervals.dedupe_counts),
+    "merge_recall_first": _on_pred(intervals.merge_recall_first, LAYERS),
+    "covered_length": _on_spans(covered_length),
+    "leak_rate": _on_spans(scoring.leak_rate),
+    "prf_overall": _on_spans(scoring.prf_overall),
+    "headline": _on_spans(scoring.headline),
+    "error_spans": _on_spans(scoring.error_spans),
+    "counts": counts,
+    "fp_opportunity": fp_opportunity,
+    "sample_hash": _drawn(sampling.draw_hash),
+    "sample_compat": _drawn(sampling.draw_compat),
+    "practice_pool": practice_pool,
+    "check_rules": check_rules,
+    "context_window": context_window,
+    "mask_text": mask_text,
+    "line_geometry": line_geometry,
+    "flag_validate": flag_validate,
+    "audit_report": audit_report,
+    "screen_documents": screen_documents,
+    "token_percentiles": token_percentiles,
+    "fold_summary": fold_summary,
+    "stem_groups": stem_groups,
+    "crossing_summary": crossing_summary,
+    "split_verify": split_verify,
+    "doc_digests": doc_digests,
+    "termination": termination,
+}
+
+for _short, _mode in (("fully", "fully_covered"), ("relaxed", "relaxed")):
+    QUERIES |= {
+        f"coverage_{_short}": _on_spans(scoring.coverage, _mode),
+        f"assign_{_short}": _on_spans(_assigned, _mode),
+        f"by_type_{_short}": _on_spans(scoring.by_type, _mode),
+        f"macro_{_short}": _on_spans(scoring.macro, _mode),
+        f"by_document_{_short}": _on_spans(scoring.by_document, _mode),
+        f"slack_{_short}": _on_spans(scoring.assignment_slack, _mode),
+        f"by_rule_{_short}": _on_spans(scoring.by_rule, _mode),
+        f"complementarity_families_{_short}": _on_spans(scoring.complementarity_families, _mode),
+        f"complementarity_layers_{_short}": _on_spans(scoring.complementarity_layers, _mode, True),
+        f"covered_by_layer_{_short}": _on_spans(scoring.covered_by_layer, _mode),
+    }
+
+ORACLES: dict[str, str] = {k: v for k, v in oracles.ORACLES.items() if k in QUERIES}
+ORACLES["detect_fallback"] = oracles.ORACLES["detect_all"]
