@@ -18,10 +18,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
     labels = settle(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root")), name)
     while True:
-        near = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("root").alias("m"))
-        moved = labels.join(near, labels.v == near.a).select("v", F.col("root").alias("old"), F.least("root", "m").alias("root"))
+        told = both.join(labels, both.b == labels.v).select("a", "root", F.lit(None).cast("long").alias("old"))
+        own = labels.select(F.col("v").alias("a"), "root", F.col("root").alias("old"))
+        moved = told.unionByName(own).groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"), F.max("old").alias("old"))
         up = labels.select(F.col("v").alias("u"), F.col("root").alias("up"))
-        jumped = moved.join(up, moved.root == up.u, "left").select("v", "old", F.least("root", F.coalesce("up", "root")).alias("root"))
+        jumped = moved.join(up, moved.near == up.u, "left").select("v", F.least("near", "up").alias("root"), "old")
         step = settle(jumped, name)
         changed = not step.where("old <> root").isEmpty()
         labels = step.select("v", "root")

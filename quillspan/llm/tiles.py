@@ -5,7 +5,9 @@ when 100 * |A n B| >= 90 * |A u B|.  Equal sets fall into one class first and on
 classes are compared.
 
 Candidates.  Under any one order of all shingles, linked sets share one among their
-first n - ceil(0.9 n) + 1 (the prefix).  The order is by hash, but shingles in very
+first p = n - ceil(0.9 n) + 1, and share k among their first p + k - 1.  A class keeps
+half as many again as p (its prefix), so it is looked at only if about p / 2 of these
+stand in other components' prefixes too.  The order is by hash, but shingles in very
 many prefixes come last, so that passages which many documents share don't make
 large groups.  A tile holds the classes that share a prefix shingle and a size band
 (powers of two; sets just below a border also visit the band above).  Tiles of more
@@ -15,10 +17,12 @@ Bounds.  Each class has a parity bitmap of about its size in bits.  Of two parit
 bitmaps that differ in h bits, the sets' overlap is at most (|A| + |B| - h) / 2; most
 pairs end there.  What remains is decided by intersecting the sorted hash arrays.
 
-Before that full search, two rounds over one min-hash each link the bulk of every
-group of near copies through spanning pairs, and the full search then looks only
-at pairs from different components.  So a group of m near copies needs about m
-verifications; no link between different components is ever skipped.
+Before that full search, a round over two min-hashes links the bulk of every group
+of near copies, and the full search then looks only at pairs from different
+components.  In this round the tiles of more than SMALL classes carry the hash
+arrays and decide their pairs on the spot, leaving out pairs that are connected by
+then; smaller ones give a few spanning pairs.  So a group of m near copies gives
+about m edges; no link between different components is ever skipped.
 
 Null and empty texts, and texts without words, have an empty set and no links.
 Texts of 1 or 2 words have their whole sequence as the one shingle.  Rows that
@@ -28,12 +32,13 @@ Extra columns are ignored.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm import kernels as K
@@ -43,6 +48,7 @@ from quillspan.llm.store import settle
 SHINGLE = 3
 PERCENT = 90
 BLOCK = 1024
+SMALL = 16
 HEAVY = 4096
 MOST_HEAVY = 1 << 16  #: shingles that are moved to the end of the order, at most; a hint that no result depends on
 FILTER_BITS = 23
@@ -64,13 +70,25 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def kept_length(n: int, percent: int = PERCENT) -> int:
+    """So many shingles are kept of the order: any linked set shares at least ``needed`` of them."""
+    p = prefix_length(n, percent)
+    return min(n, p + p // 2)
+
+
+def needed(n: Column, percent: int = PERCENT) -> Column:
+    """1 + p // 2 for the smallest set that may link with one of n shingles."""
+    least = F.ceil(F.lit(percent) * n / 100)
+    return 1 + F.floor((least - F.ceil(F.lit(percent) * least / 100) + 1) / 2)
+
+
 def band_of(n: int) -> int:
-    return max(7, n.bit_length() - 1)
+    return max(8, n.bit_length() - 1)
 
 
 def parity_bits(s: np.ndarray) -> bytes:
-    """Parity bitmap of 2**band bits: as wide as the band above needs; its halves xored suit the band itself."""
-    width = 1 << band_of(len(s))
+    """Parity bitmap of 2**(band + 1) bits: as wide as the band above needs; its halves xored suit the band itself."""
+    width = 2 << band_of(len(s))
     odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -87,7 +105,7 @@ def _profiler(k: int, percent: int, heavy: np.ndarray):
                         for column in (cids, seeds, keys, bits):
                             column.append(None)
                         continue
-                    p = prefix_length(n, percent)
+                    p = kept_length(n, percent)
                     if len(heavy):
                         late = np.isin(s, heavy, assume_unique=True)
                         head = np.concatenate([s[~late][:p], s[late]])[:p]
@@ -109,18 +127,25 @@ def _pick(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
 
 
-def _pairs_in_tiles(spanning: bool, percent: int):
+def jaccard_reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _pairs_in_tiles(mode: str, percent: int):
     """Of rows sorted by (band, key, cell, n): pairs of classes whose bitmaps allow a link.
 
-    ``spanning`` keeps, in each tile, pairs of a row with the tile's first row and
-    with the two behind it; otherwise all pairs of different components.
+    Mode ``all`` keeps all pairs of different components; ``spanning`` keeps, in each
+    tile, those of a row with the tile's first row and with the two behind it;
+    ``exact`` decides them by the rows' hash arrays and keeps links that connect.
     """
+    spanning = mode == "spanning"
 
-    def compare(rows: dict[str, np.ndarray], bits: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        left, right = [], []
+    def compare(rows: dict[str, np.ndarray], bits: list[bytes], hashes: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
+        left, right, stars = [], [], []
         for band in np.unique(rows["band"]).tolist():
             at = np.flatnonzero(rows["band"] == band)
-            width = 1 << (band - 1)
+            width = 1 << band
             flat = []
             for i in at.tolist():
                 b = np.frombuffer(bits[i], np.uint64)
@@ -130,9 +155,10 @@ def _pairs_in_tiles(spanning: bool, percent: int):
             wide = np.array(flat)
             n, comp, cid, side, tile = (rows[c][at] for c in ("n", "comp", "cid", "side", "tile"))
             first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+            own = np.arange(len(tile))  # the rows connected so far, in this tile
             head = np.repeat(first, np.diff([*first, len(tile)]))
 
-            def test(a: np.ndarray, b: np.ndarray, n=n, comp=comp, side=side, wide=wide, cid=cid) -> None:
+            def test(a: np.ndarray, b: np.ndarray, n=n, comp=comp, side=side, wide=wide, cid=cid, own=own, at=at, tile=tile) -> None:
                 small, big = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
                 ok = (comp[a] != comp[b]) & (100 * small >= percent * big) & ((side[a] | side[b]) == 3)
                 a, b = a[ok], b[ok]
@@ -141,10 +167,19 @@ def _pairs_in_tiles(spanning: bool, percent: int):
                     differ = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64)
                     # overlap <= (n + m - differ) / 2 and percent * (n + m) <= (100 + percent) * overlap
                     fit = (100 + percent) * (n[x] + n[y] - differ) >= 2 * percent * (n[x] + n[y])
-                    left.append(cid[x[fit]])
-                    right.append(cid[y[fit]])
+                    x, y = x[fit], y[fit]
+                    if hashes is None:
+                        left.append(cid[x])
+                        right.append(cid[y])
+                        continue
+                    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                        if own[i] != own[j] and jaccard_reaches(np.frombuffer(hashes[at[i]], np.uint64), np.frombuffer(hashes[at[j]], np.uint64), percent):
+                            span = slice(*np.searchsorted(tile, [tile[i], tile[i] + 1]))
+                            part = own[span]
+                            part[part == own[j]] = own[i]
 
             rest = np.arange(len(tile))
+            stars.append((own, cid))
             if spanning:
                 test(head, rest)
                 for shift in (1, 2):
@@ -158,6 +193,11 @@ def _pairs_in_tiles(spanning: bool, percent: int):
                 if not len(i):
                     break
                 test(i, i + shift)
+        if hashes is not None:  # of what is connected within a tile, one row stands for all
+            for own, cid in stars:
+                rows_in = np.flatnonzero(own != np.arange(len(own)))
+                left.append(cid[own[rows_in]])
+                right.append(cid[rows_in])
         empty = np.empty(0, np.int64)
         return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
@@ -168,7 +208,7 @@ def _pairs_in_tiles(spanning: bool, percent: int):
             rows = {c: table.column(c).to_numpy() for c in ("band", "key", "cell", "n", "comp", "cid", "side")}
             new = (np.diff(rows["key"]) != 0) | (np.diff(rows["cell"]) != 0) | (np.diff(rows["band"]) != 0)
             rows["tile"] = np.concatenate([[0], np.cumsum(new)])
-            a, b = compare(rows, table.column("bits").to_pylist())
+            a, b = compare(rows, table.column("bits").to_pylist(), table.column("hashes").to_pylist() if mode == "exact" else None)
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -186,12 +226,22 @@ def _pairs_in_tiles(spanning: bool, percent: int):
     return run
 
 
-def _tile_pairs(rows: DataFrame, classes: DataFrame, spanning: bool, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) among classes that share a key; rows: (key, cid), classes with comp."""
-    stats = rows.join(classes.select("cid", "comp"), "cid").groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    shared = stats.where("m > 1 and low <> high").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    wide = rows.join(shared, "key").join(classes.select("cid", "n", "comp", "bits"), "cid")
-    band = F.greatest(F.lit(7), F.floor(F.log2("n")).cast("int"))
+def _shared(keyed: DataFrame) -> DataFrame:
+    """Keys that classes of different components share: key, m; keyed: key, cid, comp."""
+    stats = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    return stats.where("m > 1 and low <> high").select("key", "m")
+
+
+def _tile_pairs(keyed: DataFrame, keys: DataFrame, classes: DataFrame, mode: str, percent: int) -> DataFrame:
+    """Pairs (a, b) among classes that share one of the keys; classes: cid, n, comp, bits (mode exact: and hashes)."""
+    carried = ["cid", "n", "comp", "bits"] + ["hashes"] * (mode == "exact")
+    met = keyed.select("key", "cid").join(keys.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
+    # a class's keys are no more than its prefix
+    lists = met.groupBy("cid").agg(F.collect_list(F.struct("key", "blocks")).alias("met")).join(classes.select(carried), "cid")
+    if mode == "all":
+        lists = lists.where(F.size("met") >= needed(F.col("n"), percent))
+    wide = lists.select(*carried, F.inline("met"))
+    band = F.greatest(F.lit(8), F.floor(F.log2("n")).cast("int"))
     edge = F.call_function("shiftleft", F.lit(1).cast("long"), band + 1)
     # side 1: a visitor from the band below; side 3: at home.  Two visitors have met at home.
     home = F.struct(band.alias("band"), F.lit(3).alias("side"))
@@ -199,12 +249,12 @@ def _tile_pairs(rows: DataFrame, classes: DataFrame, spanning: bool, percent: in
     places = F.when(100 * F.col("n") >= percent * edge, F.array(home, above)).otherwise(F.array(home))
     block = F.pmod(F.xxhash64("cid", "key"), F.col("blocks")).cast("int")
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, block) * F.col("blocks") + F.greatest(j, block))
-    cells = F.array(block * F.col("blocks") + block) if spanning else every
-    placed = wide.select("key", "cid", "n", "comp", "bits", F.explode(places).alias("at"), cells.alias("cells")).select(
-        F.col("at.band").alias("band"), F.col("at.side").alias("side"), "key", F.explode("cells").alias("cell"), "cid", "n", "comp", "bits"
+    cells = every if mode == "all" else F.array(block * F.col("blocks") + block)
+    placed = wide.select("key", *carried, F.explode(places).alias("at"), cells.alias("cells")).select(
+        F.col("at.band").alias("band"), F.col("at.side").alias("side"), "key", F.explode("cells").alias("cell"), *carried
     )
     dealt = placed.repartition("key", "band", "cell").sortWithinPartitions("band", "key", "cell", "n", "cid")
-    return dealt.mapInArrow(_pairs_in_tiles(spanning, percent), "a long, b long").distinct()
+    return dealt.mapInArrow(_pairs_in_tiles(mode, percent), "a long, b long").distinct()
 
 
 def _id_filter(ids: DataFrame) -> np.ndarray:
@@ -242,9 +292,7 @@ def _linked(percent: int):
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)
             for i, (x, y) in enumerate(zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                keep[i] = jaccard_reaches(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -273,16 +321,21 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     if heavy:
         _, classes = profile(np.sort(np.array(heavy, np.int64).astype(np.uint64)))
     labelled = classes.withColumn("comp", F.col("cid"))
-    edges: DataFrame | None = None
-    roots: DataFrame | None = None
-    for step in ("first", "seed", "all"):
-        key = {"first": F.element_at("keys", 1), "seed": F.col("seed"), "all": F.explode("keys")}[step]
-        pairs = settle(_tile_pairs(classes.select(key.alias("key"), "cid"), labelled, step != "all", percent), "pairs")
-        if pairs.isEmpty():
-            continue
-        found = settle(_verified(picked, pairs, classes, k, percent), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        roots = components(edges)
+    edges: list[DataFrame] = []
+    for step in ("seed", "all"):
+        of = F.array(F.element_at("keys", 1), F.col("seed")) if step == "seed" else F.col("keys")
+        keyed = labelled.select(F.explode(of).alias("key"), "cid", "comp")
+        shared = settle(_shared(keyed), "shared")
+        if step == "seed":
+            large, few = shared.where(F.col("m") > SMALL), shared.where(F.col("m") <= SMALL)
+            members = classes.join(keyed.join(large, "key").select("cid").distinct(), "cid", "left_semi").select("cid", F.col("rep").alias("doc_id"))
+            sets = _sets_of(picked, members, k)
+            edges.append(settle(_tile_pairs(keyed, large, labelled.join(sets, "cid"), "exact", percent), "links"))
+            pairs = settle(_tile_pairs(keyed, few, labelled, "spanning", percent), "pairs")
+        else:
+            pairs = settle(_tile_pairs(keyed, shared, labelled, "all", percent), "pairs")
+        edges.append(settle(_verified(picked, pairs, classes, k, percent), "links"))
+        roots = components(functools.reduce(DataFrame.unionByName, edges))
         named = roots.select(F.col("v").alias("cid"), "root")
         labelled = classes.join(named, "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
     least = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"))
