@@ -27,6 +27,7 @@ WEIGHTS = (1.0, 2.0, 3.0)
 MOST_EPOCHS = 3
 SEED = 20260805
 HOT = 4096
+MOST_SUM = 1 << 17  #: words that the knapsack program decides, at most
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -52,10 +53,10 @@ def targets(sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, most: floa
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come nearest to the budget.
 
-    Quotas in proportion use up most of it.  The gap is closed by adding whole
-    documents, longest first, down to a few times the longest length; there a
-    bounded knapsack (binary splits of the documents left, sets of reachable sums as
-    bits of one integer) finds the nearest sum.
+    Quotas in proportion use up most of it, and whole documents, longest first, what
+    rounding leaves, down to a few times the longest length; for that rest a bounded
+    knapsack (binary splits of the documents left, sets of reachable sums as bits of
+    one integer) finds the nearest sum.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     take = np.zeros(len(lengths), dtype=np.int64)
@@ -66,17 +67,16 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     if budget >= total:
         take[use] = counts[use]
         return take
-    take[use] = counts[use] * budget // total
+    # what is left for the program: a few of the longest documents, or the whole of a small budget
+    reach = min(MOST_SUM, 2 * int(lengths[use].max()) + 2048)
+    take[use] = counts[use] * max(0, budget - reach) // total
     gap = budget - int((take * lengths).sum())
-    order = use[np.argsort(-lengths[use], kind="stable")]
-    reach = 2 * int(lengths[use].min()) + 2048  # what is left for the program
-    for i in order:
+    for i in use[np.argsort(-lengths[use], kind="stable")]:
         if gap <= reach:
             break
         more = min(int(counts[i] - take[i]), max(0, (gap - reach) // int(lengths[i])))
         take[i] += more
         gap -= more * int(lengths[i])
-    # give back one document of some length where the rest is too small to be filled
     left = counts - take
     items: list[tuple[int, int]] = []
     room = gap + int(lengths[use].min())

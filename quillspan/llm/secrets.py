@@ -3,8 +3,8 @@
 Patterns, leftmost and non-overlapping per kind: ``assign`` (a credential word, a
 separator, a value of 6 or more characters), ``access`` (AKIA keys of 20 or more)
 and ``hex`` (runs of 24 or more).  The method adds kind ``random``: runs of 16 or
-more characters of a key's alphabet that mix letters and digits and that a
-tiktoken vocabulary needs many tokens for (few characters per token).  Known
+more characters of a key's alphabet that pass between letters and digits three
+times and that a tiktoken vocabulary needs many tokens for (few characters per token).  Known
 digests (hexadecimal of a digest's length), UUIDs, numbers, mail addresses, URLs
 and dotted names are excluded, and so is what a pattern has found already.
 
@@ -74,7 +74,10 @@ def looks_random(run: str, before: str, after: str, vocabulary: str, most: float
     """The token-efficiency test, after the exclusions."""
     digits = sum(c.isdigit() for c in run)
     letters = sum(c.isalpha() for c in run)
-    if digits < 2 or letters < 2:
+    if digits < 2 or letters < 2 or before.isalnum() or after.isalnum():
+        return False
+    classes = [c.isdigit() for c in run if c.isalnum()]
+    if sum(a != b for a, b in zip(classes, classes[1:])) < 3:  # a word with a number behind it
         return False
     if _UUID.match(run) or (len(run) in _DIGEST_SIZES and _DIGEST.match(run)):
         return False
@@ -93,7 +96,10 @@ def find_spans(text: str, vocabulary: str, most: float = MAX_CHARS_PER_TOKEN) ->
         s, e = m.span()
         if any(a < e and s < b for _, a, b in found):
             continue
-        if looks_random(m[0], text[s - 1 : s], text[e : e + 1].strip(".") and text[e : e + 1], vocabulary, most):
+        after = text[e : e + 1]
+        if after == "." and not text[e + 1 : e + 2].isalnum():
+            after = ""  # a full stop
+        if looks_random(m[0], text[s - 1 : s] if s else "", after, vocabulary, most):
             out.append(("random", s, e))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
