@@ -35,8 +35,8 @@ from quillspan.llm import kernels as K
 
 END_ID = 2
 WINDOW = 16
-MASK_BITS = 8
-LEAST, MOST = 64, 1024
+MASK_BITS = 9
+LEAST, MOST = 128, 2048
 SEEN = 400_000
 DIGEST = 16
 

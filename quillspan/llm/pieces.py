@@ -1,17 +1,18 @@
 """SentencePiece encoding and decoding (operator 5): sampled segmentations, lossless both ways.
 
-The pieces of a text's lattice are the vocabulary's pieces that match it; the one
-before a word carries the space, and no arc crosses a word's border, so a text's
-lattice is a chain of word lattices.  A piece of rank r weighs (r + 1) ** -alpha;
-a character that no piece has is spelt in byte pieces.  The forward filter of each
-distinct word is computed once; backward sampling then runs over all words of a
-chunk together, a step at a time: every word still open draws the arc into its
-current node by inverse distribution from a number hashed out of (seed, row key,
-word position, step).  So a row's segmentation depends on nothing but its key and
-text, and reruns agree.
-
-Decoding joins the pieces' bytes and takes off the space that encoding put in
-front; it returns every text exactly, white space and all.
+A text is cut before every space and line feed, and one space is put in front.  The
+pieces of such a word's lattice are the vocabulary's pieces whose bytes match it;
+no arc crosses a word's border, so a text's lattice is a chain of word lattices.  A
+piece of rank r weighs (r + 1) ** -alpha; byte pieces, which match anywhere, weigh
+next to nothing and spell what no other piece has.  The forward filter runs once for
+each distinct word, over all new words of a chunk together.  Backward sampling then
+runs over all words of the chunk, a step at a time: every word still open draws the
+arc into its current node by inverse distribution from a number hashed out of
+(seed, row key, word position, step).  So a row's segmentation depends on nothing
+but its key and text, and reruns agree.
+
+Decoding joins the pieces' bytes and takes off the space in front; it returns every
+text exactly, white space and all.
 
 A null or empty text has no pieces (decoding gives an empty text).  A null row key
 counts as -1.  Repeated rows get equal pieces.  Other columns are ignored.
@@ -24,15 +25,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quillspan.llm import kernels as K
 
 SEED = 20260805
 ALPHA = 1.0
-LONGEST = 16
 CACHE_WORDS = 250_000
 BYTE_WEIGHT = 1e-9
+TOGETHER = 64  #: bytes up to which words are filtered together
+SCALE = 1e5  #: for each byte, on all paths alike: keeps sums of long words in range
 
 
 def default_path() -> str:
@@ -48,144 +51,213 @@ class Lattices:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.path, self.alpha, self.most = path, alpha, most
-        self.weight: dict[str, tuple[int, float]] = {}
-        self.bytes: dict[int, bytes] = {}
-        self.byte_id = {}
+        self.alpha, self.most = alpha, most
+        self.bytes: list[bytes] = []
+        self.weight: dict[bytes, tuple[int, float]] = {}
+        spelt = {}
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
-                self.byte_id[int(piece[3:5], 16)] = i
-                self.bytes[i] = bytes([int(piece[3:5], 16)])
+                self.bytes.append(bytes([int(piece[3:5], 16)]))
+                spelt[self.bytes[i]] = (i, BYTE_WEIGHT)
             elif model.is_control(i) or model.is_unknown(i):
-                self.bytes[i] = b""
+                self.bytes.append(b"")
             else:
                 text = piece.replace("▁", " ")
-                self.bytes[i] = text.encode()
-                if " " not in text[1:]:
-                    self.weight[text] = (i, (1.0 + max(0.0, -model.get_score(i))) ** -alpha)
-        self.size = model.get_piece_size()
+                self.bytes.append(text.encode())
+                if " " not in text[1:] and "\n" not in text[1:]:
+                    self.weight[self.bytes[i]] = (i, (1.0 + max(0.0, -model.get_score(i))) ** -alpha)
+        self.spelt = spelt
+        self.byte_ids = np.array([spelt[bytes([b])][0] for b in range(256)])
+        # pieces and their beginnings, by length: hash, id (-1 for a beginning that is no piece), weight
+        known: dict[bytes, tuple[int, float]] = {p[:k]: (-1, 0.0) for p in self.weight for k in range(1, len(p))} | self.weight
+        names = list(known)
+        self.longest = max(map(len, names))
+        self._index(_hash_all(names), np.array([known[x][0] for x in names]), np.array([known[x][1] for x in names]))
         self.clear()
 
+    def _index(self, hashes: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> None:
+        """An open-addressing table, at most an eighth full; key 0 is an empty slot."""
+        size = 1 << (8 * len(hashes) - 1).bit_length()
+        self.slots, self.slot_id, self.slot_weight = np.zeros(size, np.uint64), np.full(size, -1), np.zeros(size)
+        left, probe = np.arange(len(hashes)), 0
+        while len(left):
+            at = ((hashes[left] + np.uint64(probe)) & np.uint64(size - 1)).astype(np.int64)
+            free = np.flatnonzero(self.slots[at] == 0)
+            _, one = np.unique(at[free], return_index=True)
+            put = free[one]
+            self.slots[at[put]], self.slot_id[at[put]], self.slot_weight[at[put]] = hashes[left[put]], ids[left[put]], weights[left[put]]
+            left, probe = np.delete(left, put), probe + 1
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each hash, or -1."""
+        mask = np.uint64(len(self.slots) - 1)
+        at = (h & mask).astype(np.int64)
+        key = self.slots[at]
+        out = np.where(key == h, at, -1)
+        left, probe = np.flatnonzero((key != h) & (key != 0)), 0
+        while len(left):
+            probe += 1
+            at = ((h[left] + np.uint64(probe)) & mask).astype(np.int64)
+            key = self.slots[at]
+            hit = key == h[left]
+            out[left[hit]] = at[hit]
+            left = left[~hit & (key != 0)]
+        return out
+
     def clear(self) -> None:
-        self.node: dict[str, int] = {}  # the last node of each word
-        self.length: list[int] = []
-        self.spelt: dict[str, int] = {}
-        self.spellings: list[list[int]] = []
-        self._nodes = 0
-        self._cum: list[float] = []
-        self._from: list[int] = []
-        self._code: list[int] = []
-        self._filled = 0
-        self._flat = [np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)]
-
-    def add(self, word: str) -> int:
-        """Forward filter: node k holds, for its arcs, their share of all paths to it; returns the last node."""
+        self.node: dict[int, int] = {}  # a word's hash -> its last node
+        self._nodes = self._filled = 0
+        # of each node its first arc; of each arc the share of paths up to it, its bytes and its piece
+        self._flat = {"first": np.empty(0, np.int32), "upto": np.empty(0, np.float32), "back": np.empty(0, np.int16), "code": np.empty(0, np.int32)}
+
+    def _store(self, first: np.ndarray, upto: np.ndarray, back: np.ndarray, code: np.ndarray) -> None:
+        """Put nodes and arcs behind the others, into arrays that grow by half; first counts from these arcs' beginning."""
+        for name, filled, values in (("first", self._nodes, first + self._filled), ("upto", self._filled, upto), ("back", self._filled, back), ("code", self._filled, code)):
+            flat, need = self._flat[name], filled + len(values)
+            if len(flat) < need:
+                self._flat[name] = np.empty(need * 3 // 2, flat.dtype)
+                self._flat[name][:filled] = flat[:filled]
+            self._flat[name][filled:need] = values
+        self._nodes += len(first)
+        self._filled += len(upto)
+
+    def _add_long(self, word: bytes) -> int:
+        """Forward filter of one word of any length, rescaled on the way; returns its last node."""
         n = len(word)
-        base = self._nodes
-        total = [1.0] + [0.0] * n
-        weight, cum, origin, code = self.weight, self._cum, self._from, self._code
+        total = np.zeros(n + 1)
+        total[0] = 1.0
+        first, upto, backs, codes = [], [], [], []
         for end in range(1, n + 1):
-            arcs = []
-            reach = 0.0
-            for begin in range(max(0, end - LONGEST), end):
-                got = weight.get(word[begin:end])
-                if got is not None:
-                    x = total[begin] * got[1]
-                    reach += x
-                    arcs.append((begin, got[0], x))
-            if not arcs or arcs[-1][0] != end - 1:
-                c = word[end - 1]
-                if c not in self.spelt:
-                    self.spelt[c] = self.size + len(self.spellings)
-                    self.spellings.append([self.byte_id[b] for b in c.encode()])
-                x = total[end - 1] * BYTE_WEIGHT
-                reach += x
-                arcs.append((end - 1, self.spelt[c], x))
-            # only ratios matter: rescale, so that long words don't underflow
-            if reach < 1e-200:
-                total = [t * 1e200 for t in total]
-                arcs = [(b, i, x * 1e200) for b, i, x in arcs]
-                reach *= 1e200
-            total[end] = reach
-            here, so_far = base + end - 1, 0.0
-            for b, i, x in arcs:
-                so_far += x / reach
-                cum.append(here + min(so_far, 1.0))
-                origin.append(end - b)
-                code.append(i)
-            cum[-1] = here + 1.0
-        self._nodes += n
-        self.node[word] = base + n - 1
-        return base + n - 1
-
-    def arrays(self) -> tuple[np.ndarray, ...]:
-        """cum, origin and code as arrays; new arcs are moved from the lists into arrays that grow by half."""
-        new = len(self._cum)
-        need = self._filled + new
-        for k, values in enumerate((self._cum, self._from, self._code)):
-            flat = self._flat[k]
-            if len(flat) < need:
-                self._flat[k] = np.empty(need * 3 // 2, flat.dtype)
-                self._flat[k][: self._filled] = flat[: self._filled]
-            self._flat[k][self._filled : need] = values
-            values.clear()
-        self._filled = need
-        return tuple(x[:need] for x in self._flat)
-
-    def sample(self, texts: list[str], keys: np.ndarray, seed: int = SEED) -> list[np.ndarray]:
-        """Piece ids of each text."""
+            arcs = [(end - b, *got) for b in range(max(0, end - self.longest), end) if (got := self.weight.get(word[b:end]))]
+            arcs.append((1, *self.spelt[word[end - 1 : end]]))
+            reach = np.array([total[end - back] * w for back, _, w in arcs])
+            if reach.sum() < 1e-150:
+                total *= 1e150
+                reach *= 1e150
+            total[end] = reach.sum()
+            first.append(len(upto))
+            upto += np.cumsum(reach / total[end]).tolist()
+            upto[-1] = 2.0
+            backs += [a[0] for a in arcs]
+            codes += [a[1] for a in arcs]
+        self._store(np.array(first), np.array(upto), np.array(backs), np.array(codes))
+        return self._nodes - 1
+
+    def _add_together(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Forward filter of many words; returns their last nodes."""
+        size = ends - starts
+        base = self._nodes + np.cumsum(size) - size  # node base + k - 1 is behind a word's first k bytes
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        word = np.repeat(np.arange(len(size)), size)
+        at = np.repeat(starts, size) + place
+        room = np.repeat(size, size) - place
+        up, down = K._power_tables(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        arcs = [(word, place, np.ones(len(word), np.int64), self.byte_ids[data[at]], np.full(len(word), BYTE_WEIGHT * SCALE))]
+        open_ = np.arange(len(word))
+        for length in range(1, self.longest + 1):
+            open_ = open_[room[open_] >= length]
+            if not len(open_):
+                break
+            spot = self._find(K.mix((sums[at[open_] + length] - sums[at[open_]]) * down[at[open_]]))
+            open_, spot = open_[spot >= 0], spot[spot >= 0]
+            real = self.slot_id[spot] >= 0
+            some, found = open_[real], spot[real]
+            arcs.append((word[some], place[some], np.full(len(some), length), self.slot_id[found], self.slot_weight[found] * SCALE**length))
+        of, begin, length, code, weight = (np.concatenate(x) for x in zip(*arcs, strict=True))
+        end = begin + length
+        order = np.argsort(end, kind="stable")
+        of, begin, length, code, weight, end = (x[order] for x in (of, begin, length, code, weight, end))
+        total = np.zeros((int(size.max()) + 1, len(size)))
+        total[0] = 1.0
+        share = np.empty(len(of))
+        edges = np.searchsorted(end, np.arange(1, int(size.max()) + 2))
+        for k in range(1, int(size.max()) + 1):
+            i = slice(edges[k - 1], edges[k])
+            reach = total[begin[i], of[i]] * weight[i]
+            total[k] = np.bincount(of[i], weights=reach, minlength=len(size))
+            share[i] = reach / total[k, of[i]]
+        node = base[of] + end - 1 - self._nodes
+        order = np.lexsort((-length, node))  # long pieces first: they are drawn most
+        node, share, length, code = node[order], share[order], length[order], code[order]
+        run = np.cumsum(share)
+        head = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        before = np.concatenate([[0.0], run])[head]
+        upto = run - np.repeat(before, np.diff([*head, len(node)]))
+        upto[np.append(head[1:], len(node)) - 1] = 2.0  # the last arc takes what is left
+        self._store(head, upto, length, code)
+        return base + size - 1
+
+    def sample(self, texts: pa.Array, keys: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all texts, and where each text's begin."""
+        texts = pc.fill_null(texts, "")
+        data, bounds = K.raw(pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(" ", texts, "")))
+        starts = np.flatnonzero((data == 32) | (data == 10))
+        if not len(starts):
+            return np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+        ends = np.append(starts[1:], len(data))
         if len(self.node) > self.most:
             self.clear()
-        counts, last, sizes = np.zeros(len(texts), np.int64), [], []
-        for t, text in enumerate(texts):
-            if not text:
-                continue
-            words = [w if w[:1] == "\n" else " " + w for w in text.replace("\n", " \n").split(" ")]
-            if text[0] == "\n":
-                words[0] = " "  # the space in front, and then the line feed
-            counts[t] = len(words)
-            for w in words:
-                at = self.node.get(w)
-                last.append(self.add(w) if at is None else at)
-                sizes.append(len(w))
-        node, left = np.array(last, np.int64), np.array(sizes, np.int64)
-        owner = np.repeat(np.arange(len(texts)), counts)
+        up, down = K._power_tables(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        distinct, seen, which = np.unique(K.mix((sums[ends] - sums[starts]) * down[starts]), return_index=True, return_inverse=True)
+        last = np.array([self.node.get(h, -1) for h in distinct.tolist()])
+        new = np.flatnonzero(last < 0)
+        size = ends[seen] - starts[seen]
+        short = new[size[new] <= TOGETHER]
+        for some in np.array_split(short, -(-len(short) // 20_000)) if len(short) else []:
+            last[some] = self._add_together(data, starts[seen[some]], ends[seen[some]])
+        for i in new[size[new] > TOGETHER]:
+            last[i] = self._add_long(data[starts[seen[i]] : ends[seen[i]]].tobytes())
+        self.node.update(zip(distinct[new].tolist(), last[new].tolist(), strict=True))
+        node, left = last[which], ends - starts
+        owner = np.searchsorted(bounds, starts, side="right") - 1
+        counts = np.bincount(owner, minlength=len(texts))
         place = np.arange(len(node)) - np.repeat(np.cumsum(counts) - counts, counts)
         stream = K.mix(K.mix(keys.astype(np.uint64) + np.uint64(seed))[owner] + place.astype(np.uint64))
-        cum, origin, code = self.arrays()
+        first, upto, back, code = (self._flat[k] for k in ("first", "upto", "back", "code"))
         open_ = np.arange(len(node))
         steps = np.zeros(len(node), np.int64)
         drawn: list[tuple[np.ndarray, np.ndarray]] = []
-        step = 0
         while len(open_):
-            step += 1
-            u = (K.mix(stream[open_] + np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(12)) / float(1 << 52)
-            arc = np.minimum(np.searchsorted(cum, node[open_] + u, side="right"), len(cum) - 1)
+            salt = np.uint64((len(drawn) + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+            u = (K.mix(stream[open_] + salt) >> np.uint64(12)) / float(1 << 52)
+            arc = first[node[open_]].astype(np.int64)
+            wait = np.flatnonzero(upto[arc] <= u)
+            while len(wait):
+                arc[wait] += 1
+                wait = wait[upto[arc[wait]] <= u[wait]]
             drawn.append((open_, code[arc]))
             steps[open_] += 1
-            back = origin[arc]
-            node[open_] -= back
-            left[open_] -= back
+            node[open_] -= back[arc]
+            left[open_] -= back[arc]
             open_ = open_[left[open_] > 0]
         # words are drawn from their end; put each word's pieces in reading order
-        first = np.cumsum(steps) - steps
+        begin = np.cumsum(steps) - steps
         out = np.empty(int(steps.sum()), np.int64)
         for k, (rows, codes) in enumerate(drawn):
-            out[first[rows] + steps[rows] - 1 - k] = codes
-        per = np.bincount(owner, weights=steps, minlength=len(texts)).astype(np.int64)
-        ends = np.cumsum(per)
-        found = [out[e - n : e] for e, n in zip(ends.tolist(), per.tolist(), strict=True)]
-        if self.spellings:
-            for i, ids in enumerate(found):
-                if len(ids) and ids.max() >= self.size:
-                    found[i] = np.concatenate([[x] if x < self.size else self.spellings[x - self.size] for x in ids.tolist()]).astype(np.int64)
-        return found
+            out[begin[rows] + steps[rows] - 1 - k] = codes
+        total = np.concatenate([[0], np.cumsum(steps)])
+        return out, total[np.concatenate([[0], np.cumsum(counts)])]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids))[1:].decode()
 
 
+def _hash_all(names: list[bytes]) -> np.ndarray:
+    """The kernels' hash of each byte string."""
+    data = np.frombuffer(b"".join(names), np.uint8)
+    ends = np.cumsum([len(x) for x in names])
+    starts = ends - np.array([len(x) for x in names])
+    up, down = K._power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    return K.mix((sums[ends] - sums[starts]) * down[starts])
+
+
 @lru_cache(maxsize=2)
 def lattices(path: str, alpha: float) -> Lattices:
     return Lattices(path, alpha)
@@ -200,10 +272,8 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         for batch in batches:
             for part in K.chunks(batch, "text"):
                 keys = part.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-                found = model.sample([x or "" for x in part.column("text").to_pylist()], keys, seed)
-                flat = np.concatenate([np.empty(0, np.int64), *found]).astype(np.int32)
-                bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                columns = [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))]
+                flat, bounds = model.sample(part.column("text"), keys, seed)
+                columns = [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))]
                 yield pa.RecordBatch.from_arrays([*columns, part.column("text")] if keep_text else columns, names=["doc_id", "pieces", "text"][: 2 + keep_text])
 
     picked = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
