@@ -81,10 +81,18 @@ def test_equal_passages_share_chunks():
     assert all(n <= chunk_store.MOST for n in np.diff([0, *chunk_store.cut_points(np.zeros(9000, np.int64))]))
 
 
+def test_streams_are_cut_alike_together_and_alone():
+    rng = np.random.default_rng(6)
+    streams = [rng.integers(0, 300, int(n)) for n in (0, 1, 15, 16, 17, 900, 5000, 20, 3000)]
+    flat = np.concatenate(streams)
+    assert chunk_store.cut_all(flat, np.cumsum([0, *map(len, streams)])) == [chunk_store.cut_points(x) for x in streams]
+
+
 def test_combined_checksums():
     rng = np.random.default_rng(1)
     parts = [[rng.bytes(4 * int(n)) for n in rng.integers(0, 40, k)] for k in (0, 1, 5, 9)]
-    got = chunk_store.combine([np.array([zlib.crc32(x) for x in p], np.uint32) for p in parts], [np.array([len(x) for x in p]) for p in parts])
+    flat = [x for p in parts for x in p]
+    got = chunk_store.combine(np.array([zlib.crc32(x) for x in flat], np.uint32), np.array([len(x) for x in flat]), np.cumsum([0, *map(len, parts)]))
     assert got.tolist() == [zlib.crc32(b"".join(p)) for p in parts]
 
 
@@ -144,7 +152,7 @@ def test_samples_follow_the_lattice():
     assert set(seen) <= set(paths)  # byte pieces are too light to be seen
     long = "é" * 40 + "then" * 30  # words over TOGETHER bytes are filtered on their own
     flat, _ = model.sample(pa.array([long]), np.array([1]))
-    assert model.decode(flat.tolist()) == long
+    assert pieces.decode(flat.tolist()) == long
     for ids, weight in paths.items():
         p = weight / total
         assert abs(seen[ids] / n - p) < 5 * (p * (1 - p) / n) ** 0.5 + 1e-3
