@@ -32,7 +32,8 @@ from quillspan.llm import kernels as K
 
 SEED = 20260805
 ALPHA = 1.0
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
+DECODED = 200  #: rows decoded at a time
 BYTE_WEIGHT = 1e-9
 TOGETHER = 64  #: bytes up to which words are filtered together
 SCALE = 1e5  #: for each byte, on all paths alike: keeps sums of long words in range
@@ -52,23 +53,16 @@ class Lattices:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.alpha, self.most = alpha, most
-        self.bytes: list[bytes] = []
         self.weight: dict[bytes, tuple[int, float]] = {}
         spelt = {}
-        for i in range(model.get_piece_size()):
-            piece = model.id_to_piece(i)
+        for i, text in enumerate(piece_bytes(path)):
             if model.is_byte(i):
-                self.bytes.append(bytes([int(piece[3:5], 16)]))
-                spelt[self.bytes[i]] = (i, BYTE_WEIGHT)
-            elif model.is_control(i) or model.is_unknown(i):
-                self.bytes.append(b"")
-            else:
-                text = piece.replace("▁", " ")
-                self.bytes.append(text.encode())
-                if " " not in text[1:] and "\n" not in text[1:]:
-                    self.weight[self.bytes[i]] = (i, (1.0 + max(0.0, -model.get_score(i))) ** -alpha)
-        self.spelt = spelt
-        self.byte_ids = np.array([spelt[bytes([b])][0] for b in range(256)])
+                spelt[text] = (i, BYTE_WEIGHT)
+            elif text and not {b" "[0], b"\n"[0]} & set(text[1:]):
+                self.weight[text] = (i, (1.0 + max(0.0, -model.get_score(i))) ** -alpha)
+        # a byte that is a piece of its own isn't spelt
+        self.spelt = {b: got for b, got in spelt.items() if b not in self.weight}
+        self.byte_ids = np.array([self.spelt.get(bytes([b]), (-1,))[0] for b in range(256)])
         # pieces and their beginnings, by length: hash, id (-1 for a beginning that is no piece), weight
         known: dict[bytes, tuple[int, float]] = {p[:k]: (-1, 0.0) for p in self.weight for k in range(1, len(p))} | self.weight
         names = list(known)
@@ -130,7 +124,8 @@ class Lattices:
         first, upto, backs, codes = [], [], [], []
         for end in range(1, n + 1):
             arcs = [(end - b, *got) for b in range(max(0, end - self.longest), end) if (got := self.weight.get(word[b:end]))]
-            arcs.append((1, *self.spelt[word[end - 1 : end]]))
+            if (last := self.spelt.get(word[end - 1 : end])) is not None:
+                arcs.append((1, *last))
             reach = np.array([total[end - back] * w for back, _, w in arcs])
             if reach.sum() < 1e-150:
                 total *= 1e150
@@ -155,7 +150,8 @@ class Lattices:
         up, down = K._power_tables(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        arcs = [(word, place, np.ones(len(word), np.int64), self.byte_ids[data[at]], np.full(len(word), BYTE_WEIGHT * SCALE))]
+        spelt = np.flatnonzero(self.byte_ids[data[at]] >= 0)
+        arcs = [(word[spelt], place[spelt], np.ones(len(spelt), np.int64), self.byte_ids[data[at[spelt]]], np.full(len(spelt), BYTE_WEIGHT * SCALE))]
         open_ = np.arange(len(word))
         for length in range(1, self.longest + 1):
             open_ = open_[room[open_] >= length]
@@ -243,8 +239,24 @@ class Lattices:
         total = np.concatenate([[0], np.cumsum(steps)])
         return out, total[np.concatenate([[0], np.cumsum(counts)])]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids))[1:].decode()
+
+@lru_cache(maxsize=2)
+def piece_bytes(path: str) -> list[bytes]:
+    """What each id decodes to."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return [_bytes_of(model, i) for i in range(model.get_piece_size())]
+
+
+def _bytes_of(model, i: int) -> bytes:
+    if model.is_byte(i):
+        return bytes([int(model.id_to_piece(i)[3:5], 16)])
+    return b"" if model.is_control(i) or model.is_unknown(i) else model.id_to_piece(i).replace("▁", " ").encode()
+
+
+def decode(ids: list[int], path: str | None = None) -> str:
+    return b"".join(map(piece_bytes(path or default_path()).__getitem__, ids))[1:].decode()
 
 
 def _hash_all(names: list[bytes]) -> np.ndarray:
@@ -282,15 +294,13 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """The same rows with the decoded text behind them."""
-    where, alpha = path or default_path(), ALPHA
-    names = encoded.columns
+    where, names = path or default_path(), encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = lattices(where, alpha)
         for batch in batches:
-            pieces = batch.column("pieces")
-            offsets, flat = pieces.offsets.to_numpy(), pieces.values.to_numpy()
-            out = [model.decode(flat[a:b].tolist()) for a, b in zip(offsets.tolist(), offsets.tolist()[1:])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.string())], names=[*names, "decoded"])
+            for at in range(0, batch.num_rows, DECODED):
+                part = batch.slice(at, DECODED)
+                out = [decode(ids, where) for ids in part.column("pieces").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(out, pa.string())], names=[*names, "decoded"])
 
     return encoded.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema.fields) + ", decoded string")
