@@ -79,6 +79,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLES: dict[str, str] = {
+    "op2_jaccard_join": rf"""
+with recursive d as (select row_number() over () rid, doc_id,
+    {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} w from documents),
+long as (select rid, w, unnest(range(1, len(w) - 1)) i from d where len(w) > 2),
+sh as (select distinct rid, array_to_string(w[i:i+2], ' ') s from long
+  union all select rid, array_to_string(w, ' ') from d where len(w) in (1, 2)),
+n as (select rid, count(*) n from sh group by rid),
+met as (select a.rid x, b.rid y, count(*) c from sh a join sh b on a.s = b.s and a.rid < b.rid group by 1, 2),
+link as (select x, y from met join n p on p.rid = x join n q on q.rid = y where 100 * c >= 90 * (p.n + q.n - c)),
+edge as (select x, y from link union select y, x from link),
+reach as (select x, y from edge union select r.x, e.y from reach r join edge e on r.y = e.x)
+select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, least(d.doc_id, coalesce(min(o.doc_id), d.doc_id)) component_id
+from d left join n using (rid) left join reach r on r.x = d.rid left join d o on o.rid = r.y group by d.rid, d.doc_id, n.n""",
     "op8_quality_rules": rf"""
 with d as (select row_number() over () rid, doc_id, source, coalesce(text, '') t, {_WORDS} w from documents),
 win as (select rid, unnest(range(1, len(w) - 3)) i, w from d where len(w) >= 5),
