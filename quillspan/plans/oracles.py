@@ -203,3 +203,39 @@ b as (select *, coalesce(gain < greatest(0.005, 26.0::double / n_dev), false) be
 s as (select *, round > 2 and sum(below::int) over (partition by series order by round rows between 1 preceding and current row) = 2 conv from b)
 select series, round, gain, below, conv or round >= 8 "stop", case when conv then 'converged' when round >= 8 then 'ceiling' end reason from s""",
 }
+
+# --- samples, author feedback and masked text --------------------------------------------------------------------
+
+
+def drawn(seed: int, n: int = 40) -> str:
+    """The hash draw where no type's share exceeds its count: a reserve of one each, then largest remainders."""
+    return f"""err as ({_ERRORS}),
+tally as (select phi_type, count(*) c from err group by 1),
+share as (select phi_type, c, ({n} - count(*) over ())::double * (c - 1) / sum(c - 1) over () x from tally),
+quota as (select phi_type, 1 + floor(x)::int + case when row_number() over (order by x - floor(x) desc, phi_type) <= {n} - count(*) over () - sum(floor(x)::int) over () then 1 else 0 end q from share),
+taken as (select e.* from err e join quota using (phi_type)
+  qualify row_number() over (partition by e.phi_type order by sha256(concat_ws('|', '{seed}', doc_id, "start", "end", phi_type, kind, span_index))) <= q)"""
+
+
+def sample_oracles(seed: int) -> dict[str, str]:
+    fields = 'doc_id, span_index, phi_type, kind, "start", "end"'
+    near = 'p.doc_id = g.doc_id and p.phi_type = g.phi_type and p."start" < g."end" and g."start" < p."end"'
+    return {
+        "sample_hash": f"with {drawn(seed)} select {fields} from taken",
+        "practice_pool": f"with {drawn(seed)} select {fields} from err except select {fields} from taken",
+        "check_rules": f"""{WITH},err as ({_ERRORS}), p as (select distinct doc_id, phi_type, "start", "end", rule_id from pred where rule_id is not null),
+met as (select p.rule_id, g.doc_id, g.phi_type, g."start", g."end", bool_or(p."start" <= g."start" and g."end" <= p."end") w from p join err g on {near} and g.kind = 'missed' group by all),
+a as (select rule_id, count(*) filter (w) caught, count(*) filter (not w) partial from met group by 1),
+b as (select rule_id, count(*) matches, count(*) filter (not exists (select 1 from gold g where {near})) off_gold from p group by 1)
+select rule_id, matches, coalesce(caught, 0)::bigint caught, coalesce(partial, 0)::bigint partial, off_gold from b left join a using (rule_id)""",
+    }
+
+
+ORACLES["mask_text"] = f"""with s as (select doc_id, "start", "end", phi_type from ({ALL})),
+o as (select *, case when max("end") over w is null or "start" >= max("end") over w then 1 else 0 end o from s
+  window w as (partition by doc_id order by "start", "end" rows between unbounded preceding and 1 preceding)),
+r as (select *, sum(o) over (partition by doc_id order by "start", "end" rows unbounded preceding) i from o),
+u as (select doc_id, min("start") a, max("end") b, case when count(distinct phi_type) = 1 then '[' || min(phi_type) || ']' else '[PHI]' end tag from r group by doc_id, i),
+p as (select *, coalesce(lag(b) over (partition by doc_id order by a), 0) z from u),
+m as (select doc_id, string_agg(substr(text, z + 1, a - z) || tag, '' order by a) front, max(b) b from p join documents using (doc_id) group by 1)
+select d.doc_id, coalesce(front, '') || substr(text, coalesce(b, 0)::int + 1) masked_text from documents d left join m using (doc_id)"""

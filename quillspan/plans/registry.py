@@ -233,5 +233,5 @@ for _short, _mode in (("fully", "fully_covered"), ("relaxed", "relaxed")):
         f"covered_by_layer_{_short}": _on_spans(scoring.covered_by_layer, _mode),
     }
 
-ORACLES: dict[str, str] = {k: v for k, v in oracles.ORACLES.items() if k in QUERIES}
+ORACLES: dict[str, str] = {k: v for k, v in (oracles.ORACLES | oracles.sample_oracles(sampling.sample_seed(CORPUS, 2))).items() if k in QUERIES}
 ORACLES["detect_fallback"] = oracles.ORACLES["detect_all"]

@@ -115,7 +115,7 @@ def run_rounds(docs: DataFrame, gold: DataFrame, author: Callable[[int, DataFram
 
 def check_rules_report(pred: DataFrame, sample: DataFrame, gold: DataFrame) -> DataFrame:
     """Author feedback per rule: sampled errors that a single prediction of it covers or touches, its matches, and those on no gold."""
-    p = pred.select("doc_id", "phi_type", "start", "end", "rule_id").distinct()
+    p = pred.where("rule_id is not null").select("doc_id", "phi_type", "start", "end", "rule_id").distinct()
     s = sample.where("kind = 'missed'").select(F.col("doc_id").alias("d"), F.col("phi_type").alias("t"), F.col("start").alias("s"), F.col("end").alias("e"))
     near = (F.col("doc_id") == F.col("d")) & (F.col("phi_type") == F.col("t")) & (F.col("start") < F.col("e")) & (F.col("s") < F.col("end"))
     met = p.join(s, near).groupBy("rule_id", "d", "t", "s", "e").agg(F.max(((F.col("start") <= F.col("s")) & (F.col("e") <= F.col("end"))).cast("int")).alias("whole"))
