@@ -47,29 +47,43 @@ def digest_of(payload: bytes) -> bytes:
     return hashlib.blake2b(payload, digest_size=DIGEST).digest()
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream: content-defined, between LEAST and MOST ids long."""
+def cut_all(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of each id stream of a flat array, counted from its own beginning.
+
+    Content-defined, between LEAST and MOST ids long (a stream's last may be shorter).
+    """
     n = len(ids)
     up, down = K._power_tables(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((ids.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    ends: list[int] = []
-    at = 0
+    hits = np.empty(0, np.int64)
     if n > WINDOW:
         window = K.mix((total[WINDOW:] - total[:-WINDOW]) * down[: n - WINDOW + 1])
-        for e in (np.flatnonzero(window >> np.uint64(64 - MASK_BITS) == 0) + WINDOW).tolist():
+        hits = np.flatnonzero(window >> np.uint64(64 - MASK_BITS) == 0) + WINDOW
+    first = np.searchsorted(hits, bounds[:-1] + WINDOW)  # a window that began in the text before says nothing
+    last = np.searchsorted(hits, bounds[1:], side="right")
+    places = hits.tolist()
+    out = []
+    for begin, end, i, j in zip(bounds.tolist(), bounds[1:].tolist(), first.tolist(), last.tolist()):
+        ends, at, size = [], 0, end - begin
+        for e in (p - begin for p in places[i:j]):
             while e - at > MOST:
                 at += MOST
                 ends.append(at)
             if e - at >= LEAST:
                 ends.append(e)
                 at = e
-    while n - at > MOST:
-        at += MOST
-        ends.append(at)
-    if at < n:
-        ends.append(n)
-    return ends
+        while size - at > MOST:
+            at += MOST
+            ends.append(at)
+        if at < size:
+            ends.append(size)
+        out.append(ends)
+    return out
+
+
+def cut_points(ids: np.ndarray) -> list[int]:
+    return cut_all(ids, np.array([0, len(ids)]))[0]
 
 
 def _cut(path: str, end_id: int):
@@ -81,9 +95,10 @@ def _cut(path: str, end_id: int):
             for part in K.chunks(batch, "text", 2 * K.CHUNK_BYTES):
                 chunks: dict[bytes, bytes] = {}
                 recipes = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text")), strict=True):
-                    ids += tail
-                    ends = cut_points(np.frombuffer(ids, coder.kind))
+                streams = [x + tail for x in coder.encode(part.column("text"))]
+                bounds = np.cumsum([0, *map(len, streams)]) // coder.width
+                cuts = cut_all(np.frombuffer(b"".join(streams), coder.kind), bounds)
+                for doc, ids, ends in zip(part.column("doc_id").to_pylist(), streams, cuts, strict=True):
                     digests, at = [], 0
                     for e in ends:
                         payload = ids[at * coder.width : e * coder.width]
@@ -231,25 +246,22 @@ def _carry(table: np.ndarray, crc: np.ndarray) -> np.ndarray:
     return table[0][crc & 255] ^ table[1][(crc >> 8) & 255] ^ table[2][(crc >> 16) & 255] ^ table[3][crc >> 24]
 
 
-def combine(crcs: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
-    """crc32 of each row's pieces put together, from the pieces' crc32 and byte counts."""
-    n = len(crcs)
-    out = np.zeros(n, dtype=np.uint32)
-    many = np.array([len(x) for x in crcs])
-    if not n or not many.max():
+def combine(crc: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """crc32 of each row's pieces put together: crc32 and byte count of all pieces, and where each row's begin."""
+    many = np.diff(bounds)
+    out = np.zeros(len(many), dtype=np.uint32)
+    if not len(crc):
         return out
-    tables = _shift_tables(int(max(x.max() for x in sizes if len(x))).bit_length())
-    first = np.concatenate([[0], np.cumsum(many)])
-    crc, size = np.concatenate(crcs).astype(np.uint32), np.concatenate(sizes).astype(np.int64)
+    tables = _shift_tables(int(size.max()).bit_length())
     order = np.argsort(-many, kind="stable")
     for j in range(int(many.max())):
         rows = order[: int(np.searchsorted(-many[order], -j, side="left"))]
-        value, length = out[rows], size[first[rows] + j]
+        value, length = out[rows], size[bounds[rows] + j]
         for k in range(len(tables)):
             on = (length >> k) & 1 == 1
             if on.any():
                 value[on] = _carry(tables[k], value[on])
-        out[rows] = value ^ crc[first[rows] + j]
+        out[rows] = value ^ crc[bounds[rows] + j]
     return out
 
 
@@ -268,10 +280,14 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pieces = batch.column("pieces").to_pylist()
-        pieces = [sorted((x["at"], x["crc"], x["size"]) for x in p) for p in pieces]
-        crcs = combine([np.array([c for _, c, _ in p], np.uint32) for p in pieces], [np.array([4 * s for _, _, s in p]) for p in pieces])
-        n = np.array([sum(s for _, _, s in p) for p in pieces], np.int64)
+        pieces = batch.column("pieces")
+        bounds = pieces.offsets.to_numpy().astype(np.int64)
+        flat = pieces.values.slice(bounds[0], bounds[-1] - bounds[0])
+        bounds -= bounds[0]
+        at, crc, size = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "crc", "size"))
+        order = np.lexsort((at, np.repeat(np.arange(batch.num_rows), np.diff(bounds))))
+        crcs = combine(crc[order].astype(np.uint32), 4 * size[order], bounds)
+        n = np.diff(np.concatenate([[0], np.cumsum(size[order])])[bounds])
         if (n != batch.column("n_ids").to_numpy(zero_copy_only=False)).any():
             raise ValueError("a document's chunks don't add up to its length")
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(n), pa.array(crcs.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
