@@ -137,7 +137,8 @@ def _pairs_in_tiles(mode: str, percent: int):
 
     Mode ``all`` keeps all pairs of different components; ``spanning`` keeps, in each
     tile, those of a row with the tile's first row and with the two behind it;
-    ``exact`` decides them by the rows' hash arrays and keeps links that connect.
+    ``exact`` decides them by the rows' hash arrays and keeps links that connect;
+    ``touch`` gives not pairs but the classes that stand in any (twice each).
     """
     spanning = mode == "spanning"
 
@@ -168,6 +169,11 @@ def _pairs_in_tiles(mode: str, percent: int):
                     # overlap <= (n + m - differ) / 2 and percent * (n + m) <= (100 + percent) * overlap
                     fit = (100 + percent) * (n[x] + n[y] - differ) >= 2 * percent * (n[x] + n[y])
                     x, y = x[fit], y[fit]
+                    if mode == "touch":
+                        either = np.unique(cid[np.concatenate([x, y])])
+                        left.append(either)
+                        right.append(either)
+                        continue
                     if hashes is None:
                         left.append(cid[x])
                         right.append(cid[y])
@@ -328,8 +334,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         shared = settle(_shared(keyed), "shared")
         if step == "seed":
             large, few = shared.where(F.col("m") > SMALL), shared.where(F.col("m") <= SMALL)
-            members = classes.join(keyed.join(large, "key").select("cid").distinct(), "cid", "left_semi").select("cid", F.col("rep").alias("doc_id"))
-            sets = _sets_of(picked, members, k)
+            # hash arrays go to classes alone whose bitmaps allow a link in such a tile
+            close = settle(_tile_pairs(keyed, large, labelled, "touch", percent).select(F.col("a").alias("cid")).distinct(), "close")
+            sets = _sets_of(picked, classes.join(close, "cid", "left_semi").select("cid", F.col("rep").alias("doc_id")), k)
             edges.append(settle(_tile_pairs(keyed, large, labelled.join(sets, "cid"), "exact", percent), "links"))
             pairs = settle(_tile_pairs(keyed, few, labelled, "spanning", percent), "pairs")
         else:
