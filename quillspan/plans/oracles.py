@@ -130,6 +130,11 @@ for _short, _mode in (("fully", "fully_covered"), ("relaxed", "relaxed")):
             _mode,
             """select case when list_contains(families, 'rules') and list_contains(families, 'tagger') then 'both' when list_contains(families, 'rules') then 'rules_only'
   when list_contains(families, 'tagger') then 'tagger_only' when covered then 'joint_only' else 'neither' end category, count(*) n from vm group by 1""",
+        ),
+        f"complementarity_families_by_type_{_short}": full(
+            _mode,
+            """select phi_type, case when list_contains(families, 'rules') and list_contains(families, 'tagger') then 'both' when list_contains(families, 'rules') then 'rules_only'
+  when list_contains(families, 'tagger') then 'tagger_only' when covered then 'joint_only' else 'neither' end category, count(*) n from vm group by 1, 2""",
         ),
         f"complementarity_layers_{_short}": full(_mode, "select phi_type, array_to_string(layers, '|') layers, covered, count(*) n from vm group by 1, 2, 3"),
         f"covered_by_layer_{_short}": full(_mode, "select unnest(layers) layer, count(*) n from vm group by 1"),
@@ -222,6 +227,9 @@ def sample_oracles(seed: int) -> dict[str, str]:
     near = 'p.doc_id = g.doc_id and p.phi_type = g.phi_type and p."start" < g."end" and g."start" < p."end"'
     return {
         "sample_hash": f"with {drawn(seed)} select {fields} from taken",
+        "pool_summary": f"""with {drawn(seed)}, i as (select phi_type, count(*) in_pool from err group by 1),
+t as (select phi_type, count(*) drawn, count(distinct doc_id) docs from taken group by 1)
+select phi_type, in_pool, coalesce(drawn, 0)::bigint drawn, coalesce(docs, 0)::bigint docs from i left join t using (phi_type)""",
         "practice_pool": f"with {drawn(seed)} select {fields} from err except select {fields} from taken",
         "check_rules": f"""{WITH},err as ({_ERRORS}), p as (select distinct doc_id, phi_type, "start", "end", rule_id from pred where rule_id is not null),
 met as (select p.rule_id, g.doc_id, g.phi_type, g."start", g."end", bool_or(p."start" <= g."start" and g."end" <= p."end") w from p join err g on {near} and g.kind = 'missed' group by all),
@@ -239,3 +247,22 @@ u as (select doc_id, min("start") a, max("end") b, case when count(distinct phi_
 p as (select *, coalesce(lag(b) over (partition by doc_id order by a), 0) z from u),
 m as (select doc_id, string_agg(substr(text, z + 1, a - z) || tag, '' order by a) front, max(b) b from p join documents using (doc_id) group by 1)
 select d.doc_id, coalesce(front, '') || substr(text, coalesce(b, 0)::int + 1) masked_text from documents d left join m using (doc_id)"""
+
+_MISSED = full("fully_covered", """select doc_id, span_index, phi_type, 'missed' kind, "start", "end" from vm where not covered""")
+_TOUCH = """p.doc_id = m.doc_id and p."start" < m."end" and m."start" < p."end\""""
+_DIGITS = "list_transform(string_split(reverse(digits), ''), lambda x: x::int)"
+ORACLES |= {
+    "join_flags_sample": f"""{WITH}, m as ({_MISSED}) select m.doc_id, m.span_index, m.phi_type, m.kind, m."start", m."end", coalesce(min(p.span_index), -1) flag_index
+  from m left join pred p on {_TOUCH} group by m.doc_id, m.span_index, m.phi_type, m.kind, m."start", m."end\"""",
+    "unmatched_flags": f"""{WITH}, m as ({_MISSED}) select doc_id, span_index flag_index, "start", "end" from pred p where not exists (select 1 from m where {_TOUCH})""",
+    "count_by_type": f"{WITH} select phi_type, excluded, count(*) n, count(distinct doc_id) n_docs from lines where is_gold group by 1, 2",
+    "initial_error_pool": f"""{WITH} select doc_id, span_index, phi_type, 'missed' kind, "start", "end" from gold""",
+    "apply_split": f"select doc_id::varchar doc_id, {FOLDS} split from documents",
+    "checksums": f"""with n as (select o_orderkey, lpad((o_orderkey * 7919 % 100000000)::varchar, 8, '0') e, o_orderkey * 7919 % 100000000 n from orders),
+d as (select o_orderkey, n, e, substr('TRWAGMYF', (n % 8 + 1)::int, 1) l, e || o_orderkey::varchar digits from n),
+f as (select *, {_DIGITS} v from d)
+select o_orderkey, substr('TRWAGMYFPDXBNJZSQVHLCKE', (n % 23 + 1)::int, 1) = l dni_mod23,
+  substr('TRWAGMYFPDXBNJZSQVHLCKE', (('1' || substr(e, 2, 7))::bigint % 23 + 1)::int, 1) = l nie_mod23,
+  list_sum(list_transform(v, lambda x, i: case when i % 2 = 0 then case when x > 4 then 2 * x - 9 else 2 * x end else x end)) % 10 = 0 luhn,
+  list_sum(v) % 10 = 0 mod10 from f""",
+}

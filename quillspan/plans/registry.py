@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import patterns
+from quillspan.functions.checksums import CHECKSUMS
 from quillspan.model import LAYERS
 from quillspan.operators import detect, flags, intervals, masking, sampling, scoring, screen
 from quillspan.plans import oracles, rounds, splits, tables
+from quillspan.sources import brat
 from quillspan.sources.rules import Rule
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,6 +182,52 @@ def check_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounds.check_rules_report(pred, scoring.error_spans(gold, pred), gold)
 
 
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.error_spans(tables.gold(spark, sf_dir), tables.pred(spark, sf_dir))
+
+
+def _pred_as_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.pred(spark, sf_dir).select("doc_id", F.col("span_index").alias("flag_index"), F.lit(None).cast("string").alias("reason"), "start", "end", "phi_type")
+
+
+def join_flags_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each missed span with the lowest prediction that overlaps it, of any type (-1 for none)."""
+    return flags.mark_sample(_errors(spark, sf_dir).where("kind = 'missed'"), _pred_as_flags(spark, sf_dir)).na.fill(-1, ["flag_index"])
+
+
+def unmatched_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    missed = _errors(spark, sf_dir).where("kind = 'missed'")
+    return flags.unmatched_flags(missed, _pred_as_flags(spark, sf_dir)).select("doc_id", "flag_index", "start", "end")
+
+
+def pool_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = _errors(spark, sf_dir)
+    return sampling.pool_summary(errors, sampling.draw_hash(errors, CORPUS, 2))
+
+
+def count_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.gold(spark, sf_dir, True).groupBy("phi_type", "excluded").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+def initial_error_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.initial_error_pool(tables.gold(spark, sf_dir, True))
+
+
+def apply_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("string"), F.lit(None).cast("string").alias("split"))
+    return brat.apply_split(docs, docs.withColumn("split", _fold(F.col("doc_id").cast("long"))))
+
+
+def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four check digits over numbers made of order keys."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") * 7919 % 100_000_000).alias("n"))
+    eight = F.lpad(F.col("n").cast("string"), 8, "0")
+    letter = F.substring(F.lit("TRWAGMYF"), (F.col("n") % 8 + 1).cast("int"), F.lit(1))
+    made = orders.select("o_orderkey", F.concat(eight, letter).alias("dni"), F.concat(F.lit("Y-"), F.substring(eight, 2, 7), F.lit("."), letter).alias("nie"), F.concat(eight, F.col("o_orderkey").cast("string")).alias("digits"))
+    check = lambda name, c: F.coalesce(CHECKSUMS[name](F.col(c)), F.lit(False)).alias(name)
+    return made.select("o_orderkey", check("dni_mod23", "dni"), check("nie_mod23", "nie"), check("luhn", "digits"), check("mod10", "digits"))
+
+
 QUERIES: dict[str, Query] = {
     "detect_counts": detect_counts,
     "detect_all": detect_all,
@@ -204,6 +252,13 @@ QUERIES: dict[str, Query] = {
     "sample_compat": _drawn(sampling.draw_compat),
     "practice_pool": practice_pool,
     "check_rules": check_rules,
+    "join_flags_sample": join_flags_sample,
+    "unmatched_flags": unmatched_flags,
+    "pool_summary": pool_summary,
+    "count_by_type": count_by_type,
+    "initial_error_pool": initial_error_pool,
+    "apply_split": apply_split,
+    "checksums": checksums,
     "context_window": context_window,
     "mask_text": mask_text,
     "line_geometry": line_geometry,
@@ -229,6 +284,7 @@ for _short, _mode in (("fully", "fully_covered"), ("relaxed", "relaxed")):
         f"slack_{_short}": _on_spans(scoring.assignment_slack, _mode),
         f"by_rule_{_short}": _on_spans(scoring.by_rule, _mode),
         f"complementarity_families_{_short}": _on_spans(scoring.complementarity_families, _mode),
+        f"complementarity_families_by_type_{_short}": _on_spans(scoring.complementarity_families, _mode, True),
         f"complementarity_layers_{_short}": _on_spans(scoring.complementarity_layers, _mode, True),
         f"covered_by_layer_{_short}": _on_spans(scoring.covered_by_layer, _mode),
     }

@@ -65,9 +65,21 @@ def parse_brat_line(line: Column) -> Column:
     return F.when(F.coalesce(fine, F.lit(False)), made).otherwise(_refuse("not a span annotation, at length", F.length(line)).cast("struct<id:string,subtype:string,start:int,end:int,surface:string>"))
 
 
+def _stems(spark: SparkSession, root: str, suffix: str) -> list[str]:
+    """Names of the files with a suffix, without it: from the listing alone, so empty files count."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found, out = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while found.hasNext():
+        name = found.next().getPath().getName()
+        if name.endswith(suffix):
+            out.append(name.removesuffix(suffix))
+    return sorted(out)
+
+
 def _files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
-    read = spark.read.option("wholetext", "true").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").text(root)
-    return read.select(F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+){suffix.replace('.', '[.]')}$", 1).alias("doc_id"), F.col("value"))
+    """doc_id and value of the files with a suffix that aren't empty."""
+    read = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").load(root)
+    return read.select(F.regexp_extract("path", rf"([^/]+){suffix.replace('.', '[.]')}$", 1).alias("doc_id"), F.decode("content", "UTF-8").alias("value"))
 
 
 def brat_dir(root: str) -> str:
@@ -79,10 +91,14 @@ def brat_dir(root: str) -> str:
 
 def read_brat(spark: SparkSession, root: str, corpus: str, split: str, types: Mapping[str, str] = MEDDOCAN_TYPES, excluded: Sequence[str] = MEDDOCAN_EXCLUDED) -> tuple[DataFrame, DataFrame]:
     """Documents and gold spans of one fold's folder; a text or annotation without its partner is refused."""
-    texts = _files(spark, root, ".txt").withColumnRenamed("value", "raw")
-    notes = _files(spark, root, ".ann").withColumnRenamed("value", "ann")
-    both = texts.join(notes, "doc_id", "full_outer")
-    paired = both.withColumn("raw", F.coalesce("raw", _refuse("no text for", F.col("doc_id")).cast("string"))).withColumn("ann", F.coalesce("ann", _refuse("no annotation for", F.col("doc_id")).cast("string")))
+    texts, notes = (_stems(spark, root, suffix) for suffix in (".txt", ".ann"))
+    if alone := set(texts) ^ set(notes):
+        raise SpanError(f"{len(alone)} files have no partner")
+    if len(set(texts)) != len(texts):
+        raise SpanError("a doc_id stands twice")
+    names = spark.createDataFrame([(t,) for t in texts], "doc_id string")
+    both = names.join(_files(spark, root, ".txt").withColumnRenamed("value", "raw"), "doc_id", "left").join(_files(spark, root, ".ann").withColumnRenamed("value", "ann"), "doc_id", "left")
+    paired = both.na.fill("", ["raw", "ann"])
     text, had = strip_bom(F.col("raw"))
     docs = paired.select(F.lit(corpus).alias("corpus"), "doc_id", text.alias("text"), F.lit(split).alias("split"), had.alias("had_bom"), F.create_map().cast("map<string,string>").alias("meta"), "ann")
     lines = docs.select("doc_id", "had_bom", F.posexplode(F.filter(F.split("ann", "\r?\n"), lambda x: F.trim(x) != "")).alias("span_index", "line"))

@@ -51,7 +51,7 @@ def test_unpaired_and_wrong_offsets(spark, corpus):
     with pytest.raises(SpanError):
         brat.load_corpus(*brat.read_brat(spark, str(corpus), "es-meddocan", "dev"))
     (corpus / "q.txt").unlink()
-    with pytest.raises(Exception, match="no text"):
+    with pytest.raises(SpanError, match="no partner"):
         brat.read_brat(spark, str(corpus), "es-meddocan", "dev")[0].collect()
 
 
