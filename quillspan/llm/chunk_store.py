@@ -196,7 +196,7 @@ def write_store(docs: DataFrame, root: str, doc_id: str = "doc_id", text: str =
     """Encode all documents and write chunks, recipes and manifest below ``root``."""
     spark = docs.sparkSession
     picked = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    cut = picked.mapInArrow(_cut(path or bpe.default_path(), end_id), _CUT)
+    cut = picked.mapInArrow(K.tidy(_cut(path or bpe.default_path(), end_id)), _CUT)
     once = cut.repartition("slot").mapInArrow(_first_of_each, _CUT).drop("slot")
     once.write.partitionBy("kind").option("compression", "zstd").parquet(f"{root}/cut")
     stored = spark.read.schema(_CUT.replace("slot long, ", "")).parquet(f"{root}/cut")

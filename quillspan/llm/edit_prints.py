@@ -207,7 +207,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     key = F.col("doc_id").desc_nulls_last()
     picked = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     dealt = picked.repartitionByRange(key).sortWithinPartitions(key, "text")
-    rows = settle(dealt.mapInArrow(_within, _OUT), "prints")
+    rows = settle(dealt.mapInArrow(K.tidy(_within), _OUT), "prints")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     # two rows a partition: each partition's last document and the first of the next one that has any
     ends = rows.where("role <> 'done'").select("role", "part", "doc_id", "fingerprint", "text")

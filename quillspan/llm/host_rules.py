@@ -89,7 +89,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rule_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """Per document the counts that the rules look at."""
     picked = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[host].cast("string").alias("host"), docs[text].cast("string").alias("text"))
-    return picked.mapInArrow(_measure, STATS)
+    return picked.mapInArrow(K.tidy(_measure), STATS)
 
 
 def fails(min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> Column:

@@ -9,7 +9,8 @@ odd base, mixed afterwards).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,29 @@ _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _powers: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
 
 
+Stage = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Stage, *caches) -> Stage:
+    """The same stage; at the end of each task its caches are cleared and free memory goes back to the system.
+
+    Spark keeps Python workers for later tasks; what they hold would count against
+    the executor all the while.
+    """
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for cache in caches:
+                cache()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return stage
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit values."""
     x = x ^ (x >> np.uint64(30))
@@ -175,3 +199,54 @@ def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
         return keys, counts
     head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[head], np.add.reduceat(counts, head)
+
+
+class Table:
+    """Open addressing from 64-bit keys to numbers, at most half full; all work is by arrays."""
+
+    def __init__(self, room: int = 1 << 12):
+        self._make(max(12, (2 * room - 1).bit_length()))
+
+    def _make(self, bits: int) -> None:
+        self.mask = np.uint64((1 << bits) - 1)
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.values = np.zeros(1 << bits, np.int64)
+        self.n = 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1."""
+        keys = np.maximum(keys, np.uint64(1))  # 0 is a free place
+        at = (keys & self.mask).astype(np.int64)
+        there = self.keys[at]
+        out = np.where(there == keys, self.values[at], -1)
+        left, step = np.flatnonzero((there != keys) & (there != 0)), 0
+        while len(left):
+            step += 1
+            at = ((keys[left] + np.uint64(step)) & self.mask).astype(np.int64)
+            there = self.keys[at]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            left = left[~hit & (there != 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Keys that are distinct and not there yet."""
+        if 2 * (self.n + len(keys)) > len(self.keys):
+            full = self.keys != 0
+            old = self.keys[full], self.values[full]
+            self._make((2 * (len(old[0]) + len(keys)) - 1).bit_length() + 1)
+            self.put(*old)
+        keys = np.maximum(keys, np.uint64(1))
+        left, step = np.arange(len(keys)), 0
+        while len(left):
+            at = ((keys[left] + np.uint64(step)) & self.mask).astype(np.int64)
+            free = np.flatnonzero(self.keys[at] == 0)
+            _, one = np.unique(at[free], return_index=True)
+            won = free[one]
+            self.keys[at[won]] = keys[left[won]]
+            self.values[at[won]] = values[left[won]]
+            left, step = np.delete(left, won), step + 1
+        self.n += len(keys)

@@ -43,7 +43,7 @@ def encoded_lengths(docs: DataFrame, text: str = "text", group: str = "lang", pa
             yield _rows(seen)
 
     picked = docs.select(docs[group].cast("string").alias("grp"), docs[text].cast("string").alias("text"))
-    return picked.mapInArrow(count, "grp string, n_tokens long, n_docs long")
+    return picked.mapInArrow(K.tidy(count), "grp string, n_tokens long, n_docs long")
 
 
 def _rows(seen: dict) -> pa.RecordBatch:

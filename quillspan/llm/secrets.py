@@ -158,7 +158,7 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), _as_arrow(_spans_of(part, "text", path, most))], names=["doc_id", "spans"])
 
     picked = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    return picked.mapInArrow(scan, f"doc_id long, spans {SPANS}")
+    return picked.mapInArrow(K.tidy(scan), f"doc_id long, spans {SPANS}")
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -195,7 +195,7 @@ def redact_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_char
                     part = pa.RecordBatch.from_arrays([put.get(c, part.column(c)) for c in part.schema.names], schema=part.schema)
                 yield part
 
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(K.tidy(scan), schema)
 
 
 def _of(kinds: tuple[str, ...]) -> Column:

@@ -49,6 +49,7 @@ SHINGLE = 3
 PERCENT = 90
 BLOCK = 1024
 SMALL = 16
+PAIRS = 256  #: pairs decided at a time
 HEAVY = 4096
 MOST_HEAVY = 1 << 16  #: shingles that are moved to the end of the order, at most; a hint that no result depends on
 FILTER_BITS = 23
@@ -260,7 +261,7 @@ def _tile_pairs(keyed: DataFrame, keys: DataFrame, classes: DataFrame, mode: str
         F.col("at.band").alias("band"), F.col("at.side").alias("side"), "key", F.explode("cells").alias("cell"), *carried
     )
     dealt = placed.repartition("key", "band", "cell").sortWithinPartitions("band", "key", "cell", "n", "cid")
-    return dealt.mapInArrow(_pairs_in_tiles(mode, percent), "a long, b long").distinct()
+    return dealt.mapInArrow(K.tidy(_pairs_in_tiles(mode, percent)), "a long, b long").distinct()
 
 
 def _id_filter(ids: DataFrame) -> np.ndarray:
@@ -289,13 +290,13 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 found = [(class_id(s), s.tobytes()) for s in shingle_sets(part.column("text"), k) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["cid", "hashes"])
 
-    scanned = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("h"), "text").mapInArrow(run, "cid long, hashes binary")
+    scanned = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("h"), "text").mapInArrow(K.tidy(run), "cid long, hashes binary")
     return scanned.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
 
 
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, PAIRS) for b in batches for at in range(0, b.num_rows, PAIRS)):
             keep = np.zeros(batch.num_rows, dtype=bool)
             for i, (x, y) in enumerate(zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist(), strict=True)):
                 keep[i] = jaccard_reaches(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
@@ -308,7 +309,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, per
     ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     sets = settle(_sets_of(docs, classes.join(ends, "cid", "left_semi").select("cid", F.col("rep").alias("doc_id")), k), "sets")
     joined = pairs.join(sets.select(F.col("cid").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("cid").alias("b"), F.col("hashes").alias("hb")), "b")
-    return joined.select("a", "b", "ha", "hb").mapInArrow(_linked(percent), "a long, b long")
+    return joined.select("a", "b", "ha", "hb").mapInArrow(K.tidy(_linked(percent)), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, heavy_at: int = HEAVY) -> DataFrame:
@@ -316,7 +317,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     picked = _pick(docs, doc_id, text)
 
     def profile(heavy: np.ndarray) -> tuple[DataFrame, DataFrame]:
-        rows = settle(picked.mapInArrow(_profiler(k, percent, heavy), PROFILE), "profile")
+        rows = settle(picked.mapInArrow(K.tidy(_profiler(k, percent, heavy)), PROFILE), "profile")
         classes = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("seed").alias("seed"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
         return rows, settle(classes, "classes")
 
