@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding (operator 5): sampled segmentations, lossless both ways.
 
-A text is cut before every space and line feed, and one space is put in front.  The
+A text is cut before every space and line feed, and before a full stop or comma
+behind a letter or digit; one space is put in front.  The
 pieces of such a word's lattice are the vocabulary's pieces whose bytes match it;
 no arc crosses a word's border, so a text's lattice is a chain of word lattices.  A
 piece of rank r weighs (r + 1) ** -alpha; byte pieces, which match anywhere, weigh
@@ -67,40 +68,13 @@ class Lattices:
         known: dict[bytes, tuple[int, float]] = {p[:k]: (-1, 0.0) for p in self.weight for k in range(1, len(p))} | self.weight
         names = list(known)
         self.longest = max(map(len, names))
-        self._index(_hash_all(names), np.array([known[x][0] for x in names]), np.array([known[x][1] for x in names]))
+        self.known = K.Table(4 * len(names))
+        self.known.put(_hash_all(names), np.arange(len(names)))
+        self.known_id, self.known_weight = np.array([known[x][0] for x in names]), np.array([known[x][1] for x in names])
         self.clear()
 
-    def _index(self, hashes: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> None:
-        """An open-addressing table, at most an eighth full; key 0 is an empty slot."""
-        size = 1 << (8 * len(hashes) - 1).bit_length()
-        self.slots, self.slot_id, self.slot_weight = np.zeros(size, np.uint64), np.full(size, -1), np.zeros(size)
-        left, probe = np.arange(len(hashes)), 0
-        while len(left):
-            at = ((hashes[left] + np.uint64(probe)) & np.uint64(size - 1)).astype(np.int64)
-            free = np.flatnonzero(self.slots[at] == 0)
-            _, one = np.unique(at[free], return_index=True)
-            put = free[one]
-            self.slots[at[put]], self.slot_id[at[put]], self.slot_weight[at[put]] = hashes[left[put]], ids[left[put]], weights[left[put]]
-            left, probe = np.delete(left, put), probe + 1
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """The slot of each hash, or -1."""
-        mask = np.uint64(len(self.slots) - 1)
-        at = (h & mask).astype(np.int64)
-        key = self.slots[at]
-        out = np.where(key == h, at, -1)
-        left, probe = np.flatnonzero((key != h) & (key != 0)), 0
-        while len(left):
-            probe += 1
-            at = ((h[left] + np.uint64(probe)) & mask).astype(np.int64)
-            key = self.slots[at]
-            hit = key == h[left]
-            out[left[hit]] = at[hit]
-            left = left[~hit & (key != 0)]
-        return out
-
     def clear(self) -> None:
-        self.node: dict[int, int] = {}  # a word's hash -> its last node
+        self.node = K.Table(1 << 16)  # a word's hash -> its last node
         self._nodes = self._filled = 0
         # of each node its first arc; of each arc the share of paths up to it, its bytes and its piece
         self._flat = {"first": np.empty(0, np.int32), "upto": np.empty(0, np.float32), "back": np.empty(0, np.int16), "code": np.empty(0, np.int32)}
@@ -157,11 +131,11 @@ class Lattices:
             open_ = open_[room[open_] >= length]
             if not len(open_):
                 break
-            spot = self._find(K.mix((sums[at[open_] + length] - sums[at[open_]]) * down[at[open_]]))
+            spot = self.known.find(K.mix((sums[at[open_] + length] - sums[at[open_]]) * down[at[open_]]))
             open_, spot = open_[spot >= 0], spot[spot >= 0]
-            real = self.slot_id[spot] >= 0
+            real = self.known_id[spot] >= 0
             some, found = open_[real], spot[real]
-            arcs.append((word[some], place[some], np.full(len(some), length), self.slot_id[found], self.slot_weight[found] * SCALE**length))
+            arcs.append((word[some], place[some], np.full(len(some), length), self.known_id[found], self.known_weight[found] * SCALE**length))
         of, begin, length, code, weight = (np.concatenate(x) for x in zip(*arcs, strict=True))
         end = begin + length
         order = np.argsort(end, kind="stable")
@@ -190,7 +164,9 @@ class Lattices:
         """Piece ids of all texts, and where each text's begin."""
         texts = pc.fill_null(texts, "")
         data, bounds = K.raw(pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(" ", texts, "")))
-        starts = np.flatnonzero((data == 32) | (data == 10))
+        begins = (data == 46) | (data == 44)
+        begins[1:] &= K._ALNUM[data[:-1]]
+        starts = np.flatnonzero(begins | (data == 32) | (data == 10))
         if not len(starts):
             return np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64)
         ends = np.append(starts[1:], len(data))
@@ -199,17 +175,20 @@ class Lattices:
         up, down = K._power_tables(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        distinct, seen, which = np.unique(K.mix((sums[ends] - sums[starts]) * down[starts]), return_index=True, return_inverse=True)
-        last = np.array([self.node.get(h, -1) for h in distinct.tolist()])
-        new = np.flatnonzero(last < 0)
-        size = ends[seen] - starts[seen]
-        short = new[size[new] <= TOGETHER]
-        for some in np.array_split(short, -(-len(short) // 20_000)) if len(short) else []:
-            last[some] = self._add_together(data, starts[seen[some]], ends[seen[some]])
-        for i in new[size[new] > TOGETHER]:
-            last[i] = self._add_long(data[starts[seen[i]] : ends[seen[i]]].tobytes())
-        self.node.update(zip(distinct[new].tolist(), last[new].tolist(), strict=True))
-        node, left = last[which], ends - starts
+        keys_of = K.mix((sums[ends] - sums[starts]) * down[starts])
+        node, left = self.node.find(keys_of), ends - starts
+        unknown = np.flatnonzero(node < 0)
+        if len(unknown):
+            distinct, at = np.unique(keys_of[unknown], return_index=True)
+            at = unknown[at]
+            size, last = left[at], np.empty(len(at), np.int64)
+            short = np.flatnonzero(size <= TOGETHER)
+            for some in np.array_split(short, -(-len(short) // 20_000)) if len(short) else []:
+                last[some] = self._add_together(data, starts[at[some]], ends[at[some]])
+            for i in np.flatnonzero(size > TOGETHER):
+                last[i] = self._add_long(data[starts[at[i]] : ends[at[i]]].tobytes())
+            self.node.put(distinct, last)
+            node[unknown] = self.node.find(keys_of[unknown])
         owner = np.searchsorted(bounds, starts, side="right") - 1
         counts = np.bincount(owner, minlength=len(texts))
         place = np.arange(len(node)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -289,7 +268,7 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([*columns, part.column("text")] if keep_text else columns, names=["doc_id", "pieces", "text"][: 2 + keep_text])
 
     picked = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, pieces array<int>" + ", text string" * keep_text)
+    return picked.mapInArrow(K.tidy(run, lambda: lattices(where, alpha).clear()), "doc_id long, pieces array<int>" + ", text string" * keep_text)
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -303,4 +282,4 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 out = [decode(ids, where) for ids in part.column("pieces").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(out, pa.string())], names=[*names, "decoded"])
 
-    return encoded.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema.fields) + ", decoded string")
+    return encoded.mapInArrow(K.tidy(run), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema.fields) + ", decoded string")
