@@ -20,7 +20,7 @@ import pyarrow as pa
 
 from quillspan.llm import kernels as K
 
-CACHE_UNITS = 700_000
+CACHE_UNITS = 900_000
 _UNIT = re.compile(r"\s*\S+|\s+")
 
 _odd_space = np.zeros(256, dtype=bool)
@@ -58,17 +58,17 @@ class UnitEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}  # unit's hash -> its place in starts
+        self.slot = K.Table(1 << 16)  # unit's hash -> its place in starts
         self.starts = np.zeros(1 << 16, np.int64)
         self.flat = np.empty(1 << 18, self.kind)
         self.filled = 0
-        self._learn([0, 1], [",", "."], False)
+        self._learn(np.array([1, 2], np.uint64), [",", "."], False)
         self.stops = {",": 0, ".": 1}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, hashes: list[int], units: list[str], headed: bool) -> None:
+    def _learn(self, hashes: np.ndarray, units: list[str], headed: bool) -> None:
         """Give new units their slots.  ``headed`` ones begin with a space or line feed: many go in one call, told apart by their head."""
         for at in range(0, len(units), 4000):
             some = units[at : at + 4000]
@@ -88,7 +88,7 @@ class UnitEncoder:
             self.flat[self.filled : self.filled + len(ids)] = ids
             self.filled += len(ids)
             self.starts[first + n] = self.filled
-            self.slot.update(zip(hashes[at : at + 4000], range(first, first + n), strict=True))
+            self.slot.put(hashes[at : at + 4000], np.arange(first, first + n))
 
     def _simple(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Texts whose white space is single spaces and line feeds between visible characters."""
@@ -129,18 +129,16 @@ class UnitEncoder:
         keys = K.mix(w.hashes[take] + kind * np.uint64(0x9FB21C651E98DF25))
         if len(self.slot) > self.most:
             self.clear()
-        distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        got = [self.slot.get(k, -1) for k in distinct.tolist()]
-        place = np.array(got, dtype=np.int64)
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            first = lead[at[new]] == starts[at[new]]
-            for group, headed in ((new[~first], True), (new[first], False)):
+        slots, tail = self.slot.find(keys), w.trimmed[take]
+        unknown = np.flatnonzero(slots < 0)
+        if len(unknown):
+            distinct, at = np.unique(keys[unknown], return_index=True)
+            at = unknown[at]
+            first = lead[at] == starts[at]
+            for group, headed in ((~first, True), (first, False)):
                 units = [flat[a:b].decode() for a, b in zip(lead[at[group]].tolist(), ends[at[group]].tolist(), strict=True)]
-                hashes = distinct[group].tolist()
-                self._learn(hashes, units, headed)
-                place[group] = [self.slot[k] for k in hashes]
-        slots, tail = place[back], w.trimmed[take]
+                self._learn(distinct[group], units, headed)
+            slots[unknown] = self.slot.find(keys[unknown])
         # the full stop or comma behind a trimmed word is a unit of its own
         wide = np.repeat(slots, 1 + tail)
         behind = (np.cumsum(1 + tail) - 1)[tail]
