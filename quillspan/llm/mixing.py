@@ -20,6 +20,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,22 +106,22 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return take
 
 
-def plan(rows: list[tuple[str | None, int, int]], weights: Sequence[float] = WEIGHTS, most: float = MOST_EPOCHS) -> tuple[list[tuple], list[tuple]]:
-    """From (source, length, documents): per source its size, target and epochs; per (source, length) the documents of one more epoch."""
-    by: dict[str | None, dict[int, int]] = {}
-    for source, size, n in rows:
-        by.setdefault(source, {})[size] = n
-    names = sorted((s for s in by if s is not None), key=lambda s: s.encode()) + [None] * (None in by)
-    sizes = [sum(k * n for k, n in by[s].items()) for s in names]
-    sources, picks = [], []
+def plan_sources(totals: dict[str | None, int], weights: Sequence[float] = WEIGHTS, most: float = MOST_EPOCHS) -> list[tuple[str | None, int, float, int, int]]:
+    """From each source's words, in the sources' order: source, size, target, whole epochs, words of one more epoch."""
+    names = sorted((s for s in totals if s is not None), key=lambda s: s.encode()) + [None] * (None in totals)
+    sizes = [totals[s] for s in names]
+    out = []
     for s, size, target in zip(names, sizes, targets(sizes, weights, most), strict=True):
         epochs = min(int(most), math.floor(target / size)) if size else 0
-        sources.append((s, size, target, epochs))
-        budget = round(target - epochs * size) if epochs < most else 0
-        lengths = np.array(sorted(by[s]), dtype=np.int64)
-        counts = np.array([by[s][k] for k in lengths.tolist()], dtype=np.int64)
-        picks += [(s, int(k), int(n), int(c)) for k, n, c in zip(lengths, fit(lengths, counts, budget), counts, strict=True)]
-    return sources, picks
+        out.append((s, size, target, epochs, round(target - epochs * size) if epochs < most else 0))
+    return out
+
+
+def _fit_source(frame: pd.DataFrame) -> pd.DataFrame:
+    """One source's histogram with the documents to take of each length."""
+    frame = frame.sort_values("size", ignore_index=True)
+    take = fit(frame["size"].to_numpy(), frame["c"].to_numpy(), int(frame["budget"].iloc[0]))
+    return pd.DataFrame({"ps": frame["src"], "psize": frame["size"], "n": take, "c": frame["c"]})
 
 
 def word_count(text):
@@ -137,11 +138,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     spark = docs.sparkSession
     if sized is None:
         sized = settle(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[source].cast("string").alias("src"), word_count(docs[text]).alias("size")), "sizes")
-    # as many rows as there are lengths in each source: a histogram, not the documents
-    histogram = [tuple(r) for r in sized.groupBy("src", "size").agg(F.count("*").alias("n")).collect()]
-    sources, picks = plan(histogram, weights, most)
-    source_table = spark.createDataFrame(sources, "s string, source_size long, target double, whole int")
-    pick_table = spark.createDataFrame(picks, "ps string, psize long, n long, c long")
+    histogram = settle(sized.groupBy("src", "size").agg(F.count("*").alias("c")), "lengths")
+    # a row for each source: its words; what is taken of each length is fitted source by source
+    totals = {r["src"]: r["t"] for r in histogram.groupBy("src").agg(F.sum(F.col("size") * F.col("c")).alias("t")).collect()}
+    source_table = spark.createDataFrame(plan_sources(totals, weights, most), "s string, source_size long, target double, whole int, budget long")
+    budgeted = histogram.join(source_table.select("s", "budget"), F.col("src").eqNullSafe(F.col("s"))).select("src", "size", "c", "budget")
+    pick_table = settle(budgeted.groupBy("src").applyInPandas(_fit_source, "ps string, psize long, n long, c long"), "picks")
     rank_hash = F.xxhash64(F.lit(seed), "doc_id")
     # lengths of which all or none are taken need no ranking; the hot ones are ranked in buckets of the hash
     drawn = sized.join(pick_table, F.col("src").eqNullSafe(F.col("ps")) & (F.col("size") == F.col("psize")), "left").withColumn(
