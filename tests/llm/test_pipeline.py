@@ -32,14 +32,15 @@ def test_stages(spark):
             assert {r["doc_id"]: r["text"] for r in after} == want
             assert all(r["n_chars"] == len(r["text"]) for r in after)
         elif name.startswith("mixing"):
-            rows = Counter((r["source"], len(r["text"].encode().split())) for r in before)
-            sources, _ = mixing.plan([(s, k, n) for (s, k), n in rows.items()])
+            totals = Counter()
+            for r in before:
+                totals[r["source"]] += len(r["text"].encode().split())
             taken = Counter()
             for r in after:
                 taken[r["source"]] += len(r["text"].encode().split())
             assert max(ids.values()) <= 3
-            longest = max(k for _, k in rows)
-            assert all(abs(taken[s] - target) <= longest for s, _, target, _ in sources)
+            longest = max(len(r["text"].encode().split()) for r in before)
+            assert all(abs(taken[s] - target) <= longest for s, _, target, *_ in mixing.plan_sources(dict(totals)))
         else:
             text = {r["doc_id"]: r["text"] for r in before}
             assert all(pieces.decode(r["pieces"]) == text[r["doc_id"]] for r in after) and len(after) == len(before)
