@@ -41,7 +41,28 @@ def longest_first(terms: Iterable[str]) -> list[str]:
 
 
 def gazetteer(terms: Iterable[str]) -> str:
-    return "(?:" + "|".join(bounded(t) for t in longest_first(terms)) + ")"
+    """Any of the terms.  A look at the first character comes before the guards: it fails soonest."""
+    terms = longest_first(terms)
+    first = "".join(sorted({re.sub(r"([\\\]\[^&-])", r"\\\1", t[0]) for t in terms}))
+    return f"(?=[{first}])(?:" + "|".join(bounded(t) for t in terms) + ")"
+
+
+def required(pattern: str) -> str:
+    """A stretch of characters that every match of a Java pattern holds, or an empty one if none is sure."""
+    flags = re.match(r"\(\?[a-zA-Z]*\)", pattern)
+    if flags and "i" in flags[0]:
+        return ""
+    try:
+        parts = list(re._parser.parse(pattern[flags.end() if flags else 0 :]))
+    except (re.error, AttributeError):  # a form that Python doesn't know
+        return ""
+    runs = [""]
+    for op, value in parts:
+        if str(op) == "LITERAL":
+            runs[-1] += chr(value)
+        else:
+            runs.append("")
+    return max(runs, key=len)
 
 
 def cue(cues: Iterable[str], then: str, gap: int = USUAL_GAP) -> str:

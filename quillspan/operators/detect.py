@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.functions import patterns
 from quillspan.functions.checksums import CHECKSUMS
 from quillspan.sources.rules import Rule, check_patterns
 
@@ -34,7 +35,10 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
 
     whole_text = F.when(F.size(gaps) == F.size(whole) + 1, F.aggregate(steps, start, add)["hits"])
-    return F.when(text.isNull() | (F.size(whole) == 0), F.array().cast(_HIT)).otherwise(whole_text)
+    # most texts have no match: one search, and the arrays only where it succeeds
+    sure = patterns.required(pattern)
+    found = text.contains(sure) & text.rlike(pattern) if sure else text.rlike(pattern)
+    return F.when(found, whole_text).otherwise(F.array().cast(_HIT))
 
 
 def _native(text: Column, rule: Rule) -> Column:
