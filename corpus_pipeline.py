@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from quillspan.llm import kneser, mixing, pieces, secrets, tiles
 from quillspan.llm.store import new_path
 
+#: Near copies of the stage; op2 has 3 and 90 by its own contract.
+STAGE_SHINGLE = 5
+STAGE_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose perplexity is that of trusted text."""
@@ -17,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; rows without an id stay."""
-    groups = tiles.jaccard_components(docs)
+    """Of each group of near duplicates (5-word shingles, similarity 0.8) the document with the smallest id; rows without an id stay."""
+    groups = tiles.jaccard_components(docs, k=STAGE_SHINGLE, percent=STAGE_PERCENT)
     stay = groups.where("doc_id = component_id").select("doc_id").distinct()
     once = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.select(docs.columns).unionByName(docs.where("doc_id is null"))

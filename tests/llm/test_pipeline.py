@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
-from quillspan.llm import kneser, mixing, pieces, secrets
+from quillspan.llm import kneser, mixing, pieces, secrets, tiles
+from tests.llm.common import table, words
 from tests.llm.test_models import brute_components
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +54,64 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "pieces"]
+
+
+def smallest_of_groups(docs, k=5, percent=80):
+    """By brute force: of each group of near copies the smallest id."""
+    sets = []
+    for d, t in docs:
+        w = [x.lower() for x in words(t)]
+        sets.append((d, frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])))
+    root = {d: d for d, _ in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, x), (b, y) in itertools.combinations(sets, 2):
+        if x and y and 100 * len(x & y) >= percent * len(x | y):
+            p, q = sorted((find(a), find(b)))
+            root[q] = p
+    return {d for d in root if find(d) == d}
+
+
+def test_near_copies_of_five_word_shingles_go(spark):
+    """One replaced word in the middle links from 49 words on, and not only from 59 on."""
+    texts = []
+    for n in (48, 49, 58, 59, 300):
+        w = [f"t{n}w{i}" for i in range(n)]
+        texts += [" ".join(w), " ".join([*w[: n // 2], "other", *w[n // 2 + 1 :]])]
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, table(spark, texts), SF).collect()}
+    assert got == {0, 1, 2, 4, 6, 8}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert got == smallest_of_groups([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_bounds_of_the_search_hold_at_80():
+    """Linked sets share the kept shingles asked of each, lie in bands that meet, and no bitmap bound ends them."""
+    rng, seen = np.random.default_rng(9), 0
+    for _ in range(600):
+        n = int(rng.integers(1, 1200))
+        x = np.unique(rng.integers(0, 2**62, n)).astype(np.uint64)
+        y = np.unique(np.concatenate([x[rng.random(len(x)) > rng.random() * 0.15], rng.integers(0, 2**62, int(rng.integers(0, n // 8 + 2))).astype(np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if not both or 100 * both < 80 * (len(x) + len(y) - both):
+            continue
+        seen += 1
+        shared = len(np.intersect1d(x[: tiles.kept_length(len(x), 80)], y[: tiles.kept_length(len(y), 80)]))
+        for m in (len(x), len(y)):
+            assert shared >= 1 + tiles.prefix_length(-(-80 * m // 100), 80) // 2
+        low, high = sorted((len(x), len(y)))
+        at, above = tiles.band_of(low), tiles.band_of(high)
+        assert at == above or (at + 1 == above and 100 * low >= 80 * (2 << at))
+        bits = []
+        for s in (x, y):
+            b = np.frombuffer(tiles.parity_bits(s), np.uint64)
+            while len(b) * 64 > 1 << above:
+                b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+            bits.append(b)
+        differ = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
+        assert (len(x) + len(y) - differ) / 2 >= both
+    assert seen > 100
