@@ -1,27 +1,27 @@
-"""LM scoring (operator 10): a weighted backoff automaton over the whole corpus.
+"""LM scoring (operator 10): a backoff model with the n-grams of all words of the corpus.
 
 All training documents give exact counts of their tokens (words, and an end after
-each text).  The most frequent ``VOCABULARY`` words are the automaton's alphabet,
-with one letter for the end and one for all other words; bigrams of letters, and
-trigrams that begin with two of the ``CONTEXTS`` most frequent words, are counted
-over the whole corpus too.  Each history that was seen is a state; its n-grams seen
-at least ``LEAST`` times are arcs with absolutely discounted probabilities, and what
-discounting and pruning leave is the weight of its failure arc to the history one
-word shorter.  So each state's probabilities add up to 1.
-
-Scoring walks texts from left to right: a state is carried from token to token, an
-arc for the token is looked for, and failure arcs are followed until one is found.
-Many stretches of text are walked side by side; each begins two tokens early, and
-two tokens fix the state.  A word outside the alphabet pays for its letter and for
-itself among such words, by its exact count less a discount; unseen words share
-what the discounts free as one token, as in the base score.
-
-Counts of the ``FREQUENT`` most frequent words go to every task (a bounded table);
-the other words of a text are joined with the vocabulary by shuffle.
+each text) and of their bigrams and trigrams; a text begins behind an end.  There is
+no alphabet: every n-gram of every word counts, however rare.  A history h that was
+seen C(h) times is a state.  Its arc for a token w has the probability
+(c(h w) + prior * P(w | h')) / (C(h) + prior), where h' is the history one word
+shorter, and its failure arc the weight prior / (C(h) + prior); so each state's
+probabilities add up to 1.  At the root a token has its count less a discount, and
+unseen words share what the discounts free as one token, as in the base score.
+
+Counts travel by shuffle and never gather in one place.  Documents are cut into
+blocks of about ``BLOCK_BYTES``.  A block asks for its distinct n-grams, with their
+counts in its training texts, in ``SHARDS`` slices of the key space (more for very
+large inputs); a shard adds up what all blocks hold of its keys and answers each
+with the totals, in the order asked.  A block's sorted keys and the answers by shard
+are the same sequence, so answers carry no keys.  Then each block scores its texts.
 
 A null or empty text has the end as its only token.  A null doc_id's crc32 is that
 of the empty text.  Repeated rows are scored each.  Without any training document
 every score is 0.  Other columns are ignored.
+
+``Automaton`` and ``build`` are the same kind of model over a closed alphabet with
+explicit states; ``score`` doesn't use them.
 """
 
 from __future__ import annotations
@@ -31,20 +31,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm import kernels as K
+from quillspan.llm.kneser import pair_key, triple_key
 from quillspan.llm.store import settle
 
 FOLDS = 10
-FREQUENT = 1 << 19
-VOCABULARY = 2048
-CONTEXTS = 32
 LEAST = 2
 ADD = 0.1
 LANE = 128
-FLUSH = 2_000_000
+ORDERS = 3
+PRIORS = (64.0, 8.0)  #: weight of the shorter history, for bigrams and trigrams
+BLOCK_BYTES = 16 << 20  #: no result depends on it
+SHARDS = 512
+SHARD_BYTES = 1 << 25  #: text for each shard, at most
 END = np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -61,22 +64,6 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-@dataclass
-class Counts:
-    """Sorted hashes and counts of the frequent tokens, and the rank of those in the alphabet (else -1)."""
-
-    keys: np.ndarray
-    count: np.ndarray
-    rank: np.ndarray
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The place of each token, or -1."""
-        if not len(self.keys):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, at, -1)
-
-
 @dataclass
 class Automaton:
     letters: int  #: alphabet: words by rank, then the end, then all other words
@@ -146,156 +133,185 @@ def build(letters: int, contexts: int, unigrams: np.ndarray, state: np.ndarray,
     return Automaton(letters, contexts, np.log10(root), keys, np.log10(weight), np.log10(back))
 
 
-def _batched_counts(name: str, make):
-    """Partial counts of 64-bit keys, added up within a task."""
+def histories(letter: np.ndarray, size: int, contexts: int) -> np.ndarray:
+    """state * size + letter for each token behind its history of one letter, and of two where those are context words."""
+    behind = np.concatenate([[size - 2], letter[:-1]])
+    two = np.concatenate([[size - 2, size - 2], letter[:-2]])[: len(letter)]
+    one = (1 + behind) * size + letter
+    pair = (behind < contexts) & (two < contexts)
+    return np.concatenate([one, (1 + size + two[pair] * contexts + behind[pair]) * size + letter[pair]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
-        for batch in batches:
-            for part in K.chunks(batch, "text", 2 * K.CHUNK_BYTES):
-                got = np.unique(make(part), return_counts=True)
-                parts.append(got)
-                held += len(got[0])
-                if held > FLUSH:
-                    parts = [K.merge_counts(parts)]
-                    if len(parts[0][0]) > FLUSH // 2:
-                        yield from _emit(*parts.pop(), name)
-                    held = sum(len(p[0]) for p in parts)
-        if parts:
-            yield from _emit(*K.merge_counts(parts), name)
 
-    return run
+REQUESTS = "shard int, block long, " + ", ".join(f"keys{n} binary, own{n} binary" for n in range(ORDERS))
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+ANSWERS = "shard int, block long, " + ", ".join(f"all{n} binary" for n in range(ORDERS)) + ", tokens long, kinds long, once long, twice long"
 
 
-def _emit(keys: np.ndarray, counts: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(keys), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000].astype(np.int64)), pa.array(counts[at : at + 100_000].astype(np.int64))], names=[name, "c"])
+def block_tokens(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of a block, and where each text's begin."""
+    parts = [tokens(part.column("text")) for part in K.chunks(block, "text")]
+    many = [np.diff(first) for _, first in parts]
+    return np.concatenate([h for h, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate(many))])
 
 
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """h and c of every distinct token of the documents (column text)."""
-    part = docs.select("text").mapInArrow(_batched_counts("h", lambda part: tokens(part.column("text"))[0]), "h long, c long")
-    return part.groupBy("h").agg(F.sum("c").alias("c"))
+def ngrams(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Keys of each token's n-grams; a text begins behind an end.  A text's first token has no trigram (the last is 0 there)."""
+    one = np.concatenate([[END], h[:-1]])
+    two = np.concatenate([[END, END], h[:-2]])[: len(h)]
+    three = triple_key(two, one, h)
+    three[first[:-1]] = 0
+    return [h, pair_key(one, h), three]
 
 
-def frequent(vocabulary: DataFrame, histogram: list[tuple[int, int]], most: int = FREQUENT, alphabet: int = VOCABULARY) -> Counts:
-    """At most ``most`` of the most frequent tokens: all of those from the least count on that keeps to the bound."""
-    so_far, least = 0, None
-    for c, n in sorted(histogram, reverse=True):
-        if so_far + n > most:
-            break
-        so_far, least = so_far + n, c
-    if least is None:
-        return Counts(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-    table = vocabulary.where(F.col("c") >= least).select("h", "c").toArrow()
-    keys, count = table.column("h").to_numpy().astype(np.uint64), table.column("c").to_numpy()
-    order = np.argsort(keys)
-    keys, count = keys[order], count[order]
-    rank = np.full(len(keys), -1)
-    words = np.flatnonzero(keys != END)
-    best = words[np.lexsort((keys[words], -count[words]))][:alphabet]
-    rank[best] = np.arange(len(best))
-    return Counts(keys, count, rank)
+def pack(keys: np.ndarray) -> bytes:
+    """Sorted keys: bytes of their differences, plane by plane, without the high planes that are all zero."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 0
+    planes = np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + squeeze(planes)
 
 
-def letters_of(table: Counts, h: np.ndarray, size: int) -> np.ndarray:
-    at = table.find(h)
-    letter = np.where(at >= 0, table.rank[at] if len(table.rank) else -1, -1)
-    letter = np.where(letter < 0, size - 1, letter)
-    return np.where(h == END, size - 2, letter)
+def unpack(packed: bytes) -> np.ndarray:
+    width, flat = packed[0], np.frombuffer(spread(packed[1:]), np.uint8)
+    if not width:
+        return np.empty(0, np.uint64)
+    planes = flat.reshape(width, -1)
+    gaps = np.zeros((planes.shape[1], 8), np.uint8)
+    gaps[:, :width] = planes.T
+    return np.cumsum(gaps.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
-def histories(letter: np.ndarray, size: int, contexts: int) -> np.ndarray:
-    """state * size + letter for each token behind its history of one letter, and of two where those are context words."""
-    behind = np.concatenate([[size - 2], letter[:-1]])
-    two = np.concatenate([[size - 2, size - 2], letter[:-2]])[: len(letter)]
-    one = (1 + behind) * size + letter
-    pair = (behind < contexts) & (two < contexts)
-    return np.concatenate([one, (1 + size + two[pair] * contexts + behind[pair]) * size + letter[pair]])
+def squeeze(x: np.ndarray) -> bytes:
+    raw = x.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def spread(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+
 
+def _cut(most: int):
+    """The rows with the number of their block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in K.chunks(batch, "text", most):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, n)), *part.columns], names=["block", *part.schema.names])
+                n += 1
+
+    return run
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = FOLDS, most: int = FREQUENT, alphabet: int = VOCABULARY, contexts: int = CONTEXTS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
+
+def _ask(shards: int, most: int):
+    """A block's distinct n-grams and how often each stands in its training texts, cut by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for a, b in zip(edges, edges[1:]):
+                for part in K.chunks(batch.slice(a, b - a), "text", most):
+                    yield from asked(part, int(blocks[a]))
+
+    def asked(part: pa.RecordBatch, block: int) -> Iterator[pa.RecordBatch]:
+        h, first = block_tokens(part)
+        train = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False), np.diff(first))
+        columns: list[list[bytes]] = []
+        for k in ngrams(h, first):
+            keys, place = np.unique(k, return_inverse=True)
+            own = np.bincount(place, weights=train).astype(np.uint32)
+            cuts = np.concatenate([[0], np.searchsorted(shard_of(keys, shards), np.arange(1, shards)), [len(keys)]]).tolist()
+            columns.append([pack(keys[x:y]) for x, y in zip(cuts, cuts[1:])])
+            columns.append([squeeze(own[x:y]) for x, y in zip(cuts, cuts[1:])])
+        arrays = [pa.array(np.arange(shards, dtype=np.int32)), pa.array(np.full(shards, block)), *(pa.array(c, pa.binary()) for c in columns)]
+        yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in REQUESTS.split(", ")])
+
+    return run
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Slices of the key space in order; shards is a power of two."""
+    return (keys >> np.uint64(65 - shards.bit_length())).astype(np.int64) if shards > 1 else np.zeros(len(keys), np.int64)
+
+
+def add_up(asked: pa.Table) -> pa.Table:
+    """The answers of one shard: each block's keys with their counts over all blocks; the first row has figures of the tokens.
+
+    A block whose rows were read in several parts has asked several times; it gets one answer, for all its keys.
+    """
+    blocks, of = np.unique(asked.column("block").to_numpy(), return_inverse=True)
+    rows = [np.flatnonzero(of == b).tolist() for b in range(len(blocks))] if len(blocks) < len(of) else None
+    out = {"shard": asked.column("shard").combine_chunks()[: len(blocks)], "block": pa.array(blocks)}
+    figures = [0, 0, 0, 0]
+    for n in range(ORDERS):
+        keys = [unpack(x) for x in asked.column(f"keys{n}").to_pylist()]
+        own = np.concatenate([np.frombuffer(spread(x), np.uint32) for x in asked.column(f"own{n}").to_pylist()])
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(place, weights=own, minlength=len(distinct)).astype(np.int64)
+        if n == 0:
+            figures = [int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())]
+        if rows is None:
+            each = np.split(total[place], np.cumsum([len(k) for k in keys])[:-1])
+            answers = [each[i] for i in np.argsort(of)]
+        else:
+            answers = [total[np.searchsorted(distinct, np.unique(np.concatenate([keys[i] for i in at])))] for at in rows]
+        out[f"all{n}"] = pa.array([squeeze(x) for x in answers], pa.binary())
+    for name, x in zip(("tokens", "kinds", "once", "twice"), figures, strict=True):
+        out[name] = pa.array([x, *[0] * (len(blocks) - 1)], pa.int64())
+    return pa.table(out)
+
+
+def probabilities(h: np.ndarray, first: np.ndarray, counts: list[np.ndarray], n_train: int, kinds: int, d: float) -> np.ndarray:
+    """Probability of each token of the texts; counts: of each token's n-grams in the training texts."""
+    c1, c2, c3 = (c.astype(float) for c in counts)
+    begins = np.zeros(len(h), dtype=bool)
+    begins[first[:-1]] = True
+    # a history was followed by a token as often as it occurred; an end is the history of each text's first token
+    ends = c1[first[1:] - 1][0] if len(h) else 0.0
+    behind = np.where(begins, ends, np.concatenate([[0.0], c1[:-1]]))
+    pair = np.concatenate([[0.0], c2[:-1]])
+    p1 = np.where(c1 > 0, c1 - d, d * kinds) / n_train
+    p2 = (c2 + PRIORS[0] * p1) / (behind + PRIORS[0])
+    p3 = (c3 + PRIORS[1] * p2) / (pair + PRIORS[1])
+    return np.where(begins, p2, p3)
+
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = FOLDS, most: int | None = None, alphabet: int | None = None, contexts: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``most``, ``alphabet`` and ``contexts`` bounded an earlier model; they are taken and bound nothing.
+    """
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
     picked = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    split = picked.withColumn("held_out", fold == 0)
-    training = split.where(~F.col("held_out"))
-    vocabulary = settle(count_tokens(training), "vocabulary")
-    # a row for each count that occurs: a histogram
-    histogram = [(r["c"], r["n"]) for r in vocabulary.groupBy("c").agg(F.count("*").alias("n")).collect()]
-    n_train, distinct = sum(c * n for c, n in histogram), sum(n for _, n in histogram)
-    table = frequent(vocabulary, histogram, most, alphabet)
-    size = int((table.rank >= 0).sum()) + 2
-    contexts = min(contexts, size - 2)
-    shared = spark.sparkContext.broadcast(table)
-
-    def events(part: pa.RecordBatch) -> np.ndarray:
-        return histories(letters_of(shared.value, tokens(part.column("text"))[0], size), size, max(contexts, 1))
-
-    grams = training.select("text").mapInArrow(_batched_counts("k", events), "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-    # at most (size + contexts ** 2 + 1) * size rows: bounded by the two parameters
-    got = grams.toArrow()
-    k, c = got.column("k").to_numpy(), got.column("c").to_numpy()
-    unigrams = np.zeros(size)
-    inside = table.rank >= 0
-    unigrams[table.rank[inside]] = table.count[inside]
-    unigrams[size - 2] = table.count[table.keys == END].sum()
-    unigrams[size - 1] = n_train - unigrams.sum()
-    model = build(size, max(contexts, 1), unigrams, k // size, k % size, c)
-    # other words: discounted counts; the discounts go to the one unseen token
-    other: dict[int, int] = dict(histogram)
-    for x in table.count[inside | (table.keys == END)].tolist():
-        other[x] -= 1
-    mass, kinds = float(unigrams[size - 1]), sum(other.values())
-    d = other.get(1, 0) / (other.get(1, 0) + 2 * other.get(2, 0)) if other.get(1) and other.get(2) else 0.5
-    unseen = np.log10(d * kinds / mass) if mass else 0.0
-    base_of = float(np.log10(n_train + ADD * (distinct + 1)))
-    automaton = spark.sparkContext.broadcast(model)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, machine = shared.value, automaton.value
-        log_base = np.log10(counts.count + ADD)
-        log_other = np.log10((counts.count - d) / mass) if mass else np.zeros(len(counts.count))
-        log_other[(counts.rank >= 0) | (counts.keys == END)] = 0.0
-        for batch in batches:
-            for part in K.chunks(batch, "text", 2 * K.CHUNK_BYTES):
-                h, first = tokens(part.column("text"))
-                at = counts.find(h)
-                known = at >= 0
-                base = np.where(known, log_base[at] if len(log_base) else 0.0, 0.0)
-                own = np.where(known, log_other[at] if len(log_base) else 0.0, 0.0)
-                total = np.concatenate([[0.0], np.cumsum(base)])
-                cost = np.concatenate([[0.0], np.cumsum(own + machine.walk(letters_of(counts, h, size)))])
-                rare = np.concatenate([[0], np.cumsum(~known)])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        part.column("held_out"),
-                        part.column("rid"),
-                        pa.array(np.diff(first)),
-                        pa.array(np.diff(first) - np.diff(rare[first])),
-                        pa.array(np.diff(total[first])),
-                        pa.array(np.diff(cost[first])),
-                        pa.ListArray.from_arrays(pa.array(rare[first].astype(np.int32)), pa.array(h[~known].astype(np.int64))),
-                    ],
-                    names=["doc_id", "held_out", "rid", "n_tokens", "n_known", "base", "cost", "rare"],
-                )
-
-    rows = split.withColumn("rid", F.monotonically_increasing_id()).select("doc_id", "held_out", "rid", "text")
-    scored = settle(rows.mapInArrow(K.tidy(measure), "doc_id long, held_out boolean, rid long, n_tokens long, n_known long, base double, cost double, rare array<long>"), "scored")
-    words = scored.select("rid", F.explode("rare").alias("h")).join(vocabulary, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    price = F.when(F.col("c") > 0, F.log10((F.col("c") - F.lit(float(d))) / F.lit(mass or 1.0))).otherwise(F.lit(float(unseen)))
-    rest = words.groupBy("rid").agg(F.sum(F.log10(F.col("c") + ADD)).alias("b"), F.sum(price).alias("p"), F.sum((F.col("c") > 0).cast("long")).alias("k"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    trained = n_train > 0
-    return scored.drop("rare").join(rest, "rid", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + zero("k")).cast("long").alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("b") - F.col("n_tokens") * base_of if trained else F.lit(0.0)).cast("double").alias("base_score"),
-        (F.col("cost") + zero("p") if trained else F.lit(0.0)).cast("double").alias("score"),
-    )
+    split = picked.withColumn("held_out", fold == 0).select("doc_id", "held_out", "text")
+    blocks = settle(split.mapInArrow(K.tidy(_cut(BLOCK_BYTES)), "block long, doc_id long, held_out boolean, text string"), "blocks")
+    size = blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(SHARDS, 1 << max(0, -(-size // SHARD_BYTES) - 1).bit_length())
+    asked = blocks.mapInArrow(K.tidy(_ask(shards, BLOCK_BYTES)), REQUESTS)
+    answers = settle(asked.groupBy("shard").applyInArrow(add_up, ANSWERS), "answers")
+    figures = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "kinds", "once", "twice"))).first()
+    n_train, kinds, once, twice = (int(x) for x in figures)
+    d = once / (once + 2 * twice) if once and twice else 0.5
+    base_of = float(np.log10(n_train + ADD * (kinds + 1)))
+
+    def measure(texts: pa.Table, totals: pa.Table) -> pa.Table:
+        block = texts.combine_chunks().to_batches()[0]
+        h, first = block_tokens(block)
+        totals = totals.sort_by("shard")
+        counts = []
+        for n, k in enumerate(ngrams(h, first)):
+            keys, place = np.unique(k, return_inverse=True)
+            found = np.concatenate([np.frombuffer(spread(x), np.int64) for x in totals.column(f"all{n}").to_pylist()])
+            if len(found) != len(keys):
+                raise ValueError(f"{len(found)} answers for {len(keys)} n-grams of a block")
+            counts.append(found[place])
+        base, cost = np.zeros(block.num_rows), np.zeros(block.num_rows)
+        if n_train:
+            base = np.add.reduceat(np.log10(counts[0] + ADD) - base_of, first[:-1])
+            cost = np.add.reduceat(np.log10(probabilities(h, first, counts, n_train, kinds, d)), first[:-1])
+        known = np.add.reduceat((counts[0] > 0).astype(np.int64), first[:-1])
+        rows = [block.column("doc_id"), block.column("held_out"), np.diff(first), known, np.full(block.num_rows, n_train), base, cost]
+        return pa.table([x if isinstance(x, pa.Array) else pa.array(x) for x in rows], names=[x.split()[0] for x in SCORES.split(", ")])
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(measure, SCORES)

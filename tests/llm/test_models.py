@@ -335,3 +335,79 @@ def test_scores_without_training(spark):
 def test_scores_with_clashing_names(spark):
     a = sorted(automaton.score(table(spark)).collect())
     assert a == sorted(automaton.score(clashing(spark)).collect())
+
+
+def brute_ngram_scores(train, text):
+    """log10 probability of a text by dictionaries of all n-grams, without any alphabet."""
+    streams = [[None, *(w.lower() for w in words(t)), None] for t in train]
+    uni = Counter(t for s in streams for t in s[1:])
+    two = Counter(p for s in streams for p in zip(s, s[1:]))
+    three = Counter(p for s in streams for p in zip(s, s[1:], s[2:]))
+    n, kinds = sum(uni.values()), Counter(uni.values())
+    d = kinds[1] / (kinds[1] + 2 * kinds[2]) if kinds[1] and kinds[2] else 0.5
+    s, out = [None, *(w.lower() for w in words(text)), None], 0.0
+    for i in range(1, len(s)):
+        p = (uni[s[i]] - d if s[i] in uni else d * len(uni)) / n
+        p = (two[s[i - 1], s[i]] + automaton.PRIORS[0] * p) / (uni[s[i - 1]] + automaton.PRIORS[0])
+        if i > 1:
+            p = (three[s[i - 2], s[i - 1], s[i]] + automaton.PRIORS[1] * p) / (two[s[i - 2], s[i - 1]] + automaton.PRIORS[1])
+        out += math.log10(p)
+    return out
+
+
+@pytest.mark.parametrize("cut", [None, 3000])
+def test_scores_know_every_ngram(spark, monkeypatch, cut):
+    """Thousands of rare words: every n-gram of each counts, so a held-out copy scores far above its words shuffled."""
+    if cut:
+        monkeypatch.setattr(automaton, "BLOCK_BYTES", cut)
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rng = random.Random(12)
+    texts = {i: " ".join(f"w{rng.randrange(6000)}" for _ in range(60)) for i in range(400) if i not in held}
+    source = texts[next(iter(texts))].split()
+    texts[held[0]] = " ".join(source)
+    texts[held[1]] = " ".join(rng.sample(source, len(source)))
+    texts[held[2]] = "never seen words"
+    texts[held[3]] = None
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], SCHEMA)
+    got = {r["doc_id"]: r["score"] for r in automaton.score(df.repartition(3)).collect()}
+    train = [t for i, t in texts.items() if i not in held]
+    for i in [*held[:4], *list(texts)[:20]]:
+        assert got[i] == pytest.approx(brute_ngram_scores(train, texts[i]))
+    assert got[held[0]] > got[held[1]] + 40
+
+
+def test_ngram_model_is_a_distribution():
+    """Over all tokens and the unseen one, behind any history."""
+    uni = np.array([5, 3, 1, 1])  # the last is the end
+    d = 0.4
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        two = np.array([rng.integers(0, c + 1) for c in uni])
+        three = np.array([rng.integers(0, c + 1) for c in two])
+        total = 0.0
+        for w in range(5):
+            # a text of x, y, w and the end: w's history (x, y) was followed by as many tokens as ``two`` and ``three`` sum to
+            counts = [np.array([1, two.sum(), uni[w] if w < 4 else 0, 1]), np.array([1, three.sum(), two[w] if w < 4 else 0, 1]), np.array([0, 0, three[w] if w < 4 else 0, 0])]
+            total += automaton.probabilities(np.arange(4), np.array([0, 4]), counts, int(uni.sum()), len(uni), d)[2]
+        assert total == pytest.approx(1)
+
+
+def test_packed_keys_and_shards():
+    rng = np.random.default_rng(2)
+    for keys in ([], [0], [0, 1], [2**64 - 1], rng.integers(0, 2**63, 5000).tolist()):
+        keys = np.unique(np.array(keys, np.uint64))
+        assert (automaton.unpack(automaton.pack(keys)) == keys).all()
+        of = automaton.shard_of(keys, 512)
+        assert (np.diff(of) >= 0).all() and (of >= 0).all() and (of < 512).all()
+
+
+def test_a_block_that_asks_twice_gets_one_answer():
+    def ask(block, keys, own):
+        return {"shard": 0, "block": block} | {f"{c}{n}": x for n in range(3) for c, x in (("keys", automaton.pack(np.array(keys, np.uint64))), ("own", automaton.squeeze(np.array(own, np.uint32))))}
+
+    def got(rows):
+        return {(r["block"], tuple(np.frombuffer(automaton.spread(r["all2"]), np.int64).tolist())) for r in automaton.add_up(pa.Table.from_pylist(rows)).to_pylist()}
+
+    rows = [ask(7, [1, 5], [1, 0]), ask(3, [5, 9], [2, 1])]
+    assert got(rows) == {(7, (1, 2)), (3, (2, 1))}
+    assert got([*rows, ask(7, [2, 5], [4, 1])]) == {(7, (1, 4, 3)), (3, (3, 1))}
