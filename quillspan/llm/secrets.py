@@ -105,9 +105,12 @@ def find_spans(text: str, vocabulary: str, most: float = MAX_CHARS_PER_TOKEN) ->
 
 
 def _long_run(flags: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
-    """The texts that have a run of at least n flagged bytes."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]])))
-    starts, ends = edge[::2], edge[1::2]
+    """The texts that have a run of at least n flagged bytes; a run ends with its text."""
+    cut = np.zeros(len(flags) + 1, dtype=bool)
+    cut[bounds] = True
+    edged = np.concatenate([[False], flags, [False]])
+    starts = np.flatnonzero(flags & (~edged[:-2] | cut[:-1]))
+    ends = np.flatnonzero(flags & (~edged[2:] | cut[1:])) + 1
     at = starts[ends - starts >= n]
     return np.unique(np.searchsorted(bounds, at, side="right") - 1)
 
@@ -115,15 +118,12 @@ def _long_run(flags: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
 def suspects(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Texts in which any span is possible: the regular expressions run on these alone.
 
-    The test is by bytes and may let a text through, but never holds one back: a
-    run over a text's end only adds.
+    The test is by bytes and may let a text through, but never holds one back.
     """
     some = [_long_run(_hex_byte[data], bounds, 24)]
     run = _run_byte[data]
     with_digit = np.flatnonzero(K.per_text(_digit_byte[data] & run, bounds) >= 2)
     some.append(np.intersect1d(_long_run(run, bounds, MIN_RUN), with_digit))
-    # a long run over a border belongs to the text where it begins; the next one may hold the rest
-    some.append(some[-1] + 1)
     whole = K._LOWER[data].tobytes()
     for hint in (*_HINTS, b"akia"):
         at, hits = whole.find(hint), []
@@ -132,8 +132,7 @@ def suspects(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             hits.append(i)
             at = whole.find(hint, int(bounds[i + 1]) - len(hint) + 1) if bounds[i + 1] - len(hint) + 1 > at else whole.find(hint, at + 1)
         some.append(np.array(hits, dtype=np.int64))
-    got = np.unique(np.concatenate(some).astype(np.int64))
-    return got[got < len(bounds) - 1]
+    return np.unique(np.concatenate(some).astype(np.int64))
 
 
 def _spans_of(part: pa.RecordBatch, column: str, vocabulary: str, most: float) -> list[list[tuple[str, int, int]]]:

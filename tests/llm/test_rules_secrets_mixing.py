@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,17 @@ def test_token_efficiency_finds_random_strings_and_leaves_identifiers():
     assert not secrets.find_spans("Bundesausbildungsförderungsgesetz2024 see mail42.some.longhost0@example.com", secrets.vocabulary_path())
 
 
+def test_neighbours_in_a_batch_hold_no_secret_back():
+    """A text that ends in a run's characters, before one that begins with a secret."""
+    path, found = secrets.vocabulary_path(), []
+    for before in ("the last word is face", "", None, "a", "0123456789abcdef0123"):
+        for text in ("d41d8cd98f00b204e9800998ecf8427e is a digest", "sK4f9Qz81LmX0pWv7Rt2Yb is a key", "0123456789abcdef0123 is short"):
+            batch = pa.RecordBatch.from_pydict({"text": pa.array([before, text, None, "face", "", text])})
+            found.append(secrets._spans_of(batch, "text", path, secrets.MAX_CHARS_PER_TOKEN))
+            assert found[-1] == [secrets.find_spans(t or "", path) for t in batch.column("text").to_pylist()]
+    assert found[0][1] == [("hex", 0, 32)] and found[1][1] == [("random", 0, 22)]
+
+
 def test_redaction(spark):
     texts = ["a password=abcdef b", None, "", "clean"]
     got = secrets.redact_documents(table(spark, texts)).orderBy("doc_id").collect()
