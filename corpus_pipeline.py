@@ -20,12 +20,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kneser.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+ROW = "__row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of all their columns: rows that repeat share it, whatever their doc_id."""
+    return docs.withColumn(ROW, F.xxhash64(*docs.columns))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (5-word shingles, similarity 0.8) the document with the smallest id; rows without an id stay."""
-    groups = tiles.jaccard_components(docs, k=STAGE_SHINGLE, percent=STAGE_PERCENT)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    once = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each group of near duplicates (5-word shingles, similarity 0.8) one row, of those with the smallest id; a row without words and id stays."""
+    rows = keyed(docs)
+    groups = tiles.jaccard_components(rows, doc_id=ROW, k=STAGE_SHINGLE, percent=STAGE_PERCENT)
+    members = groups.select(F.col("doc_id").alias(ROW), "component_id").distinct().join(rows.select(ROW, "doc_id").distinct(), ROW)
+    first = F.min_by(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias(ROW)
+    stay = members.groupBy("component_id").agg(first).select(ROW)
+    bare = F.col("doc_id").isNull() & (F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) == "")
+    once = rows.where(~bare).join(stay, ROW, "left_semi").dropDuplicates([ROW])
+    return once.select(docs.columns).unionByName(rows.where(bare).select(docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +46,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes its document."""
-    often = mixing.mix(docs).where("epochs > 0").select(F.col("doc_id").alias("mixed_id"), "epochs").dropDuplicates(["mixed_id"])
-    taken = docs.join(often, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+    """Each row as often as the mix takes it; rows that repeat, which the key can't tell apart, as often as all of them together."""
+    rows = keyed(docs)
+    often = mixing.mix(rows, doc_id=ROW).groupBy(F.col("doc_id").alias(ROW)).agg(F.sum("epochs").cast("int").alias("epochs")).where("epochs > 0")
+    taken = rows.dropDuplicates([ROW]).join(often, ROW)
     return taken.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select(docs.columns)
 
 

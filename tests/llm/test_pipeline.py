@@ -9,7 +9,7 @@ import numpy as np
 
 import corpus_pipeline
 from quillspan.llm import kneser, mixing, pieces, secrets, tiles
-from tests.llm.common import table, words
+from tests.llm.common import SCHEMA, table, words
 from tests.llm.test_models import brute_components
 
 SF = "/root/testdata/sf0.001"
@@ -115,3 +115,19 @@ def test_bounds_of_the_search_hold_at_80():
         differ = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
         assert (len(x) + len(y) - differ) / 2 >= both
     assert seen > 100
+
+
+def test_repeated_and_missing_ids(spark):
+    """One row of each group stays, whatever its id; each row has its own epochs."""
+    long = {c: " ".join(f"{c}{i}" for i in range(30)) for c in "pqrst"}
+    near = long["r"] + " more"
+    rows = [(1, long["p"]), (1, long["q"]), (1, long["p"]), (None, long["p"]), (None, near), (7, long["r"]), (None, long["s"]), (None, long["s"]), (None, long["t"]), (None, ""), (None, None), (None, " \n"), (3, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], SCHEMA)
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert got == Counter([(1, long["p"]), (1, long["q"]), (7, long["r"]), (None, long["s"]), (None, long["t"]), (None, ""), (None, None), (None, " \n"), (3, "")])
+    sizes = [*range(1, 40), 5, 5]
+    many = spark.createDataFrame([(None, " ".join(f"s{k % 4}w{i}" for i in range(n)), "en", f"s{k % 4}", n) for k, n in enumerate(sizes)], SCHEMA)
+    want = mixing.mix(corpus_pipeline.keyed(many), doc_id=corpus_pipeline.ROW).groupBy("src").sum("epochs").collect()
+    mixed = Counter(r["source"] for r in corpus_pipeline.mixture(spark, many, SF).collect())
+    assert mixed == Counter({r["src"]: r["sum(epochs)"] for r in want})
+    assert len({r["sum(epochs)"] for r in want}) > 1
