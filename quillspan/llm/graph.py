@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.store import settle
+from quillspan.llm.store import drop, settle
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -17,6 +17,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
     labels = settle(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root")), name)
+    held = [labels]
     while True:
         told = both.join(labels, both.b == labels.v).select("a", "root", F.lit(None).cast("long").alias("old"))
         own = labels.select(F.col("v").alias("a"), "root", F.col("root").alias("old"))
@@ -26,5 +27,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         step = settle(jumped, name)
         changed = not step.where("old <> root").isEmpty()
         labels = step.select("v", "root")
+        for old in held:
+            drop(old)
+        held = [step]
         if not changed:
+            drop(both)
             return labels

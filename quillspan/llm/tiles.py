@@ -7,22 +7,26 @@ classes are compared.
 Candidates.  Under any one order of all shingles, linked sets share one among their
 first p = n - ceil(0.9 n) + 1, and share k among their first p + k - 1.  A class keeps
 half as many again as p (its prefix), so it is looked at only if about p / 2 of these
-stand in other components' prefixes too.  The order is by hash, but shingles in very
-many prefixes come last, so that passages which many documents share don't make
-large groups.  A tile holds the classes that share a prefix shingle and a size band
-(powers of two; sets just below a border also visit the band above).  Tiles of more
-than BLOCK classes are cut into blocks and every pair of blocks is a tile.
+stand in other components' prefixes too.  The order is by frequency over the whole
+table, rare shingles first, then by hash, so that passages which many documents
+share come last and don't make large groups.  Frequencies are those of a sketch of
+fixed size, in steps of half a power of two; only the order, never a result, depends
+on it.  A tile holds the classes that share a prefix shingle and a size band (powers
+of two; sets just below a border also visit the band above).  Prefix shingles that
+the same few classes share make one tile.  Tiles of more than BLOCK classes are cut
+into blocks and every pair of blocks is a tile.
 
 Bounds.  Each class has a parity bitmap of about its size in bits.  Of two parity
 bitmaps that differ in h bits, the sets' overlap is at most (|A| + |B| - h) / 2; most
 pairs end there.  What remains is decided by intersecting the sorted hash arrays.
 
-Before that full search, a round over two min-hashes links the bulk of every group
-of near copies, and the full search then looks only at pairs from different
-components.  In this round the tiles of more than SMALL classes carry the hash
+Before that full search, two rounds over two min-hashes each link the bulk of every
+group of near copies, and the full search then looks only at pairs from different
+components.  In these rounds the tiles of more than SMALL classes carry the hash
 arrays and decide their pairs on the spot, leaving out pairs that are connected by
 then; smaller ones give a few spanning pairs.  So a group of m near copies gives
-about m edges; no link between different components is ever skipped.
+about m edges; no link between different components is ever skipped.  Tables between
+the steps are deleted once they have been read.
 
 Null and empty texts, and texts without words, have an empty set and no links.
 Texts of 1 or 2 words have their whole sequence as the one shingle.  Rows that
@@ -43,18 +47,20 @@ from pyspark.sql import functions as F
 
 from quillspan.llm import kernels as K
 from quillspan.llm.graph import components
-from quillspan.llm.store import settle
+from quillspan.llm.store import drop, settle, sweep
 
 SHINGLE = 3
 PERCENT = 90
 BLOCK = 1024
 SMALL = 16
 PAIRS = 256  #: pairs decided at a time
-HEAVY = 4096
-MOST_HEAVY = 1 << 16  #: shingles that are moved to the end of the order, at most; a hint that no result depends on
+SKETCH_BITS = 22  #: counters of the frequency sketch, as a power of two; a hint that no result depends on
+SKETCH_BLOCK = 1 << 16
+SEEDS = 4  #: min-hashes of a class, two for each of the first rounds
 FILTER_BITS = 23
 
-PROFILE = "doc_id long, n long, cid long, seed long, keys array<long>, bits binary"
+PROFILE = "doc_id long, n long, cid long, seeds array<long>, keys array<long>, bits binary"
+_SEED_SALT = K.mix(np.arange(1, SEEDS + 1, dtype=np.uint64) * np.uint64(0x5DEECE66D))
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
@@ -94,8 +100,52 @@ def parity_bits(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _profiler(k: int, percent: int, heavy: np.ndarray):
+def _sketcher(k: int):
+    """How often the shingles of a task's texts fall on each counter, in compressed blocks of counters."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        for batch in batches:
+            for part in K.chunks(batch, "text"):
+                values, _ = K.grams(K.words(part.column("text"), lower=True), k, short=True)
+                at, n = np.unique((values & np.uint64(len(counts) - 1)).astype(np.int32), return_counts=True)
+                counts[at] += n.astype(np.uint32)
+        blocks = counts.reshape(-1, SKETCH_BLOCK)
+        some = np.flatnonzero(blocks.any(axis=1))
+        packed = [pa.compress(blocks[i].tobytes(), codec="zstd", asbytes=True) for i in some.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(packed, pa.binary())], names=["block", "counts"])
+
+    return run
+
+
+def _level(table: pa.Table) -> pa.Table:
+    """One block's counters added up, as steps of half a power of two."""
+    total = np.zeros(SKETCH_BLOCK, np.int64)
+    for x in table.column("counts"):
+        total += np.frombuffer(pa.decompress(x.as_py(), decompressed_size=4 * SKETCH_BLOCK, codec="zstd", asbytes=True), np.uint32)
+    levels = np.round(2 * np.log2(total + 1.0)).astype(np.uint8)
+    return pa.table({"block": table.column("block").slice(0, 1), "levels": pa.array([levels.tobytes()], pa.binary())})
+
+
+def frequency_levels(texts: DataFrame, k: int) -> np.ndarray:
+    """A byte for each counter of the sketch: the logarithm of how many shingles of the table fall on it."""
+    parts = texts.select("text").mapInArrow(K.tidy(_sketcher(k)), "block int, counts binary")
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    found = parts.groupBy("block").applyInArrow(_level, "block int, levels binary").toArrow()  # a byte for each counter
+    for block, levels in zip(found.column("block").to_pylist(), found.column("levels").to_pylist(), strict=True):
+        out[block * SKETCH_BLOCK : (block + 1) * SKETCH_BLOCK] = np.frombuffer(levels, np.uint8)
+    return out
+
+
+def prefix(s: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The first of a sorted set's shingles by frequency, then hash."""
+    of = levels[(s & np.uint64(len(levels) - 1)).astype(np.int64)]
+    return s[np.argsort(of, kind="stable")[: kept_length(len(s), percent)]]
+
+
+def _profiler(k: int, percent: int, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = shared.value
         for batch in batches:
             for part in K.chunks(batch, "text"):
                 ids, ns, cids, seeds, keys, bits = part.column("doc_id"), [], [], [], [], []
@@ -106,19 +156,13 @@ def _profiler(k: int, percent: int, heavy: np.ndarray):
                         for column in (cids, seeds, keys, bits):
                             column.append(None)
                         continue
-                    p = kept_length(n, percent)
-                    if len(heavy):
-                        late = np.isin(s, heavy, assume_unique=True)
-                        head = np.concatenate([s[~late][:p], s[late]])[:p]
-                    else:
-                        head = s[:p]
                     cids.append(class_id(s))
-                    seeds.append(int(K.mix(s ^ np.uint64(0x5DEECE66D)).min().astype(np.int64)))
-                    keys.append(head.astype(np.int64))
+                    seeds.append([int(K.mix(s ^ salt).min().astype(np.int64)) for salt in _SEED_SALT])
+                    keys.append(prefix(s, levels, percent).astype(np.int64))
                     bits.append(parity_bits(s))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(ns, pa.int64()), pa.array(cids, pa.int64()), pa.array(seeds, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                    names=["doc_id", "n", "cid", "seed", "keys", "bits"],
+                    [ids, pa.array(ns, pa.int64()), pa.array(cids, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (seeds, keys)), pa.array(bits, pa.binary())],
+                    names=["doc_id", "n", "cid", "seeds", "keys", "bits"],
                 )
 
     return run
@@ -234,20 +278,32 @@ def _pairs_in_tiles(mode: str, percent: int):
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
-    """Keys that classes of different components share: key, m; keyed: key, cid, comp."""
-    stats = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    return stats.where("m > 1 and low <> high").select("key", "m")
+    """Keys that classes of different components share."""
+    stats = keyed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    return stats.where("low <> high").select("key")
+
+
+def _met(keyed: DataFrame, keys: DataFrame, labelled: DataFrame, percent: int | None) -> DataFrame:
+    """key, cid, m: the classes at each shared key, and their number; with a percentage only classes with as many shared keys as a link needs."""
+    met = keyed.select("key", "cid").join(keys, "key")
+    if percent is not None:
+        enough = met.groupBy("cid").agg(F.count("*").alias("of")).join(labelled.select("cid", "n"), "cid").where(F.col("of") >= needed(F.col("n"), percent))
+        met = met.join(enough.select("cid"), "cid", "left_semi")
+    many = met.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    return met.join(many, "key")
+
 
+def _same_few(met: DataFrame) -> DataFrame:
+    """Keys of at most SMALL classes, one for all keys that the same classes share."""
+    few = met.where(F.col("m") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("cid")).alias("members"))
+    sets = few.select("members").distinct()
+    return sets.select(F.xxhash64("members").alias("key"), F.explode("members").alias("cid"), F.size("members").cast("long").alias("m"))
 
-def _tile_pairs(keyed: DataFrame, keys: DataFrame, classes: DataFrame, mode: str, percent: int) -> DataFrame:
-    """Pairs (a, b) among classes that share one of the keys; classes: cid, n, comp, bits (mode exact: and hashes)."""
+
+def _tile_pairs(met: DataFrame, classes: DataFrame, mode: str, percent: int) -> DataFrame:
+    """Pairs (a, b) among classes that share a key; met: key, cid, m; classes: cid, n, comp, bits (mode exact: and hashes)."""
     carried = ["cid", "n", "comp", "bits"] + ["hashes"] * (mode == "exact")
-    met = keyed.select("key", "cid").join(keys.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
-    # a class's keys are no more than its prefix
-    lists = met.groupBy("cid").agg(F.collect_list(F.struct("key", "blocks")).alias("met")).join(classes.select(carried), "cid")
-    if mode == "all":
-        lists = lists.where(F.size("met") >= needed(F.col("n"), percent))
-    wide = lists.select(*carried, F.inline("met"))
+    wide = met.select("key", "cid", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")).join(classes.select(carried), "cid")
     band = F.greatest(F.lit(8), F.floor(F.log2("n")).cast("int"))
     edge = F.call_function("shiftleft", F.lit(1).cast("long"), band + 1)
     # side 1: a visitor from the band below; side 3: at home.  Two visitors have met at home.
@@ -271,9 +327,9 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     """
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
     words = ids.select((bit / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("x")).groupBy("w").agg(F.bit_or("x").alias("x"))
+    found = words.toArrow()  # at most 2**(FILTER_BITS - 6) rows of two numbers
     out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
-    for w, x in words.collect():  # at most 2**(FILTER_BITS - 6) rows
-        out[w] = np.uint64(x & 0xFFFFFFFFFFFFFFFF)
+    out[found.column("w").to_numpy()] = found.column("x").to_numpy().astype(np.uint64)
     return out
 
 
@@ -291,7 +347,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["cid", "hashes"])
 
     scanned = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("h"), "text").mapInArrow(K.tidy(run), "cid long, hashes binary")
-    return scanned.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
+    return settle(scanned.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
 
 
 def _linked(percent: int):
@@ -305,47 +361,61 @@ def _linked(percent: int):
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    sets = settle(_sets_of(docs, classes.join(ends, "cid", "left_semi").select("cid", F.col("rep").alias("doc_id")), k), "sets")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     joined = pairs.join(sets.select(F.col("cid").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("cid").alias("b"), F.col("hashes").alias("hb")), "b")
     return joined.select("a", "b", "ha", "hb").mapInArrow(K.tidy(_linked(percent)), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, heavy_at: int = HEAVY) -> DataFrame:
+def _round(picked: DataFrame, labelled: DataFrame, of: Column, k: int, percent: int, full: bool) -> DataFrame | None:
+    """Links (a, b) found among classes of different components that share one of the keys; None if no key is shared."""
+    keyed = labelled.select(F.explode(of).alias("key"), "cid", "comp")
+    shared = settle(_shared(keyed), "shared")
+    if shared.isEmpty():
+        drop(shared)
+        return None
+    met = settle(_met(keyed, shared, labelled, percent if full else None), "met")
+    drop(shared)
+    large = met.where(F.col("m") > SMALL)
+    close = None
+    if full:
+        pairs = settle(_tile_pairs(large.unionByName(_same_few(met)), labelled, "all", percent), "pairs")
+    else:
+        # hash arrays go to classes alone whose bitmaps allow a link in such a tile
+        close = settle(_tile_pairs(large, labelled, "touch", percent).select(F.col("a").alias("cid")).distinct(), "close")
+        pairs = settle(_tile_pairs(_same_few(met), labelled, "spanning", percent), "pairs")
+    ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))
+    ends = (ends if close is None else ends.unionByName(close)).distinct()
+    sets = _sets_of(picked, settle(labelled.join(ends, "cid", "left_semi").select("cid", F.col("rep").alias("doc_id")), "wanted"), k)
+    links = _verified(pairs, sets, percent)
+    if close is not None:
+        links = links.unionByName(_tile_pairs(large, labelled.join(close, "cid", "left_semi").join(sets, "cid"), "exact", percent))
+    out = settle(links, "links")
+    for table in (met, pairs, sets, *([close] if close is not None else [])):
+        drop(table)
+    sweep(picked.sparkSession)
+    return out
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     picked = _pick(docs, doc_id, text)
-
-    def profile(heavy: np.ndarray) -> tuple[DataFrame, DataFrame]:
-        rows = settle(picked.mapInArrow(K.tidy(_profiler(k, percent, heavy)), PROFILE), "profile")
-        classes = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("seed").alias("seed"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
-        return rows, settle(classes, "classes")
-
-    rows, classes = profile(np.empty(0, np.uint64))
-    # keys of very many prefixes: bounded in number, and only the order of search depends on them
-    counts = classes.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") >= heavy_at)
-    heavy = [r["key"] for r in counts.orderBy(F.desc("count"), "key").limit(MOST_HEAVY).select("key").collect()]
-    if heavy:
-        _, classes = profile(np.sort(np.array(heavy, np.int64).astype(np.uint64)))
-    labelled = classes.withColumn("comp", F.col("cid"))
-    edges: list[DataFrame] = []
-    for step in ("seed", "all"):
-        of = F.array(F.element_at("keys", 1), F.col("seed")) if step == "seed" else F.col("keys")
-        keyed = labelled.select(F.explode(of).alias("key"), "cid", "comp")
-        shared = settle(_shared(keyed), "shared")
-        if step == "seed":
-            large, few = shared.where(F.col("m") > SMALL), shared.where(F.col("m") <= SMALL)
-            # hash arrays go to classes alone whose bitmaps allow a link in such a tile
-            close = settle(_tile_pairs(keyed, large, labelled, "touch", percent).select(F.col("a").alias("cid")).distinct(), "close")
-            sets = _sets_of(picked, classes.join(close, "cid", "left_semi").select("cid", F.col("rep").alias("doc_id")), k)
-            edges.append(settle(_tile_pairs(keyed, large, labelled.join(sets, "cid"), "exact", percent), "links"))
-            pairs = settle(_tile_pairs(keyed, few, labelled, "spanning", percent), "pairs")
-        else:
-            pairs = settle(_tile_pairs(keyed, shared, labelled, "all", percent), "pairs")
-        edges.append(settle(_verified(picked, pairs, classes, k, percent), "links"))
-        roots = components(functools.reduce(DataFrame.unionByName, edges))
-        named = roots.select(F.col("v").alias("cid"), "root")
+    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(picked, k))
+    profile = settle(picked.mapInArrow(K.tidy(_profiler(k, percent, levels)), PROFILE), "profile")
+    rows = settle(profile.select("doc_id", "n", "cid"), "rows")
+    firsts = (F.first(c).alias(c) for c in ("n", "seeds", "keys", "bits"))
+    classes = settle(profile.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), *firsts), "classes")
+    drop(profile)
+    sweep(docs.sparkSession)
+    labelled, edges = classes.withColumn("comp", F.col("cid")), []
+    for step in (0, 2, None):
+        found = _round(picked, labelled, F.col("keys") if step is None else F.slice("seeds", step + 1, 2), k, percent, full=step is None)
+        if found is None:
+            continue
+        edges.append(found)
+        named = components(functools.reduce(DataFrame.unionByName, edges)).select(F.col("v").alias("cid"), "root")
         labelled = classes.join(named, "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
-    least = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    names = labelled.select("cid", "comp").join(least, "comp").select("cid", "component_id")
-    return rows.join(names, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    names = settle(labelled.select("cid", "rep", "comp"), "names")
+    drop(classes)
+    least = names.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    named = names.select("cid", "comp").join(least, "comp").select("cid", "component_id")
+    return rows.join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

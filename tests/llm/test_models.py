@@ -59,8 +59,7 @@ def near_copies(rng, base, n, edits):
 
 
 @pytest.mark.parametrize("make", [table, clashing])
-@pytest.mark.parametrize("settings", [{}, {"heavy_at": 3}])
-def test_components_against_brute_force(spark, make, settings, monkeypatch):
+def test_components_against_brute_force(spark, make, monkeypatch):
     monkeypatch.setattr(tiles, "BLOCK", 8)
     monkeypatch.setattr(tiles, "SMALL", 4)
     rng = random.Random(11)
@@ -69,7 +68,7 @@ def test_components_against_brute_force(spark, make, settings, monkeypatch):
         texts += near_copies(rng, prose(rng, n), k, edits)
     texts += [f"{prose(rng, 12)} the same closing line of words here {prose(rng, 12)}" for _ in range(40)]
     want = brute_components(list(enumerate(texts)))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in tiles.jaccard_components(make(spark, texts), **settings).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in tiles.jaccard_components(make(spark, texts)).collect()}
     assert got == want
     assert len({c for _, c in want.values()}) < len(texts) - 60
 
@@ -104,10 +103,21 @@ def test_needed_keys_are_shared():
         both = len(np.intersect1d(x, y))
         if 100 * both < 90 * (len(x) + len(y) - both) or not both:
             continue
-        shared = len(np.intersect1d(x[: tiles.kept_length(len(x))], y[: tiles.kept_length(len(y))]))
-        for m in (len(x), len(y)):
-            least = -(-90 * m // 100)
-            assert shared >= 1 + tiles.prefix_length(least) // 2
+        for levels in (np.zeros(64, np.uint8), rng.integers(0, 9, 64).astype(np.uint8)):
+            kept = [tiles.prefix(s.astype(np.uint64), levels) for s in (x, y)]
+            shared = len(np.intersect1d(*kept))
+            for m in (len(x), len(y)):
+                least = -(-90 * m // 100)
+                assert shared >= 1 + tiles.prefix_length(least) // 2
+
+
+def test_order_is_rarest_first(spark):
+    texts = ["the same opening line of words " + " ".join(f"d{d}w{i}" for i in range(20)) for d in range(50)]
+    levels = tiles.frequency_levels(table(spark, texts), 3)
+    sets = tiles.shingle_sets(pa.array(texts))
+    common = set(sets[0].tolist()) & set(sets[1].tolist())
+    assert len(common) == 4
+    assert not any(common & set(tiles.prefix(s, levels).tolist()) for s in sets)
 
 
 def test_graph(spark):

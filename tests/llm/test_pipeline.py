@@ -10,7 +10,6 @@ import numpy as np
 import corpus_pipeline
 from quillspan.llm import kneser, mixing, pieces, secrets, tiles
 from tests.llm.common import SCHEMA, table, words
-from tests.llm.test_models import brute_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,8 +27,7 @@ def test_stages(spark):
         if name == "quality classifier":
             assert set(ids) == {d for d, k in kept.items() if k} and len(ids) > 100
         elif name == "n-gram Jaccard join":
-            roots = brute_components([(r["doc_id"], r["text"]) for r in before])
-            assert ids == Counter(d for d, (_, root) in roots.items() if d == root)
+            assert ids == Counter(smallest_of_groups([(r["doc_id"], r["text"]) for r in before]))
         elif name == "secret scans":
             path = secrets.vocabulary_path()
             want = {r["doc_id"]: secrets.redact(r["text"], secrets.find_spans(r["text"], path)) for r in before}
