@@ -5,7 +5,9 @@ the thresholds; of the others at most ``MOST_TRUSTED``, again by hash, are the
 bounded sample that the model is trained on.  Their word n-grams up to order 3 give an
 interpolated model with the three discounts of modified Kneser-Ney per order;
 unigrams are interpolated with a uniform word, so unseen words have a probability.
-A table of n-grams is cut into shards by key.  Scoring joins every document's
+Counts, discounts and weights are worked out as tables on the executors, which also
+sort each shard of the model's key space; the driver sees counts of counts and the
+packed shards, whose size the training sample bounds.  Scoring joins every document's
 n-grams with the shards in turn and adds up log-probabilities, whole texts always.
 A short text's log-perplexity says little, so it is drawn towards its language's
 median as if ``SHRINK`` more words had that value.  Per language the threshold is a
@@ -15,13 +17,13 @@ share of its distance from the median; documents above it are rejected.
 A null or empty text (or one without words) has no perplexity and is rejected.  A
 language with fewer than ``LEAST_TRUSTED`` trusted documents, or a null one, uses
 the quantile over all languages; without any trusted document nothing but empty
-texts is rejected.  Rows that repeat are judged alike.  Other columns are ignored
-whatever their names.
+texts is rejected.  Rows that repeat are judged alike.  Other columns may have any
+names: the operator's own columns take names that the input hasn't.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,24 +66,17 @@ def contexts(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
     return one, two
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """D(0), D(1), D(2), D(3+) from the counts of counts."""
-    n = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+def discounts(n: Sequence[int]) -> list[float]:
+    """D(0), D(1), D(2), D(3+) from how many n-grams were seen once, twice, three and four times."""
     if not n[0] or not n[1]:
-        return np.array([0.0, 0.5, 0.5, 0.5])
+        return [0.0, 0.5, 0.5, 0.5]
     y = n[0] / (n[0] + 2 * n[1])
     d = [0.0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2] if n[2] else 1.5]
-    return np.clip(np.array(d), 0.0, [0, 1, 2, 3]).astype(float)
+    return [min(max(x, 0.0), float(k)) for k, x in enumerate(d)]
 
 
-def _grouped(keys: np.ndarray, counts: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per distinct context key: total count and the mass that discounting frees."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
-    total = np.add.reduceat(counts[order].astype(float), head) if len(head) else np.empty(0)
-    freed = np.add.reduceat(d[np.minimum(counts[order], 3)], head) if len(head) else np.empty(0)
-    return k[head], total, freed
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys >> np.uint64(48)) % np.uint64(shards)).astype(np.int64)
 
 
 @dataclass
@@ -101,7 +96,7 @@ class Model:
     def look_up(self, order: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Join n-grams of one order with every shard in turn: direct probability (0 if absent) and weight (1 if absent)."""
         direct, weight = np.zeros(len(keys), np.float32), np.ones(len(keys), np.float32)
-        of = (keys >> np.uint64(61)).astype(np.int64) % len(self.shards)
+        of = shard_of(keys, len(self.shards))
         for s, shard in enumerate(self.shards):
             table = shard.keys[order]
             if not len(table):
@@ -128,56 +123,78 @@ class Model:
         return np.log(p3 + g3.astype(float) * (p2 + g2.astype(float) * p1))
 
 
-def _shard(tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> list[Shard]:
-    out = [Shard([], [], []) for _ in range(n)]
-    for keys, direct, weight in tables:
-        order = np.argsort(keys)
-        keys, direct, weight = keys[order], direct[order].astype(np.float32), weight[order].astype(np.float32)
-        of = (keys >> np.uint64(61)).astype(np.int64) % n
-        for s in range(n):
-            out[s].keys.append(keys[of == s])
-            out[s].direct.append(direct[of == s])
-            out[s].weight.append(weight[of == s])
-    return out
+def _discounted(table: DataFrame) -> tuple[DataFrame, list[float]]:
+    """The table of n-grams (n: count) with each one's discount, and the four discounts."""
+    seen = table.agg(*(F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4))).first()
+    d = discounts([int(x or 0) for x in seen])
+    return table.withColumn("d", F.element_at(F.array(*(F.lit(x) for x in d[1:])), F.least("n", F.lit(3)).cast("int"))), d
+
+
+def estimate(trigrams: DataFrame, shards: int = SHARDS) -> Model:
+    """The model from distinct trigrams and their counts: a, b, c (hashes; c is the word), n."""
+    tri, _ = _discounted(trigrams)
+    # lower orders count distinct words to the left
+    bi, _ = _discounted(settle(trigrams.groupBy("b", "c").agg(F.count("*").alias("n")), "bigrams"))
+    uni, d1 = _discounted(bi.groupBy("c").agg(F.count("*").alias("n")))
+    total1, freed1, kinds = uni.agg(F.sum("n"), F.sum("d"), F.count("*")).first()
+    uniform = freed1 / total1 / (kinds + 1) if kinds else 1.0
+    none, one = F.lit(None).cast("long"), F.lit(1.0)
+
+    def weights(table: DataFrame, *history: str) -> DataFrame:
+        """Per history: its total, and what discounting leaves to the next order down."""
+        return table.groupBy(*history).agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight"))
+
+    w3, w2 = weights(tri, "a", "b"), weights(bi, "b")
+    # an n-gram's own probability, and the weight that it has as a history: one row for each or both
+    direct3 = tri.join(w3, ["a", "b"]).select("a", "b", "c", ((F.col("n") - F.col("d")) / F.col("total")).alias("direct"))
+    direct2 = bi.join(w2, "b").select("b", "c", ((F.col("n") - F.col("d")) / F.col("total")).alias("direct"))
+    direct1 = uni.select("c", ((F.col("n") - F.col("d")) / F.lit(total1 or 1) + F.lit(uniform)).alias("direct"))
+    as_pair = w3.select(F.col("a").alias("b"), F.col("b").alias("c"), "weight")
+    rows = (
+        direct1.join(w2.select(F.col("b").alias("c"), "weight"), "c", "full").select(F.lit(0).alias("of"), none.alias("a"), none.alias("b"), "c", "direct", "weight")
+        .unionByName(direct2.join(as_pair, ["b", "c"], "full").select(F.lit(1).alias("of"), none.alias("a"), "b", "c", "direct", "weight"))
+        .unionByName(direct3.select(F.lit(2).alias("of"), "a", "b", "c", "direct", one.alias("weight")))
+    )
+    keyed = rows.select("of", "a", "b", "c", F.coalesce("direct", F.lit(0.0)).alias("direct"), F.coalesce("weight", one).alias("weight")).mapInArrow(K.tidy(_keyed(shards)), _KEYED)
+    packed = keyed.groupBy("shard").applyInArrow(_pack, _PACKED).toArrow()  # a row for each shard
+    empty = np.empty(0)
+    out = [Shard([empty.astype(np.uint64)] * 3, [empty.astype(np.float32)] * 3, [empty.astype(np.float32)] * 3) for _ in range(shards)]
+    for row in packed.to_pylist():
+        for kind, dtype in (("keys", np.uint64), ("direct", np.float32), ("weight", np.float32)):
+            setattr(out[row["shard"]], kind, [np.frombuffer(row[f"{kind}{k}"], dtype) for k in range(3)])
+    return Model(out, float(uniform))
 
 
-def _outer(keys: np.ndarray, direct: np.ndarray, ctx: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One table of n-grams that have a direct probability and of those that are contexts."""
-    every = np.union1d(keys, ctx)
-    d, g = np.zeros(len(every)), np.ones(len(every))
-    d[np.searchsorted(every, keys)] = direct
-    g[np.searchsorted(every, ctx)] = weight
-    return every, d, g
-
-
-def estimate(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray, shards: int = SHARDS) -> Model:
-    """The model from distinct trigrams (hashes a, b, c; c is the word) and their counts."""
-    # order 3
-    d3 = discounts(n)
-    ctx3 = pair_key(a, b)
-    k3, total3, freed3 = _grouped(ctx3, n, d3)
-    at = np.searchsorted(k3, ctx3)
-    direct3 = (n - d3[np.minimum(n, 3)]) / total3[at]
-    # order 2: distinct words to the left of (b, c)
-    pair = pair_key(b, c)
-    keys2, first, count2 = np.unique(pair, return_index=True, return_counts=True)
-    b2, c2 = b[first], c[first]
-    d2 = discounts(count2)
-    k2, total2, freed2 = _grouped(b2, count2, d2)
-    at = np.searchsorted(k2, b2)
-    direct2 = (count2 - d2[np.minimum(count2, 3)]) / total2[at]
-    # order 1: distinct words to the left of c
-    keys1, count1 = np.unique(c2, return_counts=True)
-    d1 = discounts(count1)
-    total1 = max(1, int(count1.sum()))
-    uniform = float(d1[np.minimum(count1, 3)].sum()) / total1 / (len(keys1) + 1) if len(keys1) else 1.0
-    direct1 = (count1 - d1[np.minimum(count1, 3)]) / total1 + uniform
-    tables = [
-        _outer(keys1, direct1, k2, freed2 / total2),
-        _outer(keys2, direct2, k3, freed3 / total3),
-        (triple_key(a, b, c), direct3, np.ones(len(n))),
-    ]
-    return Model(_shard(tables, shards), uniform)
+_KEYED = "shard int, of int, key long, direct float, weight float"
+_PACKED = "shard int, " + ", ".join(f"{kind}{k} binary" for kind in ("keys", "direct", "weight") for k in range(3))
+
+
+def _keyed(shards: int):
+    """N-grams by their keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = batch.column("of").to_numpy()
+            a, b, c = (batch.column(x).fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64) for x in "abc")
+            key = np.select([of == 0, of == 1], [c, pair_key(b, c)], triple_key(a, b, c))
+            columns = [pa.array(shard_of(key, shards).astype(np.int32)), batch.column("of"), pa.array(key.astype(np.int64)), *(batch.column(x).cast(pa.float32()) for x in ("direct", "weight"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "of", "key", "direct", "weight"])
+
+    return run
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    """One shard's sorted arrays."""
+    of, key, direct, weight = (table.column(c).to_numpy() for c in ("of", "key", "direct", "weight"))
+    out = {"shard": table.column("shard").slice(0, 1)}
+    arrays: dict[str, list[bytes]] = {"keys": [], "direct": [], "weight": []}
+    for k in range(3):
+        at = np.flatnonzero(of == k)
+        at = at[np.argsort(key[at].astype(np.uint64))]
+        for kind, x in (("keys", key.astype(np.uint64)), ("direct", direct), ("weight", weight)):
+            arrays[kind].append(x[at].tobytes())
+    out |= {f"{kind}{k}": pa.array([x], pa.binary()) for kind, parts in arrays.items() for k, x in enumerate(parts)}
+    return pa.table(out)
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,12 +216,23 @@ def train(docs: DataFrame, trusted: DataFrame, most: int = MOST_TRUSTED, shards:
     chosen = settle(pool.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "trusted")
     # at most ``most`` ids
     text = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text")
-    counts = text.mapInArrow(K.tidy(_trigrams), "a long, b long, c long, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n")).toArrow()
-    a, b, c = (counts.column(x).to_numpy().astype(np.uint64) for x in "abc")
-    return estimate(a, b, c, counts.column("n").to_numpy(), shards)
+    counts = text.mapInArrow(K.tidy(_trigrams), "a long, b long, c long, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+    return estimate(settle(counts, "trigrams"), shards)
+
+
+_WORDS, _MEAN, _SCORE, _THRESHOLD = "__words", "__log_perplexity", "__score", "__threshold"
 
 
-_WORDS, _MEAN = "__words", "__log_perplexity"
+def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table, columns that have the operator's own names renamed, and their names by the new ones."""
+    own = {_WORDS, _MEAN, _SCORE, _THRESHOLD}
+    names = {}
+    for c in docs.columns:
+        new = c
+        while new != c and new in docs.columns or new in own:
+            new = f"_{new}"
+        names[new] = c
+    return docs.toDF(*names), names
 
 
 def _scorer(model, names: list[str], column: str):
@@ -243,11 +271,11 @@ def _scores(docs: DataFrame, carried: list[str], labels: DataFrame, most: int, q
 
     highs = _by_language(held.withColumn("score", score("lang")), F.percentile(F.round("score", 3), F.lit(quantile)))
     threshold = _pick(highs, lang) + spread * (_pick(highs, lang) - _pick(middles, lang))
-    return scores.withColumn("__score", score(lang)).withColumn("__threshold", threshold)
+    return scores.withColumn(_SCORE, score(lang)).withColumn(_THRESHOLD, threshold)
 
 
 def kept() -> Column:
-    return F.col(_MEAN).isNotNull() & F.coalesce(F.col("__score") <= F.col("__threshold"), F.lit(True))
+    return F.col(_MEAN).isNotNull() & F.coalesce(F.col(_SCORE) <= F.col(_THRESHOLD), F.lit(True))
 
 
 def classify(
@@ -267,15 +295,16 @@ def classify(
         F.col(lang).cast("string").alias("lang"),
         F.col(_WORDS).alias("n_words"),
         F.col(_MEAN).alias("log_perplexity"),
-        F.col("__score").alias("score"),
-        F.col("__threshold").alias("threshold"),
+        F.col(_SCORE).alias("score"),
+        F.col(_THRESHOLD).alias("threshold"),
         kept().alias("kept"),
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = MOST_TRUSTED, quantile: float = QUANTILE, spread: float = SPREAD) -> DataFrame:
     """The rows that are kept, with their columns as they were."""
-    return _scores(docs, docs.columns, labels, most, quantile, spread, doc_id, text, lang).where(kept()).select(*docs.columns)
+    apart, names = _apart(docs)
+    return _scores(apart, apart.columns, labels, most, quantile, spread, doc_id, text, lang).where(kept()).select(*(F.col(f"`{new}`").alias(c) for new, c in names.items()))
 
 
 def _by_language(held: DataFrame, value: Column) -> dict[str | None, float]:
