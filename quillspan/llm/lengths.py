@@ -1,10 +1,11 @@
 """Token counts (operator 3): an exact histogram of encoded lengths with suffix sums.
 
-Documents are aggregated by (group, length); sums from the long end then answer,
-for every length L taken as a context limit: how many documents are at least so
-long, how many ids all documents up to L have, and how many ids remain when each
-document is cut at L.  The number of rows is bounded by the number of distinct
-lengths, and is far below that of documents.
+Documents are aggregated by (group, length), each text encoded once; sums from the
+long end then answer, for every length L taken as a context limit: how many documents
+are at least so long, how many ids all documents up to L have, and how many ids
+remain when each document is cut at L.  The number of rows is bounded by the number of
+distinct lengths, and is far below that of documents.  ``at_limits`` answers any
+other limit from the sums of the next length that occurs.
 
 A null or empty text has 0 ids.  A null group is a group of its own.  Repeated rows
 count each.  An empty table has an empty histogram.
@@ -12,7 +13,7 @@ count each.  An empty table has an empty histogram.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm import bpe
 from quillspan.llm import kernels as K
+from quillspan.llm.store import settle
 
 BLOCK = 1024
 
@@ -61,37 +63,53 @@ def length_histogram(docs: DataFrame, text: str = "text", group: str = "lang", p
     it; tokens_to adds the ids of the former; truncated_total is the sum of
     min(length, L); quantile is docs_to over all documents of the group.
     """
-    counts = encoded_lengths(docs, text, group, path).groupBy("grp", "n_tokens").agg(F.sum("n_docs").alias("n_docs"))
-    return with_suffix_sums(counts)
+    counts = settle(encoded_lengths(docs, text, group, path).groupBy("grp", "n_tokens").agg(F.sum("n_docs").alias("n_docs")), "lengths")
+    return with_suffix_sums(counts).drop("tokens_from")
 
 
 def with_suffix_sums(counts: DataFrame) -> DataFrame:
-    """Running sums in two levels (blocks of lengths, then lengths), so that no window holds a whole group."""
+    """Sums from the long end, in two levels (blocks of lengths, then lengths), so that no window holds a whole group."""
     tokens = F.col("n_tokens") * F.col("n_docs")
     blocked = counts.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", tokens)
     blocks = blocked.groupBy("grp", "block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
-    over = Window.partitionBy("grp").orderBy("block")
     every = Window.partitionBy("grp")
-    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    longer = every.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))
     sums = blocks.select(
         F.col("grp").alias("g"),
         F.col("block").alias("b"),
-        zero(F.sum("bd").over(before)).alias("docs_before"),
-        zero(F.sum("bt").over(before)).alias("tokens_before"),
+        zero(F.sum("bd").over(longer)).alias("docs_longer"),
+        zero(F.sum("bt").over(longer)).alias("tokens_longer"),
         F.sum("bd").over(every).alias("all_docs"),
+        F.sum("bt").over(every).alias("all_tokens"),
     )
-    inside = Window.partitionBy("grp", "block").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("grp", "block").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = blocked.withColumn("d", F.sum("n_docs").over(inside)).withColumn("t", F.sum("tokens").over(inside))
-    docs_to = F.col("docs_before") + F.col("d")
-    tokens_to = F.col("tokens_before") + F.col("t")
+    docs_from = F.col("docs_longer") + F.col("d")
+    tokens_from = F.col("tokens_longer") + F.col("t")
+    docs_to = F.col("all_docs") - docs_from + F.col("n_docs")
     return rows.join(sums, F.col("grp").eqNullSafe(F.col("g")) & (F.col("block") == F.col("b"))).select(
         F.col("grp"),
         "n_tokens",
         "n_docs",
         docs_to.alias("docs_to"),
-        (F.col("all_docs") - docs_to + F.col("n_docs")).alias("docs_from"),
-        tokens_to.alias("tokens_to"),
-        (tokens_to + F.col("n_tokens") * (F.col("all_docs") - docs_to)).alias("truncated_total"),
+        docs_from.alias("docs_from"),
+        tokens_from.alias("tokens_from"),
+        (F.col("all_tokens") - tokens_from + F.col("tokens")).alias("tokens_to"),
+        (F.col("all_tokens") - tokens_from + F.col("n_tokens") * docs_from).alias("truncated_total"),
         (docs_to / F.col("all_docs")).alias("quantile"),
     )
+
+
+def at_limits(counts: DataFrame, limits: Sequence[int]) -> DataFrame:
+    """grp, n_limit, docs_from, truncated_total for any limits, from grp, n_tokens, n_docs.
+
+    Both come from the suffix sums of the smallest length that is at least the limit.
+    """
+    sums = with_suffix_sums(counts)
+    tokens = F.sum(F.col("n_tokens") * F.col("n_docs"))
+    at = [F.min(F.when(F.col("n_tokens") >= limit, F.struct("n_tokens", "docs_from", "tokens_from"))) for limit in limits]
+    found = sums.groupBy("grp").agg(tokens.alias("all_tokens"), F.array(*(F.struct(F.lit(int(x)).cast("long").alias("n_limit"), a.alias("at")) for x, a in zip(limits, at, strict=True))).alias("each"))
+    row = found.select("grp", "all_tokens", F.inline("each"))
+    docs_from = F.coalesce(F.col("at.docs_from"), F.lit(0))
+    return row.select("grp", "n_limit", docs_from.alias("docs_from"), (F.col("all_tokens") - F.coalesce(F.col("at.tokens_from"), F.lit(0)) + F.col("n_limit") * docs_from).alias("truncated_total"))
