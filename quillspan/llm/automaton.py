@@ -14,14 +14,14 @@ blocks of about ``BLOCK_BYTES``.  A block asks for its distinct n-grams, with th
 counts in its training texts, in ``SHARDS`` slices of the key space (more for very
 large inputs); a shard adds up what all blocks hold of its keys and answers each
 with the totals, in the order asked.  A block's sorted keys and the answers by shard
-are the same sequence, so answers carry no keys.  Then each block scores its texts.
+are the same sequence, so answers carry no keys.  From them each block builds the
+part of the automaton that its texts pass, and walks every text once from left to
+right: the state is carried along, a token without an arc takes failure arcs down to
+a state that has one, and the weights on the way add up.
 
 A null or empty text has the end as its only token.  A null doc_id's crc32 is that
 of the empty text.  Repeated rows are scored each.  Without any training document
 every score is 0.  Other columns are ignored.
-
-``Automaton`` and ``build`` are the same kind of model over a closed alphabet with
-explicit states; ``score`` doesn't use them.
 """
 
 from __future__ import annotations
@@ -40,9 +40,7 @@ from quillspan.llm.kneser import pair_key, triple_key
 from quillspan.llm.store import settle
 
 FOLDS = 10
-LEAST = 2
 ADD = 0.1
-LANE = 128
 ORDERS = 3
 PRIORS = (64.0, 8.0)  #: weight of the shorter history, for bigrams and trigrams
 BLOCK_BYTES = 16 << 20  #: no result depends on it
@@ -64,84 +62,6 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-@dataclass
-class Automaton:
-    letters: int  #: alphabet: words by rank, then the end, then all other words
-    contexts: int
-    root: np.ndarray  #: log10 probability of each letter
-    keys: np.ndarray  #: state * letters + letter, sorted
-    weight: np.ndarray  #: log10 probability of the arc
-    back: np.ndarray  #: log10 weight of each state's failure arc; state 0 is the root, 1.. single letters, then pairs
-
-    def walk(self, letter: np.ndarray) -> np.ndarray:
-        """log10 probability of each letter of a stream; it begins as if behind an end."""
-        n, size, c = len(letter), self.letters, self.contexts
-        lanes = max(1, -(-n // LANE))
-        padded = np.full(lanes * LANE + 2, size - 2, np.int64)
-        padded[2 : n + 2] = letter
-        grid = padded[np.arange(lanes)[:, None] * LANE + np.arange(LANE + 2)[None, :]].T.copy()
-        out = np.zeros((LANE, lanes), np.float64)
-        state = np.ones(lanes, np.int64) + (size - 2)
-        last = np.full(lanes, size - 2)
-        for step in range(LANE + 2):
-            token = grid[step]
-            if step >= 2:
-                cost, at, open_ = np.zeros(lanes), state.copy(), np.arange(lanes)
-                while len(open_):
-                    s, t = at[open_], token[open_]
-                    key = s * size + t
-                    place = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
-                    hit = (self.keys[place] == key) & (s > 0) if len(self.keys) else np.zeros(len(s), dtype=bool)
-                    done = hit | (s == 0)
-                    cost[open_] += np.where(hit, self.weight[place] if len(self.keys) else 0.0, np.where(s == 0, self.root[t], self.back[s]))
-                    # the failure arc: a pair's history becomes its last letter, a single letter's none
-                    at[open_] = np.where(s > size, 1 + (s - 1 - size) % c, 0)
-                    open_ = open_[~done]
-                out[step - 2] = cost
-            state = np.where((last < c) & (token < c), 1 + size + last * c + token, 1 + token)
-            last = token
-        return out.T.reshape(-1)[:n]
-
-
-def build(letters: int, contexts: int, unigrams: np.ndarray, state: np.ndarray, letter: np.ndarray, count: np.ndarray, least: int = LEAST) -> Automaton:
-    """unigrams: count of each letter; (state, letter, count): how often a letter followed each history."""
-    total = unigrams.sum()
-    root = (unigrams + 0.5) / (total + 0.5 * letters)
-    states = 1 + letters + contexts * contexts
-    whole = np.bincount(state, weights=count, minlength=states)
-    once, twice = (count == 1).sum(), (count == 2).sum()
-    d = once / (once + 2 * twice) if once and twice else 0.5
-    kept = count >= least
-    state, letter, count = state[kept], letter[kept], count[kept]
-    direct = (count - d) / whole[state]
-    back = np.maximum(1 - np.bincount(state, weights=direct, minlength=states), 1e-12)
-    back[whole == 0] = 1.0
-    # interpolate from the root up: an arc has what the failure arc would give besides
-    keys = state * letters + letter
-    order = np.argsort(keys)
-    keys, state, letter, direct = keys[order], state[order], letter[order], direct[order]
-    weight = np.empty(len(keys))
-    single = state <= letters
-    weight[single] = direct[single] + back[state[single]] * root[letter[single]]
-    pair = ~single
-    if pair.any():
-        lower = 1 + (state[pair] - 1 - letters) % contexts
-        at = np.minimum(np.searchsorted(keys, lower * letters + letter[pair]), len(keys) - 1)
-        hit = keys[at] == lower * letters + letter[pair]
-        below = np.where(hit, weight[at], back[lower] * root[letter[pair]])
-        weight[pair] = direct[pair] + back[state[pair]] * below
-    return Automaton(letters, contexts, np.log10(root), keys, np.log10(weight), np.log10(back))
-
-
-def histories(letter: np.ndarray, size: int, contexts: int) -> np.ndarray:
-    """state * size + letter for each token behind its history of one letter, and of two where those are context words."""
-    behind = np.concatenate([[size - 2], letter[:-1]])
-    two = np.concatenate([[size - 2, size - 2], letter[:-2]])[: len(letter)]
-    one = (1 + behind) * size + letter
-    pair = (behind < contexts) & (two < contexts)
-    return np.concatenate([one, (1 + size + two[pair] * contexts + behind[pair]) * size + letter[pair]])
-
-
 REQUESTS = "shard int, block long, " + ", ".join(f"keys{n} binary, own{n} binary" for n in range(ORDERS))
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 ANSWERS = "shard int, block long, " + ", ".join(f"all{n} binary" for n in range(ORDERS)) + ", tokens long, kinds long, once long, twice long"
@@ -262,26 +182,59 @@ def add_up(asked: pa.Table) -> pa.Table:
     return pa.table(out)
 
 
-def probabilities(h: np.ndarray, first: np.ndarray, counts: list[np.ndarray], n_train: int, kinds: int, d: float) -> np.ndarray:
-    """Probability of each token of the texts; counts: of each token's n-grams in the training texts."""
+@dataclass
+class Automaton:
+    """The states and arcs that a block's texts pass, found by the place of each token.
+
+    A state of depth 2 stands for the two tokens before a place, one of depth 1 for the
+    last of them, and the root, depth 0, for none.
+    """
+
+    arc: np.ndarray  #: log10 weight of the arc for each token out of the state of depth 0, 1, 2
+    has: np.ndarray  #: whether that arc is there; the root has one for every token
+    fail: np.ndarray  #: log10 weight of the failure arc of the state of depth 0, 1, 2 before each token
+    after: np.ndarray  #: depth of the longest state that each token leads to
+
+    def walk(self, first: np.ndarray, begin: int) -> np.ndarray:
+        """log10 probability of each text: one pass from left to right that carries each text's state; all begin behind an end."""
+        size = np.diff(first)
+        order = np.argsort(-size, kind="stable")
+        start, shorter = first[:-1][order], -size[order]
+        cost, state = np.zeros(len(order)), np.full(len(order), begin)
+        for step in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(shorter, -step))  # the texts that are longer than so many tokens
+            at, s = start[:n] + step, state[:n]
+            for depth in (2, 1):
+                falls = (s == depth) & ~self.has[depth, at]
+                cost[:n] += np.where(falls, self.fail[depth, at], 0.0)
+                s = np.where(falls, depth - 1, s)
+            cost[:n] += self.arc[s, at]
+            state[:n] = self.after[at]
+        out = np.empty(len(order))
+        out[order] = cost
+        return out
+
+
+def automaton(h: np.ndarray, first: np.ndarray, counts: list[np.ndarray], n_train: int, kinds: int, d: float) -> tuple[Automaton, int]:
+    """The automaton of the texts' n-grams, and the depth of the state behind an end; counts: of each token's n-grams in the training texts."""
     c1, c2, c3 = (c.astype(float) for c in counts)
     begins = np.zeros(len(h), dtype=bool)
     begins[first[:-1]] = True
     # a history was followed by a token as often as it occurred; an end is the history of each text's first token
     ends = c1[first[1:] - 1][0] if len(h) else 0.0
     behind = np.where(begins, ends, np.concatenate([[0.0], c1[:-1]]))
-    pair = np.concatenate([[0.0], c2[:-1]])
+    pair = np.where(begins, 0.0, np.concatenate([[0.0], c2[:-1]]))
     p1 = np.where(c1 > 0, c1 - d, d * kinds) / n_train
     p2 = (c2 + PRIORS[0] * p1) / (behind + PRIORS[0])
     p3 = (c3 + PRIORS[1] * p2) / (pair + PRIORS[1])
-    return np.where(begins, p2, p3)
-
+    every = np.ones(len(h), dtype=bool)
+    fail = np.stack([np.zeros(len(h)), np.log10(PRIORS[0] / (behind + PRIORS[0])), np.log10(PRIORS[1] / (pair + PRIORS[1]))])
+    after = np.where(c2 > 0, 2, np.where(c1 > 0, 1, 0))
+    return Automaton(np.log10(np.stack([p1, p2, p3])), np.stack([every, c2 > 0, c3 > 0]), fail, after), int(ends > 0)
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = FOLDS, most: int | None = None, alphabet: int | None = None, contexts: int | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    ``most``, ``alphabet`` and ``contexts`` bounded an earlier model; they are taken and bound nothing.
-    """
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = FOLDS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
     picked = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     split = picked.withColumn("held_out", fold == 0).select("doc_id", "held_out", "text")
@@ -309,7 +262,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
         base, cost = np.zeros(block.num_rows), np.zeros(block.num_rows)
         if n_train:
             base = np.add.reduceat(np.log10(counts[0] + ADD) - base_of, first[:-1])
-            cost = np.add.reduceat(np.log10(probabilities(h, first, counts, n_train, kinds, d)), first[:-1])
+            model, begin = automaton(h, first, counts, n_train, kinds, d)
+            cost = model.walk(first, begin)
         known = np.add.reduceat((counts[0] > 0).astype(np.int64), first[:-1])
         rows = [block.column("doc_id"), block.column("held_out"), np.diff(first), known, np.full(block.num_rows, n_train), base, cost]
         return pa.table([x if isinstance(x, pa.Array) else pa.array(x) for x in rows], names=[x.split()[0] for x in SCORES.split(", ")])
