@@ -5,7 +5,9 @@ weight's share of all sizes, held to ``most_epochs`` times what the source has;
 excess goes to the others by weight until none is above.  A source takes whole
 epochs of its documents, and for the rest of its target a number of documents of
 each length: proportional quotas first, then a bounded-knapsack program over the
-documents left closes the gap.  Which documents of a length are taken follows a
+documents left closes the gap (at most ``MOST_SUM`` words of it are for the program to decide; a
+source whose documents are longer may miss its target by up to its shortest document).
+What reaches the driver is a row for each source.  Which documents of a length are taken follows a
 seeded hash of doc_id, so reruns agree.
 
 Null or empty texts have size 0 (they are taken as often as their source's whole
@@ -28,7 +30,7 @@ WEIGHTS = (1.0, 2.0, 3.0)
 MOST_EPOCHS = 3
 SEED = 20260805
 HOT = 4096
-MOST_SUM = 1 << 17  #: words that the knapsack program decides, at most
+MOST_SUM = 1 << 17  #: words of a budget that the knapsack program decides, at most: it bounds its memory; the rest goes by quotas and whole documents
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -39,15 +41,14 @@ def targets(sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, most: floa
     free, left = list(range(len(sizes))), float(sum(sizes))
     while free:
         whole = sum(given[i] for i in free)
-        over = [i for i in free if left * given[i] / whole > most * sizes[i]]
+        share = left / whole
+        over = [i for i in free if share * given[i] > most * sizes[i]]
+        for i in over or free:
+            out[i] = float(most * sizes[i]) if over else share * given[i]
         if not over:
-            for i in free:
-                out[i] = left * given[i] / whole
             break
-        for i in over:
-            out[i] = float(most * sizes[i])
         left -= sum(out[i] for i in over)
-        free = [i for i in free if i not in set(over)]
+        free = [i for i in free if share * given[i] <= most * sizes[i]]
     return out
 
 

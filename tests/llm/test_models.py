@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillspan.llm import automaton, edit_prints, kneser, queries, tiles
 from quillspan.llm import kernels as K
@@ -180,14 +181,15 @@ def brute_kneser(train, text):
     return out
 
 
-def test_kneser_against_dictionaries():
+def test_kneser_against_dictionaries(spark):
     rng = random.Random(8)
     train = [prose(rng, 80, "ab") for _ in range(12)] + ["", "a b"]
     tests = [prose(rng, 30, "abc"), "", "zz", train[0]]
     parts = K.words(pa.array(train))
     one, two = kneser.contexts(parts)
     _, first, n = np.unique(kneser.triple_key(two, one, parts.hashes), return_index=True, return_counts=True)
-    model = kneser.estimate(two[first], one[first], parts.hashes[first], n)
+    rows = zip(*(x[first].astype(np.int64).tolist() for x in (two, one, parts.hashes)), n.tolist())
+    model = kneser.estimate(spark.createDataFrame(list(rows), "a long, b long, c long, n long"), shards=3)
     w = K.words(pa.array(tests))
     want = [x for t in tests for x in brute_kneser(train, t)]
     assert np.allclose(model.log_probability(w), want, atol=1e-4)
@@ -204,14 +206,34 @@ def labelled(spark, n=240):
     return spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), n
 
 
+def held_out_id(spark, i):
+    return spark.range(i, i + 1).select(kneser.held_out(F.col("id"))).first()[0]
+
+
 def test_classifier_keeps_good_text(spark):
     docs, labels, n = labelled(spark)
     got = {r["doc_id"]: r for r in kneser.classify(docs, labels).collect()}
     assert sum(got[i]["kept"] for i in range(n)) >= 0.98 * n
     assert not any(got[i]["kept"] for i in range(n, n + 33))
     assert got[n + 31]["log_perplexity"] is None
-    kept = kneser.keep_good(docs, labels)
-    assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got.values())
+    odd = docs.withColumn("__score", F.lit("x")).withColumn("___score", F.lit(1)).withColumn("__threshold", F.lit(None).cast("int"))
+    kept = kneser.keep_good(odd, labels)
+    assert kept.columns == odd.columns and kept.count() == sum(r["kept"] for r in got.values())
+    assert {(r["__score"], r["___score"], r["__threshold"]) for r in kept.collect()} == {("x", 1, None)}
+    middles = {}
+    for lang in ("en", "fr"):  # thresholds and verdicts by hand
+        held = [r for r in got.values() if r["doc_id"] < n and r["lang"] == lang and r["log_perplexity"] is not None and held_out_id(spark, r["doc_id"])]
+        grid = np.round([r["log_perplexity"] for r in held], 3)
+        middles[lang] = float(np.percentile(grid, 50))
+        scores = [(r["log_perplexity"] * r["n_words"] + middles[lang] * kneser.SHRINK) / (r["n_words"] + kneser.SHRINK) for r in held]
+        high = float(np.percentile(np.round(scores, 3), 100 * kneser.QUANTILE))
+        assert len(held) >= kneser.LEAST_TRUSTED
+        for r in got.values():
+            if r["lang"] == lang and r["log_perplexity"] is not None:
+                score = (r["log_perplexity"] * r["n_words"] + middles[lang] * kneser.SHRINK) / (r["n_words"] + kneser.SHRINK)
+                assert r["score"] == pytest.approx(score, abs=1e-6)
+                assert r["threshold"] == pytest.approx(high + kneser.SPREAD * (high - middles[lang]), abs=2e-3)
+                assert r["kept"] == (r["score"] <= r["threshold"])
 
 
 def test_classifier_without_labels_or_rows(spark):
@@ -233,26 +255,71 @@ def test_held_out_accuracy(spark):
 # --- fingerprints ---
 
 
+def embedding(text):
+    """One text's walk, character by character: for each step the hashed bits of what it writes, None behind its end."""
+    letters, out, at = edit_prints.classes(np.array([ord(c) for c in text], np.uint32)), [], 0
+    for step in range(4 * len(text) + 200):
+        done = at >= len(text)
+        out.append(None if done else int(edit_prints.bit_row(step)[letters[at]]))
+        at += 0 if done else int(edit_prints.move_row(step)[letters[at]])
+    assert out[-1] is None
+    return out
+
+
+def brute_print(text):
+    """The fingerprint's words from the walk of one text."""
+    steps = embedding(text)
+    words = [len(text), 0, 0, 0, 0]
+    for p in range(64):
+        for plane in range(4):
+            words[1 + plane] |= ((steps[p] or 0) >> plane & 1) << p if p < len(steps) else 0
+    o = 1
+    while edit_prints.octave_start(o) < 2 * len(text):
+        places = edit_prints._PLACES[o].tolist()
+        assert places[0] >= 64 << (o - 1) and places[-1] < 64 << o and len(set(places)) == 64
+        words.append(sum(((steps[p] or 0) & 1) << k for k, p in enumerate(places) if p < len(steps)))
+        o += 1
+    return b"".join(w.to_bytes(8, "little") for w in words).hex()
+
+
 @pytest.mark.parametrize("make", [table, clashing])
 def test_prints_and_edits(spark, make, monkeypatch):
     texts = [*odd_texts(), *[t for _, t in real()[:40]]]
     plain = [t or "" for t in texts]
     got = {r["doc_id"]: r for r in edit_prints.fingerprints(make(spark, texts).repartition(5)).collect()}
     assert sorted(got) == list(range(len(texts)))
-
-    def own(t):
-        raw = edit_prints._Texts(pa.array([t]))
-        return edit_prints.prints(raw.chars, raw.bounds)
-
     for i, r in got.items():
         after = plain[i - 1] if i else plain[-1]
         changed = plain[i][: len(plain[i]) - len(plain[i]) // 2] + after[: len(plain[i]) // 2]
         assert r["n_chars"] == len(plain[i])
         assert r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
-        assert r["fingerprint"] == own(plain[i]).tobytes().hex() and r["edited_fingerprint"] == own(changed).tobytes().hex()
-        assert r["near_edited"] == pytest.approx(float(edit_prints.likeness(own(plain[i]), own(changed))[0]))
-        assert r["near_next"] == pytest.approx(float(edit_prints.likeness(own(plain[i]), own(after))[0]))
-        assert 0 <= r["near_edited"] <= 1
+        if len(plain[i]) < 6000:
+            assert r["fingerprint"] == brute_print(plain[i]) and r["edited_fingerprint"] == brute_print(changed)
+        p, q, x = (edit_prints.parse([f]) for f in (r["fingerprint"], r["edited_fingerprint"], got[i - 1 if i else len(texts) - 1]["fingerprint"]))
+        assert r["near_edited"] == pytest.approx(float(edit_prints.likeness(p, q)[0])) and 0 <= r["near_edited"] <= 1
+        assert r["near_next"] == pytest.approx(float(edit_prints.likeness(p, x)[0]))
+        assert r["bands_edited"] == edit_prints.bands_in_common(p, q)[0] and r["bands_next"] == edit_prints.bands_in_common(p, x)[0]
+
+
+def test_likeness_follows_the_embeddings():
+    """Sampled likeness against the share of steps at which whole embeddings agree."""
+    rng = random.Random(6)
+    off, shares = [], []
+    for share in (0.0, 0.002, 0.005, 0.01, 0.03, 0.2, 1.0):
+        for _ in range(6):
+            base = prose(rng, rng.choice((30, 200, 600)), "abcdefghijklmnop")
+            text = "".join(c if rng.random() >= share else rng.choice("qrstuvwxyz") for c in base)
+            n = 2 * max(len(base), len(text))
+            x, y = embedding(base)[:n], embedding(text)[:n]
+            true = sum(a == b for a, b in zip(x, y)) / n
+            got = float(edit_prints.likeness(*(edit_prints.parse([brute_print(t)]) for t in (base, text)))[0])
+            off.append(abs(got - true))
+            assert share or got == 1
+        shares.append((share, got))
+    assert np.mean(off) < 0.08 and max(off) < 0.3
+    a, b = (edit_prints.parse([brute_print(t)]) for t in ("abc def ghi jkl", "abc def ghi jkk"))
+    assert 0.5 < edit_prints.likeness(a, b)[0] < 1
+    assert edit_prints.likeness(edit_prints.parse([brute_print("")]), a)[0] == 0
 
 
 def test_few_documents(spark):
@@ -297,42 +364,14 @@ def test_scores_against_definition(spark, monkeypatch):
     held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in docs}
     c = Counter(t for d, x in toks.items() if not held[d] for t in x)
     n, v = sum(c.values()), len(c)
-    for settings in ({}, {"most": 50, "alphabet": 20, "contexts": 4}):
-        rows = {r["doc_id"]: r for r in automaton.score(df, **settings).collect()}
-        for d, r in rows.items():
-            assert r["held_out"] == held[d] and r["n_tokens"] == len(toks[d]) and r["train_tokens"] == n
-            assert r["n_known"] == sum(t in c for t in toks[d])
-            assert r["base_score"] == pytest.approx(sum(math.log10((c[t] + 0.1) / (n + 0.1 * (v + 1))) for t in toks[d]))
-            assert r["score"] < 0
-        out = [r for r in rows.values() if r["held_out"]]
-        assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
-
-
-def test_automaton_is_a_distribution_and_walks_like_one():
-    rng = np.random.default_rng(1)
-    letters, contexts = 9, 3
-    stream = np.where(rng.random(4000) < 0.5, rng.integers(0, 3, 4000), rng.integers(0, letters, 4000))
-    k, n = np.unique(automaton.histories(stream, letters, contexts), return_counts=True)
-    m = automaton.build(letters, contexts, np.bincount(stream, minlength=letters), k // letters, k % letters, n)
-
-    def cost(s, t):
-        x = 0.0
-        while s:
-            i = np.searchsorted(m.keys, s * letters + t)
-            if i < len(m.keys) and m.keys[i] == s * letters + t:
-                return x + m.weight[i]
-            x, s = x + m.back[s], 1 + (s - 1 - letters) % contexts if s > letters else 0
-        return x + m.root[t]
-
-    for s in range(1 + letters + contexts**2):
-        assert sum(10 ** cost(s, t) for t in range(letters)) == pytest.approx(1)
-    test = rng.integers(0, letters, 1000)
-    state, last, want = letters - 1, letters - 2, []
-    for t in test.tolist():
-        want.append(cost(state, t))
-        state = 1 + letters + last * contexts + t if last < contexts and t < contexts else 1 + t
-        last = t
-    assert np.allclose(m.walk(test), want)
+    rows = {r["doc_id"]: r for r in automaton.score(df).collect()}
+    for d, r in rows.items():
+        assert r["held_out"] == held[d] and r["n_tokens"] == len(toks[d]) and r["train_tokens"] == n
+        assert r["n_known"] == sum(t in c for t in toks[d])
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[t] + 0.1) / (n + 0.1 * (v + 1))) for t in toks[d]))
+        assert r["score"] < 0
+    out = [r for r in rows.values() if r["held_out"]]
+    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
 def test_scores_without_training(spark):
@@ -387,7 +426,7 @@ def test_scores_know_every_ngram(spark, monkeypatch, cut):
 
 
 def test_ngram_model_is_a_distribution():
-    """Over all tokens and the unseen one, behind any history."""
+    """Over all tokens and the unseen one, behind any history, whether the walk takes arcs or falls."""
     uni = np.array([5, 3, 1, 1])  # the last is the end
     d = 0.4
     rng = np.random.default_rng(3)
@@ -398,7 +437,11 @@ def test_ngram_model_is_a_distribution():
         for w in range(5):
             # a text of x, y, w and the end: w's history (x, y) was followed by as many tokens as ``two`` and ``three`` sum to
             counts = [np.array([1, two.sum(), uni[w] if w < 4 else 0, 1]), np.array([1, three.sum(), two[w] if w < 4 else 0, 1]), np.array([0, 0, three[w] if w < 4 else 0, 0])]
-            total += automaton.probabilities(np.arange(4), np.array([0, 4]), counts, int(uni.sum()), len(uni), d)[2]
+            one = [automaton.automaton(np.arange(n), np.array([0, n]), [c[:n] for c in counts], int(uni.sum()), len(uni), d) for n in (2, 3)]
+            for m, _ in one:
+                m.fail[1, 0], m.arc[1, 0], m.arc[0, 0] = 0.0, 0.0, 0.0  # of the last token alone
+            low, high = (m.walk(np.array([0, n]), 1)[0] for n, (m, _) in zip((2, 3), one))
+            total += 10 ** (high - low)
         assert total == pytest.approx(1)
 
 

@@ -164,3 +164,14 @@ def test_queries(spark):
     rows = queries.QUERIES["op5_sampled_pieces"](spark, SF).collect()
     assert len(rows) == n and all(r["lossless"] for r in rows)
     assert sum(r["n_docs"] for r in queries.QUERIES["op3_token_counts"](spark, SF).collect()) == n
+
+
+def test_any_limit(spark):
+    rng = np.random.default_rng(1)
+    sizes = {"a": rng.integers(0, 5000, 300).tolist(), None: [0, 0, 7, 7, 2048], "z": [3]}
+    rows = [(g, n, c) for g, x in sizes.items() for n, c in Counter(x).items()]
+    counts = spark.createDataFrame(rows, "grp string, n_tokens long, n_docs long")
+    limits = [0, 1, 3, 4, 7, 100, 1023, 1024, 1025, 2048, 4999, 10**6]
+    got = {(r["grp"], r["n_limit"]): (r["docs_from"], r["truncated_total"]) for r in lengths.at_limits(counts, limits).collect()}
+    assert got == {(g, m): (sum(n >= m for n in x), sum(min(n, m) for n in x)) for g, x in sizes.items() for m in limits}
+    assert lengths.at_limits(counts.where("false"), limits).count() == 0
