@@ -17,7 +17,7 @@ def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> C
     return F.greatest(F.lit(0), F.least(a_end, b_end) - F.greatest(a_start, b_start))
 
 
-def _with_island(spans: DataFrame, keys: Sequence[str], touching: bool) -> DataFrame:
+def with_island(spans: DataFrame, keys: Sequence[str], touching: bool) -> DataFrame:
     """Number the chains of spans that overlap (or touch) within each key."""
     ordered = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
@@ -27,12 +27,12 @@ def _with_island(spans: DataFrame, keys: Sequence[str], touching: bool) -> DataF
 
 def interval_union(spans: DataFrame, keys: Sequence[str] = DOC_TYPE, touching: bool = True) -> DataFrame:
     """keys, start, end of the merged spans; touching ones merge unless told otherwise."""
-    return _with_island(spans, keys, touching).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    return with_island(spans, keys, touching).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
 def mask_union(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, start, end, n_types, tag of chains of strictly overlapping spans of any type."""
-    chains = _with_island(spans, [key], touching=False).groupBy(key, "island")
+    chains = with_island(spans, [key], touching=False).groupBy(key, "island")
     out = chains.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count_distinct("phi_type").alias("n_types"), F.min("phi_type").alias("only"))
     tag = F.when(F.col("n_types") == 1, F.concat(F.lit("["), F.col("only"), F.lit("]"))).otherwise(F.lit(MIXED_TAG))
     return out.select(key, "start", "end", "n_types", tag.alias("tag"))
@@ -67,5 +67,5 @@ def merge_recall_first(spans: DataFrame, priority: Sequence[str], strategy: str
     rank = F.coalesce(*(F.when(F.col("layer") == layer, F.lit(-i)) for i, layer in enumerate(priority)), F.lit(-len(priority)))
     size = F.col("end") - F.col("start")
     best = F.struct(size, rank, -F.col("start"), -F.col("span_index")) if strategy == "union" else F.struct(rank, size, -F.col("start"), -F.col("span_index"))
-    chains = _with_island(spans, ["doc_id"], touching=False).groupBy("doc_id", "island")
+    chains = with_island(spans, ["doc_id"], touching=False).groupBy("doc_id", "island")
     return chains.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max_by("phi_type", best).alias("phi_type"), F.count("*").alias("n_merged")).drop("island")

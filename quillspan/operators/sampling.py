@@ -72,11 +72,12 @@ def _quota(pool: DataFrame, n: int) -> dict[str, int]:
 def draw_hash(errors: DataFrame, corpus: str, iteration: int, n: int = N_SPANS, practice: bool = False, scheme: str = SCHEME) -> DataFrame:
     """Of each type the quota's number of spans with the smallest hash of seed and span: wholly distributed."""
     check_iteration(iteration, practice)
-    pool = eligible_errors(errors)
+    pool = eligible_errors(errors).persist()  # counted first, then drawn from
     quota = _quota(pool, n)
     rank = F.row_number().over(Window.partitionBy("phi_type").orderBy(F.sha2(F.concat_ws("|", F.lit(str(sample_seed(corpus, iteration, scheme))), *(F.col(k).cast("string") for k in KEY)), 256)))
     most = F.coalesce(*(F.when(F.col("phi_type") == t, F.lit(q)) for t, q in sorted(quota.items())), F.lit(0))
-    return pool.withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__rank")
+    # the fixed bound lets each task leave all but n rows of a type before they are moved
+    return pool.withColumn("__rank", rank).where((F.col("__rank") <= n) & (F.col("__rank") <= most)).drop("__rank")
 
 
 def draw_compat(errors: DataFrame, corpus: str, iteration: int, n: int = N_SPANS, practice: bool = False, scheme: str = SCHEME) -> DataFrame:

@@ -2,9 +2,9 @@
 
 A gold span is *covered* when the union of same-type predictions covers it (wholly
 in mode fully_covered, by a character in relaxed), and *matched* when a one-to-one
-greedy assignment gives it a prediction.  Coverage for all layers, for each family
-and for each layer comes from a single union and join: predictions are spread over
-their scopes first.
+greedy assignment gives it a prediction.  Both ask only for spans that overlap, so
+gold and predictions of a document and type are cut into chains of overlapping spans
+with one shuffle; a row holds a chain, and its verdicts are worked out within the row.
 
 gold: doc_id, span_index, start, end, phi_type (in scope).  pred: doc_id,
 span_index, start, end, phi_type, layer, rule_id.  docs: doc_id.
@@ -12,11 +12,13 @@ span_index, start, end, phi_type, layer, rule_id.  docs: doc_id.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.model import FAMILY_OF, MODES, SpanError
-from quillspan.operators.intervals import dedupe, interval_union, overlap
+from quillspan.operators.intervals import DOC_TYPE, dedupe, overlap, with_island
 
 SPARSE = 8  #: gold spans of a type up to which it counts as sparse
 HEADLINE = {"leak_rate": "fully_covered", "lower_bound": "relaxed", "prf": "relaxed"}
@@ -43,68 +45,126 @@ def eligible(mode: str, g: str = "g", p: str = "p") -> Column:
     return (ps <= gs) & (ge <= pe) if mode == "fully_covered" else (gs < pe) & (ps < ge)
 
 
-def scoped(pred: DataFrame) -> DataFrame:
-    """Each prediction once for all, once for its family, once for its layer."""
-    family = F.coalesce(*(F.when(F.col("layer") == layer, F.lit(f"family:{f}")) for layer, f in FAMILY_OF.items()))
-    return pred.select("doc_id", "phi_type", "start", "end", F.explode(F.array(F.lit("all"), family, F.concat(F.lit("layer:"), F.col("layer")))).alias("scope"))
+def chains(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """doc_id, phi_type, golds, preds: a row for each chain of overlapping spans, both arrays by start, end and index."""
+    own = gold.select("doc_id", "phi_type", "start", "end", "span_index", F.lit(None).cast("string").alias("layer"), F.lit(None).cast("string").alias("rule_id"), F.lit(True).alias("is_gold"))
+    rule = F.col("rule_id") if "rule_id" in pred.columns else F.lit(None).cast("string")
+    layer = F.col("layer") if "layer" in pred.columns else F.lit(None).cast("string")
+    both = own.unionByName(pred.select("doc_id", "phi_type", "start", "end", "span_index", layer.alias("layer"), rule.alias("rule_id"), F.lit(False).alias("is_gold")))
+    found = with_island(both, DOC_TYPE, touching=False).groupBy(*DOC_TYPE, "island")
+    span = F.struct("start", "end", "span_index", "layer", "rule_id")
+    return found.agg(*(F.array_sort(F.collect_list(F.when(F.col("is_gold") == kind, span))).alias(name) for kind, name in ((True, "golds"), (False, "preds")))).drop("island")
+
+
+def _distinct(preds: Column) -> Column:
+    """The first of the predictions that agree in start and end."""
+    same = lambda p, i: (F.get(preds, i - 1)["start"] == p["start"]) & (F.get(preds, i - 1)["end"] == p["end"])
+    return F.filter(preds, lambda p, i: (i == 0) | ~same(p, i))
+
+
+def _near(g: Column, preds: Column) -> Column:
+    return F.filter(preds, lambda p: (g["start"] < p["end"]) & (p["start"] < g["end"]))
+
+
+def _length(g: Column, preds: Column) -> Column:
+    """Characters of a gold span that the union of predictions, given by start, covers."""
+    begin = F.struct(g["start"].cast("int").alias("at"), F.lit(0).alias("n"))
+
+    def add(acc: Column, p: Column) -> Column:
+        end = F.least(p["end"], g["end"]).cast("int")
+        return F.struct(F.greatest(acc["at"], end).alias("at"), (acc["n"] + F.greatest(F.lit(0), end - F.greatest(p["start"].cast("int"), acc["at"]))).alias("n"))
+
+    return F.aggregate(preds, begin, add)["n"]
+
+
+def _family(layer: Column) -> Column:
+    return F.coalesce(*(F.when(layer == name, F.lit(f)) for name, f in FAMILY_OF.items()))
+
+
+def _lengths(g: Column, near: Column, of) -> Column:
+    """Array of (name, n): for each family or layer among the predictions the length that they cover alone."""
+    names = F.filter(F.array_distinct(F.transform(near, lambda p: of(p["layer"]))), lambda x: x.isNotNull())
+    return F.transform(names, lambda x: F.struct(x.alias("name"), _length(g, F.filter(near, lambda p: of(p["layer"]) == x)).alias("n")))
 
 
 def covered_lengths(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """gold with lengths, a map from scope to the characters that scope's union covers."""
-    union = interval_union(scoped(pred), ("doc_id", "phi_type", "scope")).select(F.col("doc_id").alias("d"), F.col("phi_type").alias("t"), "scope", F.col("start").alias("s"), F.col("end").alias("e"))
-    met = (F.col("doc_id") == F.col("d")) & (F.col("phi_type") == F.col("t")) & (F.col("start") < F.col("e")) & (F.col("s") < F.col("end"))
-    keys = ["doc_id", "span_index", "phi_type", "start", "end"]
-    per_scope = gold.select(keys).join(union, met, "left").groupBy(*keys, "scope").agg(F.sum(overlap(F.col("start"), F.col("end"), F.col("s"), F.col("e"))).alias("n"))
-    return per_scope.groupBy(*keys).agg(F.map_from_entries(F.filter(F.collect_list(F.struct("scope", "n")), lambda x: x["scope"].isNotNull())).alias("lengths"))
+    """doc_id, span_index, phi_type, start, end, lengths: a map from scope (all, family:f, layer:l) to the characters that its union covers."""
+
+    def measured(g: Column) -> Column:
+        near = _near(g, F.col("preds"))
+        named = lambda kind, of: F.transform(_lengths(g, near, of), lambda x: F.struct(F.concat(F.lit(f"{kind}:"), x["name"]).alias("scope"), x["n"].alias("n")))
+        every = F.filter(F.array(F.struct(F.lit("all").alias("scope"), _length(g, near).alias("n"))), lambda x: F.size(near) > 0)
+        return F.struct(g["span_index"].alias("span_index"), g["start"].alias("start"), g["end"].alias("end"), F.map_from_entries(F.concat(every, named("family", _family), named("layer", lambda x: x))).alias("lengths"))
 
+    rows = chains(gold, pred).select("doc_id", "phi_type", F.inline(F.transform("golds", measured)))
+    return rows.select("doc_id", "span_index", "phi_type", "start", "end", "lengths")
 
-def _covers(n: Column, mode: str) -> Column:
-    n = F.coalesce(n, F.lit(0))
-    return n == F.col("end") - F.col("start") if mode == "fully_covered" else n > 0
+
+def _covers(n: Column, size: Column, mode: str) -> Column:
+    return n == size if mode == "fully_covered" else n > 0
 
 
 def coverage(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
     """doc_id, span_index, covered."""
-    return covered_lengths(gold, pred).select("doc_id", "span_index", _covers(F.try_element_at("lengths", F.lit("all")), mode).alias("covered"))
+    return verdicts_light(gold, pred, mode).select("doc_id", "span_index", "covered")
 
 
-def assign(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
-    """doc_id, gold_index, pred_index of the greedy one-to-one assignment; pred is deduplicated.
+def _assigned(golds: Column, preds: Column, mode: str) -> Column:
+    """Array of (gi, pi) of a chain's greedy one-to-one assignment.
 
-    Candidates of a document and type are taken by overlap (most first), then gold
-    start, gold end, prediction start, end and index, gold index; one is kept while
-    neither side has been used.  The list is folded within a row.
+    Candidates are taken by overlap (most first), then gold start, gold end, prediction
+    start, end and index, gold index; one is kept while neither side has been used.
     """
-    g, p = gold.alias("g"), pred.alias("p")
-    near = (F.col("g.start") < F.col("p.end")) & (F.col("p.start") < F.col("g.end"))
-    pairs = g.join(p, (F.col("g.doc_id") == F.col("p.doc_id")) & (F.col("g.phi_type") == F.col("p.phi_type")) & near & eligible(mode))
-    shared = overlap(F.col("g.start"), F.col("g.end"), F.col("p.start"), F.col("p.end"))
-    order = F.struct((-shared).alias("o"), F.col("g.start").alias("gs"), F.col("g.end").alias("ge"), F.col("p.start").alias("ps"), F.col("p.end").alias("pe"), F.col("p.span_index").alias("pi"), F.col("g.span_index").alias("gi"))
-    lists = pairs.groupBy(F.col("g.doc_id").alias("doc_id"), F.col("g.phi_type").alias("phi_type")).agg(F.array_sort(F.collect_list(order)).alias("all"))
-    taken = F.aggregate(
-        "all",
-        F.array().cast(_PAIRS),
-        lambda acc, x: F.when(F.exists(acc, lambda y: (y["gi"] == x["gi"]) | (y["pi"] == x["pi"])), acc).otherwise(F.concat(acc, F.array(F.struct(x["gi"].cast("int").alias("gi"), x["pi"].cast("int").alias("pi"))))),
-    )
-    return lists.select("doc_id", F.explode(taken).alias("m")).select("doc_id", F.col("m.gi").alias("gold_index"), F.col("m.pi").alias("pred_index"))
+
+    def order(g: Column, p: Column) -> Column:
+        shared = overlap(g["start"], g["end"], p["start"], p["end"])
+        return F.struct((-shared).alias("o"), g["start"].alias("gs"), g["end"].alias("ge"), p["start"].alias("ps"), p["end"].alias("pe"), p["span_index"].cast("int").alias("pi"), g["span_index"].cast("int").alias("gi"))
+
+    may = lambda g, p: (p["start"] <= g["start"]) & (g["end"] <= p["end"]) if mode == "fully_covered" else F.lit(True)
+    pairs = F.flatten(F.transform(golds, lambda g: F.transform(F.filter(_near(g, preds), lambda p: may(g, p)), lambda p: order(g, p))))
+    free = lambda acc, x: ~F.exists(acc, lambda y: (y["gi"] == x["gi"]) | (y["pi"] == x["pi"]))
+    return F.aggregate(F.array_sort(pairs), F.array().cast(_PAIRS), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(F.struct(x["gi"].alias("gi"), x["pi"].alias("pi"))))).otherwise(acc))
+
+
+def assign(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
+    """doc_id, gold_index, pred_index of the greedy one-to-one assignment, of distinct predictions."""
+    taken = chains(gold, pred).select("doc_id", F.inline(_assigned(F.col("golds"), _distinct(F.col("preds")), mode)))
+    return taken.select("doc_id", F.col("gi").alias("gold_index"), F.col("pi").alias("pred_index"))
+
+
+def judged(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
+    """doc_id, phi_type, golds (span_index, start, end, covered, families, layers, matched), preds (distinct: span_index, start, end, rules, matched), a row for each chain."""
+    with_pairs = chains(gold, pred).withColumn("taken", _assigned(F.col("golds"), _distinct(F.col("preds")), mode))
+
+    def gold_verdict(g: Column) -> Column:
+        near, size = _near(g, F.col("preds")), g["end"] - g["start"]
+        alone = lambda of: F.array_sort(F.transform(F.filter(_lengths(g, near, of), lambda x: _covers(x["n"], size, mode)), lambda x: x["name"]))
+        return F.struct(
+            g["span_index"].alias("span_index"),
+            g["start"].alias("start"),
+            g["end"].alias("end"),
+            _covers(_length(g, near), size, mode).alias("covered"),
+            alone(_family).alias("families"),
+            alone(lambda x: x).alias("layers"),
+            F.exists("taken", lambda t: t["gi"] == g["span_index"]).alias("matched"),
+        )
+
+    def pred_verdict(p: Column) -> Column:
+        same = F.filter("preds", lambda q: (q["start"] == p["start"]) & (q["end"] == p["end"]) & q["rule_id"].isNotNull())
+        rules = F.array_distinct(F.transform(same, lambda q: q["rule_id"]))
+        return F.struct(p["span_index"].alias("span_index"), p["start"].alias("start"), p["end"].alias("end"), rules.alias("rules"), F.exists("taken", lambda t: t["pi"] == p["span_index"]).alias("matched"))
+
+    return with_pairs.select("doc_id", "phi_type", F.transform("golds", gold_verdict).alias("golds"), F.transform(_distinct(F.col("preds")), pred_verdict).alias("preds"))
 
 
 def verdicts(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
     """Per gold span: covered, matched, families and layers that cover it alone."""
-    matched = assign(gold, dedupe(pred), mode).select("doc_id", F.col("gold_index").alias("span_index"), F.lit(True).alias("hit"))
-    spread = F.filter(F.map_entries("lengths"), lambda x: _covers(x["value"], mode))
-    named = lambda kind: F.array_sort(F.transform(F.filter(spread, lambda x: x["key"].startswith(kind)), lambda x: F.substring_index(x["key"], ":", -1)))
-    base = covered_lengths(gold, pred).select(
-        "doc_id", "span_index", "phi_type", "start", "end", _covers(F.try_element_at("lengths", F.lit("all")), mode).alias("covered"), named("family:").alias("families"), named("layer:").alias("layers")
-    )
-    return base.join(matched, ["doc_id", "span_index"], "left").withColumn("matched", F.coalesce("hit", F.lit(False))).drop("hit")
+    return judged(gold, pred, mode).select("doc_id", "phi_type", F.inline("golds"))
 
 
 def distinct_verdicts(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
-    """Distinct predictions with matched: the false positives are those that aren't."""
-    kept = dedupe(pred)
-    used = assign(gold, kept, mode).select("doc_id", F.col("pred_index").alias("span_index"), F.lit(True).alias("hit"))
-    return kept.join(used, ["doc_id", "span_index"], "left").withColumn("matched", F.coalesce("hit", F.lit(False))).drop("hit")
+    """Distinct predictions with matched and the rules that gave them: the false positives are those that aren't matched."""
+    return judged(gold, pred, mode).select("doc_id", "phi_type", F.inline("preds"))
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -127,7 +187,9 @@ def leak_rate(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def verdicts_light(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
-    return covered_lengths(gold, pred).select("doc_id", "span_index", "phi_type", _covers(F.try_element_at("lengths", F.lit("all")), mode).alias("covered"))
+    near = lambda g: _length(g, _near(g, F.col("preds")))
+    seen = lambda g: F.struct(g["span_index"].alias("span_index"), g["start"].alias("start"), g["end"].alias("end"), _covers(near(g), g["end"] - g["start"], mode).alias("covered"))
+    return chains(gold, pred).select("doc_id", "phi_type", F.inline(F.transform("golds", seen)))
 
 
 def prf_overall(gold: DataFrame, pred: DataFrame) -> DataFrame:
@@ -141,15 +203,26 @@ def prf_overall(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 def _counts_by_type(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
     """phi_type, gold, leaked, tp, fp, fn: for types with gold and for those with false positives only."""
-    right = verdicts(gold, pred, mode).groupBy("phi_type").agg(F.count("*").alias("gold"), F.sum((~F.col("covered")).cast("long")).alias("leaked"), F.sum(F.col("matched").cast("long")).alias("tp"))
-    wrong = distinct_verdicts(gold, pred, mode).where("not matched").groupBy("phi_type").agg(F.count("*").alias("fp"))
-    both = right.join(wrong, "phi_type", "full_outer").na.fill(0, ["gold", "leaked", "tp", "fp"])
-    return both.withColumn("fn", F.col("gold") - F.col("tp"))
+    return _type_counts(judged(gold, pred, mode))
+
+
+def _type_counts(verdict: DataFrame) -> DataFrame:
+    n = lambda c, test: F.sum(F.size(F.filter(c, test))).cast("long")
+    found = verdict.groupBy("phi_type").agg(
+        F.sum(F.size("golds")).cast("long").alias("gold"),
+        n("golds", lambda g: ~g["covered"]).alias("leaked"),
+        n("golds", lambda g: g["matched"]).alias("tp"),
+        n("preds", lambda p: ~p["matched"]).alias("fp"),
+    )
+    return found.where("gold > 0 or fp > 0").withColumn("fn", F.col("gold") - F.col("tp"))
 
 
 def by_type(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
     """Per type: gold, leaked, leak_rate, tp, fp, fn, precision, recall, f1, sparse."""
-    counts = _counts_by_type(gold, pred, mode)
+    return _by_type(_counts_by_type(gold, pred, mode))
+
+
+def _by_type(counts: DataFrame) -> DataFrame:
     return counts.select(
         "phi_type", "gold", "leaked", _ratio(F.col("leaked"), F.col("gold")).alias("leak_rate"), "tp", "fp", "fn", *prf_columns(F.col("tp"), F.col("fp"), F.col("fn")), ((F.col("gold") > 0) & (F.col("gold") <= SPARSE)).alias("sparse")
     )
@@ -157,12 +230,20 @@ def by_type(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
 
 def macro(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
     """Means over types that have gold, null without any; n_types."""
-    return by_type(gold, pred, mode).where("gold > 0").agg(*(F.round(F.avg(c), 9).alias(c) for c in ("precision", "recall", "f1", "leak_rate")), F.count("*").alias("n_types"))
+    return _macro(by_type(gold, pred, mode))
+
+
+def _macro(types: DataFrame) -> DataFrame:
+    return types.where("gold > 0").agg(*(F.round(F.avg(c), 9).alias(c) for c in ("precision", "recall", "f1", "leak_rate")), F.count("*").alias("n_types"))
 
 
 def by_document(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
     """docs_with_leak, docs_with_gold, rate."""
-    each = verdicts_light(gold, pred, mode).groupBy("doc_id").agg(F.max((~F.col("covered")).cast("int")).alias("leaks"))
+    return _by_document(verdicts_light(gold, pred, mode))
+
+
+def _by_document(seen: DataFrame) -> DataFrame:
+    each = seen.groupBy("doc_id").agg(F.max((~F.col("covered")).cast("int")).alias("leaks"))
     return each.agg(F.coalesce(F.sum("leaks"), F.lit(0)).cast("long").alias("docs_with_leak"), F.count("*").alias("docs_with_gold")).withColumn("rate", _ratio(F.col("docs_with_leak"), F.col("docs_with_gold")))
 
 
@@ -173,10 +254,13 @@ def assignment_slack(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
 def by_rule(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
     """Per rule: layer, fires (emissions), tp and fp over its distinct spans; every rule that emits a span has the credit."""
     emitted = pred.where("rule_id is not null")
-    outcome = distinct_verdicts(gold, pred, mode).select("doc_id", "start", "end", "phi_type", "matched")
-    own = emitted.select("doc_id", "start", "end", "phi_type", "rule_id").distinct().join(outcome, ["doc_id", "start", "end", "phi_type"])
-    credit = own.groupBy("rule_id").agg(F.sum(F.col("matched").cast("long")).alias("tp"), F.sum((~F.col("matched")).cast("long")).alias("fp"))
     fires = emitted.groupBy("rule_id").agg(F.min("layer").alias("layer"), F.count("*").alias("fires"))
+    return _by_rule(distinct_verdicts(gold, pred, mode), fires)
+
+
+def _by_rule(distinct: DataFrame, fires: DataFrame) -> DataFrame:
+    own = distinct.select(F.explode("rules").alias("rule_id"), "matched")
+    credit = own.groupBy("rule_id").agg(F.sum(F.col("matched").cast("long")).alias("tp"), F.sum((~F.col("matched")).cast("long")).alias("fp"))
     return fires.join(credit, "rule_id").select("rule_id", "layer", "fires", "tp", "fp")
 
 
@@ -229,7 +313,7 @@ def headline(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 def error_spans(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Uncovered gold (fully_covered) and unmatched distinct predictions (relaxed): the six error fields."""
-    missed = covered_lengths(gold, pred).where(~_covers(F.try_element_at("lengths", F.lit("all")), "fully_covered")).withColumn("kind", F.lit("missed"))
+    missed = verdicts_light(gold, pred, "fully_covered").where("not covered").withColumn("kind", F.lit("missed"))
     wrong = distinct_verdicts(gold, pred, "relaxed").where("not matched").withColumn("kind", F.lit("false_positive"))
     fields = ["doc_id", "span_index", "phi_type", "kind", "start", "end"]
     return missed.select(fields).unionByName(wrong.select(fields))
@@ -240,29 +324,53 @@ def sort_errors(errors: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, gold: DataFrame, pred: DataFrame) -> dict:
-    """The whole record as a nested dict; only aggregates reach the driver."""
-    refuse_split_rules(pred)
+    """The whole record as a nested dict; only aggregates reach the driver.
+
+    Verdicts are worked out once for each mode and kept for all aggregates of it.
+    """
+    refuse_split_rules(check_layers(pred))
     inside = in_scope(gold)
     one = lambda df: (df.first() or [None]).asDict()
     rows = lambda df, key: {r[key]: {k: v for k, v in r.asDict().items() if k != key} for r in df.collect()}
-    out = {"counts": one(counts(docs, gold, pred)), "headline": one(headline(inside, pred)), "fp_opportunity": one(fp_opportunity(docs, gold, pred)), "modes": {}}
-    leaks, prfs = rows(leak_rate(inside, pred), "mode"), rows(prf_overall(inside, pred), "mode")
-    for mode in MODES:
-        out["modes"][mode] = {
-            "leak": leaks[mode],
-            "micro": prfs[mode],
-            "macro": one(macro(inside, pred, mode)),
-            "by_type": rows(by_type(inside, pred, mode), "phi_type"),
-            "by_document": one(by_document(inside, pred, mode)),
-            "assignment_slack": one(assignment_slack(inside, pred, mode))["slack"],
-            "by_rule": rows(by_rule(inside, pred, mode), "rule_id"),
-            "families": {r["category"]: r["n"] for r in complementarity_families(inside, pred, mode).collect()},
-            "layers": {(r["layers"], r["covered"]): r["n"] for r in complementarity_layers(inside, pred, mode).collect()},
-            "covered_by_layer": {r["layer"]: r["n"] for r in covered_by_layer(inside, pred, mode).collect()},
-            "duplicates": dedupe_drop(pred),
-        }
+    kept = {mode: judged(inside, pred, mode).persist() for mode in MODES}
+    fires = pred.where("rule_id is not null").groupBy("rule_id").agg(F.min("layer").alias("layer"), F.count("*").alias("fires")).persist()
+    try:
+        types = {mode: _by_type(_type_counts(kept[mode])).persist() for mode in MODES}
+        duplicates = dedupe_drop(pred)
+        out = {"counts": one(counts(docs, gold, pred)), "fp_opportunity": one(fp_opportunity(docs, gold, pred)), "modes": {}}
+        for mode in MODES:
+            of_gold, of_type = kept[mode].select("doc_id", "phi_type", F.inline("golds")), types[mode]
+            total = of_type.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("gold", "leaked", "tp", "fp", "fn"))).withColumn("mode", F.lit(mode))
+            sums = one(total.select("gold", "leaked", _ratio(F.col("leaked"), F.col("gold")).alias("leak_rate"), "tp", "fp", "fn", *prf_columns(F.col("tp"), F.col("fp"), F.col("fn"))))
+            cross = of_gold.groupBy(_category().alias("category"), F.array_join("layers", "|").alias("layers"), "covered", "matched").agg(F.count("*").alias("n")).collect()
+            families, layers, by_layer = Counter(), Counter(), Counter()
+            for r in cross:  # a row for each combination of layers
+                families[r["category"]] += r["n"]
+                layers[r["layers"], r["covered"]] += r["n"]
+                by_layer.update({layer: r["n"] for layer in r["layers"].split("|") if layer})
+            out["modes"][mode] = {
+                "leak": {k: sums[k] for k in ("leaked", "gold", "leak_rate")},
+                "micro": {k: sums[k] for k in ("tp", "fp", "fn", "precision", "recall", "f1")},
+                "macro": one(_macro(of_type)),
+                "by_type": rows(of_type, "phi_type"),
+                "by_document": one(_by_document(of_gold)),
+                "assignment_slack": sum(r["n"] for r in cross if r["covered"] and not r["matched"]),
+                "by_rule": rows(_by_rule(kept[mode].select(F.inline("preds")), fires), "rule_id"),
+                "families": dict(families),
+                "layers": dict(layers),
+                "covered_by_layer": dict(by_layer),
+                "duplicates": duplicates,
+            }
+            types[mode].unpersist()
+    finally:
+        for table in (*kept.values(), fires):
+            table.unpersist()
+    modes = out["modes"]
+    head = {k: modes[mode]["leak"]["leak_rate"] for k, mode in HEADLINE.items() if k != "prf"}
+    out["headline"] = head | {k: modes[HEADLINE["prf"]]["micro"][k] for k in ("precision", "recall", "f1")}
     return out
 
 
 def dedupe_drop(pred: DataFrame) -> int:
-    return pred.count() - dedupe(pred).count()
+    distinct = pred.groupBy("doc_id", "start", "end", "phi_type").agg(F.count("*").alias("n"))
+    return distinct.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
