@@ -28,6 +28,23 @@ def line_offset(column: Column, line: Column) -> Column:
     return line["doc_offset"] + column + F.aggregate(before, F.lit(0), lambda a, t: a + (t["doc_end"] - t["doc_start"]) - t["len"])
 
 
+def checked_line(line: Column) -> Column:
+    """A masked line whose tags are in order; anything else is refused when read, and never put in order.
+
+    Tags lie within the line, ascending and apart, and each stands for some stretch of
+    the document: offsets would be wrong without a sign of it otherwise.
+    """
+    tags = line["tags"]
+    before = lambda i: F.coalesce(F.get(tags, i - 1)["col"] + F.get(tags, i - 1)["len"], F.lit(0))
+    placed = F.transform(tags, lambda t, i: (t["col"] >= before(i)) & (t["len"] > 0) & (t["col"] + t["len"] <= line["length"]) & (t["doc_start"] >= 0) & (t["doc_start"] < t["doc_end"]))
+    fine = (line["length"] >= 0) & (line["doc_offset"] >= 0) & F.forall(placed, lambda x: F.coalesce(x, F.lit(False)))
+    return F.when(line.isNull() | F.coalesce(fine, F.lit(False)), line).otherwise(F.raise_error(F.lit("a masked line's tags are not in order")).cast("struct<length:int,doc_offset:int,tags:array<struct<col:int,len:int,doc_start:int,doc_end:int>>>"))
+
+
+def sort_flags(flags: DataFrame) -> DataFrame:
+    return flags.orderBy("doc_id", "start", "end", "phi_type")
+
+
 def validate(responses: DataFrame, lines: DataFrame) -> DataFrame:
     """responses: doc_id, response.  doc_id, flag_index, reason, start, end, phi_type, score: reason null for flags that stand."""
     top = F.from_json("response", "map<string,string>")
@@ -55,7 +72,7 @@ def validate(responses: DataFrame, lines: DataFrame) -> DataFrame:
         *(F.col(f"f_{k}").try_cast("int").alias(k) for k in ("line", "start", "end")),
         F.regexp_replace("f_phi_type", '^"|"$', "").alias("phi_type"),
         F.coalesce(score, F.lit(1.0)).alias("score"),
-    ).withColumn("row", F.when((F.col("line") >= 0) & (F.col("line") < F.size("lines")), F.get("lines", F.col("line"))))
+    ).withColumn("row", F.when((F.col("line") >= 0) & (F.col("line") < F.size("lines")), checked_line(F.get("lines", F.col("line")))))
     row = F.col("row")
     touched = F.exists(row["tags"], lambda t: (F.col("start") < t["col"] + t["len"]) & (t["col"] < F.col("end")))
     reason = (

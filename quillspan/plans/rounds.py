@@ -46,8 +46,20 @@ def should_stop(rates: Sequence[float], n_dev: int, in_a_row: int = IN_A_ROW, ce
     return Verdict(reason, done, len(rates), d, tuple(gains))
 
 
-def not_applicable() -> Verdict:
-    return Verdict("not_applicable", False, 0, 0.0, ())
+def not_applicable(n_dev: int | None = None) -> Verdict:
+    """The record of an arm without rounds: one scored set of rules, no difference, and the threshold that would have held."""
+    return Verdict("not_applicable", False, 1, 0.0 if n_dev is None else delta(n_dev), ())
+
+
+@dataclass(frozen=True)
+class PendingTermination:
+    """A round's verdict that lacks its own leak rate: whoever scores the round completes it."""
+
+    n_dev: int
+    previous: tuple[float, ...] = ()
+
+    def resolve(self, leak_rate: float) -> Verdict:
+        return should_stop((*self.previous, leak_rate), self.n_dev)
 
 
 def termination_table(rates: DataFrame, in_a_row: int = IN_A_ROW, ceiling: int = CEILING) -> DataFrame:
@@ -82,14 +94,52 @@ def sum_caching(blocks: Iterable[dict]) -> dict | None:
 def run_fold(docs: DataFrame, gold: DataFrame, rules: RuleSet, detector: str = "R") -> tuple[DataFrame, dict]:
     """Detect over a fold and score: the predictions and the record."""
     found = detect.detect(docs, rules.rules, detector=detector)
-    pred = found.withColumn("span_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "end", "rule_id")) - 1)
-    return found, scoring.score(docs, gold, pred)
+    found = found.persist()  # detection runs once for all aggregates
+    try:
+        return found, scoring.score(docs, gold, numbered(found))
+    finally:
+        found.unpersist()
+
 
+def numbered(found: DataFrame) -> DataFrame:
+    return found.withColumn("span_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "end", "rule_id")) - 1)
 
-def run_rounds(docs: DataFrame, gold: DataFrame, author: Callable[[int, DataFrame | None, DataFrame | None], RuleSet], auditor: Callable[[DataFrame], DataFrame] | None, corpus: str, ceiling: int = CEILING) -> tuple[list[dict], Verdict]:
+
+def run_arm(docs: DataFrame, gold: DataFrame, author: Callable[[], dict], lang: str, root: str, run: dict, cost: dict) -> dict | None:
+    """The one-shot arm: the author's rules are read, run over the fold, scored and written; None if they can't be read.
+
+    What an author gives that is no rule file leaves a failure record and no scores.
+    """
+    from quillspan.plans import ledger
+    from quillspan.sources.records import write_spans
+    from quillspan.sources.rules import parse_rules
+
+    arm = {k: run[k] for k in ("corpus", "detector", "supervision", "porting")}
+    given = author()
+    try:
+        rules = parse_rules(given, lang)
+    except SpanError as e:
+        ledger.write_failure(ledger.path_of("formatfailure", root, **arm), run, cost, str(e))
+        return None
+    found, record = run_fold(docs, gold, rules, run["detector"])
+    n_dev = gold.where("not excluded").count()
+    write_spans(found, str(ledger.path_of("spans", root, **arm)))
+    return ledger.write_metrics(ledger.path_of("metrics", root, **arm), record, run, cost, ledger.termination_block(not_applicable(n_dev or None), n_dev))
+
+
+def run_rounds(
+    docs: DataFrame,
+    gold: DataFrame,
+    author: Callable[[int, DataFrame | None, DataFrame | None], RuleSet],
+    auditor: Callable[[DataFrame], DataFrame] | None,
+    corpus: str,
+    ceiling: int = CEILING,
+    keep: Callable[[int, DataFrame, dict, Verdict], None] | None = None,
+) -> tuple[list[dict], Verdict]:
     """Author, detect, score, and from the second round on audit the masked fold, until the stopping rule fires.
 
-    author(round, sample, flags) gives rules; auditor(masked) gives doc_id, response.
+    author(round, sample, flags) gives rules; auditor(masked) gives doc_id, response;
+    keep(round, predictions, record, verdict) writes what a round leaves.
     """
     from quillspan.operators import flags, masking, sampling
 
@@ -104,9 +154,10 @@ def run_rounds(docs: DataFrame, gold: DataFrame, author: Callable[[int, DataFram
         records.append(record)
         rates.append(record["modes"]["fully_covered"]["leak"]["leak_rate"])
         verdict = should_stop(rates, n_dev, ceiling=ceiling)
+        if keep:
+            keep(turn, found, record, verdict)
         if verdict.reason is None:
-            pred = found.withColumn("span_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "end", "rule_id")) - 1)
-            sample = sampling.draw_hash(scoring.error_spans(scoring.in_scope(gold), pred), corpus, turn + 1)
+            sample = sampling.draw_hash(scoring.error_spans(scoring.in_scope(gold), numbered(found)), corpus, turn + 1)
             if auditor:
                 masked = masking.mask_documents(docs, found)
                 judged = flags.validate(auditor(masked), masking.masked_lines(masked))

@@ -53,6 +53,19 @@ def fold_summary(docs: DataFrame, gold: DataFrame) -> DataFrame:
     return base.rollup("split").agg(F.count("*").alias("docs"), F.sum("s").alias("spans"), F.sum("i").alias("in_scope"), (F.sum("s") - F.sum("i")).alias("excluded"), F.sum("t").alias("tokens"))
 
 
+def fold_types(docs: DataFrame, gold: DataFrame) -> DataFrame:
+    """split, kind, name, n: spans in scope by phi_type, excluded ones by their own type (subtype)."""
+    named = gold.join(docs.select("doc_id", "split"), "doc_id")
+    kind = F.when(F.col("excluded"), "excluded_type").otherwise("phi_type")
+    name = F.when(F.col("excluded"), F.col("subtype")).otherwise(F.col("phi_type"))
+    return named.groupBy("split", kind.alias("kind"), name.alias("name")).agg(F.count("*").alias("n"))
+
+
+def fold_tokens(docs: DataFrame, shares: Sequence[float] = PERCENTILES) -> DataFrame:
+    """split, p, value: tokens of a document at places of each fold's order."""
+    return nearest_rank(docs.select("split", token_count(F.col("text")).alias("n")), ["split"], "n", shares)
+
+
 def with_stem(docs: DataFrame) -> DataFrame:
     return docs.withColumn("stem", F.when(F.col("doc_id").rlike(STEM), F.regexp_extract("doc_id", STEM, 1)).otherwise(F.col("doc_id")))
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.model import SEALED_SPLIT, SpanError
+from quillspan.model import SEALED_SPLIT, SpanError, check_value
 
 # The Spanish corpus's types and what they are mapped to, and the types that are kept but never scored.
 MEDDOCAN_TYPES = {
@@ -82,11 +83,63 @@ def _files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     return read.select(F.regexp_extract("path", rf"([^/]+){suffix.replace('.', '[.]')}$", 1).alias("doc_id"), F.decode("content", "UTF-8").alias("value"))
 
 
-def brat_dir(root: str) -> str:
-    """The folder that holds the files: a single wrapper folder is looked through."""
-    here = Path(root)
-    inside = [p for p in here.iterdir() if not p.name.startswith(".")] if here.is_dir() else []
-    return str(inside[0]) if len(inside) == 1 and inside[0].is_dir() else root
+def brat_dir(spark: SparkSession, root: str) -> str:
+    """The folder that holds the files: a single wrapper folder is looked through.  Any file system that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    inside = [x for x in files.listStatus(where) if not x.getPath().getName().startswith(".")] if files.exists(where) else []
+    return inside[0].getPath().toString() if len(inside) == 1 and inside[0].isDirectory() else root
+
+
+def corpus_root(corpus: str, config: str | Path, sealed: bool = False) -> str | None:
+    """The folder of a corpus by a configuration's ``corpora`` block, or of its sealed fold by ``sealed`` alone.
+
+    A corpus without a sealed entry has None.  Messages don't name the path.
+    """
+    check_value("corpus", corpus)
+    config = Path(config)
+    if not config.exists():
+        if sealed:
+            return None
+        raise SpanError("there is no configuration of data paths")
+    if config.suffix == ".json":
+        blocks = json.loads(config.read_text(encoding="utf-8"))
+    else:
+        import yaml  # an optional reader; JSON always works
+
+        blocks = yaml.safe_load(config.read_text(encoding="utf-8"))
+    given = ((blocks or {}).get("sealed" if sealed else "corpora") or {}).get(corpus)
+    if not given:
+        if sealed:
+            return None
+        raise SpanError(f"no path is configured for {corpus}")
+    path = Path(str(given)).expanduser()
+    path = path if path.is_absolute() else config.parent / path
+    if not path.is_dir():
+        raise SpanError(f"the path configured for {corpus} is not a folder")
+    return str(path)
+
+
+CARMEN_VARIANTS = ("masked", "replaced")
+
+
+def read_carmen(spark: SparkSession, root: str, split: str, types: Mapping[str, str], excluded: Sequence[str] = (), corpus: str = "es-carmen", known_bad: Sequence[tuple[str, str, int]] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents and gold of both variants, each with its own offsets (column variant), and the spans left out.
+
+    A variant's annotations lie in ann/<variant>/anon beside its texts.  ``known_bad``
+    names spans (variant, doc_id, span_index) whose surface isn't at their offsets;
+    those are left out of gold and given apart, any other such span is refused.
+    """
+    docs = gold = None
+    for variant in CARMEN_VARIANTS:
+        d, g = (x.withColumn("variant", F.lit(variant)) for x in read_brat(spark, f"{root.rstrip('/')}/ann/{variant}/anon", corpus, split, types, excluded))
+        docs, gold = (d, g) if docs is None else (docs.unionByName(d), gold.unionByName(g))
+    bad = bad_offsets(docs, gold, ("variant", "doc_id"))
+    named = spark.createDataFrame(list(known_bad), "variant string, doc_id string, span_index int")
+    keys = ["variant", "doc_id", "span_index"]
+    if n := bad.join(named, keys, "left_anti").count():
+        raise SpanError(f"{n} spans don't lie at their offsets")
+    return docs, gold.join(named, keys, "left_anti"), bad.join(named, keys, "left_semi").select(keys)
 
 
 def read_brat(spark: SparkSession, root: str, corpus: str, split: str, types: Mapping[str, str] = MEDDOCAN_TYPES, excluded: Sequence[str] = MEDDOCAN_EXCLUDED) -> tuple[DataFrame, DataFrame]:
@@ -129,11 +182,11 @@ def read_cas(spark: SparkSession, root: str, corpus: str, split: str, types: Map
     return docs, gold.select("corpus", "doc_id", "span_index", "start", "end", "surface", "subtype", "c.phi_type", "c.excluded")
 
 
-def bad_offsets(docs: DataFrame, gold: DataFrame) -> DataFrame:
-    """Spans whose stretch of text isn't their surface: doc_id and span_index only."""
-    joined = gold.join(docs.select("doc_id", "text"), "doc_id", "left")
+def bad_offsets(docs: DataFrame, gold: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Spans whose stretch of text isn't their surface: keys and span_index only."""
+    joined = gold.join(docs.select(*keys, "text"), list(keys), "left")
     fine = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("text")) & (F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("surface"))
-    return joined.where(~F.coalesce(fine, F.lit(False))).select("doc_id", "span_index")
+    return joined.where(~F.coalesce(fine, F.lit(False))).select(*keys, "span_index")
 
 
 def apply_split(docs: DataFrame, assigned: DataFrame) -> DataFrame:

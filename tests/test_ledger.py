@@ -60,7 +60,7 @@ def test_logs(tmp_path):
     for bad in ("", "a|b", "a\nb"):
         with pytest.raises(SpanError):
             ledger.record_access(log, "es-carmen", bad, ("abc", "clean"))
-    assert ledger.open_sealed(log, "es-carmen", "final numbers", (None, "unknown"), lambda: "rows") == "rows"
+    assert ledger.open_sealed(log, "es-carmen", "final numbers", (None, "unknown"), lambda: "rows", callers=(__name__,)) == "rows"
     assert (ledger.count_runs(log), ledger.count_runs(log, "es-carmen"), ledger.count_runs(log, "es-meddocan")) == (1, 1, 0)
     for i in range(2):
         ledger.append_call(tmp_path / "calls.jsonl", {"i": i})
@@ -79,6 +79,43 @@ def test_windows(tmp_path):
         ledger.freeze_window(tmp_path / "w.json", [f], True)
 
 
-def test_rule_ids():
-    words = ("email", "pattern", "cue", "dni")
-    assert ledger.rule_id_findings(["email_pattern", "es:dni_cue_2", "garcia_cue", "nacido_cue", "de:nacido_cue", "EmailCue", ""], words, "es", {"es": ("nacido",)}) == [2, 4, 5, 6]
+def test_log_rows_keep_the_table_together(tmp_path):
+    log = tmp_path / "log.md"
+    head = "# Log\n\n| n | at | commit | tree | corpus | fold | arms | purpose |\n|-|-|-|-|-|-|-|-|\n"
+    log.write_text(head + "| - | - | - | - | - | - | - | - |\n\nText behind the table.\n")
+    for i in range(2):
+        ledger.record_access(log, "es-carmen", f"run {i}", ("abc", "clean"))
+    lines = log.read_text().splitlines()
+    assert lines[-2:] == ["", "Text behind the table."] and len(lines) == 8
+    assert [x.split("|")[1].strip() for x in lines[4:6]] == ["1", "2"]
+    log.write_text("no table\n")
+    with pytest.raises(SpanError):
+        ledger.record_access(log, "es-carmen", "why", ("abc", "clean"))
+
+
+def test_only_named_modules_open_the_sealed_fold(tmp_path):
+    log = tmp_path / "log.md"
+    log.write_text("| n |\n|-|\n")
+    with pytest.raises(SpanError):
+        ledger.open_sealed(log, "es-carmen", "why", ("abc", "clean"), lambda: "rows")
+    assert ledger.count_runs(log) == 0
+
+
+def test_lines(tmp_path):
+    line = ledger.call_line(1, "auditor", {"name": "p", "sha": "0"}, "answer", "ok", {"model_id": "m"}, COST)
+    assert line["response_chars"] == 6 and "answer" not in json.dumps(line) and line["sample_reference"] is None
+    with pytest.raises(SpanError):
+        ledger.call_line(1, "Auditor", {}, "", "ok", {}, COST)
+    f = tmp_path / "a"
+    f.write_text("x")
+    line = ledger.log_line(2, "decision", "none", [f], human_minutes=3, actually_reused=None)
+    assert tuple(line) == ledger.LOG_FIELDS and len(line["window"][str(f)]) == 64
+    for bad in (("rest", "none", {}), ("decision", "perhaps", {}), ("decision", "none", {"human_minutes": -1}), ("decision", "none", {"colour": 1}), ("decision", "none", {"predicted_scope": "all"})):
+        with pytest.raises(SpanError):
+            ledger.log_line(1, *bad[:2], **bad[2])
+
+
+def test_pending_verdict():
+    pending = rounds.PendingTermination(5200, (0.5, 0.499))
+    assert pending.resolve(0.4985) == rounds.should_stop([0.5, 0.499, 0.4985], 5200) and pending.resolve(0.4985).reason == "converged"
+    assert rounds.not_applicable(5200).delta == rounds.delta(5200) and rounds.not_applicable().iterations == 1

@@ -150,3 +150,57 @@ def test_stream_gives_the_table_rows(spark, tmp_path):
 
     want = sorted(map(str, detect(docs, RULES.rules).collect()))
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == want
+
+
+def test_carmen(spark, tmp_path):
+    for variant, text, notes in (("masked", "[NOMBRE] x", "T1\tN 0 8\t[NOMBRE]\n"), ("replaced", "Eva y x", "T1\tN 0 3\tEva\nT2\tN 4 5\tz\n")):
+        folder = tmp_path / "ann" / variant / "anon"
+        folder.mkdir(parents=True)
+        (folder / "d-1.txt").write_text(text)
+        (folder / "d-1.ann").write_text(notes)
+    with pytest.raises(SpanError):
+        brat.read_carmen(spark, str(tmp_path), "train", {"N": "NAME"})
+    docs, gold, left_out = brat.read_carmen(spark, str(tmp_path), "train", {"N": "NAME"}, known_bad=[("replaced", "d-1", 1)])
+    assert {(r["variant"], r["start"], r["end"], r["phi_type"]) for r in gold.collect()} == {("masked", 0, 8, "NAME"), ("replaced", 0, 3, "NAME")}
+    assert [tuple(r) for r in left_out.collect()] == [("replaced", "d-1", 1)]
+    assert {(r["variant"], r["doc_id"]) for r in docs.collect()} == {("masked", "d-1"), ("replaced", "d-1")}
+
+
+def test_corpus_roots(spark, tmp_path, corpus):
+    config = tmp_path / "paths.json"
+    with pytest.raises(SpanError):
+        brat.corpus_root("es-carmen", config)
+    assert brat.corpus_root("es-carmen", config, sealed=True) is None
+    (tmp_path / "open").mkdir()
+    config.write_text(json.dumps({"corpora": {"es-carmen": "open", "de-grascco": "missing"}, "sealed": {"es-meddocan": "open"}}))
+    assert brat.corpus_root("es-carmen", config) == str(tmp_path / "open")
+    assert brat.corpus_root("es-carmen", config, sealed=True) is None
+    assert brat.corpus_root("es-meddocan", config, sealed=True) == str(tmp_path / "open")
+    for bad in ("de-grascco", "es-meddocan", "nowhere"):
+        with pytest.raises(SpanError) as e:
+            brat.corpus_root(bad, config)
+        assert str(tmp_path) not in str(e.value)
+    (tmp_path / "wrap" / "inner").mkdir(parents=True)
+    assert brat.brat_dir(spark, str(tmp_path / "wrap")).endswith("/wrap/inner")
+    assert brat.brat_dir(spark, f"file://{tmp_path}") == f"file://{tmp_path}"
+
+
+def test_one_shot_arm(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "id 123 and 45"), ("b", "none")], "doc_id string, text string")
+    gold = spark.createDataFrame([("a", 0, 3, 6, "ID", False)], "doc_id string, span_index int, start int, end int, phi_type string, excluded boolean")
+    run = {"corpus": "es-meddocan", "detector": "R", "supervision": "sup-free", "porting": "port-oneshot", "split": "dev", "model_id": "none", "generated": "2026-01-02T03:04:05Z", "tree": "clean", "commit": "abc"}
+    cost = {"calls": 0, "prompt_tokens": 0, "completion_tokens": 0, "wall_seconds": 0.0}
+    rule = {"rule_id": "n", "layer": "regex_checksum", "phi_type": "ID", "pattern": r"[0-9]+"}
+    got = rounds.run_arm(docs, gold, lambda: {"version": 1, "lang": "es", "rules": [rule]}, "es", str(tmp_path), run, cost)
+    assert got["scores"]["modes"]["fully_covered"]["leak"]["leak_rate"] == 0 and got["termination"]["reason"] == "not_applicable"
+    arm = tmp_path / "results/es-meddocan/R/sup-free/port-oneshot"
+    assert records.read_spans(spark, str(arm / "spans.jsonl")).count() == 2
+    assert rounds.run_arm(docs, gold, lambda: {"lang": "es"}, "es", str(tmp_path / "x"), run, cost) is None
+    assert not list((tmp_path / "x").rglob("metrics.json")) and list((tmp_path / "x").rglob("format_failure.json"))
+
+
+def test_fold_types_and_tokens(spark):
+    docs = spark.createDataFrame([("a", "dev", "x y z"), ("b", "dev", "x"), ("c", "train", "")], "doc_id string, split string, text string")
+    gold = spark.createDataFrame([("a", "NAME", "N", False), ("a", "NAME", "N", False), ("b", None, "S", True), ("c", "ID", "I", False)], "doc_id string, phi_type string, subtype string, excluded boolean")
+    assert {tuple(r) for r in splits.fold_types(docs, gold).collect()} == {("dev", "phi_type", "NAME", 2), ("dev", "excluded_type", "S", 1), ("train", "phi_type", "ID", 1)}
+    assert {tuple(r) for r in splits.fold_tokens(docs, [0.0, 0.5]).collect()} == {("dev", 0.0, 1), ("dev", 0.5, 3), ("train", 0.0, 0), ("train", 0.5, 0)}

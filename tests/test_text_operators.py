@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspan.model import SpanError
 from quillspan.operators import flags, masking, sampling, screen
@@ -152,3 +153,65 @@ def test_screen(spark):
     ]
     got = {r["path"]: r["class"] for r in screen.screen_files(spark.createDataFrame([f[:3] for f in files], "path string, content string, visible boolean")).collect()}
     assert got == {f[0]: f[3] for f in files}
+
+
+def test_screen_of_names_code_and_lists(spark):
+    words = ("email", "pattern", "cue", "dni")
+    ids = ["email_pattern", "es:dni_cue_2", "garcia_cue", "nacido_cue", "de:nacido_cue", "EmailCue", "", "cue_1999", "cue_añ", "email_" * 7 + "cue", "cue_a_b_c_d_e"]
+    names = spark.createDataFrame([(i, "es") for i in ids], "rule_id string, lang string")
+    got = {r["rule_id"]: r["reason"] for r in screen.strange_names(names, words, {"es": ("nacido",)}).collect()}
+    assert got == {"garcia_cue": "unknown_word", "de:nacido_cue": "unknown_word", "EmailCue": "capital", "": "empty", "cue_1999": "number", "cue_añ": "not_ascii", "email_" * 7 + "cue": "long", "cue_a_b_c_d_e": "many_parts"}
+    files = [
+        ("results/a/b/c/d/metrics.json", "{}", True),
+        ("tool.py", '"""Chief complaint"""\nx = 1  # history of present\n', True),
+        ("tool2.py", 'x = "Chief complaint"\n', True),
+        ("rules/es.yaml", "rules:\n  - rule_id: garcia_cue\n", True),
+        ("rules/ca.yaml", "rules:\n  - rule_id: 'email_cue'\n", True),
+        ("local.md", "Chief complaint", False),
+    ]
+    table = spark.createDataFrame(files, "path string, content string, visible boolean")
+    screened = screen.screen_files(table, words=words)
+    got = {r["path"]: (r["class"], r["reason"], r["listed"]) for r in screened.collect()}
+    assert got["results/a/b/c/d/metrics.json"] == ("allowed", None, True)
+    assert got["tool.py"] == ("allowed", None, False) and got["tool2.py"][0] == "suspect"
+    assert got["rules/es.yaml"][:2] == ("suspect", "rule_id shape") and got["rules/ca.yaml"][0] == "allowed"
+    why = "a reason of five words"
+    allow = spark.createDataFrame([("tool2.py", "clinical", why), ("rules/es.yaml", "clinical", why), ("gone.md", "clinical", why)], "path string, sniff string, why string")
+    parts = {r["path"]: r["part"] for r in screen.partition_suspect(screened, allow, table).collect()}
+    assert parts == {"tool2.py": "known", "rules/es.yaml": "unexpected", "local.md": "unpublishable", "gone.md": "stale"}
+    bad = [("*.md", "x", why), ("data/a", "x", why), ("sealed/a", "x", why), ("run/errors.jsonl", "x", why), ("a.md", "", why), ("a.md", "x", "too short"), (None, "x", why), ("d/", "x", why)]
+    faults = screen.check_allowlist(spark.createDataFrame(bad, "path string, sniff string, why string")).collect()
+    assert [r["fault"] for r in faults] == ["pattern", "sealed or data", "sealed or data", "denied", "no sniff", "no reason", "no path", "pattern"]
+    with pytest.raises(Exception, match="allowlist"):
+        screen.partition_suspect(screened, spark.createDataFrame(bad[:1], "path string, sniff string, why string"), table).collect()
+
+
+def test_history(spark, tmp_path):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    git("init", "-q")
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "x.txt").write_text("x")
+    (tmp_path / "kept.md").write_text("y")
+    git("add", ".")
+    git("commit", "-qm", "one")
+    git("rm", "-q", "data/x.txt")
+    git("commit", "-qm", "two")
+    assert [r["path"] for r in screen.screen_history(screen.history(spark, str(tmp_path))).collect()] == ["data/x.txt"]
+
+
+def test_tag_maps_are_refused_and_flags_sorted(spark):
+    fine = [(0, 6, 0, 5), (8, 6, 7, 20)]
+    cases = {"fine": (20, 0, fine), "none": (3, 0, []), "reversed": (20, 0, fine[::-1]), "overlap": (20, 0, [(0, 6, 0, 5), (5, 3, 7, 9)]), "long": (10, 0, fine), "empty": (20, 0, [(0, 6, 5, 5)]), "flat": (20, 0, [(0, 0, 0, 5)]), "early": (20, -1, fine)}
+    schema = "k string, line struct<length:int,doc_offset:int,tags:array<struct<col:int,len:int,doc_start:int,doc_end:int>>>"
+    for name, line in cases.items():
+        row = spark.createDataFrame([(name, line)], schema).select(flags.checked_line(F.col("line")).alias("x"))
+        if name in ("fine", "none"):
+            assert row.first()["x"]["length"] == line[0]
+        else:
+            with pytest.raises(Exception, match="tags"):
+                row.collect()
+    rows = [("b", 1, 2, "ID"), ("a", 5, 6, "ID"), ("a", 1, 9, "ID"), ("a", 1, 9, "DATE")]
+    got = flags.sort_flags(spark.createDataFrame(rows, "doc_id string, start int, end int, phi_type string")).collect()
+    assert [tuple(r) for r in got] == sorted(rows)
