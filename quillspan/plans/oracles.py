@@ -156,7 +156,7 @@ EMAIL = "[A-Za-z0-9._]+@[A-Za-z0-9.]*[A-Za-z0-9]"
 CARD = "[0-9]{16}"
 ADDRESS = "[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"
 PHONE = "[+][0-9]{1,3} [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}"
-CUE = "(?:password|secret|token)[ :.,=]{0,3}([0-9a-f]+)"
+CUE = '(?:password|secret|token)[ :.,="]{0,5}([0-9a-f]{6,})'
 
 
 def spans(pattern: str, group: int = 0, where: str = "true") -> str:
@@ -202,7 +202,7 @@ ORACLES |= {
     "doc_digests": "select doc_id::varchar doc_id, sha256(coalesce(text, '')) digest from documents",
     "termination": """with r as (select o_custkey series, row_number() over (partition by o_custkey order by o_orderkey) round,
   (o_orderkey * 7919 + o_custkey) % 1000 / 20000.0::double + 0.3 leak_rate, 1000 + o_custkey % 9000 n_dev from orders),
-q as (select * from r where round <= 8),
+q as (select series * 1000 + (round - 1) // 8 series, (round - 1) % 8 + 1 round, leak_rate, n_dev from r),
 g as (select series, round, lag(leak_rate) over w - leak_rate gain, n_dev from q window w as (partition by series order by round)),
 b as (select *, coalesce(gain < greatest(0.005, 26.0::double / n_dev), false) below from g),
 s as (select *, round > 2 and sum(below::int) over (partition by series order by round rows between 1 preceding and current row) = 2 conv from b)
@@ -239,14 +239,47 @@ select rule_id, matches, coalesce(caught, 0)::bigint caught, coalesce(partial, 0
     }
 
 
-ORACLES["mask_text"] = f"""with s as (select doc_id, "start", "end", phi_type from ({ALL})),
+_UNITS = f"""with s as (select doc_id, "start", "end", phi_type from ({ALL})),
 o as (select *, case when max("end") over w is null or "start" >= max("end") over w then 1 else 0 end o from s
   window w as (partition by doc_id order by "start", "end" rows between unbounded preceding and 1 preceding)),
 r as (select *, sum(o) over (partition by doc_id order by "start", "end" rows unbounded preceding) i from o),
 u as (select doc_id, min("start") a, max("end") b, case when count(distinct phi_type) = 1 then '[' || min(phi_type) || ']' else '[PHI]' end tag from r group by doc_id, i),
 p as (select *, coalesce(lag(b) over (partition by doc_id order by a), 0) z from u),
-m as (select doc_id, string_agg(substr(text, z + 1, a - z) || tag, '' order by a) front, max(b) b from p join documents using (doc_id) group by 1)
-select d.doc_id, coalesce(front, '') || substr(text, coalesce(b, 0)::int + 1) masked_text from documents d left join m using (doc_id)"""
+m as (select doc_id, string_agg(substr(text, z + 1, a - z) || tag, '' order by a) front, max(b) b from p join documents using (doc_id) group by 1),
+masked as (select d.doc_id, coalesce(front, '') || substr(text, coalesce(b, 0)::int + 1) masked_text from documents d left join m using (doc_id))"""
+ORACLES["mask_text"] = f"{_UNITS} select * from masked"
+
+_LINES = f"""{_UNITS},
+tags as (select doc_id, a, b, length(tag) n, a + coalesce(sum(length(tag) - (b - a)) over (partition by doc_id order by a rows between unbounded preceding and 1 preceding), 0) ms from u),
+pieces as (select doc_id, unnest(range(0, len(l)))::int line, unnest(l) x from (select doc_id, string_split(masked_text, chr(10)) l from masked)),
+ext as (select doc_id, line, length(x) size, coalesce(sum(length(x) + 1) over (partition by doc_id order by line rows between unbounded preceding and 1 preceding), 0) f from pieces)"""
+ORACLES["line_geometry"] = f"""{_LINES}
+select e.doc_id, e.line, e.size::int "length", (f + coalesce(sum(b - a - n) filter (ms + n <= f), 0))::int doc_offset, (count(*) filter (ms >= f and ms + n <= f + size))::int n_tags
+from ext e left join tags t on t.doc_id = e.doc_id group by e.doc_id, e.line, e.size, e.f"""
+
+# the flags of registry._responses: which refusal each meets, and where those that stand lie in the document
+_FLAGS = f"""{_LINES},
+top as (select doc_id, size, doc_id % 50 n from ext where line = 0),
+own as (select t.* from tags t join top on top.doc_id = t.doc_id where ms >= 0 and ms + t.n <= size),
+given as (select doc_id, size, n, unnest([0, 1, 2, 3, 4]) flag_index from top where n <> 7),
+judged as (select g.doc_id, flag_index, case flag_index when 1 then 'out_of_range' when 4 then 'malformed' when 3 then 'crosses_a_line'
+    when 2 then case when n + 2 > size then 'crosses_a_line' else 'undeclared_phi_type' end
+    else case when n + 4 > size then 'crosses_a_line' when exists (select 1 from own o where o.doc_id = g.doc_id and g.n < o.ms + o.n and o.ms < g.n + 4) then 'inside_a_mask_tag' end end reason,
+  n + coalesce((select sum(o.b - o.a - o.n) from own o where o.doc_id = g.doc_id and o.ms + o.n <= g.n), 0) s,
+  n + 4 + coalesce((select sum(o.b - o.a - o.n) from own o where o.doc_id = g.doc_id and o.ms + o.n <= g.n + 4), 0) e from given g),
+flags as (select doc_id, flag_index::int flag_index, reason, case when reason is null then s else -1 end::int "start", case when reason is null then e else -1 end::int "end",
+    case when reason is null then 'NAME' end phi_type, case when reason is null then 1.0 end::double score from judged
+  union all select doc_id, 0, 'malformed', -1, -1, null, null from documents where doc_id % 50 = 7)"""
+ORACLES["flag_validate"] = f"{_FLAGS} select * from flags"
+ORACLES["audit_report"] = f"""{_FLAGS}
+select 'type' kind, phi_type "name", count(*) n from flags where reason is null group by 2
+union all select 'refusal', reason, count(*) from flags where reason is not null group by 2
+union all select 'documents', case when ok then 'flagged' else 'unflagged' end, count(*) from (select doc_id, coalesce(bool_or(reason is null), false) ok from documents left join flags using (doc_id) group by 1) group by 2"""
+
+_TERMS = "(?i)(the MIT License|stupid|loser|scum)"
+_WORD = r"[\p{L}\p{M}\p{N}_]"
+ORACLES["detect_gazetteer"] = f"""select doc_id, "start"::int "start", "end"::int "end", 'en:insults' rule_id from {spans(_TERMS)} join documents using (doc_id)
+where not ("start" > 0 and regexp_matches(substr(text, "start"::int, 1), '{_WORD}')) and not regexp_matches(substr(text, "end"::int + 1, 1), '{_WORD}')"""
 
 _MISSED = full("fully_covered", """select doc_id, span_index, phi_type, 'missed' kind, "start", "end" from vm where not covered""")
 _TOUCH = """p.doc_id = m.doc_id and p."start" < m."end" and m."start" < p."end\""""
@@ -266,3 +299,33 @@ select o_orderkey, substr('TRWAGMYFPDXBNJZSQVHLCKE', (n % 23 + 1)::int, 1) = l d
   list_sum(list_transform(v, lambda x, i: case when i % 2 = 0 then case when x > 4 then 2 * x - 9 else 2 * x end else x end)) % 10 = 0 luhn,
   list_sum(v) % 10 = 0 mod10 from f""",
 }
+
+# --- corpora, order, the way back, screening ------------------------------------------------------------------------
+
+_NOTES = """with d as (select doc_id, text, ['FECHAS', 'PAIS', 'SEXO_SUJETO_ASISTENCIA', 'HOSPITAL'][doc_id % 4 + 1] subtype, least(length(text), doc_id % 5 + 1)::int size from documents
+  where length(text) > 0 and not regexp_matches(substr(text, 1, 5), '[\\x20\\x09-\\x0D]'))"""
+_ANY = " or ".join(f"regexp_matches(path, '{p}')" for p in ("^data/", "(^|/)data/(source|derived|raw|interim)/", "(^|/)call_logs?/"))
+_FILES = f"""with f as (select doc_id, ['docs/', 'data/raw/', 'sealed/', 'notes/call_log/', 'results/'][doc_id % 5 + 1] || doc_id || case when doc_id % 2 = 0 then '.md' else '.jsonl' end path, text, doc_id % 3 > 0 visible from documents),
+x as (select *, path like 'sealed/%' or {_ANY} out from f),
+screened as (select x.*, case when out and visible then 'blocked' when path like 'sealed/%' then 'sealed' when out then 'quarantined' when w.reason is not null then 'suspect' else 'allowed' end "class",
+  case when not out then w.reason end reason from x join ({{screen}}) w using (doc_id))"""
+_FILES = _FILES.replace("{screen}", ORACLES["screen_documents"].replace('"class"', "kind"))
+ORACLES |= {
+    "parse_notes": f"""{_NOTES} select doc_id, 0 "start", size "end", case subtype when 'FECHAS' then 'DATE' when 'PAIS' then 'LOCATION_AREA' when 'HOSPITAL' then 'ORGANISATION' end phi_type,
+  subtype = 'SEXO_SUJETO_ASISTENCIA' excluded, subtype from d""",
+    "wrong_offsets": f"{_NOTES} select doc_id, 0 span_index from d where doc_id % 11 = 0 and substr(text, 1, size) <> '?'",
+    "sorted_spans": f"""select doc_id, row_number() over (partition by doc_id order by "start", "end", coalesce(rule_id, ''))::int place, "start", "end", rule_id from ({ALL})""",
+    "rendered_lines": f"{_UNITS} select doc_id, '0000000 | ' || string_split(masked_text, chr(10))[1] line from masked",
+    "way_back": f"""{_LINES} select m.doc_id, (m.n + coalesce(sum(b - a - t.n) filter (ms + t.n <= m.n), 0))::int "at" from (select doc_id, length(masked_text) // 2 n from masked) m
+  left join tags t on t.doc_id = m.doc_id group by m.doc_id, m.n""",
+    "target_errors": f"select phi_type, kind, count(*) n from ({_ERRORS}) where phi_type <> 'DATE' group by 1, 2",
+    "merge_by_priority": f"""select phi_type, count(*) n, sum(n_merged)::bigint merged, sum("start")::bigint starts, sum("end")::bigint ends from ({WITH},{UNION.format(name="isl", source="pred", keys="doc_id").replace('"start" > max', '"start" >= max').replace('max("end") "end"', """max("end") "end", count(*) n_merged,
+  arg_max(phi_type, {'a': -list_position(['regex_checksum','context_cue','gazetteer','tagger'], layer), 'b': "end" - "start", 'c': -"start", 'd': -span_index}) phi_type""")} select * from isl) group by 1""",
+    "fold_types": f"""select {FOLDS} split, case when phi_type = 'ID' then 'excluded_type' else 'phi_type' end kind, case when phi_type = 'ID' then rule_id else phi_type end "name", count(*) n from ({ALL}) group by all""",
+    "fold_tokens": f"""select split, p, n[least(len(n) - 1, floor(p * len(n))::int)::int + 1] "value" from (select {FOLDS} split, list_sort(list({TOKENS}::bigint)) n from documents group by 1), (select unnest([0.05, 0.5, 0.95]::double[]) p)""",
+    "screen_files": f"""{_FILES} select path, "class", reason, false listed from screened""",
+    "screen_parts": f"""{_FILES},
+allow as (select path, doc_id, case when doc_id % 8 = 0 then 'long' else 'access' end sniff from f where doc_id % 5 in (0, 4) and doc_id % 4 = 0)
+select path, reason, case when starts_with(reason, sniff) then 'known' when visible then 'unexpected' else 'unpublishable' end part from screened left join (select path, sniff from allow) using (path) where "class" = 'suspect' and doc_id % 16 > 0
+union all select path, null, 'stale' from allow where doc_id % 16 = 0""",
+}

@@ -31,7 +31,7 @@ CORPUS = "es-meddocan"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return tables.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _found(spark: SparkSession, sf_dir: str, *ids: str) -> DataFrame:
@@ -90,7 +90,7 @@ def _responses(docs: DataFrame) -> DataFrame:
 def flag_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     lines = masking.masked_lines(masking.mask_documents(docs, _all(spark, sf_dir)))
-    return flags.validate(_responses(docs), lines)
+    return flags.sort_flags(flags.validate(_responses(docs), lines)).na.fill(-1, ["start", "end"])
 
 
 def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +115,100 @@ def fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.fold_summary(docs, _all(spark, sf_dir).withColumn("excluded", F.col("phi_type") == "ID"))
 
 
+def fold_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("split", _fold(F.col("doc_id")))
+    return splits.fold_types(docs, _all(spark, sf_dir).withColumn("excluded", F.col("phi_type") == "ID").withColumn("subtype", F.col("rule_id")))
+
+
+def fold_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.fold_tokens(documents(spark, sf_dir).withColumn("split", _fold(F.col("doc_id"))))
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standoff lines made of the documents: each one's first letters, some behind a byte-order mark."""
+    number = F.col("doc_id")
+    kind = F.element_at(F.array(*(F.lit(t) for t in NOTE_TYPES)), (number % len(NOTE_TYPES) + 1).cast("int"))
+    shift, size = (number % 7 == 0).cast("int"), F.least(F.length("text"), (number % 5 + 1).cast("int"))
+    text = F.when(number % 7 == 0, F.concat(F.lit(brat.BOM), "text")).otherwise(F.col("text"))
+    surface = F.when(number % 11 == 0, F.lit("?")).otherwise(F.substring(F.col("text"), F.lit(1), size))
+    line = F.concat(F.lit("T1\t"), kind, F.lit(" "), shift.cast("string"), F.lit(" "), (shift + size).cast("string"), F.lit("\t"), surface)
+    return documents(spark, sf_dir).where(~F.substring("text", 1, 5).rlike(r"\s") & (F.length("text") > 0)).select("doc_id", text.alias("raw"), line.alias("line"))
+
+
+NOTE_TYPES = ("FECHAS", "PAIS", "SEXO_SUJETO_ASISTENCIA", "HOSPITAL")
+
+
+def _read_notes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    notes = _notes(spark, sf_dir)
+    text, had = brat.strip_bom(F.col("raw"))
+    read = notes.select("doc_id", text.alias("text"), had.cast("int").alias("shift"), brat.parse_brat_line(F.col("line")).alias("a"))
+    kind = brat.classify_type(F.col("a.subtype"), brat.MEDDOCAN_TYPES, brat.MEDDOCAN_EXCLUDED)
+    spans = read.select("doc_id", F.lit(0).alias("span_index"), (F.col("a.start") - F.col("shift")).alias("start"), (F.col("a.end") - F.col("shift")).alias("end"), "a.surface", "a.subtype", kind.alias("c"))
+    return read.select("doc_id", "text"), spans.select("doc_id", "span_index", "start", "end", "surface", "subtype", "c.phi_type", "c.excluded")
+
+
+def parse_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standoff lines read: offsets behind byte-order marks, types mapped or excluded."""
+    return _read_notes(spark, sf_dir)[1].select("doc_id", "start", "end", "phi_type", "excluded", "subtype")
+
+
+def wrong_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans whose surface isn't at their offsets."""
+    return brat.bad_offsets(*_read_notes(spark, sf_dir))
+
+
+def sorted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All found spans with their place in the order of the files."""
+    order = Window.partitionBy("doc_id").orderBy("start", "end", F.coalesce("rule_id", F.lit("")))
+    return detect.sort_spans(_all(spark, sf_dir)).select("doc_id", F.row_number().over(order).alias("place"), "start", "end", "rule_id")
+
+
+def rendered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line of each masked document as an auditor sees it."""
+    masked = masking.mask_documents(documents(spark, sf_dir), _all(spark, sf_dir))
+    return masked.select("doc_id", masking.render_line(F.lit(0), F.get(F.split("masked_text", "\n", -1), F.lit(0))).alias("line"))
+
+
+def way_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place in the document of each masked text's middle."""
+    masked = masking.mask_documents(documents(spark, sf_dir), _all(spark, sf_dir))
+    return masked.select("doc_id", masking.to_document(F.floor(F.length("masked_text") / 2).cast("int"), F.col("tags")).alias("at"))
+
+
+def target_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of types that a sample may hold, here with one type called OTHER."""
+    renamed = _errors(spark, sf_dir).withColumn("phi_type", F.when(F.col("phi_type") == "DATE", "OTHER").otherwise(F.col("phi_type")))
+    return sampling.eligible_errors(renamed).groupBy("phi_type", "kind").agg(F.count("*").alias("n"))
+
+
+def merge_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.merge_recall_first(tables.pred(spark, sf_dir), LAYERS, "fixed_priority").groupBy("phi_type").agg(F.count("*").alias("n"), F.sum("n_merged").alias("merged"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files made of documents: a path by number, every third one not visible."""
+    number = F.col("doc_id")
+    path = F.concat(F.element_at(F.array(*(F.lit(p) for p in PATHS)), (number % len(PATHS) + 1).cast("int")), number.cast("string"), F.when(number % 2 == 0, ".md").otherwise(".jsonl"))
+    return documents(spark, sf_dir).select(path.alias("path"), F.col("text").alias("content"), (number % 3 > 0).alias("visible"))
+
+
+PATHS = ("docs/", "data/raw/", "sealed/", "notes/call_log/", "results/")
+
+
+def screen_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screen.screen_files(_paths(spark, sf_dir), SCREEN)
+
+
+def screen_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suspect files by what the allow-list expects; every fourth one has an entry, half of those for another hit."""
+    files = _paths(spark, sf_dir)
+    number = F.regexp_extract("path", "([0-9]+)", 1).cast("long")
+    listed = files.where(F.col("path").startswith("docs/") | F.col("path").startswith("results/")).where(number % 4 == 0)
+    allow = listed.select("path", F.when(number % 8 == 0, "long").otherwise("access").alias("sniff"), F.lit("one two three four five").alias("why"))
+    left = files.where(number % 16 > 0)
+    return screen.partition_suspect(screen.screen_files(left, SCREEN), allow, left)
+
+
 def stem_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.stem_groups(documents(spark, sf_dir).select(F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("doc_id")))
 
@@ -140,7 +234,9 @@ def termination(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     rate = ((F.col("o_orderkey") * 7919 + F.col("o_custkey")) % 1000) / 20000.0 + 0.3
     series = orders.select(F.col("o_custkey").alias("series"), turn.cast("long").alias("round"), rate.alias("leak_rate"), (1000 + F.col("o_custkey") % 9000).alias("n_dev"))
-    return rounds.termination_table(series.where("round <= 8"))
+    # all rounds, in series of at most as many as the ceiling
+    within = series.withColumn("series", F.col("series") * 1000 + F.floor((F.col("round") - 1) / rounds.CEILING)).withColumn("round", (F.col("round") - 1) % rounds.CEILING + 1)
+    return rounds.termination_table(within)
 
 
 def _on_spans(f: Callable[..., DataFrame], *rest) -> Query:
@@ -267,6 +363,17 @@ QUERIES: dict[str, Query] = {
     "screen_documents": screen_documents,
     "token_percentiles": token_percentiles,
     "fold_summary": fold_summary,
+    "fold_types": fold_types,
+    "fold_tokens": fold_tokens,
+    "parse_notes": parse_notes,
+    "wrong_offsets": wrong_offsets,
+    "sorted_spans": sorted_spans,
+    "rendered_lines": rendered_lines,
+    "way_back": way_back,
+    "target_errors": target_errors,
+    "merge_by_priority": merge_by_priority,
+    "screen_files": screen_files,
+    "screen_parts": screen_parts,
     "stem_groups": stem_groups,
     "crossing_summary": crossing_summary,
     "split_verify": split_verify,

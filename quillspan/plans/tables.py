@@ -14,6 +14,16 @@ LAYERS = ("regex_checksum", "context_cue", "gazetteer", "tagger")
 LENGTH = 97
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table that a scan would read in fewer tasks than there are cores (one row group, say), dealt over all of them.
+
+    Any table of more splits than cores stays as it is, so nothing large is moved.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    splits = table._jdf.queryExecution().toRdd().getNumPartitions()
+    return table.repartition(cores) if splits < cores else table
+
+
 def _pick(values: tuple[str, ...], index):
     return F.element_at(F.array(*map(F.lit, values)), (index % len(values) + 1).cast("int"))
 
