@@ -91,10 +91,12 @@ def find_spans(text: str, vocabulary: str, most: float = MAX_CHARS_PER_TOKEN) ->
     out = [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     out += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
-    found = list(out)
+    found, at, reach = sorted((a, b) for _, a, b in out), 0, 0
     for m in _RUN.finditer(text):
         s, e = m.span()
-        if any(a < e and s < b for _, a, b in found):
+        while at < len(found) and found[at][0] < e:  # runs and found spans both go from left to right
+            reach, at = max(reach, found[at][1]), at + 1
+        if reach > s:
             continue
         after = text[e : e + 1]
         if after == "." and not text[e + 1 : e + 2].isalnum():
@@ -174,8 +176,8 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def redact_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", vocabulary: str | None = None, most: float = MAX_CHARS_PER_TOKEN) -> DataFrame:
-    """The same rows and columns, secrets replaced by a mark; n_chars follows where the text changed."""
-    path, schema = vocabulary or vocabulary_path(), docs.schema
+    """The same rows and columns, secrets replaced by a mark; n_chars, if there is such a column, follows where the text changed."""
+    path, schema, sized = vocabulary or vocabulary_path(), docs.schema, n_chars in docs.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,14 +185,14 @@ def redact_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_char
                 found = _spans_of(part, text, path, most)
                 hit = [i for i, x in enumerate(found) if x]
                 if hit:
-                    column, size = part.column(text), part.column(n_chars)
+                    column = part.column(text)
                     new = [redact(column[i].as_py(), found[i]) for i in hit]
                     mask = np.zeros(part.num_rows, dtype=bool)
                     mask[hit] = True
-                    put = {
-                        text: pc.replace_with_mask(column, mask, pa.array(new, type=column.type)),
-                        n_chars: pc.replace_with_mask(size, mask, pa.array([len(x) for x in new], type=size.type)),
-                    }
+                    put = {text: pc.replace_with_mask(column, mask, pa.array(new, type=column.type))}
+                    if sized:
+                        size = part.column(n_chars)
+                        put[n_chars] = pc.replace_with_mask(size, mask, pa.array([len(x) for x in new], type=size.type))
                     part = pa.RecordBatch.from_arrays([put.get(c, part.column(c)) for c in part.schema.names], schema=part.schema)
                 yield part
 

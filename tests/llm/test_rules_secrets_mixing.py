@@ -95,6 +95,55 @@ def test_neighbours_in_a_batch_hold_no_secret_back():
     assert found[0][1] == [("hex", 0, 32)] and found[1][1] == [("random", 0, 22)]
 
 
+RUN = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+
+
+def brute_random(text, covered):
+    """Spans of kind random, character by character, from the rules in the module's head."""
+    encoding, out, at = secrets._encoding(secrets.vocabulary_path()), [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in RUN:
+            end += 1
+        run, before, after, behind = text[at:end], text[:at][-1:], text[end : end + 1], text[end + 1 : end + 2]
+        digits, letters = sum(c in "0123456789" for c in run), sum(c.isalpha() for c in run)
+        sort = "".join("d" if c.isdigit() else "l" for c in run if c.isalnum())
+        turns = sort.count("dl") + sort.count("ld")
+        if after == "." and not behind.isalnum():
+            after = ""
+        known = re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run) or (len(run) in (32, 40, 48, 56, 64, 96, 128) and re.fullmatch("[0-9a-f]+|[0-9A-F]+", run))
+        address = before in ("@", ".", ":") or after in ("@", ".") or run.startswith("//") or before.isalnum() or after.isalnum()
+        if len(run) >= 16 and digits > 1 and letters > 1 and turns > 2 and not known and not address and not covered & set(range(at, end)):
+            if len(run) / len(encoding.encode_ordinary(run)) < secrets.MAX_CHARS_PER_TOKEN:
+                out.append(("random", at, end))
+        at = max(end, at + 1)
+    return out
+
+
+def test_every_order_and_chunking_gives_the_spans_of_each_text():
+    rng, path = random.Random(4), secrets.vocabulary_path()
+    key = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(n))
+    parts = [lambda: "face", lambda: key(20), lambda: key(30), lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((20, 24, 32, 40)))), lambda: "password: hunter22", lambda: "AKIA" + "Q7" * 9, lambda: "a@b.example", lambda: ".", lambda: "é" * 17, lambda: "token=" + key(18), lambda: "name:" + key(20)]
+    texts = [None, "", ""] + [rng.choice(("", " ", ". ")).join(rng.choice(parts)() for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    want = {t: secrets.find_spans(t or "", path) for t in texts}
+    for t, spans in want.items():
+        base = [x for x in spans if x[0] != "random"]
+        covered = {i for _, a, b in base for i in range(a, b)}
+        assert [x for x in spans if x[0] == "random"] == brute_random(t or "", covered), t
+    assert sum(k == "random" for x in want.values() for k, *_ in x) > 10
+    for _ in range(30):
+        rng.shuffle(texts)
+        cuts = sorted({0, len(texts), *(rng.randrange(len(texts)) for _ in range(rng.randrange(8)))})
+        got = [x for a, b in zip(cuts, cuts[1:]) for x in secrets._spans_of(pa.RecordBatch.from_pydict({"text": pa.array(texts[a:b], pa.string())}), "text", path, secrets.MAX_CHARS_PER_TOKEN)]
+        assert got == [want[t] for t in texts]
+
+
+def test_redaction_without_sizes(spark):
+    docs = table(spark, ["token = abcdef0123", "plain", None]).drop("n_chars")
+    got = {r["doc_id"]: r["text"] for r in secrets.redact_documents(docs).collect()}
+    assert got == {0: secrets.MARK, 1: "plain", 2: None}
+
+
 def test_redaction(spark):
     texts = ["a password=abcdef b", None, "", "clean"]
     got = secrets.redact_documents(table(spark, texts)).orderBy("doc_id").collect()
