@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.model import FAMILY_OF, MODES, SpanError
-from quillspan.operators.intervals import DOC_TYPE, dedupe, overlap, with_island
+from quillspan.operators.intervals import DOC_TYPE, overlap, with_island
 
 SPARSE = 8  #: gold spans of a type up to which it counts as sparse
 HEADLINE = {"leak_rate": "fully_covered", "lower_bound": "relaxed", "prf": "relaxed"}
@@ -39,10 +39,9 @@ def refuse_split_rules(pred: DataFrame) -> None:
         raise SpanError("a rule_id stands under two layers")
 
 
-def eligible(mode: str, g: str = "g", p: str = "p") -> Column:
-    """May this prediction be assigned to this gold span?"""
-    gs, ge, ps, pe = (F.col(f"{t}.{c}") for t in (g, p) for c in ("start", "end"))
-    return (ps <= gs) & (ge <= pe) if mode == "fully_covered" else (gs < pe) & (ps < ge)
+def eligible(g: Column, p: Column, mode: str) -> Column:
+    """May this prediction, which overlaps the gold span, be assigned to it?"""
+    return (p["start"] <= g["start"]) & (g["end"] <= p["end"]) if mode == "fully_covered" else F.lit(True)
 
 
 def chains(gold: DataFrame, pred: DataFrame) -> DataFrame:
@@ -120,8 +119,7 @@ def _assigned(golds: Column, preds: Column, mode: str) -> Column:
         shared = overlap(g["start"], g["end"], p["start"], p["end"])
         return F.struct((-shared).alias("o"), g["start"].alias("gs"), g["end"].alias("ge"), p["start"].alias("ps"), p["end"].alias("pe"), p["span_index"].cast("int").alias("pi"), g["span_index"].cast("int").alias("gi"))
 
-    may = lambda g, p: (p["start"] <= g["start"]) & (g["end"] <= p["end"]) if mode == "fully_covered" else F.lit(True)
-    pairs = F.flatten(F.transform(golds, lambda g: F.transform(F.filter(_near(g, preds), lambda p: may(g, p)), lambda p: order(g, p))))
+    pairs = F.flatten(F.transform(golds, lambda g: F.transform(F.filter(_near(g, preds), lambda p: eligible(g, p, mode)), lambda p: order(g, p))))
     free = lambda acc, x: ~F.exists(acc, lambda y: (y["gi"] == x["gi"]) | (y["pi"] == x["pi"]))
     return F.aggregate(F.array_sort(pairs), F.array().cast(_PAIRS), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(F.struct(x["gi"].alias("gi"), x["pi"].alias("pi"))))).otherwise(acc))
 
