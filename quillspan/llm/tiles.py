@@ -7,7 +7,7 @@ classes are compared.
 Candidates.  Under any one order of all shingles, linked sets share one among their
 first p = n - ceil(0.9 n) + 1, and share k among their first p + k - 1.  A class keeps
 half as many again as p (its prefix), so it is looked at only if about p / 2 of these
-stand in other components' prefixes too.  The order is by frequency over the whole
+stand in other components' prefixes too, and not at the most crowded p / 2 of those.  The order is by frequency over the whole
 table, rare shingles first, then by hash, so that passages which many documents
 share come last and don't make large groups.  Frequencies are those of a sketch of
 fixed size, in steps of half a power of two; only the order, never a result, depends
@@ -42,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm import kernels as K
@@ -284,13 +284,23 @@ def _shared(keyed: DataFrame) -> DataFrame:
 
 
 def _met(keyed: DataFrame, keys: DataFrame, labelled: DataFrame, percent: int | None) -> DataFrame:
-    """key, cid, m: the classes at each shared key, and their number; with a percentage only classes with as many shared keys as a link needs."""
+    """key, cid, m, settled: the classes at each shared key, and their number.
+
+    With a percentage only classes with as many shared keys as a link needs are there,
+    and each without its most crowded keys, one fewer than that: the keys that two
+    linked classes share lose at most so many of the most crowded, so one is left.
+    """
     met = keyed.select("key", "cid").join(keys, "key")
-    if percent is not None:
-        enough = met.groupBy("cid").agg(F.count("*").alias("of")).join(labelled.select("cid", "n"), "cid").where(F.col("of") >= needed(F.col("n"), percent))
-        met = met.join(enough.select("cid"), "cid", "left_semi")
-    many = met.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    return met.join(many, "key")
+    crowd = met.groupBy("key").agg(F.count("*").alias("m"))
+    if percent is None:
+        return settle(met.join(crowd.where("m > 1"), "key"), "met")
+    own = Window.partitionBy("cid")
+    ranked = met.join(crowd, "key").join(labelled.select("cid", "n"), "cid").withColumn("of", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.desc("m"), "key")))
+    least = needed(F.col("n"), percent)
+    left = settle(ranked.where((F.col("of") >= least) & (F.col("rank") >= least)).select("key", "cid"), "left")
+    out = settle(left.join(left.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"), "met")
+    drop(left)
+    return out
 
 
 def _same_few(met: DataFrame) -> DataFrame:
@@ -373,7 +383,7 @@ def _round(picked: DataFrame, labelled: DataFrame, of: Column, k: int, percent:
     if shared.isEmpty():
         drop(shared)
         return None
-    met = settle(_met(keyed, shared, labelled, percent if full else None), "met")
+    met = _met(keyed, shared, labelled, percent if full else None)
     drop(shared)
     large = met.where(F.col("m") > SMALL)
     close = None

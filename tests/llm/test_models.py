@@ -110,6 +110,10 @@ def test_needed_keys_are_shared():
             for m in (len(x), len(y)):
                 least = -(-90 * m // 100)
                 assert shared >= 1 + tiles.prefix_length(least) // 2
+            # without each one's most crowded keys a shared one is left
+            crowd = {k: int(rng.integers(2, 9)) for k in set(kept[0].tolist()) | set(kept[1].tolist())}
+            left = [set(sorted(k.tolist(), key=lambda x: (-crowd[x], x))[tiles.prefix_length(-(-90 * len(s) // 100)) // 2 :]) for k, s in zip(kept, (x, y))]
+            assert left[0] & left[1]
 
 
 def test_order_is_rarest_first(spark):
