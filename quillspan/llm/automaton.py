@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm import kernels as K
 from quillspan.llm.kneser import pair_key, triple_key
-from quillspan.llm.store import settle
+from quillspan.llm.store import settle, sweep
 
 FOLDS = 10
 ADD = 0.1
@@ -243,6 +243,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     shards = max(SHARDS, 1 << max(0, -(-size // SHARD_BYTES) - 1).bit_length())
     asked = blocks.mapInArrow(K.tidy(_ask(shards, BLOCK_BYTES)), REQUESTS)
     answers = settle(asked.groupBy("shard").applyInArrow(add_up, ANSWERS), "answers")
+    sweep(docs.sparkSession)
     figures = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "kinds", "once", "twice"))).first()
     n_train, kinds, once, twice = (int(x) for x in figures)
     d = once / (once + 2 * twice) if once and twice else 0.5
