@@ -44,6 +44,7 @@ ADD = 0.1
 ORDERS = 3
 PRIORS = (64.0, 8.0)  #: weight of the shorter history, for bigrams and trigrams
 BLOCK_BYTES = 16 << 20  #: no result depends on it
+WALK_TOKENS = 1 << 18  #: tokens whose part of the automaton is built at a time; no result depends on it
 SHARDS = 512
 SHARD_BYTES = 1 << 25  #: text for each shard, at most
 END = np.uint64(0xE7037ED1A0B428DB)
@@ -263,8 +264,14 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
         base, cost = np.zeros(block.num_rows), np.zeros(block.num_rows)
         if n_train:
             base = np.add.reduceat(np.log10(counts[0] + ADD) - base_of, first[:-1])
-            model, begin = automaton(h, first, counts, n_train, kinds, d)
-            cost = model.walk(first, begin)
+            # some texts at a time: a text's walk needs no other's
+            at = 0
+            while at < block.num_rows:
+                to = max(at + 1, int(np.searchsorted(first, first[at] + WALK_TOKENS, side="right")) - 1)
+                a, b = int(first[at]), int(first[to])
+                model, begin = automaton(h[a:b], first[at : to + 1] - a, [c[a:b] for c in counts], n_train, kinds, d)
+                cost[at:to] = model.walk(first[at : to + 1] - a, begin)
+                at = to
         known = np.add.reduceat((counts[0] > 0).astype(np.int64), first[:-1])
         rows = [block.column("doc_id"), block.column("held_out"), np.diff(first), known, np.full(block.num_rows, n_train), base, cost]
         return pa.table([x if isinstance(x, pa.Array) else pa.array(x) for x in rows], names=[x.split()[0] for x in SCORES.split(", ")])
