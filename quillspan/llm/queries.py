@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import automaton, chunk_store, edit_prints, host_rules, kneser, lengths, mixing, pieces, secrets, tiles
+from quillspan.llm import automaton, chunk_store, edit_prints, host_rules, infill, kneser, lengths, mixing, pieces, secrets, tiles
 from quillspan.llm.store import new_path
 
 
@@ -60,6 +60,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.score(documents(spark, sf_dir))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest_columns(infill.transform(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_edit_fingerprints,
         op10_lm_score,
+        op12_fill_in_middle,
     )
 }
 
@@ -113,4 +118,16 @@ r as (select source, (f + m * z) / (n + z) rate from h, k)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not (rate > 0.5) kept
 from j join r on j.source is not distinct from r.source""",
+    "op12_fill_in_middle": """
+with d as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') u,
+    sha256('1:' || coalesce(cast(doc_id as varchar), '')) h from documents),
+g as (select *, len(u)::bigint n, ('0x' || h[1:8])::bigint h1, ('0x' || h[9:16])::bigint h2, ('0x' || h[17:24])::bigint h3, ('0x' || h[25:32])::bigint h4 from d),
+f as (select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+    when h4 % 100 < 20 then 'spm' else 'psm' end form from g),
+p as (select *, array_to_string(u[1:a], '') pre, array_to_string(u[a+1:b], '') mid, array_to_string(u[b+1:n], '') suf from f)
+select doc_id, n, form, case when form <> 'plain' then length(pre)::bigint end prefix_chars, case when form <> 'plain' then length(mid)::bigint end middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) output_sha256,
+  sha256(t) restored_sha256
+from p""",
 }
