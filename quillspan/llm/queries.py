@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import automaton, chunk_store, edit_prints, host_rules, infill, kneser, lengths, mixing, pieces, secrets, tiles
+from quillspan.llm import automaton, chunk_store, edit_prints, host_rules, infill, kneser, lengths, mixing, pieces, posting_lists, secrets, tiles
 from quillspan.llm.store import new_path
 
 
@@ -64,6 +64,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest_columns(infill.transform(documents(spark, sf_dir)))
 
 
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_edit_fingerprints,
         op10_lm_score,
         op12_fill_in_middle,
+        op13_nearest_vectors,
     )
 }
 
