@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import automaton, chunk_store, edit_prints, host_rules, infill, kneser, lengths, mixing, pieces, posting_lists, secrets, tiles
+from quillspan.llm import automaton, chunk_store, edit_prints, host_rules, infill, kneser, lengths, mixing, pieces, posting_lists, secrets, tiles, treaps
 from quillspan.llm.store import new_path
 
 
@@ -60,6 +60,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.score(documents(spark, sf_dir))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treaps.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest_columns(infill.transform(documents(spark, sf_dir)))
 
@@ -81,12 +85,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_edit_fingerprints,
         op10_lm_score,
+        op11_lexical_search,
         op12_fill_in_middle,
         op13_nearest_vectors,
     )
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
     "op2_jaccard_join": rf"""
@@ -123,6 +129,19 @@ r as (select source, (f + m * z) / (n + z) rate from h, k)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not (rate > 0.5) kept
 from j join r on j.source is not distinct from r.source""",
+    "op11_lexical_search": rf"""
+with i as (select row_number() over () pos, item_id, list_distinct({_TERMS}) ts from benchmark),
+d as (select row_number() over () rid, doc_id, {_TERMS} ts from documents),
+s as (select (count(*) filter (len(ts) > 0))::bigint big_n, sum(len(ts))::bigint big_l from d),
+p as (select rid, t, count(*)::bigint tf from (select rid, unnest(ts) t from d) group by rid, t),
+f as (select t, count(*)::bigint df from p group by t),
+w as (select t, floor(1000 * ln((2 * big_n + 2)::double / (2 * df + 1)))::bigint w from f, s),
+m as (select rid, doc_id, 10 + (90 * len(ts)::bigint * big_n) // big_l m from d, s where big_l > 0),
+x as (select pos, item_id, unnest(ts) t from i),
+r as (select pos, item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint score
+  from x join w using (t) join p using (t) join m using (rid) group by pos, item_id, rid, doc_id)
+select item_id, (row_number() over (partition by pos order by score desc, doc_id asc nulls last))::int rank, doc_id, score from r where score > 0
+qualify rank <= 10""",
     "op12_fill_in_middle": """
 with d as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') u,
     sha256('1:' || coalesce(cast(doc_id as varchar), '')) h from documents),
