@@ -6,9 +6,12 @@ few places of the tree, a graph that fits in memory.  Index (all vectors): a wal
 the graph finds a vector's nearest centroids; one that lies on a border is stored in
 the lists of all centroids that are about as near.  Search: the same walk finds the
 lists of a query, those within a ratio of its nearest centroid's distance; the ratio
-is measured on a bounded sample of queries against all vectors.  Lists meet their
-queries by a shuffle, long lists and crowded ones in blocks; inner products are taken
-exactly, and the best of all blocks are merged per query.
+is measured on a bounded sample of queries against all vectors.  Lists that lie side
+by side make up regions of bounded size, which meet their queries by a shuffle: a
+query goes to a region once, with the numbers of its lists there, and gets one list of
+the best back.  Lists longer than a region, and queries that crowd one, are cut into
+blocks.  Inner products are taken exactly, and the best of all regions are merged per
+query.
 
 Largest inner products are nearest points once each vector gets one more component,
 the root of what its squared norm lacks to the largest one.
@@ -46,7 +49,7 @@ CLOSURE = 1.03  #: a border vector stands in lists up to this many times as far
 REPLICAS = 3  #: lists of one vector, at most
 RECALL = 0.95  #: share of true neighbours that the measured ratio must reach
 TRIALS = 256  #: queries that the ratio is measured on, about
-BLOCK = 4096  #: vectors of a list, or queries of it, that one group holds, about
+BLOCK_BYTES = 8 << 20  #: of the vectors, as doubles, of the lists that one group holds, and of its queries, about
 
 
 def _dot_square(v: Column) -> Column:
@@ -265,11 +268,11 @@ def fit_index(v: Vectors, size: int = LIST, sample_bytes: int = SAMPLE_BYTES) ->
 
 
 _ENTRY = "list int, cid long, first long, vec binary"
-_PROBE = "list int, q long, vec binary"
+_PROBE = "region int, q long, lists array<int>, vec binary"
 _MET = "q long, cid long, first long, score double"
 
 
-def _dealt(index: Index, kind: str, of: str):
+def _stored(index: Index, kind: str):
     """Vectors under each of their lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,18 +280,41 @@ def _dealt(index: Index, kind: str, of: str):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 x = _vectors(part.column("v"))
-                row, lists = (index.lists_of if of == "entry" else index.lists_for)(x.astype(np.float64))
-                packed = pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
+                row, lists = index.lists_of(x.astype(np.float64))
                 pick = pa.array(row)
-                names = ("cid", "first") if of == "entry" else ("cid",)
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), *(part.column(c).take(pick) for c in names), packed.take(pick)], names=["list", *(("cid", "first") if of == "entry" else ("q",)), "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), part.column("cid").take(pick), part.column("first").take(pick), _rows(x, kind).take(pick)], names=["list", "cid", "first", "vec"])
 
     return K.tidy(run)
 
 
+def _probing(index: Index, kind: str, region: np.ndarray):
+    """Queries under each region where they probe lists, with those lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                x = _vectors(part.column("v"))
+                row, lists = index.lists_for(x.astype(np.float64))
+                row, lists = row[region[lists] >= 0], lists[region[lists] >= 0]  # not those that are empty
+                order = np.lexsort((lists, region[lists], row))
+                row, lists = row[order], lists[order]
+                key = row * np.int64(len(region)) + region[lists]
+                heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, int)
+                pick = pa.array(row[heads])
+                held = pa.ListArray.from_arrays(pa.array(np.append(heads, len(key)), pa.int32()), pa.array(lists, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(region[lists[heads]], pa.int32()), part.column("cid").take(pick), held, _rows(x, kind).take(pick)], names=["region", "q", "lists", "vec"])
+
+    return K.tidy(run)
+
+
+def _rows(x: np.ndarray, kind: str) -> pa.Array:
+    return pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
+
+
 def post(v: Vectors, index: Index) -> DataFrame:
     """The index as a table: list, cid, first, vec; every class stands in one list or more."""
-    return settle(v.classes.select("cid", "first", "v").mapInArrow(_dealt(index, v.kind, "entry"), _ENTRY), "posting-lists")
+    return settle(v.classes.select("cid", "first", "v").mapInArrow(_stored(index, v.kind), _ENTRY), "posting-lists")
 
 
 def _trial(asked: pa.Table, kind: str, top: int):
@@ -298,8 +324,8 @@ def _trial(asked: pa.Table, kind: str, top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
                 x = _vectors(part.column("v")).astype(np.float64)
                 first = part.column("first").to_numpy()
                 row, col, score = best(q, x, first, first, top)
@@ -310,7 +336,7 @@ def _trial(asked: pa.Table, kind: str, top: int):
                 keep = _ranks(held[0]) < top
                 held = [a[keep] for a in held]
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1]), pa.array(held[2]), pa.array([r.tobytes() for r in held[3]], pa.binary())], names=["trial", "first", "score", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1]), pa.array(held[2]), _rows(held[3], "f8")], names=["trial", "first", "score", "vec"])
 
     return K.tidy(run)
 
@@ -337,41 +363,88 @@ def measure_ratio(v: Vectors, index: Index, queries: DataFrame, n_queries: int,
 def _packed(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _vectors(batch.column("v")).astype(kind) if batch.num_rows else np.empty((0, 1), kind)
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([r.tobytes() for r in x], pa.binary())], names=["cid", "vec"])
+            x = _vectors(batch.column("v")) if batch.num_rows else np.empty((0, 1), kind)
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), _rows(x, kind)], names=["cid", "vec"])
 
     return run
 
 
 def _meet(kind: str, top: int):
-    """The best of a block of a list for each of its queries."""
+    """The best of a block of a region for each of its queries, each among the lists that it probes."""
+    out = pa.schema([("q", pa.int64()), ("cid", pa.int64()), ("first", pa.int64()), ("score", pa.float64())])
 
     def run(entries: pa.Table, probes: pa.Table) -> pa.Table:
-        out = pa.schema([("q", pa.int64()), ("cid", pa.int64()), ("first", pa.int64()), ("score", pa.float64())])
         if not entries.num_rows or not probes.num_rows:
             return out.empty_table()
-        cid, first = entries.column("cid").to_numpy(), entries.column("first").to_numpy()
-        row, col, score = best(_matrix(probes.column("vec"), kind), _matrix(entries.column("vec"), kind), first, cid, top)
+        entries = entries.sort_by("list")
+        cid, first, lists = (entries.column(c).to_numpy() for c in ("cid", "first", "list"))
+        x, q = _matrix(entries.column("vec"), kind), _matrix(probes.column("vec"), kind)
+        probed = probes.column("lists").combine_chunks()
+        wanted = probed.flatten().to_numpy()
+        asker = np.repeat(np.arange(len(q)), probed.value_lengths().to_numpy())
+        order = np.argsort(wanted, kind="stable")
+        wanted, asker = wanted[order], asker[order]
+        parts, waiting = [], 0
+        for here in np.unique(lists):
+            a, b = np.searchsorted(lists, [here, here + 1])
+            askers = asker[slice(*np.searchsorted(wanted, [here, here + 1]))]
+            row, col, score = best(q[askers], x[a:b], first[a:b], cid[a:b], top)
+            parts.append((askers[row], a + col, score))
+            waiting += len(row)
+            if waiting > 1 << 20:
+                parts, waiting = [merged(parts, first, cid, top)], 0
+        row, col, score = merged(parts, first, cid, top)
         return pa.table([probes.column("q").to_numpy()[row], cid[col], first[col], score], schema=out)
 
     return run
 
 
-def search_lists(entries: DataFrame, probes: DataFrame, kind: str, top: int) -> DataFrame:
-    """q, cid, first, score: the ``top`` best classes of each query among the lists that it probes.
-
-    A list of many vectors or queries is cut into blocks, of which each pair is one
-    group; the numbers of blocks are a row for each list, as many as centroids.
-    """
-    blocks = lambda t, name: t.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    cut = F.broadcast(blocks(entries, "parts").join(blocks(probes, "turns"), "list"))
+def merged(parts: list, first: np.ndarray, cid: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``top`` best of each query of several lists; a vector found in two of them counts once."""
+    row, col, score = (np.concatenate(a) for a in zip(*parts, strict=True))
+    order = np.lexsort((cid[col], first[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    once = np.ones(len(row), bool)
+    once[1:] = (row[1:] != row[:-1]) | (cid[col[1:]] != cid[col[:-1]])
+    row, col, score = row[once], col[once], score[once]
+    keep = _ranks(row) < top if len(row) else once[:0]
+    return row[keep], col[keep], score[keep]
+
+
+def regions(sizes: np.ndarray, room: int) -> np.ndarray:
+    """The region of each list: neighbours in the tree's order together while they have room; -1 for empty lists."""
+    out = np.full(len(sizes), -1, np.int64)
+    number, held = 0, 0
+    for k in np.flatnonzero(sizes):
+        if held and held + sizes[k] > room:
+            number, held = number + 1, 0
+        out[k] = number
+        held += int(sizes[k])
+    return out
+
+
+def search_lists(entries: DataFrame, queries: DataFrame, v: Vectors, index: Index, top: int) -> DataFrame:
+    """q, cid, first, score: the ``top`` best classes of each query (cid, v) among the lists that it probes."""
+    spark = entries.sparkSession
+    room = max(top, BLOCK_BYTES // (8 * v.length))
+    sizes = np.zeros(len(index.centroids), np.int64)
+    for r in entries.groupBy("list").count().collect():  # a row for each centroid
+        sizes[r["list"]] = r["count"]
+    region = regions(sizes, room)
+    parts = np.maximum(1, -(-sizes // room))
+    where = spark.createDataFrame([(int(k), int(region[k]), int(parts[k])) for k in np.flatnonzero(sizes)], "list int, region int, parts int")
+    probes = settle(queries.select("cid", "v").mapInArrow(_probing(index, v.kind, region), _PROBE), "probes")
+    turns = probes.groupBy("region").agg(F.ceil(F.count("*") / room).cast("int").alias("turns"))
+    cut = where.groupBy("region").agg(F.max("parts").alias("parts")).join(turns, "region")
     mine = lambda key, n: F.pmod(F.xxhash64(F.lit(5), key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = entries.join(cut, "list").withColumn("part", mine("cid", "parts")).withColumn("turn", every("turns")).select("list", "part", "turn", "cid", "first", "vec")
-    right = probes.join(cut, "list").withColumn("turn", mine("q", "turns")).withColumn("part", every("parts")).select("list", "part", "turn", "q", "vec")
-    key = ("list", "part", "turn")
-    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_meet(kind, top), _MET)
-    place = F.dense_rank().over(Window.partitionBy("q").orderBy(F.desc("score"), "first", "cid"))  # found in two lists: one place
+    # both small tables have a row for each centroid at most
+    placed = entries.join(F.broadcast(where.select("list", "region")), "list").join(F.broadcast(cut), "region")
+    left = placed.withColumn("part", mine("cid", "parts")).withColumn("turn", every("turns")).select("region", "part", "turn", "list", "cid", "first", "vec")
+    right = probes.join(F.broadcast(cut), "region").withColumn("turn", mine("q", "turns")).withColumn("part", every("parts")).select("region", "part", "turn", "q", "lists", "vec")
+    key = ("region", "part", "turn")
+    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_meet(v.kind, top), _MET)
+    place = F.dense_rank().over(Window.partitionBy("q").orderBy(F.desc("score"), "first", "cid"))  # found in two regions: one place
     return met.withColumn("place", place).where(F.col("place") <= top).select("q", "cid", "first", "score").distinct()
 
 
@@ -390,8 +463,7 @@ def neighbours(table: DataFrame, vec_id: str = "vec_id", vector: str = "embeddin
     index = fit_index(known, size)
     index.ratio = measure_ratio(known, index, queries, queries.count(), top, recall)
     entries = post(known, index)
-    probes = settle(queries.mapInArrow(_dealt(index, known.kind, "probe"), _PROBE), "probes")
-    met = search_lists(entries, probes, known.kind, top + 1)
+    met = search_lists(entries, queries, known, index, top + 1)
     # copies come back: a class's smallest ids
     copies = known.classes.where(F.size("ids") > 1).select("cid", "ids")
     spread = met.join(copies, "cid", "left").select("q", "score", F.explode(F.coalesce("ids", F.array("first"))).alias("id"))

@@ -66,7 +66,7 @@ def test_many_copies_and_blocks(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(600, 8)).astype(np.float32).astype(float)
     x[::3] = x[0]  # a third are copies
-    monkeypatch.setattr(P, "BLOCK", 7)  # the driver cuts lists into many blocks
+    monkeypatch.setattr(P, "BLOCK_BYTES", 30 * 64)  # regions of 30 vectors: lists and queries are cut into many blocks
     ids = rng.permutation(600)
     check(P.neighbours(frame(spark, ids, x).repartition(7), size=100).collect(), brute(ids.tolist(), x), 0.9)
 
@@ -104,6 +104,7 @@ def test_index_parts():
     assert set(row) == set(range(2000)) and len(row) > 2000  # every vector is stored, those on borders more than once
     sizes = np.bincount(lists, minlength=50)
     assert sizes.max() < 4 * sizes.mean()
+    assert P.regions(np.array([5, 0, 5, 5, 20, 1, 1]), 10).tolist() == [0, -1, 0, 1, 2, 3, 3]
     index.ratio = 1e9
     assert len(index.lists_for(x[:30])[0]) == 30 * 50  # a wide ratio reaches every list
     index.ratio = 1.0
