@@ -125,7 +125,70 @@ def test_repeated_and_missing_ids(spark):
     assert got == Counter([(1, long["p"]), (1, long["q"]), (7, long["r"]), (None, long["s"]), (None, long["t"]), (None, ""), (None, None), (None, " \n"), (3, "")])
     sizes = [*range(1, 40), 5, 5]
     many = spark.createDataFrame([(None, " ".join(f"s{k % 4}w{i}" for i in range(n)), "en", f"s{k % 4}", n) for k, n in enumerate(sizes)], SCHEMA)
-    want = mixing.mix(corpus_pipeline.keyed(many), doc_id=corpus_pipeline.ROW).groupBy("src").sum("epochs").collect()
+    named = many.withColumn("row", corpus_pipeline.row_hash(many))
+    want = mixing.mix(named, doc_id="row").groupBy("src").sum("epochs").collect()
     mixed = Counter(r["source"] for r in corpus_pipeline.mixture(spark, many, SF).collect())
     assert mixed == Counter({r["src"]: r["sum(epochs)"] for r in want})
     assert len({r["sum(epochs)"] for r in want}) > 1
+
+
+def plain_mix(rows, sizes, sources):
+    """Targets of the sources by the mix's own plan; the rows are told apart by all their values."""
+    totals = Counter()
+    for n, s in zip(sizes, sources, strict=True):
+        totals[s] += n
+    return {s: target for s, _, target, *_ in mixing.plan_sources(dict(totals))}
+
+
+def test_rows_that_differ_in_where_a_null_is(spark):
+    """Swapped nulls make different rows; each is kept, and taken for itself."""
+    text = lambda k: " ".join(f"k{k}w{i}" for i in range(30))
+    rows = [(1, text(0), "x", None, 9), (1, text(0), None, "x", 9), (2, text(1), "a", None, 9), (2, text(2), "a", None, 9), (2, text(2), "a", None, 9)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    first, second = (r["h"] for r in docs.limit(2).select(corpus_pipeline.row_hash(docs).alias("h")).collect())
+    assert first != second
+    kept = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert len(kept) == 3 and set(kept) <= set(rows) and {r[1] for r in kept} == {r[1] for r in rows}
+    mixed = Counter(tuple(r) for r in corpus_pipeline.mixture(spark, docs, SF).collect())
+    assert set(mixed) <= set(rows)
+    words_of = Counter()
+    for r, n in mixed.items():
+        words_of[r[3]] += 30 * n
+    for source, target in plain_mix(rows, [30] * 5, [r[3] for r in rows]).items():
+        assert abs(words_of[source] - target) <= 30
+    assert mixed[rows[0]] <= 3 and mixed[rows[1]] <= 3 and mixed[rows[3]] <= 6
+
+
+def test_rows_that_share_a_short_name(spark, monkeypatch):
+    """Even if the 64 bits of all rows were the same, no row would be lost or taken for another."""
+    text = lambda k: " ".join(f"k{k}w{i}" for i in range(20))
+    rows = [(k, text(k), "x", f"s{k % 2}", 9) for k in range(8)] + [(3, text(3), "x", "s1", 9)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = Counter(tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    monkeypatch.setattr(corpus_pipeline, "row_hash", lambda d: corpus_pipeline.F.lit(5).cast("long"))
+    assert Counter(tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == want == Counter(set(rows))
+    mixed = Counter(tuple(r) for r in corpus_pipeline.mixture(spark, docs, SF).collect())
+    assert set(mixed) <= set(rows)
+    words_of = Counter()
+    for r, n in mixed.items():
+        words_of[r[3]] += 20 * n
+    for source, target in plain_mix(rows, [20] * 9, [r[3] for r in rows]).items():
+        assert abs(words_of[source] - target) <= 20
+
+
+def test_clashing_names_and_odd_types(spark):
+    """Columns named as the stages name their own, and map, array and binary ones, come back as they were."""
+    F = corpus_pipeline.F
+    texts = [" ".join(f"k{k // 2}w{i}" for i in range(30)) + (" more" if k % 2 else "") for k in range(12)]
+    extra = {c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in ("__row", "row", "Key", "key_", "epoch", "Epochs", "component_id", "taken", "upto", "size", "src")}
+    extra |= {"m": F.when(F.col("doc_id") % 3 > 0, F.create_map(F.lit("a"), F.col("doc_id"), F.lit("b"), F.lit(None).cast("long"))), "l": F.array(F.col("doc_id"), F.lit(None)), "b": F.col("text").cast("binary"), "t": F.struct(F.lit(None).cast("int").alias("x"))}
+    docs = table(spark, texts, **extra)
+    before = {r["doc_id"]: r for r in docs.collect()}
+    for stage, least in ((corpus_pipeline.near_duplicates, 6), (corpus_pipeline.secret_scan, 12), (corpus_pipeline.mixture, 3)):
+        after = stage(spark, docs, SF)
+        assert after.dtypes == docs.dtypes
+        got = after.collect()
+        assert len({r["doc_id"] for r in got}) >= least and all(r == before[r["doc_id"]] for r in got)
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).orderBy("doc_id").collect()] == [0, 2, 4, 6, 8, 10]
+    empty = docs.limit(0)
+    assert corpus_pipeline.near_duplicates(spark, empty, SF).count() == corpus_pipeline.mixture(spark, empty, SF).count() == 0
