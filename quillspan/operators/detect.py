@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions import patterns
+from quillspan.functions.arrays import let, running
 from quillspan.functions.checksums import CHECKSUMS
 from quillspan.sources.rules import Rule, check_patterns
 
@@ -23,22 +24,22 @@ OUT = "start int, end int, phi_type string, layer string, rule_id string, score
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """Array of (start, end, hit) of a pattern that can't match nothing; with group 1 the group ends the match."""
-    gaps = F.split(text, pattern, -1)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    steps = F.transform(part, lambda g, i: F.struct((F.length(F.get(gaps, i)) + F.length(F.get(whole, i))).alias("step"), g.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_HIT).alias("hits"))
-
-    def add(acc: Column, x: Column) -> Column:
-        end = acc["at"] + x["step"]
-        hit = F.struct((end - F.length(x["hit"])).alias("start"), end.alias("end"), x["hit"].alias("hit"))
-        return F.struct(end.alias("at"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
-
-    whole_text = F.when(F.size(gaps) == F.size(whole) + 1, F.aggregate(steps, start, add)["hits"])
+    found = F.struct(
+        F.split(text, pattern, -1).alias("gaps"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"),
+    )
+
+    def hits(x: Column) -> Column:
+        steps = F.transform(x["whole"], lambda w, i: F.length(F.get(x["gaps"], i)) + F.length(w))
+        hit = lambda ends: F.transform(x["part"], lambda g, i: F.struct((F.get(ends, i) - F.length(g)).alias("start"), F.get(ends, i).alias("end"), g.alias("hit")))
+        return F.when(F.size(x["gaps"]) == F.size(x["whole"]) + 1, let(running(steps), hit))
+
+    whole_text = let(found, hits).cast(_HIT)
     # most texts have no match: one search, and the arrays only where it succeeds
     sure = patterns.required(pattern)
-    found = text.contains(sure) & text.rlike(pattern) if sure else text.rlike(pattern)
-    return F.when(found, whole_text).otherwise(F.array().cast(_HIT))
+    there = text.contains(sure) & text.rlike(pattern) if sure else text.rlike(pattern)
+    return F.when(there, whole_text).otherwise(F.array().cast(_HIT))
 
 
 def _native(text: Column, rule: Rule) -> Column:
