@@ -19,6 +19,8 @@ THEN = {
     "rest_of_line": r"[^\n]+",
 }
 FLAGS = {"unicode": "", "ignorecase": "i", "multiline": "m"}
+#: A letter beyond 16 bits in the class makes Java look back by code points; it is a word character anyway.
+NOT_BEHIND_WORD = "(?<![\\w\U0001d518])"
 GAP_CLASS = r"[\s:.,]"
 MOST_GAP, USUAL_GAP = 40, 3
 
@@ -31,7 +33,7 @@ def literal(term: str) -> str:
 def bounded(term: str) -> str:
     """The term, not inside a longer word: an edge is guarded only where the term's own edge is a word character."""
     word = re.compile(r"\w")
-    before = r"(?<!\w)" if word.match(term[:1]) else ""
+    before = NOT_BEHIND_WORD if word.match(term[:1]) else ""
     after = r"(?!\w)" if word.match(term[-1:]) else ""
     return f"{before}{literal(term)}{after}"
 

@@ -2,11 +2,12 @@
 
 A rule's offsets come from two arrays, the matches and the pieces between them, so
 the work stays in the JVM.  Rules that Java can't run go through Arrow to the regex
-module and give the same rows.
+module and give the same rows.  Lexicons of many terms are joined (``lexicon``).
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import patterns
 from quillspan.functions.arrays import let, running
 from quillspan.functions.checksums import CHECKSUMS
+from quillspan.operators import lexicon
 from quillspan.sources.rules import Rule, check_patterns
 
 _HIT = "array<struct<start:int,end:int,hit:string>>"
@@ -89,16 +91,20 @@ def detect(docs: DataFrame, rules: Iterable[Rule], doc_id: str = "doc_id", text:
     if backend == "auto":
         way = check_patterns(docs.sparkSession, rules)
     else:
-        way = {r.rule_id: backend for r in rules}
+        way = {r.rule_id: "join" if r.terms else backend for r in rules}
     native = [r for r in rules if way[r.rule_id] == "native"]
-    other = [r for r in rules if way[r.rule_id] != "native"]
+    other = [r for r in rules if way[r.rule_id] == "fallback"]
+    large = [r for r in rules if way[r.rule_id] == "join"]
     parts = []
-    if native or not other:
+    if native or not other and not large:
         found = F.concat(*(_native(docs[text], r) for r in native)) if native else F.array().cast(f"array<struct<{OUT.replace(' ', ':').replace(',:', ',')}>>")
         parts.append(docs.select(docs[doc_id].alias("doc_id"), F.explode(found).alias("m")).select("doc_id", "m.*"))
     if other:
         parts.append(_fallback(docs, other, doc_id, text))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    for r in large:
+        terms = docs.sparkSession.createDataFrame([(t,) for t in r.terms], "term string")
+        parts.append(lexicon.detect_terms(docs, terms, r.rule_id, r.phi_type, r.layer, r.score, doc_id, text, case_sensitive=not r.fold))
+    out = functools.reduce(DataFrame.unionByName, parts)
     return out.select("doc_id", "start", "end", "phi_type", "layer", F.lit(detector).alias("detector"), "rule_id", "score")
 
 

@@ -329,3 +329,18 @@ allow as (select path, doc_id, case when doc_id % 8 = 0 then 'long' else 'access
 select path, reason, case when starts_with(reason, sniff) then 'known' when visible then 'unexpected' else 'unpublishable' end part from screened left join (select path, sniff from allow) using (path) where "class" = 'suspect' and doc_id % 16 > 0
 union all select path, null, 'stale' from allow where doc_id % 16 = 0""",
 }
+
+# tokens by place; all sequences of up to five tokens that are terms; from left to right the longest that begins where the last one has ended or later
+ORACLES["detect_lexicon"] = r"""
+with w as (select row_number() over () item, regexp_extract_all(lower(text), '[a-z]+') w from benchmark),
+terms as (select distinct array_to_string(w[i:i+n-1], ' ') term from (select item, w, n, unnest(range(1, len(w) - n + 2)) i from w, (select unnest([1, 2, 3]) n) where len(w) > 2)),
+d as (select row_number() over () rid, doc_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}\p{Pc}]+|[^\p{L}\p{M}\p{N}\p{Pc}]') t from documents),
+p as (select rid, doc_id, unnest(range(1, len(t) + 1)) i, unnest(t) x from d),
+q as (select *, sum(length(x)) over (partition by rid order by i) - length(x) s from p),
+g as (select rid, doc_id, i, s, n, case n when 1 then x when 3 then x || lead(x, 1) over o || lead(x, 2) over o
+  else x || lead(x, 1) over o || lead(x, 2) over o || lead(x, 3) over o || lead(x, 4) over o end h from q, (select unnest([1, 3, 5]) n) window o as (partition by rid, n order by i)),
+m as (select rid, doc_id, s, s + length(h) e, term from g join terms on lower(h) = term where h is not null),
+b as (select rid, doc_id, s, max(e) e, arg_max(term, e) term from m group by rid, doc_id, s),
+l as (select rid, doc_id, list_reduce(list([{'s': s, 'e': e, 'term': term}] order by s), lambda a, x: case when x[1].s >= a[-1].e then a || x else a end) k from b group by rid, doc_id),
+u as (select doc_id, unnest(k) k from l)
+select doc_id, k.s::int "start", k.e::int "end", k.term term from u"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import patterns
 from quillspan.functions.checksums import CHECKSUMS
 from quillspan.model import LAYERS
-from quillspan.operators import detect, flags, intervals, masking, sampling, scoring, screen
+from quillspan.operators import detect, flags, intervals, lexicon, masking, sampling, scoring, screen
 from quillspan.plans import oracles, rounds, splits, tables
 from quillspan.sources import brat
 from quillspan.sources.rules import Rule
@@ -64,6 +64,19 @@ def detect_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "end", "rule_id", "phi_type")
 
 
+def detect_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousands of terms of one to three words, found in all documents."""
+    return lexicon.find_terms(documents(spark, sf_dir), _terms(spark, sf_dir)).select("doc_id", "start", "end", "term")
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon from a table: the words of the benchmark, each pair of them that stands side by side, and each three."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(words.alias("w"))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+    return items.where(F.size("w") > 2).select(F.explode(F.flatten(F.array(*map(grams, (1, 2, 3))))).alias("term")).distinct()
+
+
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _found(spark, sf_dir, "en:email").select("doc_id", "start", "end")
     return masking.context_windows(found, documents(spark, sf_dir)).select("doc_id", "start", "end", "window", "at", "to")
@@ -332,6 +345,7 @@ QUERIES: dict[str, Query] = {
     "detect_cue": lambda s, d: _brief(_found(s, d, "en:credential")),
     "detect_gazetteer": detect_gazetteer,
     "detect_fallback": detect_fallback,
+    "detect_lexicon": detect_lexicon,
     "interval_union": _on_pred(intervals.interval_union),
     "mask_union": _on_pred(intervals.mask_union),
     "overlapping_pairs": _on_pred(intervals.overlapping_pairs),

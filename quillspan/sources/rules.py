@@ -11,6 +11,7 @@ from pathlib import Path
 from quillspan.functions import patterns
 from quillspan.functions.checksums import CHECKSUMS
 from quillspan.model import CORPUS_RULE_LANGS, LANGS, LAYER_FAMILIES, NON_TARGET_TYPES, PHI_TYPES, SpanError
+from quillspan.operators import lexicon
 
 FORMS = ("pattern", "terms", "lexicon", "cue")
 KEYS = frozenset({"rule_id", "layer", "phi_type", *FORMS, "then", "gap", "checksum", "flags", "case_sensitive", "score", "comment"})
@@ -21,11 +22,13 @@ class Rule:
     rule_id: str
     layer: str
     phi_type: str
-    pattern: str  #: in Java's dialect
+    pattern: str  #: in Java's dialect; empty for a rule that is a join
     group: int = 0
     checksum: str | None = None
     score: float | None = None
     source: str = ""
+    terms: tuple[str, ...] = ()  #: of a lexicon too large for a pattern
+    fold: bool = False  #: whether these match regardless of case
 
 
 @dataclass(frozen=True)
@@ -89,7 +92,7 @@ def compile_rule(spec: dict, lang: str, lexicons: str | Path = "lexicons", sourc
         raise refuse("score must lie in [0, 1]")
     if forms != ["cue"] and {"then", "gap"} & set(spec):
         raise refuse("then and gap belong to cue rules")
-    group, fold = 0, False
+    group, fold, large = 0, False, ()
     match forms[0]:
         case "pattern":
             body = _texts(spec["pattern"], "pattern", name)[0]
@@ -102,8 +105,13 @@ def compile_rule(spec: dict, lang: str, lexicons: str | Path = "lexicons", sourc
             body, group = patterns.cue(_texts(spec["cue"], "cue", name), spec["then"], gap), 1
         case form:
             terms = read_lexicon(spec[form], lexicons) if form == "lexicon" else _texts(spec[form], form, name)
-            body, fold = patterns.gazetteer(terms), not folded
-    return Rule(f"{lang}:{name}", layer, phi_type, patterns.java(body, flags, fold), group, checksum, None if score is None else float(score), source)
+            fold = not folded or "ignorecase" in flags
+            if len(terms) > lexicon.MOST_ALTERNATION:
+                large = tuple(terms)
+            else:
+                body = patterns.gazetteer(terms)
+    pattern = "" if large else patterns.java(body, flags, fold)
+    return Rule(f"{lang}:{name}", layer, phi_type, pattern, group, checksum, None if score is None else float(score), source, large, fold)
 
 
 def parse_rules(data: dict, lang: str, lexicons: str | Path = "lexicons", source: str = "") -> RuleSet:
@@ -147,10 +155,13 @@ def load_for_corpus(corpus: str, root: str | Path, lexicons: str | Path = "lexic
 
 
 def check_patterns(spark, rules: Iterable[Rule]) -> dict[str, str]:
-    """native or fallback for each rule: what the JVM can't compile, or what can match nothing, goes to the fallback."""
+    """native, fallback or join for each rule: what the JVM can't compile, or what can match nothing, goes to the fallback."""
     java = spark._jvm.java.util.regex.Pattern
     out = {}
     for r in rules:
+        if r.terms:
+            out[r.rule_id] = "join"
+            continue
         try:
             out[r.rule_id] = "fallback" if java.compile(r.pattern).matcher("").find() else "native"
         except Exception:  # noqa: BLE001 - any refusal of the JVM's compiler
