@@ -6,7 +6,6 @@ import hashlib
 import random
 from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +68,13 @@ def _quota(pool: DataFrame, n: int) -> dict[str, int]:
     return allocate({r["phi_type"]: r["n"] for r in pool.groupBy("phi_type").agg(F.count("*").alias("n")).collect()}, n)
 
 
+def _kept(drawn: DataFrame, pool: DataFrame) -> DataFrame:
+    """The few rows of a draw as a table of its own; the pool that they came from is let go."""
+    rows = drawn.select(*ERROR_FIELDS).collect()  # at most the quota, which the caller names
+    pool.unpersist()
+    return drawn.sparkSession.createDataFrame(rows, ERRORS)
+
+
 def draw_hash(errors: DataFrame, corpus: str, iteration: int, n: int = N_SPANS, practice: bool = False, scheme: str = SCHEME) -> DataFrame:
     """Of each type the quota's number of spans with the smallest hash of seed and span: wholly distributed."""
     check_iteration(iteration, practice)
@@ -77,22 +83,52 @@ def draw_hash(errors: DataFrame, corpus: str, iteration: int, n: int = N_SPANS,
     rank = F.row_number().over(Window.partitionBy("phi_type").orderBy(F.sha2(F.concat_ws("|", F.lit(str(sample_seed(corpus, iteration, scheme))), *(F.col(k).cast("string") for k in KEY)), 256)))
     most = F.coalesce(*(F.when(F.col("phi_type") == t, F.lit(q)) for t, q in sorted(quota.items())), F.lit(0))
     # the fixed bound lets each task leave all but n rows of a type before they are moved
-    return pool.withColumn("__rank", rank).where((F.col("__rank") <= n) & (F.col("__rank") <= most)).drop("__rank")
+    return _kept(pool.withColumn("__rank", rank).where((F.col("__rank") <= n) & (F.col("__rank") <= most)), pool)
 
 
-def draw_compat(errors: DataFrame, corpus: str, iteration: int, n: int = N_SPANS, practice: bool = False, scheme: str = SCHEME) -> DataFrame:
-    """The draw of one Mersenne Twister per type over the sorted pool: a type's errors meet in one task."""
-    check_iteration(iteration, practice)
-    pool = eligible_errors(errors)
-    quota, seed = _quota(pool, n), sample_seed(corpus, iteration, scheme)
+#: Stretches that the sorted pool is cut into, about, to find rows by rank.
+STRETCHES = 256
+
 
-    def take(frame: pd.DataFrame) -> pd.DataFrame:
-        kind = frame["phi_type"].iloc[0]
-        frame = frame.sort_values(list(KEY), ignore_index=True)
-        picked = random.Random(_first_eight(f"{seed}\0{kind}")).sample(range(len(frame)), min(quota.get(kind, 0), len(frame)))
-        return frame.iloc[picked][list(ERROR_FIELDS)]
+def _bounds(pool: DataFrame, total: int, stretches: int) -> dict[str, list[tuple]]:
+    """Of each type places in the order of the pool, from a small sample by hash; they need not be even, only the same all along."""
+    share = min(1.0, 8 * stretches / max(total, 1))
+    seen = pool.where(F.pmod(F.xxhash64(*KEY), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("phi_type", "doc_id", "start", "end").collect()
+    out: dict[str, list[tuple]] = {}
+    for t in {r["phi_type"] for r in seen}:
+        own = sorted((r["doc_id"].encode(), r["start"], r["end"], r["doc_id"]) for r in seen if r["phi_type"] == t)
+        out[t] = [(d, s, e) for _, s, e, d in own[8::8]]
+    return out
 
-    return pool.groupBy("phi_type").applyInPandas(take, ERRORS)
+
+def draw_compat(errors: DataFrame, corpus: str, iteration: int, n: int = N_SPANS, practice: bool = False, scheme: str = SCHEME, stretches: int = STRETCHES) -> DataFrame:
+    """The draw of one Mersenne Twister per type over the sorted pool.
+
+    The generator needs the pool's size alone: it names ranks.  The pool is cut into
+    stretches of its order, whose counts tell where each rank lies, and only the
+    stretches that hold one are sorted, each in a task of its own.
+    """
+    check_iteration(iteration, practice)
+    spark, pool = errors.sparkSession, eligible_errors(errors).persist()
+    sizes = {r["phi_type"]: r["n"] for r in pool.groupBy("phi_type").agg(F.count("*").alias("n")).collect()}
+    quota, seed = allocate(sizes, n), sample_seed(corpus, iteration, scheme)
+    ranks = {t: sorted(random.Random(_first_eight(f"{seed}\0{t}")).sample(range(sizes[t]), min(q, sizes[t]))) for t, q in quota.items()}
+    bounds = _bounds(pool, sum(sizes.values()), stretches)
+    table = spark.createDataFrame([(t, bounds.get(t, [])) for t in sizes], "t string, bounds array<struct<doc_id:string,start:int,end:int>>")
+    place = F.size(F.filter("bounds", lambda b: b <= F.struct("doc_id", "start", "end")))
+    # a row for each type, and a stretch has a place in a list of about STRETCHES: both are small whatever the pool
+    cut = pool.join(F.broadcast(table), F.col("phi_type") == F.col("t")).withColumn("stretch", place).drop("bounds", "t")
+    counts = sorted((r["phi_type"], r["stretch"], r["n"]) for r in cut.groupBy("phi_type", "stretch").agg(F.count("*").alias("n")).collect())
+    wanted, begin = [], dict.fromkeys(sizes, 0)
+    for t, stretch, size in counts:
+        wanted += [(t, stretch, r - begin[t] + 1) for r in ranks.get(t, ()) if begin[t] <= r < begin[t] + size]
+        begin[t] += size
+    if not wanted:
+        return _kept(pool.limit(0), pool)
+    asked = spark.createDataFrame(wanted, "phi_type string, stretch int, rank int")
+    some = cut.join(F.broadcast(asked.select("phi_type", "stretch").distinct()), ["phi_type", "stretch"], "left_semi")
+    order = Window.partitionBy("phi_type", "stretch").orderBy(*(F.asc_nulls_last(k) for k in KEY))
+    return _kept(some.withColumn("rank", F.row_number().over(order)).join(F.broadcast(asked), ["phi_type", "stretch", "rank"], "left_semi"), pool)
 
 
 def practice_pool(pool: DataFrame, reserved: DataFrame) -> DataFrame:

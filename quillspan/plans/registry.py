@@ -348,6 +348,8 @@ QUERIES: dict[str, Query] = {
     "detect_lexicon": detect_lexicon,
     "interval_union": _on_pred(intervals.interval_union),
     "mask_union": _on_pred(intervals.mask_union),
+    "interval_union_split": _on_pred(lambda pred: intervals.interval_union(pred, width=16)),
+    "mask_union_split": _on_pred(lambda pred: intervals.mask_union(pred, width=16)),
     "overlapping_pairs": _on_pred(intervals.overlapping_pairs),
     "dedupe": _on_pred(intervals.dedupe_counts),
     "merge_recall_first": _on_pred(intervals.merge_recall_first, LAYERS),
@@ -411,4 +413,5 @@ for _short, _mode in (("fully", "fully_covered"), ("relaxed", "relaxed")):
     }
 
 ORACLES: dict[str, str] = {k: v for k, v in (oracles.ORACLES | oracles.sample_oracles(sampling.sample_seed(CORPUS, 2))).items() if k in QUERIES}
+ORACLES |= {f"{name}_split": oracles.ORACLES[name] for name in ("interval_union", "mask_union")}
 ORACLES["detect_fallback"] = oracles.ORACLES["detect_all"]

@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillspan.model import SpanError
-from quillspan.operators import flags, masking, sampling, screen
+from quillspan.operators import flags, intervals, masking, sampling, screen
 
 TEXT = "Ana vive aquí.\nTel 555 Ana\n\nfin 😀 x\n"
 SPANS = [("a", 0, 3, "NAME"), ("a", 19, 22, "CONTACT"), ("a", 20, 26, "NAME"), ("a", 8, 10, "DATE")]
@@ -130,6 +131,43 @@ def test_draws_ignore_order_and_repeats(spark, draw):
     assert a != other
 
 
+@pytest.mark.parametrize("stretches", [1, 3, 400])
+def test_compat_draw_is_that_of_one_sorted_list(spark, stretches):
+    """By brute force: each type's errors sorted, and one generator's sample of them; ties and missing numbers included."""
+    rng = random.Random(2)
+    rows = list({(f"d{rng.randint(0, 30)}é"[: rng.randint(2, 4)], rng.choice([None, *range(3)]), t, "missed", s := rng.randint(0, 40), s + rng.randint(1, 4)) for t in ("NAME", "DATE", "ID") for _ in range(300)})
+    rows += [("x", 1, "AGE", "spurious", 3, 4), ("x", 1, "OTHER", "missed", 3, 4)]
+    for n in (40, 7, 2, 5000, 0):
+        by: dict = {}
+        for r in rows:
+            if r[2] != "OTHER":
+                by.setdefault(r[2], []).append(r)
+        want, seed = [], sampling.sample_seed("es-carmen", 5)
+        for t, q in sampling.allocate({t: len(v) for t, v in by.items()}, n).items():
+            own = sorted(by[t], key=lambda r: (r[0], r[4], r[5], r[2], r[3], r[1] is None, r[1] or 0))
+            want += random.Random(sampling._first_eight(f"{seed}\0{t}")).sample(own, min(q, len(own)))
+        got = sampling.draw_compat(spark.createDataFrame(rows, ERRORS), "es-carmen", 5, n, stretches=stretches)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    plan = sampling.draw_compat(spark.createDataFrame(rows[:0], ERRORS), "es-carmen", 5)
+    assert plan.count() == 0
+
+
+def test_split_documents_give_the_same_unions(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), i, s := rng.randint(0, 300), s + rng.choice([1, 2, 5, 90]), rng.choice(["NAME", "ID"])) for i in range(150)]
+    rows += [("c", i, 10 * i, 10 * i + 10, "NAME") for i in range(40)] + [("d", 0, 0, 1000, "ID"), ("d", 1, 999, 1001, "ID"), ("d", 2, 1001, 1002, "NAME")]
+    spans = spark.createDataFrame(rows, "doc_id string, span_index int, start int, end int, phi_type string")
+    same = lambda a, b: sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+    for width in (1, 7, 64, 1 << 16):
+        for touching in (True, False):
+            assert same(intervals.interval_union(spans, touching=touching), intervals.interval_union(spans, touching=touching, width=width))
+        assert same(intervals.mask_union(spans), intervals.mask_union(spans, width=width))
+        want = Counter(x[0] for k, x in enumerate(rows) for y in rows[:k] if x[0] == y[0] and x[2] < y[3] and y[2] < x[3])
+        assert {r["doc_id"]: r["pairs"] for r in intervals.overlapping_pairs(spans, width).collect()} == want
+    joins = intervals.overlapping_pairs(spans)._jdf.queryExecution().optimizedPlan().toString()
+    assert joins.count("Join") == 1  # with a row a bucket
+
+
 def test_seeds():
     assert sampling.sample_seed("es-carmen", 12) != sampling.sample_seed("es-carmen", 1)
     for bad in (("nowhere", 1), ("es-carmen", 0), ("es-carmen", True)):
