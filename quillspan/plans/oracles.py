@@ -344,3 +344,6 @@ b as (select rid, doc_id, s, max(e) e, arg_max(term, e) term from m group by rid
 l as (select rid, doc_id, list_reduce(list([{'s': s, 'e': e, 'term': term}] order by s), lambda a, x: case when x[1].s >= a[-1].e then a || x else a end) k from b group by rid, doc_id),
 u as (select doc_id, unnest(k) k from l)
 select doc_id, k.s::int "start", k.e::int "end", k.term term from u"""
+
+ORACLES["read_cas"] = f"""select doc_id::varchar doc_id, "start"::int "start", "end"::int "end", substr(text, "start"::int + 1, ("end" - "start")::int) surface, rule_id subtype, phi_type from ({ALL}) a join documents using (doc_id)
+union all select doc_id::varchar, 0, least(length(text), 4)::int, substr(text, 1, 4), 'front', 'NAME' from documents where length(text) > 0"""

@@ -170,6 +170,21 @@ def wrong_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brat.bad_offsets(*_read_notes(spark, sf_dir))
 
 
+def read_cas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All found spans by way of CAS files: every third text behind a byte-order mark, which its first span holds."""
+    found = _all(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "rule_id"))).alias("found"))
+    docs = documents(spark, sf_dir).join(found, "doc_id", "left")
+    mark = (F.col("doc_id") % 3 == 0).cast("int")
+    span = lambda begin, end, kind: F.struct(F.lit(brat.PHI_LAYER).alias("%TYPE"), F.lit(1).alias("@sofa"), begin.cast("int").alias("begin"), end.cast("int").alias("end"), kind.alias("kind"), F.lit(None).cast("string").alias("sofaString"), F.lit(None).cast("int").alias("%ID"), F.lit(None).cast("string").alias("sofaID"))
+    front = F.array(span(F.lit(0), F.least(F.length("text"), F.lit(4)) + mark, F.lit("front")))
+    spans = F.transform(F.coalesce("found", F.array().cast("array<struct<start:int,end:int,rule_id:string>>")), lambda f: span(f["start"] + mark, f["end"] + mark, f["rule_id"]))
+    sofa = F.struct(F.lit(brat.CAS_SOFA).alias("%TYPE"), F.lit(None).cast("int").alias("@sofa"), F.lit(None).cast("int").alias("begin"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("string").alias("kind"), F.concat(F.repeat(F.lit(brat.BOM), mark), F.coalesce("text", F.lit(""))).alias("sofaString"), F.lit(1).alias("%ID"), F.lit(brat.CAS_VIEW).alias("sofaID"))
+    content = F.to_json(F.struct(F.concat(front, F.array(sofa), spans).alias(brat.CAS_STRUCTURES)))
+    types = {r.rule_id: r.phi_type for r in RULES} | {"front": "NAME"}
+    _, gold = brat.parse_cas(docs.where(F.length("text") > 0).select(F.col("doc_id").cast("string"), content.alias("content")), "de-grascco", "dev", types)
+    return gold.select("doc_id", "start", "end", "surface", "subtype", "phi_type")
+
+
 def sorted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All found spans with their place in the order of the files."""
     order = Window.partitionBy("doc_id").orderBy("start", "end", F.coalesce("rule_id", F.lit("")))
@@ -383,6 +398,7 @@ QUERIES: dict[str, Query] = {
     "fold_tokens": fold_tokens,
     "parse_notes": parse_notes,
     "wrong_offsets": wrong_offsets,
+    "read_cas": read_cas,
     "sorted_spans": sorted_spans,
     "rendered_lines": rendered_lines,
     "way_back": way_back,

@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.functions.arrays import let
 from quillspan.model import SEALED_SPLIT, SpanError, check_value
 
 # The Spanish corpus's types and what they are mapped to, and the types that are kept but never scored.
@@ -170,18 +171,55 @@ def read_brat(spark: SparkSession, root: str, corpus: str, split: str, types: Ma
     return docs.drop("ann"), gold
 
 
-def read_cas(spark: SparkSession, root: str, corpus: str, split: str, types: Mapping[str, str], excluded: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Documents and gold spans of CAS JSON files: sofaString, and annotations with begin, end and kind."""
-    schema = "sofaString string, spans array<struct<begin:int,end:int,kind:string>>"
-    read = spark.read.schema(schema).option("multiLine", "true").option("pathGlobFilter", "*.json").json(root).select(F.regexp_extract("_metadata.file_path", r"([^/]+)[.]json$", 1).alias("doc_id"), "sofaString", "spans")
-    text, had = strip_bom(F.col("sofaString"))
+# Names of the CAS JSON form and of the German corpus's layer.
+CAS_STRUCTURES, CAS_SOFA, CAS_VIEW, PHI_LAYER = "%FEATURE_STRUCTURES", "uima.cas.Sofa", "_InitialView", "webanno.custom.PHI"
+_FEATURES = "struct<`%ID`:bigint,`%TYPE`:string,`@sofa`:bigint,sofaID:string,sofaString:string,begin:int,end:int,kind:string>"
+_PLAIN = "sofaString:string,spans:array<struct<begin:int,end:int,kind:string>>"
+
+
+def _views(content: Column, layer: str) -> Column:
+    """(view, text, spans) of each sofa in a CAS: structures name theirs by its id; a file of one text and its spans is one view."""
+    read = F.from_json(content, f"struct<`{CAS_STRUCTURES}`:array<{_FEATURES}>,{_PLAIN}>", {"mode": "FAILFAST"})
+
+    def views(x: Column) -> Column:
+        structures = x[CAS_STRUCTURES]
+        marked = F.filter(structures, lambda f: f["%TYPE"] == layer)
+        own = lambda sofa: F.transform(F.filter(marked, lambda f: f["@sofa"] == sofa["%ID"]), lambda f: F.struct(f["begin"].alias("begin"), f["end"].alias("end"), f["kind"].alias("kind")))
+        sofas = F.filter(structures, lambda f: f["%TYPE"] == CAS_SOFA)
+        strays = F.exists(marked, lambda f: ~F.exists(sofas, lambda s: s["%ID"].eqNullSafe(f["@sofa"])))
+        graph = F.transform(sofas, lambda s: F.struct(s["sofaID"].alias("view"), s["sofaString"].alias("text"), own(s).alias("spans")))
+        graph = F.when(strays, F.from_json(_refuse("a span belongs to no text; length of the file", F.length(content)).cast("string"), _VIEWS)).otherwise(graph.cast(_VIEWS))
+        plain = F.array(F.struct(F.lit(CAS_VIEW).alias("view"), x["sofaString"].alias("text"), x["spans"].alias("spans"))).cast(_VIEWS)
+        return F.when(structures.isNull(), plain).otherwise(graph)
+
+    return let(read, views)
+
+
+_VIEWS = "array<struct<view:string,text:string,spans:array<struct<begin:int,end:int,kind:string>>>>"
+
+
+def parse_cas(files: DataFrame, corpus: str, split: str, types: Mapping[str, str], excluded: Sequence[str] = (), layer: str = PHI_LAYER) -> tuple[DataFrame, DataFrame]:
+    """Documents and gold spans of CAS JSON (files: doc_id, content); a second view of a file is a document of its own, doc_id/view.
+
+    Offsets count a byte-order mark at the front of the text, which goes: a span that
+    begins with the mark then begins at 0.
+    """
+    read = files.select("doc_id", F.explode(_views(F.col("content"), layer)).alias("v")).select(F.when(F.col("v.view") == CAS_VIEW, F.col("doc_id")).otherwise(F.concat_ws("/", "doc_id", "v.view")).alias("doc_id"), F.coalesce("v.text", F.lit("")).alias("sofa"), "v.spans")
+    text, had = strip_bom(F.col("sofa"))
     docs = read.select(F.lit(corpus).alias("corpus"), "doc_id", text.alias("text"), F.lit(split).alias("split"), had.alias("had_bom"), F.create_map().cast("map<string,string>").alias("meta"))
     rows = read.select("doc_id", had.cast("int").alias("shift"), text.alias("text"), F.posexplode("spans").alias("span_index", "s"))
-    start, end = F.col("s.begin") - F.col("shift"), F.col("s.end") - F.col("shift")
+    start, end = (F.greatest(F.col(f"s.{x}") - F.col("shift"), F.lit(0)) for x in ("begin", "end"))
     gold = rows.select(F.lit(corpus).alias("corpus"), "doc_id", "span_index", start.alias("start"), end.alias("end"), F.substring(F.col("text"), start + 1, end - start).alias("surface"), F.col("s.kind").alias("subtype"), classify_type(F.col("s.kind"), types, excluded).alias("c"))
     return docs, gold.select("corpus", "doc_id", "span_index", "start", "end", "surface", "subtype", "c.phi_type", "c.excluded")
 
 
+def read_cas(spark: SparkSession, root: str, corpus: str, split: str, types: Mapping[str, str], excluded: Sequence[str] = (), layer: str = PHI_LAYER) -> tuple[DataFrame, DataFrame]:
+    """Documents and gold spans of a folder's CAS JSON files: <doc_id>.json, or <doc_id>.txt<name of the layer>.json."""
+    read = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(root)
+    name = F.regexp_extract("_metadata.file_name", r"^(.*?)([.]txt[^/]*)?[.]json$", 1)
+    return parse_cas(read.select(name.alias("doc_id"), F.col("value").alias("content")), corpus, split, types, excluded, layer)
+
+
 def bad_offsets(docs: DataFrame, gold: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Spans whose stretch of text isn't their surface: keys and span_index only."""
     joined = gold.join(docs.select(*keys, "text"), list(keys), "left")

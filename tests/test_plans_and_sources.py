@@ -77,6 +77,31 @@ def test_cas(spark, tmp_path):
     assert gold.first()["surface"] == "Ey" and docs.first()["text"] == "Frau Ey"
 
 
+def cas(text, *spans, more=()):
+    sofa = {"%ID": 1, "%TYPE": "uima.cas.Sofa", "sofaNum": 1, "sofaID": "_InitialView", "mimeType": "text", "sofaString": text}
+    token = {"%ID": 90, "%TYPE": "de.tudarmstadt.ukp.dkpro.core.api.segmentation.type.Token", "@sofa": 1, "begin": 0, "end": 2}
+    phi = [{"%ID": 10 + i, "%TYPE": "webanno.custom.PHI", "@sofa": sofa, "begin": b, "end": e, "kind": k} for i, (b, e, k, sofa) in enumerate(spans)]
+    return json.dumps({"%TYPES": {"webanno.custom.PHI": {"%NAME": "webanno.custom.PHI", "%SUPER_TYPE": "uima.tcas.Annotation"}}, "%FEATURE_STRUCTURES": [token, *phi[:1], sofa, *phi[1:], *more], "%VIEWS": {"_InitialView": {"%SOFA": 1}}}, ensure_ascii=False)
+
+
+def test_cas_feature_structures(spark, tmp_path):
+    """Sofas by their ids, wherever they stand; a first span that holds the byte-order mark; other layers left alone."""
+    second = {"%ID": 7, "%TYPE": "uima.cas.Sofa", "sofaID": "other", "sofaString": "Dr. Ey"}
+    (tmp_path / "a.txtphi-pii_2.0.json").write_text(cas("\ufeffARCOS Klinik, Beate 𝔘lm", (0, 13, "ORG", 1), (15, 20, "NAME", 1), (21, 24, "NAME", 1)), encoding="utf-8")
+    (tmp_path / "b.json").write_text(cas("Klinik", (0, 6, "ORG", 1), (4, 6, "NAME", 7), more=[second]), encoding="utf-8")
+    (tmp_path / "c.json").write_text(cas("leer"), encoding="utf-8")
+    docs, gold = brat.read_cas(spark, str(tmp_path), "de-grascco", "dev", {"NAME": "NAME", "ORG": "ORGANISATION"})
+    brat.load_corpus(docs, gold)
+    assert {(r["doc_id"], r["text"], r["had_bom"]) for r in docs.collect()} == {("a", "ARCOS Klinik, Beate 𝔘lm", True), ("b", "Klinik", False), ("b/other", "Dr. Ey", False), ("c", "leer", False)}
+    rows = {(r["doc_id"], r["span_index"], r["start"], r["end"], r["surface"], r["phi_type"]) for r in gold.collect()}
+    assert rows == {("a", 0, 0, 12, "ARCOS Klinik", "ORGANISATION"), ("a", 1, 14, 19, "Beate", "NAME"), ("a", 2, 20, 23, "𝔘lm", "NAME"), ("b", 0, 0, 6, "Klinik", "ORGANISATION"), ("b/other", 0, 4, 6, "Ey", "NAME")}
+    for bad in (cas("x", (0, 1, "NAME", 5)), cas("x", (0, 1, "NAME", None)), cas("x", (0, 1, "UNKNOWN", 1)), "{no json"):
+        (tmp_path / "bad").mkdir(exist_ok=True)
+        (tmp_path / "bad/x.json").write_text(bad)
+        with pytest.raises(Exception):  # noqa: B017 - Spark wraps the refusal
+            brat.read_cas(spark, str(tmp_path / "bad"), "de-grascco", "dev", {"NAME": "NAME"})[1].collect()
+
+
 def test_records_round_trip(spark, tmp_path):
     pred = spark.createDataFrame([("b", 1, 2, "ID", "tagger", "T", None, None), ("a", 5, 9, "ID", "gazetteer", "R", "es:x", 0.5)], "doc_id string, start int, end int, phi_type string, layer string, detector string, rule_id string, score double")
     records.write_spans(pred, str(tmp_path / "s"))
