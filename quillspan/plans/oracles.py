@@ -315,7 +315,7 @@ ORACLES |= {
   subtype = 'SEXO_SUJETO_ASISTENCIA' excluded, subtype from d""",
     "wrong_offsets": f"{_NOTES} select doc_id, 0 span_index from d where doc_id % 11 = 0 and substr(text, 1, size) <> '?'",
     "sorted_spans": f"""select doc_id, row_number() over (partition by doc_id order by "start", "end", coalesce(rule_id, ''))::int place, "start", "end", rule_id from ({ALL})""",
-    "rendered_lines": f"{_UNITS} select doc_id, '0000000 | ' || string_split(masked_text, chr(10))[1] line from masked",
+    "rendered_lines": f"{_LINES} select doc_id, line \"number\", lpad(line::varchar, 7, '0') || ' | ' || x line from pieces",
     "way_back": f"""{_LINES} select m.doc_id, (m.n + coalesce(sum(b - a - t.n) filter (ms + t.n <= m.n), 0))::int "at" from (select doc_id, length(masked_text) // 2 n from masked) m
   left join tags t on t.doc_id = m.doc_id group by m.doc_id, m.n""",
     "target_errors": f"select phi_type, kind, count(*) n from ({_ERRORS}) where phi_type <> 'DATE' group by 1, 2",

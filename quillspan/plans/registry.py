@@ -192,9 +192,10 @@ def sorted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rendered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first line of each masked document as an auditor sees it."""
+    """Every line of each masked document as an auditor sees it."""
     masked = masking.mask_documents(documents(spark, sf_dir), _all(spark, sf_dir))
-    return masked.select("doc_id", masking.render_line(F.lit(0), F.get(F.split("masked_text", "\n", -1), F.lit(0))).alias("line"))
+    lines = masked.select("doc_id", F.posexplode(F.split("masked_text", "\n", -1)).alias("number", "x"))
+    return lines.select("doc_id", "number", masking.render_line(F.col("number"), F.col("x")).alias("line"))
 
 
 def way_back(spark: SparkSession, sf_dir: str) -> DataFrame:
