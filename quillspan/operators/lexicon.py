@@ -58,13 +58,15 @@ def find_terms(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text:
 
     def spots(b: Column) -> Column:
         """Each token with its place and those behind it, as many as the longest term has."""
-        return F.transform(b["t"], lambda t, i: F.struct(F.get(b["s"], i).alias("start"), fold(t).alias("first"), F.slice(b["t"], i + 1, longest).alias("t")))
+        # not slice(), which looks at the whole array each time
+        own = lambda i: F.transform(F.sequence(i, F.least(i + longest, F.size(b["t"])) - 1), lambda j: F.get(b["t"], j))
+        return F.transform(b["s"], lambda s, i: F.struct(s.alias("start"), own(i).alias("t")))
 
     def placed(t: Column) -> Column:
         return let(running(F.transform(t, F.length)), lambda ends: spots(F.struct(t.alias("t"), F.transform(ends, lambda e, i: e - F.length(F.get(t, i))).alias("s"))))
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[doc_id].alias("doc_id"), docs[text].alias("text")).where(F.col("text").isNotNull())
-    at = rows.select("row", "doc_id", F.explode(let(_tokens(F.col("text")), placed)).alias("x")).select("row", "doc_id", "x.*")
+    at = rows.select("row", "doc_id", F.explode(let(_tokens(F.col("text")), placed)).alias("x")).select("row", "doc_id", "x.*").withColumn("first", fold(F.get("t", F.lit(0))))
     begun = at.join(_fitting(heads, size), "first").select("row", "doc_id", "start", F.explode(F.filter("lengths", lambda n: n <= F.size("t"))).alias("n"), "t")
     grams = begun.select("row", "doc_id", "start", F.array_join(F.slice("t", F.lit(1), F.col("n")), "").alias("hit")).withColumn("plain", fold(F.col("hit")))
     met = grams.join(_fitting(lexicon.select("plain", "term"), size), "plain").withColumn("end", F.col("start") + F.length("hit"))

@@ -178,10 +178,33 @@ def prf_columns(tp: Column, fp: Column, fn: Column) -> list[Column]:
     return [_or_zero(_ratio(tp, tp + fp)).alias("precision"), _or_zero(_ratio(tp, tp + fn)).alias("recall"), _or_zero(_ratio(2 * tp, 2 * tp + fp + fn)).alias("f1")]
 
 
+def totals(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """In one row: gold, and leaked, tp and fp of each mode (leaked_relaxed and so on).  Both modes are judged where a chain lies, so chains are built once."""
+    measured = lambda g: F.struct(_length(g, _near(g, F.col("preds"))).alias("n"), (g["end"] - g["start"]).alias("size"))
+    base = chains(gold, pred).select("golds", F.transform("golds", measured).alias("measured"), _distinct(F.col("preds")).alias("once"))
+    both = base.withColumns({f"taken_{mode}": _assigned(F.col("golds"), F.col("once"), mode) for mode in MODES})
+
+    def of(mode: str) -> dict[str, Column]:
+        has = lambda side, span: F.exists(f"taken_{mode}", lambda t: t[side] == span["span_index"])
+        return {
+            f"leaked_{mode}": F.filter("measured", lambda x: ~_covers(x["n"], x["size"], mode)),
+            f"tp_{mode}": F.filter("golds", lambda g: has("gi", g)),
+            f"fp_{mode}": F.filter("once", lambda p: ~has("pi", p)),
+        }
+
+    counted = {"gold": F.col("golds")} | {k: v for mode in MODES for k, v in of(mode).items()}
+    return both.agg(*(F.coalesce(F.sum(F.size(v)), F.lit(0)).alias(k) for k, v in counted.items()))
+
+
+def _by_mode(totals: DataFrame, *names: str) -> DataFrame:
+    """mode and the named numbers, a row for each mode, and gold."""
+    rows = (F.struct(F.lit(mode).alias("mode"), *(F.col(f"{n}_{mode}").alias(n) for n in names), F.col("gold")) for mode in MODES)
+    return totals.select(F.inline(F.array(*rows)))
+
+
 def leak_rate(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """mode, leaked, gold, leak_rate: null without gold."""
-    parts = [verdicts_light(gold, pred, mode).agg(F.coalesce(F.sum((~F.col("covered")).cast("long")), F.lit(0)).alias("leaked"), F.count("*").alias("gold")).withColumn("mode", F.lit(mode)) for mode in MODES]
-    return parts[0].unionByName(parts[1]).select("mode", "leaked", "gold", _ratio(F.col("leaked"), F.col("gold")).alias("leak_rate"))
+    return _by_mode(totals(gold, pred), "leaked").select("mode", "leaked", "gold", _ratio(F.col("leaked"), F.col("gold")).alias("leak_rate"))
 
 
 def verdicts_light(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
@@ -192,11 +215,8 @@ def verdicts_light(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
 
 def prf_overall(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """mode, tp, fp, fn, precision, recall, f1 over all types."""
-    out = None
-    for mode in MODES:
-        part = _counts_by_type(gold, pred, mode).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn"))).withColumn("mode", F.lit(mode))
-        out = part if out is None else out.unionByName(part)
-    return out.select("mode", "tp", "fp", "fn", *prf_columns(F.col("tp"), F.col("fp"), F.col("fn")))
+    rows = _by_mode(totals(gold, pred), "tp", "fp").withColumn("fn", F.col("gold") - F.col("tp"))
+    return rows.select("mode", "tp", "fp", "fn", *prf_columns(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
 def _counts_by_type(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
@@ -304,17 +324,20 @@ def fp_opportunity(docs: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFra
 
 def headline(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """leak_rate (fully_covered), lower_bound (relaxed), precision, recall and f1 (relaxed) in one row."""
-    leaks = leak_rate(gold, pred).groupBy().pivot("mode", list(MODES)).agg(F.first("leak_rate")).withColumn("k", F.lit(1))
-    prf = prf_overall(gold, pred).where(F.col("mode") == HEADLINE["prf"]).withColumn("k", F.lit(1))
-    return leaks.join(prf, "k").select(F.col(HEADLINE["leak_rate"]).alias("leak_rate"), F.col(HEADLINE["lower_bound"]).alias("lower_bound"), "precision", "recall", "f1")
+    rates = (_ratio(F.col(f"leaked_{HEADLINE[name]}"), F.col("gold")).alias(name) for name in ("leak_rate", "lower_bound"))
+    tp, fp = F.col(f"tp_{HEADLINE['prf']}"), F.col(f"fp_{HEADLINE['prf']}")
+    return totals(gold, pred).select(*rates, *prf_columns(tp, fp, F.col("gold") - tp))
 
 
 def error_spans(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Uncovered gold (fully_covered) and unmatched distinct predictions (relaxed): the six error fields."""
-    missed = verdicts_light(gold, pred, "fully_covered").where("not covered").withColumn("kind", F.lit("missed"))
-    wrong = distinct_verdicts(gold, pred, "relaxed").where("not matched").withColumn("kind", F.lit("false_positive"))
-    fields = ["doc_id", "span_index", "phi_type", "kind", "start", "end"]
-    return missed.select(fields).unionByName(wrong.select(fields))
+    once = chains(gold, pred).withColumn("once", _distinct(F.col("preds")))
+    matched = once.withColumn("taken", _assigned(F.col("golds"), F.col("once"), "relaxed"))
+    error = lambda x, kind: F.struct(x["span_index"].alias("span_index"), F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
+    missed = F.filter("golds", lambda g: ~_covers(_length(g, _near(g, F.col("preds"))), g["end"] - g["start"], "fully_covered"))
+    wrong = F.filter("once", lambda p: ~F.exists("taken", lambda t: t["pi"] == p["span_index"]))
+    errors = F.concat(F.transform(missed, lambda g: error(g, "missed")), F.transform(wrong, lambda p: error(p, "false_positive")))
+    return matched.select("doc_id", "phi_type", F.inline(errors)).select("doc_id", "span_index", "phi_type", "kind", "start", "end")
 
 
 def sort_errors(errors: DataFrame) -> DataFrame:

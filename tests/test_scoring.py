@@ -134,3 +134,10 @@ def test_touching_merges_for_scores_and_not_for_masks(spark):
     spans = spark.createDataFrame([("a", 0, 0, 4, "NAME"), ("a", 1, 4, 8, "NAME"), ("a", 2, 6, 9, "DATE")], "doc_id string, span_index int, start int, end int, phi_type string")
     assert {(r["phi_type"], r["start"], r["end"]) for r in intervals.interval_union(spans).collect()} == {("NAME", 0, 8), ("DATE", 6, 9)}
     assert {(r["start"], r["end"], r["tag"]) for r in intervals.mask_union(spans).collect()} == {(0, 4, "[NAME]"), (4, 9, "[PHI]")}
+
+
+@pytest.mark.parametrize("query", [scoring.headline, scoring.prf_overall, scoring.leak_rate, scoring.error_spans])
+def test_chains_are_built_once(spark, query):
+    _, gold, pred = frames(spark, CASES)
+    count = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("Window [")
+    assert 0 < count(query(gold, pred)) == count(scoring.chains(gold, pred))
