@@ -2,11 +2,13 @@
 
 Patterns, leftmost and non-overlapping per kind: ``assign`` (a credential word, a
 separator, a value of 6 or more characters), ``access`` (AKIA keys of 20 or more)
-and ``hex`` (runs of 24 or more).  The method adds kind ``random``: runs of 16 or
-more characters of a key's alphabet that pass between letters and digits three
-times and that a tiktoken vocabulary needs many tokens for (few characters per token).  Known
-digests (hexadecimal of a digest's length), UUIDs, numbers, mail addresses, URLs
-and dotted names are excluded, and so is what a pattern has found already.
+and ``hex`` (runs of 24 or more).  The method adds kind ``random``: runs of 16 or more characters
+of a key's alphabet that a tiktoken vocabulary needs many tokens for (few characters
+per token), whatever they are made of and whatever stands beside them.  Left out are
+only: known digests (hexadecimal of a digest's length), UUIDs, numbers, mail
+addresses, URLs (but not a password before their host), identifiers whose parts
+between separators are each of one case or a number, parts of words that go on in
+another script, and what a pattern has found already.
 
 Spans count code points, end exclusive, and cover the whole match.  A null or
 empty text has no spans.  Texts of any length are scanned whole.  Repeated rows
@@ -31,7 +33,10 @@ from quillspan.llm import kernels as K
 KINDS = ("assign", "access", "hex", "random")
 BASE_KINDS = KINDS[:3]
 MIN_RUN = 16
-MAX_CHARS_PER_TOKEN = 2.4
+#: Words of four languages, repeated syllables too, have 2.0 or more; random strings of letters and digits 1.8 at most.
+MAX_CHARS_PER_TOKEN = 1.95
+#: Longer runs are encoded in stretches, so that no run costs more than its length.
+STRETCH = 4096
 MARK = "[secret]"
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -41,14 +46,15 @@ _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _DIGEST_SIZES = {32, 40, 48, 56, 64, 96, 128}
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
+_URL = re.compile(r"://\S+")
+_WORDLIKE = re.compile(r"(?:[A-Z]?[a-z]*|[A-Z]+|[0-9]+)\Z")
+_SEPARATORS = re.compile(r"[+/_=-]")
 _HINTS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
 _hex_byte = np.zeros(256, dtype=bool)
 _hex_byte[list(b"0123456789abcdef")] = True
 _run_byte = np.zeros(256, dtype=bool)
 _run_byte[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
-_digit_byte = np.zeros(256, dtype=bool)
-_digit_byte[list(b"0123456789")] = True
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 _SPANS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -70,20 +76,26 @@ def _encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def looks_random(run: str, before: str, after: str, vocabulary: str, most: float = MAX_CHARS_PER_TOKEN) -> bool:
-    """The token-efficiency test, after the exclusions."""
-    digits = sum(c.isdigit() for c in run)
-    letters = sum(c.isalpha() for c in run)
-    if digits < 2 or letters < 2 or before.isalnum() or after.isalnum():
-        return False
-    classes = [c.isdigit() for c in run if c.isalnum()]
-    if sum(a != b for a, b in zip(classes, classes[1:])) < 3:  # a word with a number behind it
-        return False
-    if _UUID.match(run) or (len(run) in _DIGEST_SIZES and _DIGEST.match(run)):
-        return False
-    if "@" in (before, after) or "." in (before, after) or run.startswith("//") or before == ":":
-        return False
-    return len(run) < most * len(_encoding(vocabulary).encode_ordinary(run))
+def chars_per_token(run: str, vocabulary: str) -> float:
+    encode = _encoding(vocabulary).encode_ordinary
+    return len(run) / sum(len(encode(run[i : i + STRETCH])) for i in range(0, len(run), STRETCH))
+
+
+def known(run: str, before: str, after: str, in_url: bool) -> bool:
+    """A digest, an identifier or a part of a word: what the test leaves out."""
+    if not any(c.isalpha() for c in run) or _UUID.match(run) or (len(run) in _DIGEST_SIZES and _DIGEST.match(run)):
+        return True
+    if (before.isalnum() or after.isalnum()) and not any(c.isdigit() for c in run):
+        return True
+    if (in_url or after == "@") and not (before == ":" and after == "@"):  # user:password@host holds a secret
+        return True
+    parts = _SEPARATORS.split(run)
+    return before == "@" or (len(parts) > 1 and all(map(_WORDLIKE.match, parts)))
+
+
+def looks_random(run: str, before: str, after: str, in_url: bool, vocabulary: str, most: float = MAX_CHARS_PER_TOKEN) -> bool:
+    """The token-efficiency test, then the exclusions."""
+    return chars_per_token(run, vocabulary) < most and not known(run, before, after, in_url)
 
 
 def find_spans(text: str, vocabulary: str, most: float = MAX_CHARS_PER_TOKEN) -> list[tuple[str, int, int]]:
@@ -92,16 +104,17 @@ def find_spans(text: str, vocabulary: str, most: float = MAX_CHARS_PER_TOKEN) ->
     out += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     found, at, reach = sorted((a, b) for _, a, b in out), 0, 0
+    urls, url_end = iter([*(m.span() for m in _URL.finditer(text)), (len(text) + 1, 0)]), 0
+    url = next(urls)
     for m in _RUN.finditer(text):
         s, e = m.span()
         while at < len(found) and found[at][0] < e:  # runs and found spans both go from left to right
             reach, at = max(reach, found[at][1]), at + 1
+        while url[0] < e:
+            url_end, url = url[1], next(urls)
         if reach > s:
             continue
-        after = text[e : e + 1]
-        if after == "." and not text[e + 1 : e + 2].isalnum():
-            after = ""  # a full stop
-        if looks_random(m[0], text[s - 1 : s] if s else "", after, vocabulary, most):
+        if looks_random(m[0], text[s - 1 : s] if s else "", text[e : e + 1], s < url_end, vocabulary, most):
             out.append(("random", s, e))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
@@ -124,8 +137,7 @@ def suspects(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """
     some = [_long_run(_hex_byte[data], bounds, 24)]
     run = _run_byte[data]
-    with_digit = np.flatnonzero(K.per_text(_digit_byte[data] & run, bounds) >= 2)
-    some.append(np.intersect1d(_long_run(run, bounds, MIN_RUN), with_digit))
+    some.append(_long_run(run, bounds, MIN_RUN))
     whole = K._LOWER[data].tobytes()
     for hint in (*_HINTS, b"akia"):
         at, hits = whole.find(hint), []

@@ -105,25 +105,63 @@ def brute_random(text, covered):
         end = at
         while end < len(text) and text[end] in RUN:
             end += 1
-        run, before, after, behind = text[at:end], text[:at][-1:], text[end : end + 1], text[end + 1 : end + 2]
-        digits, letters = sum(c in "0123456789" for c in run), sum(c.isalpha() for c in run)
-        sort = "".join("d" if c.isdigit() else "l" for c in run if c.isalnum())
-        turns = sort.count("dl") + sort.count("ld")
-        if after == "." and not behind.isalnum():
-            after = ""
-        known = re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run) or (len(run) in (32, 40, 48, 56, 64, 96, 128) and re.fullmatch("[0-9a-f]+|[0-9A-F]+", run))
-        address = before in ("@", ".", ":") or after in ("@", ".") or run.startswith("//") or before.isalnum() or after.isalnum()
-        if len(run) >= 16 and digits > 1 and letters > 1 and turns > 2 and not known and not address and not covered & set(range(at, end)):
-            if len(run) / len(encoding.encode_ordinary(run)) < secrets.MAX_CHARS_PER_TOKEN:
+        run, before, after = text[at:end], text[:at][-1:], text[end : end + 1]
+        if len(run) >= 16 and len(run) / len(encoding.encode_ordinary(run)) < secrets.MAX_CHARS_PER_TOKEN and not covered & set(range(at, end)):
+            word = max((i + 1 for i in range(end) if text[i].isspace()), default=0)
+            url = "://" in text[word : at + 2] if at >= word else False
+            digest = len(run) in (32, 40, 48, 56, 64, 96, 128) and re.fullmatch("[0-9a-f]+|[0-9A-F]+", run)
+            uuid = re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run)
+            parts = re.split("[+/_=-]", run)
+            name = len(parts) > 1 and all(p.isdigit() or p.islower() or p.isupper() or p == "" or (p[0].isupper() and p[1:].islower()) for p in parts) and not any(re.search("[a-zA-Z][0-9]|[0-9][a-zA-Z]", p) for p in parts)
+            inner = (before.isalnum() or after.isalnum()) and not re.search("[0-9]", run)
+            address = before == "@" or ((after == "@" or url) and not (before == ":" and after == "@"))
+            if re.search("[A-Za-z]", run) and not (digest or uuid or name or inner or address):
                 out.append(("random", at, end))
         at = max(end, at + 1)
     return out
 
 
+def planted(rng, kind):
+    """A random key and the text around it."""
+    import string
+
+    word = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    both = string.ascii_letters + string.digits
+    if kind == "dotted":
+        key = word(both, 24)
+        return f"is {word(both, 20)}.{key}.{word(both, 30)} valid", key
+    key = {"letters": lambda: word(string.ascii_letters, rng.choice((32, 40))), "lower": lambda: word(string.ascii_lowercase, 32), "base64": lambda: word(both + "+/", 40)}.get(kind, lambda: word(both, rng.choice((16, 20, 32))))()
+    return {"user": f"log in as user:{key} now", "url": f"at https://user:{key}@host.example/x you", "sentence": f"It was {key}. Then"}.get(kind, f"the key {key} is"), key
+
+
+@pytest.mark.parametrize("kind", ["plain", "letters", "lower", "base64", "user", "url", "dotted", "sentence"])
+def test_planted_keys_are_found(kind):
+    rng, path, hit = random.Random(kind), secrets.vocabulary_path(), 0
+    for _ in range(300):
+        text, key = planted(rng, kind)
+        at = text.index(key)
+        hit += any(s <= at and at + len(key) <= e for _, s, e in secrets.find_spans(text, path))
+    assert hit >= 270
+
+
+@pytest.mark.parametrize("text", ["id 7f3c-11-aa-3b-9c-12-4d-77-aa", "see https://host.example/a/k3Jx9QzP0aLmW7vRt2Yb?q=1", "/usr/lib/locale/en/LC_ALL/x", "k3jx9qzp0almw7vrt2yb@host.example", "1234-5678-9012-3456-7890", "", "D41D8CD98F00B204E9800998ECF8427E"])
+def test_identifiers_are_left(text):
+    """Addresses, paths, numbers and digests; a run of short mixed parts is no identifier."""
+    found = [x for x in secrets.find_spans(text, secrets.vocabulary_path()) if x[0] == "random"]
+    assert bool(found) == text.startswith("id ")
+
+
+def test_long_runs_take_linear_time():
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(300_000))
+    assert secrets.find_spans(text, secrets.vocabulary_path()) == [("random", 0, 300_000)]
+    assert not secrets.find_spans("x" * 300_000, secrets.vocabulary_path())
+
+
 def test_every_order_and_chunking_gives_the_spans_of_each_text():
     rng, path = random.Random(4), secrets.vocabulary_path()
     key = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(n))
-    parts = [lambda: "face", lambda: key(20), lambda: key(30), lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((20, 24, 32, 40)))), lambda: "password: hunter22", lambda: "AKIA" + "Q7" * 9, lambda: "a@b.example", lambda: ".", lambda: "é" * 17, lambda: "token=" + key(18), lambda: "name:" + key(20)]
+    parts = [lambda: "face", lambda: key(20), lambda: key(30), lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((20, 24, 32, 40)))), lambda: "password: hunter22", lambda: "AKIA" + "Q7" * 9, lambda: "a@b.example", lambda: ".", lambda: "é" * 17, lambda: "token=" + key(18), lambda: "name:" + key(20), lambda: "x://u:" + key(18) + "@h/" + key(17) + " ", lambda: "a_b-c/" * 4 + "d"]
     texts = [None, "", ""] + [rng.choice(("", " ", ". ")).join(rng.choice(parts)() for _ in range(rng.randrange(1, 6))) for _ in range(60)]
     want = {t: secrets.find_spans(t or "", path) for t in texts}
     for t, spans in want.items():
