@@ -13,12 +13,14 @@ span_index, start, end, phi_type, layer, rule_id.  docs: doc_id.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.model import FAMILY_OF, MODES, SpanError
 from quillspan.operators.intervals import DOC_TYPE, overlap, with_island
+from quillspan.sources.scratch import remove, written
 
 SPARSE = 8  #: gold spans of a type up to which it counts as sparse
 HEADLINE = {"leak_rate": "fully_covered", "lower_bound": "relaxed", "prf": "relaxed"}
@@ -130,6 +132,50 @@ def assign(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
     return taken.select("doc_id", F.col("gi").alias("gold_index"), F.col("pi").alias("pred_index"))
 
 
+_PAIR_ORDER = ("o", "gs", "ge", "ps", "pe", "pi", "gi")
+
+
+def overlapping(gold: DataFrame, pred: DataFrame, mode: str, width: int) -> DataFrame:
+    """doc_id, phi_type, key (o, gs, ge, ps, pe, pi, gi): the pairs that may be assigned, each once, in the order in which they are taken.
+
+    Spans meet in the stretches of ``width`` characters that they touch, a pair only in
+    the one where the later of its spans begins, so a hot document is dealt out too.
+    """
+    touched = lambda start, end: F.explode(F.sequence(F.floor(start / width), F.floor((end - 1) / width))).alias("at")
+    g = gold.select("doc_id", "phi_type", F.col("start").alias("gs"), F.col("end").alias("ge"), F.col("span_index").cast("int").alias("gi"), touched(F.col("start"), F.col("end")))
+    p = pred.select("doc_id", "phi_type", F.col("start").alias("ps"), F.col("end").alias("pe"), F.col("span_index").cast("int").alias("pi"), touched(F.col("start"), F.col("end")))
+    met = g.join(p, [*DOC_TYPE, "at"]).where((F.col("gs") < F.col("pe")) & (F.col("ps") < F.col("ge")) & (F.floor(F.greatest("gs", "ps") / width) == F.col("at")))
+    fits = (F.col("ps") <= F.col("gs")) & (F.col("ge") <= F.col("pe")) if mode == "fully_covered" else F.lit(True)
+    return met.where(fits).select(*DOC_TYPE, F.struct((-overlap(F.col("gs"), F.col("ge"), F.col("ps"), F.col("pe"))).alias("o"), *_PAIR_ORDER[1:]).alias("key"))
+
+
+def assign_in_rounds(gold: DataFrame, pred: DataFrame, mode: str, width: int = 256) -> DataFrame:
+    """The rows of ``assign`` by rounds over a table of pairs, for chains too dense for one row.
+
+    A pair that is the first in order of both its spans is one that the greedy walk
+    takes, whatever lies elsewhere: each round takes all of these and removes what they
+    touch, until no pair is left.  Pairs are written after each round, and deleted when
+    the next is written.  Orders are total only within distinct predictions
+    (``intervals.dedupe``).
+    """
+    spark = gold.sparkSession
+    pairs, path = written(overlapping(gold, pred, mode, width), "pairs")
+    rounds: list[DataFrame] = []
+    while not pairs.isEmpty():
+        best = lambda side: pairs.groupBy(*DOC_TYPE, F.col(f"key.{side}").alias(side)).agg(F.min("key").alias("key"))  # noqa: B023, E731
+        taken, _ = written(best("gi").select(*DOC_TYPE, "key").join(best("pi").select(*DOC_TYPE, "key"), [*DOC_TYPE, "key"]).select(*DOC_TYPE, "key.gi", "key.pi"), "taken")
+        rounds.append(taken)
+        rest = pairs.select("*", "key.gi", "key.pi")
+        for side in ("gi", "pi"):
+            rest = rest.join(taken.select(*DOC_TYPE, side), [*DOC_TYPE, side], "left_anti")
+        done, (pairs, path) = path, written(rest.select(*DOC_TYPE, "key"), "pairs")
+        remove(spark, done)
+    remove(spark, path)
+    empty = spark.createDataFrame([], "doc_id string, gi int, pi int")
+    every = reduce(DataFrame.unionByName, (t.select("doc_id", "gi", "pi") for t in rounds)) if rounds else empty
+    return every.select("doc_id", F.col("gi").alias("gold_index"), F.col("pi").alias("pred_index"))
+
+
 def judged(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
     """doc_id, phi_type, golds (span_index, start, end, covered, families, layers, matched), preds (distinct: span_index, start, end, rules, matched), a row for each chain."""
     with_pairs = chains(gold, pred).withColumn("taken", _assigned(F.col("golds"), _distinct(F.col("preds")), mode))

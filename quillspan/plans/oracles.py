@@ -347,3 +347,5 @@ select doc_id, k.s::int "start", k.e::int "end", k.term term from u"""
 
 ORACLES["read_cas"] = f"""select doc_id::varchar doc_id, "start"::int "start", "end"::int "end", substr(text, "start"::int + 1, ("end" - "start")::int) surface, rule_id subtype, phi_type from ({ALL}) a join documents using (doc_id)
 union all select doc_id::varchar, 0, least(length(text), 4)::int, substr(text, 1, 4), 'front', 'NAME' from documents where length(text) > 0"""
+ORACLES["read_corpus"] = f"""select doc_id::varchar doc_id, {FOLDS} split, (row_number() over (partition by doc_id order by "start", "end", rule_id) - 1)::int span_index, "start"::int "start", "end"::int "end",
+  substr(text, "start"::int + 1, ("end" - "start")::int) surface, rule_id subtype, phi_type from ({ALL}) a join documents using (doc_id)"""

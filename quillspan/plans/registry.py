@@ -12,8 +12,9 @@ from quillspan.functions.checksums import CHECKSUMS
 from quillspan.model import LAYERS
 from quillspan.operators import detect, flags, intervals, lexicon, masking, sampling, scoring, screen
 from quillspan.plans import oracles, rounds, splits, tables
-from quillspan.sources import brat
+from quillspan.sources import brat, standoff
 from quillspan.sources.rules import Rule
+from quillspan.sources.scratch import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -185,6 +186,19 @@ def read_cas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.select("doc_id", "start", "end", "surface", "subtype", "phi_type")
 
 
+def read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All found spans by way of a corpus folder: texts and annotation files are written and read, every third text behind a byte-order mark."""
+    note = lambda f, i: F.concat(F.lit("T"), (i + 1).cast("string"), F.lit("\t"), f["rule_id"], F.lit(" "), (f["start"] + F.col("mark")).cast("string"), F.lit(" "), (f["end"] + F.col("mark")).cast("string"), F.lit("\t"), f["surface"])
+    docs = documents(spark, sf_dir).select(F.col("doc_id"), "text", (F.col("doc_id") % 3 == 0).cast("int").alias("mark"))
+    found = _all(spark, sf_dir).join(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.struct("start", "end", "rule_id", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("surface")).alias("f"))
+    notes = found.groupBy("doc_id").agg(F.sort_array(F.collect_list("f")).alias("found"))
+    files = docs.join(notes, "doc_id", "left").select(F.col("doc_id").cast("string"), _fold(F.col("doc_id")).alias("split"), F.concat(F.repeat(F.lit(brat.BOM), F.col("mark")), F.coalesce("text", F.lit(""))).alias("text"), F.array_join(F.transform("found", note), "\n").alias("ann"))
+    path = shared_path(spark, "corpus")
+    standoff.write_folder(files, path)
+    read, gold = brat.parse_standoff(standoff.read_folder(spark, path, folds="train,dev,test", slices=2 * spark.sparkContext.defaultParallelism), CORPUS, {r.rule_id: r.phi_type for r in RULES}, ())
+    return gold.join(read.select("doc_id", "split"), "doc_id").select("doc_id", "split", "span_index", "start", "end", "surface", "subtype", "phi_type")
+
+
 def sorted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All found spans with their place in the order of the files."""
     order = Window.partitionBy("doc_id").orderBy("start", "end", F.coalesce("rule_id", F.lit("")))
@@ -285,6 +299,10 @@ def _assigned(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
     return scoring.assign(gold, intervals.dedupe(pred), mode)
 
 
+def _assigned_in_rounds(gold: DataFrame, pred: DataFrame, mode: str) -> DataFrame:
+    return scoring.assign_in_rounds(gold, intervals.dedupe(pred), mode)
+
+
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.counts(tables.docs(spark, sf_dir), tables.gold(spark, sf_dir, True), tables.pred(spark, sf_dir))
 
@@ -400,6 +418,7 @@ QUERIES: dict[str, Query] = {
     "parse_notes": parse_notes,
     "wrong_offsets": wrong_offsets,
     "read_cas": read_cas,
+    "read_corpus": read_corpus,
     "sorted_spans": sorted_spans,
     "rendered_lines": rendered_lines,
     "way_back": way_back,
@@ -418,6 +437,7 @@ for _short, _mode in (("fully", "fully_covered"), ("relaxed", "relaxed")):
     QUERIES |= {
         f"coverage_{_short}": _on_spans(scoring.coverage, _mode),
         f"assign_{_short}": _on_spans(_assigned, _mode),
+        f"assign_in_rounds_{_short}": _on_spans(_assigned_in_rounds, _mode),
         f"by_type_{_short}": _on_spans(scoring.by_type, _mode),
         f"macro_{_short}": _on_spans(scoring.macro, _mode),
         f"by_document_{_short}": _on_spans(scoring.by_document, _mode),
@@ -431,4 +451,5 @@ for _short, _mode in (("fully", "fully_covered"), ("relaxed", "relaxed")):
 
 ORACLES: dict[str, str] = {k: v for k, v in (oracles.ORACLES | oracles.sample_oracles(sampling.sample_seed(CORPUS, 2))).items() if k in QUERIES}
 ORACLES |= {f"{name}_split": oracles.ORACLES[name] for name in ("interval_union", "mask_union")}
+ORACLES |= {f"assign_in_rounds_{_short}": oracles.ORACLES[f"assign_{_short}"] for _short in ("fully", "relaxed")}
 ORACLES["detect_fallback"] = oracles.ORACLES["detect_all"]

@@ -153,8 +153,13 @@ def read_brat(spark: SparkSession, root: str, corpus: str, split: str, types: Ma
     names = spark.createDataFrame([(t,) for t in texts], "doc_id string")
     both = names.join(_files(spark, root, ".txt").withColumnRenamed("value", "raw"), "doc_id", "left").join(_files(spark, root, ".ann").withColumnRenamed("value", "ann"), "doc_id", "left")
     paired = both.na.fill("", ["raw", "ann"])
-    text, had = strip_bom(F.col("raw"))
-    docs = paired.select(F.lit(corpus).alias("corpus"), "doc_id", text.alias("text"), F.lit(split).alias("split"), had.alias("had_bom"), F.create_map().cast("map<string,string>").alias("meta"), "ann")
+    return parse_standoff(paired.select("doc_id", F.lit(split).alias("split"), F.col("raw").alias("text"), "ann"), corpus, types, excluded)
+
+
+def parse_standoff(files: DataFrame, corpus: str, types: Mapping[str, str] = MEDDOCAN_TYPES, excluded: Sequence[str] = MEDDOCAN_EXCLUDED) -> tuple[DataFrame, DataFrame]:
+    """Documents and gold spans of texts and their annotation files (files: doc_id, split, text, ann)."""
+    text, had = strip_bom(F.col("text"))
+    docs = files.select(F.lit(corpus).alias("corpus"), "doc_id", text.alias("text"), "split", had.alias("had_bom"), F.create_map().cast("map<string,string>").alias("meta"), "ann")
     lines = docs.select("doc_id", "had_bom", F.posexplode(F.filter(F.split("ann", "\r?\n"), lambda x: F.trim(x) != "")).alias("span_index", "line"))
     parsed = lines.withColumn("a", parse_brat_line(F.col("line")))
     shift = F.col("had_bom").cast("int")

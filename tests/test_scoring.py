@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.model import LAYERS, SpanError
+from quillspan.model import LAYERS, MODES, SpanError
 from quillspan.operators import intervals, scoring
 
 GOLD = "doc_id string, span_index int, start int, end int, phi_type string, excluded boolean"
@@ -141,3 +141,22 @@ def test_chains_are_built_once(spark, query):
     _, gold, pred = frames(spark, CASES)
     count = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("Window [")
     assert 0 < count(query(gold, pred)) == count(scoring.chains(gold, pred))
+
+
+@pytest.mark.parametrize("mode", MODES)
+def test_rounds_give_the_greedy_assignment(spark, mode):
+    rng = random.Random(5)
+    dense = lambda n, most: [(f"d{rng.randrange(3)}", i, s := rng.randrange(60), s + 1 + rng.randrange(most), rng.choice(("NAME", "ID"))) for i in range(n)]
+    plain = "doc_id string, span_index int, start int, end int, phi_type string"
+    gold = spark.createDataFrame(dense(60, 9), plain)
+    pred = intervals.dedupe(spark.createDataFrame(dense(90, 30), plain).withColumn("layer", F.lit("tagger")).withColumn("rule_id", F.lit(None).cast("string")))
+    want = sorted(map(tuple, scoring.assign(gold, pred, mode).collect()))
+    assert want
+    for width in (4, 1000):
+        assert sorted(map(tuple, scoring.assign_in_rounds(gold, pred, mode, width).collect())) == want
+    # spans that each prefer the next one's partner are settled from one end, a pair a round
+    chain = [("c", i, 10 * i, 10 * i + 9 + i, "NAME") for i in range(6)]
+    gold, pred = spark.createDataFrame(chain, plain), spark.createDataFrame([("c", i, 10 * i + 5, 10 * i + 12 + i, "NAME") for i in range(6)], plain)
+    pred = pred.withColumn("layer", F.lit("tagger")).withColumn("rule_id", F.lit(None).cast("string"))
+    assert sorted(map(tuple, scoring.assign_in_rounds(gold, pred, mode).collect())) == sorted(map(tuple, scoring.assign(gold, pred, mode).collect()))
+    assert scoring.assign_in_rounds(gold.limit(0), pred, mode).count() == 0
