@@ -349,3 +349,47 @@ ORACLES["read_cas"] = f"""select doc_id::varchar doc_id, "start"::int "start", "
 union all select doc_id::varchar, 0, least(length(text), 4)::int, substr(text, 1, 4), 'front', 'NAME' from documents where length(text) > 0"""
 ORACLES["read_corpus"] = f"""select doc_id::varchar doc_id, {FOLDS} split, (row_number() over (partition by doc_id order by "start", "end", rule_id) - 1)::int span_index, "start"::int "start", "end"::int "end",
   substr(text, "start"::int + 1, ("end" - "start")::int) surface, rule_id subtype, phi_type from ({ALL}) a join documents using (doc_id)"""
+
+# --- results, manifests, groupings, names, files ----------------------------------------------------------------------
+
+_LEVELS = [6, 4, 2, 0]
+_NODE = "string_agg({row}, chr(10) order by {row})"
+
+
+def _tree() -> str:
+    entry = "doc_id || chr(9) || digest"
+    parts = [f"l6 as (select substr(sha256(doc_id), 1, 6) node, count(*)::bigint n_docs, sha256({_NODE.format(row=entry)}) digest from d group by 1)"]
+    for below, n in zip(_LEVELS, _LEVELS[1:]):
+        parts.append(f"l{n} as (select substr(node, 1, {n}) node, sum(n_docs)::bigint n_docs, sha256({_NODE.format(row='row')}) digest from (select node, n_docs, node || chr(9) || digest as row from l{below}) group by 1)")
+    every = " union all ".join(f"select * from l{n}" for n in _LEVELS)
+    return f"with d as (select doc_id::varchar doc_id, sha256(coalesce(text, '')) digest from documents), {', '.join(parts)} {every}"
+
+
+_CALLS = """with c as (select ['ko-surro', 'es-meddocan', 'de-grascco', 'es-carmen', 'en-n2c2'][o_custkey % 5 + 1] corpus, ['R', 'T'][o_custkey % 2 + 1] detector, 'sup-free' supervision, 'port-loop' porting,
+  (o_orderkey // 3 % 4 + 1)::int iteration, o_orderkey * 7919 % 1000 leaked, o_orderkey % 1000 p, o_custkey % 100 q, o_orderkey % 97 / 8.0::double w,
+  o_custkey % 10 <> 3 and o_orderkey % 5 > 0 cached, o_orderkey % 50 r, o_orderkey % 7 t from orders)"""
+_ARM = "corpus, detector, supervision, porting"
+
+ORACLES |= {
+    "manifest_tree": _tree(),
+    "read_metrics_history": f"""{_CALLS}, r as (select {_ARM}, iteration, sum(leaked)::double / (count(*) * 1000) leak_rate from c group by all)
+select *, lag(leak_rate) over (partition by {_ARM} order by iteration) - leak_rate gain from r""",
+    "sum_costs": f"{_CALLS} select {_ARM}, count(*) llm_calls, sum(p)::bigint prompt_tokens, sum(q)::bigint completion_tokens, round(sum(w), 3) wall_seconds from c group by all",
+    "sum_caching": f"""{_CALLS} select {_ARM}, bool_or(cached) enabled, max(case when cached then 'system' end) boundary, max(case when cached then '5m' end) ttl,
+  coalesce(sum(r) filter (cached), -1)::bigint read_tokens, coalesce(sum(t) filter (cached), -1)::bigint write_tokens from c group by all""",
+    "grouping_audit": """with w as (select doc_id // 3 stem, doc_id, source, lang, list_distinct(regexp_extract_all(text, '[A-Za-z]{9,}')) words, text is not null has from documents),
+g as (select stem, count(*) n_docs, count(*) filter (has) n_has from w group by 1 having count(*) > 1),
+k as (select stem, word, count(*) k from (select stem, unnest(words) word from w) group by all),
+n as (select distinct k.stem from k join g using (stem) where k = n_docs),
+s as (select stem, count(distinct source) = 1 and count(source) = count(*) one_source, count(distinct lang) = 1 and count(lang) = count(*) one_lang from w where has group by 1),
+f as (select g.stem, n_docs, n.stem is not null shared_name, coalesce(one_source and n_has = n_docs, false) shared_record, coalesce(one_lang and n_has = n_docs, false) shared_date from g left join n using (stem) left join s using (stem))
+select stem::varchar stem, n_docs, shared_name, shared_record, shared_date, shared_name and (shared_record or shared_date) grouped from f""",
+    "rule_names": r"""with n as (select p_partkey, replace(p_name, ' ', '_') || case p_partkey % 7 when 1 then '_' || floor(p_retailprice)::int when 2 then '_Extra' when 3 then '_añejo' when 4 then '_a_b_c_d' when 5 then '_v' || p_partkey % 100 else '' end body from part),
+p as (select *, list_filter(string_split_regex(lower(body), '[_-]'), lambda x: x <> '') parts from n),
+r as (select p_partkey, 'en:' || body rule_id, case when len(parts) = 0 then 'empty' when regexp_matches(body, '[A-Z]') then 'capital' when regexp_matches(body, '[0-9]{3,}') then 'number'
+  when regexp_matches(body, '[^\x00-\x7f]') then 'not_ascii' when length(body) > 40 then 'long' when len(parts) > 5 then 'many_parts'
+  when len(list_filter(parts, lambda x: x not in ('cold', 'small', 'large', 'hot', 'widget', 'bolt', 'a', 'b', 'c', 'd') and not regexp_matches(x, '^(v[0-9]{1,2}|[0-9]{1,2}[a-z]{0,8})$'))) > 0 then 'unknown_word' end reason from p)
+select * from r where reason is not null""",
+    "span_files": f"""select doc_id::varchar doc_id, "start"::int "start", "end"::int "end", phi_type, case when rule_id = 'en:credential' then 'context_cue' else 'regex_checksum' end layer, 'R' detector, rule_id from ({ALL})""",
+    "error_files": ORACLES["error_spans"],
+}

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import patterns
 from quillspan.functions.checksums import CHECKSUMS
-from quillspan.model import LAYERS
+from quillspan.model import CORPORA, DETECTORS, LAYERS
 from quillspan.operators import detect, flags, intervals, lexicon, masking, sampling, scoring, screen
-from quillspan.plans import oracles, rounds, splits, tables
-from quillspan.sources import brat, standoff
+from quillspan.plans import oracles, results, rounds, splits, tables
+from quillspan.sources import brat, records, standoff
 from quillspan.sources.rules import Rule
 from quillspan.sources.scratch import shared_path
 
@@ -272,6 +272,88 @@ def doc_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.doc_digests(documents(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
+def manifest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.manifest_tree(doc_digests(spark, sf_dir)).select("node", "n_docs", "digest")
+
+
+def grouping_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents three by three as one person's: a word that all hold as the name, the source as the record, the language as the date."""
+    stem = F.concat_ws("-", F.floor(F.col("doc_id") / 3).cast("string"), F.col("doc_id").cast("string"))
+    docs = documents(spark, sf_dir).select(stem.alias("doc_id"), "text", "source", "lang")
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{9,}"), F.lit(0)))
+    kinds = F.concat(F.transform(words, lambda w: F.struct(F.lit("word").alias("subtype"), w.alias("surface"))), F.array(*(F.struct(F.lit(c).alias("subtype"), F.col(c).alias("surface")) for c in ("source", "lang"))))
+    gold = docs.where("text is not null").select("doc_id", F.inline(kinds).alias("subtype", "surface"))
+    return splits.grouping_audit(docs, gold, {"name": ["word"], "record": ["source"], "date": ["lang"]})
+
+
+def rule_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of rules made of the parts, and why those that are refused are."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    turn = F.col("p_partkey") % 7
+    tail = F.when(turn == 1, F.concat(F.lit("_"), F.col("p_retailprice").cast("int").cast("string"))).when(turn == 2, "_Extra").when(turn == 3, "_añejo").when(turn == 4, "_a_b_c_d").when(turn == 5, F.concat(F.lit("_v"), (F.col("p_partkey") % 100).cast("string"))).otherwise("")
+    names = parts.select("p_partkey", F.concat(F.lit("en:"), F.regexp_replace("p_name", " ", "_"), tail).alias("rule_id"), F.lit("en").alias("lang"))
+    return screen.strange_names(names, NAME_WORDS).select("p_partkey", "rule_id", "reason")
+
+
+NAME_WORDS = ("cold", "small", "large", "hot", "widget", "bolt", "a", "b", "c", "d")
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of arms and rounds made of the orders: one cost and caching block each; some arms and some calls aren't cached."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    cached = (cust % 10 != 3) & (key % 5 > 0)
+    axis = lambda name, values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int")).alias(name)
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        axis("corpus", CORPORA, cust),
+        axis("detector", DETECTORS[:2], cust),
+        F.lit("sup-free").alias("supervision"),
+        F.lit("port-loop").alias("porting"),
+        (F.floor(key / 3) % 4 + 1).cast("int").alias("iteration"),
+        ((key * 7919) % 1000).alias("leaked"),
+        F.lit(1).cast("long").alias("llm_calls"),
+        (key % 1000).alias("prompt_tokens"),
+        (cust % 100).alias("completion_tokens"),
+        (key % 97 / 8).alias("wall_seconds"),
+        *(F.when(cached, v).alias(n) for n, v in (("boundary", F.lit("system")), ("ttl", F.lit("5m")), ("read_tokens", key % 50), ("write_tokens", key % 7))),
+    )
+
+
+def _rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls added up to rounds, written into the results and read from there."""
+    calls, keys = _calls(spark, sf_dir), [*results.ARM, "iteration"]
+    rates = calls.groupBy(*keys).agg((F.sum("leaked") / (F.count("*") * 1000)).alias("leak_rate"))
+    rows = rates.join(results.sum_costs(calls, keys), keys).join(results.sum_caching(calls, keys).drop("enabled"), keys)
+    path = shared_path(spark, "results")
+    results.write_rounds(rows, path)
+    return results.read_rounds(spark, path)
+
+
+def read_metrics_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.history(_rounds(spark, sf_dir))
+
+
+def sum_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.sum_costs(_rounds(spark, sf_dir))
+
+
+def sum_caching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.sum_caching(_rounds(spark, sf_dir)).na.fill(-1, ["read_tokens", "write_tokens"]).na.fill(False, ["enabled"])
+
+
+def span_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All found spans, written to prediction files and read from there."""
+    path = shared_path(spark, "spans")
+    records.write_spans(_all(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string")), path, single=False)
+    return records.read_spans(spark, path).select("doc_id", "start", "end", "phi_type", "layer", "detector", "rule_id")
+
+
+def error_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of the arithmetic spans, written to error files and read from there."""
+    path = shared_path(spark, "errors")
+    records.write_errors(_errors(spark, sf_dir), path, single=False)
+    return records.read_errors(spark, path)
+
+
 def termination(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     turn = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
@@ -431,6 +513,14 @@ QUERIES: dict[str, Query] = {
     "split_verify": split_verify,
     "doc_digests": doc_digests,
     "termination": termination,
+    "manifest_tree": manifest_tree,
+    "grouping_audit": grouping_audit,
+    "rule_names": rule_names,
+    "read_metrics_history": read_metrics_history,
+    "sum_costs": sum_costs,
+    "sum_caching": sum_caching,
+    "span_files": span_files,
+    "error_files": error_files,
 }
 
 for _short, _mode in (("fully", "fully_covered"), ("relaxed", "relaxed")):

@@ -14,7 +14,8 @@ from quillspan.sources.rules import RuleSet
 
 # Least improvement in spans and as a rate, rounds in a row, most rounds.
 DELTA_SPANS, DELTA_FLOOR, IN_A_ROW, CEILING = 26, 0.005, 2, 8
-COST_KEYS = frozenset({"calls", "prompt_tokens", "completion_tokens", "wall_seconds"})
+CACHING_KEYS = frozenset({"enabled", "boundary", "ttl", "read_tokens", "write_tokens"})
+COST_KEYS = frozenset({"llm_calls", "prompt_tokens", "completion_tokens", "wall_seconds"})
 
 
 def delta(n_dev: int) -> float:
@@ -80,15 +81,16 @@ def sum_costs(blocks: Iterable[dict]) -> dict:
     return {k: round(sum(b[k] for b in blocks), 3) if k == "wall_seconds" else sum(b[k] for b in blocks) for k in sorted(COST_KEYS)}
 
 
-def sum_caching(blocks: Iterable[dict]) -> dict | None:
-    """Read and written tokens added up; boundaries and lifetimes must agree; a missing block makes the sum unknown."""
-    blocks = list(blocks)
-    if not blocks or any(b is None for b in blocks):
+def sum_caching(blocks: Iterable[dict | None]) -> dict | None:
+    """Tokens of the calls that were cached added up, None without any; boundaries and lifetimes must agree, blocks must be whole."""
+    given = [b for b in blocks if b is not None]
+    if any(set(b) != CACHING_KEYS or None in b.values() for b in given):
+        raise SpanError("a caching block's keys are not the closed set")
+    if not given:
         return None
-    if len({(b["boundary"], b["ttl"]) for b in blocks}) != 1:
+    if len({(b["boundary"], b["ttl"]) for b in given}) != 1:
         raise SpanError("caching settings differ between rounds")
-    add = lambda k: None if any(b[k] is None for b in blocks) else sum(b[k] for b in blocks)
-    return {"boundary": blocks[0]["boundary"], "ttl": blocks[0]["ttl"], "read_tokens": add("read_tokens"), "write_tokens": add("write_tokens")}
+    return {k: given[0][k] for k in ("enabled", "boundary", "ttl")} | {k: sum(b[k] for b in given) for k in ("read_tokens", "write_tokens")}
 
 
 def run_fold(docs: DataFrame, gold: DataFrame, rules: RuleSet, detector: str = "R") -> tuple[DataFrame, dict]:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.model import SPLITS, SpanError
+from quillspan.sources.scratch import written
 
 # A document's stem, and the types that tell whether two documents describe one person.
 STEM = r"^(.+)[-_]([0-9]+|[A-Za-z]+)$"
@@ -99,13 +100,43 @@ def doc_digests(docs: DataFrame) -> DataFrame:
 
 
 def manifest_digest(digests: DataFrame) -> str:
-    """One digest over all documents' in order of their ids: digests of sorted partitions' rows come to the driver as a stream."""
+    """One digest over all documents' in order of their ids, row by row on the driver: for small tables (``manifest_tree`` for large ones)."""
     out = hashlib.sha256()
     for r in digests.orderBy("doc_id").toLocalIterator():
         out.update(f"{r['doc_id']}\0{r['digest']}\n".encode())
     return out.hexdigest()
 
 
+#: Hexadecimal places of a document's leaf: 16.7 million leaves, some hundred documents in each at 10^10.
+LEAF, STEP = 6, 2
+
+
+def manifest_tree(digests: DataFrame, leaf: int = LEAF, step: int = STEP) -> DataFrame:
+    """node, n_docs, digest of a digest tree over all documents; node '' is the root, a leaf has ``leaf`` places.
+
+    A document's leaf is the front of the SHA-256 of its id, so a row never holds more
+    than a leaf's documents or 16^step nodes, and two trees can be compared node by node.
+    Rows are joined in order of ids (of nodes above), so it depends on the documents
+    alone.  ``manifest_digest`` is the sequential form for small tables.
+    """
+    entry = F.concat_ws("\t", F.col("doc_id"), F.col("digest"))
+    joined = lambda rows: F.sha2(F.array_join(F.sort_array(F.collect_list(rows)), "\n"), 256).alias("digest")
+    level, _ = written(digests.groupBy(F.substring(F.sha2("doc_id", 256), 1, leaf).alias("node")).agg(F.count("*").alias("n_docs"), joined(entry)), "leaves")
+    out = level
+    for places in range(leaf - step, -1, -step):
+        above = F.substring(F.col("node"), F.lit(1), F.lit(places)).alias("node")
+        level = level.select(above, "n_docs", F.concat_ws("\t", "node", "digest").alias("row")).groupBy("node").agg(F.sum("n_docs").alias("n_docs"), joined(F.col("row")))
+        out = out.unionByName(level)
+    return out
+
+
+def manifest_changes(old: DataFrame, new: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """node, fault (changed, missing, extra): the leaves in which two trees differ; only documents there need be compared."""
+    a, b = (t.where(F.length("node") == leaf).select("node", F.col("digest").alias(n)) for t, n in ((old, "was"), (new, "now")))
+    fault = F.when(F.col("was").isNull(), "extra").when(F.col("now").isNull(), "missing").when(F.col("was") != F.col("now"), "changed")
+    return a.join(b, "node", "full_outer").select("node", fault.alias("fault")).where("fault is not null")
+
+
 def build(docs: DataFrame, corpus: str, sealed_totals: Mapping[str, int] | None = None) -> dict:
     folds = {s: sorted(r["doc_id"] for r in docs.where(F.col("split") == s).select("doc_id").collect()) for s in SPLITS}
     return {"schema": 1, "corpus": corpus, "folds": {s: {"docs": x, "n": len(x)} for s, x in folds.items() if x}, "sealed_totals": dict(sealed_totals or {})}

@@ -9,7 +9,7 @@ from quillspan.plans import ledger, rounds
 
 ARM = {"corpus": "es-meddocan", "detector": "R", "supervision": "sup-free", "porting": "port-loop"}
 RUN = ARM | {"split": "dev", "model_id": "none", "generated": "2026-01-02T03:04:05Z", "tree": "clean", "commit": "abc"}
-COST = {"calls": 0, "prompt_tokens": 0, "completion_tokens": 0, "wall_seconds": 0.0}
+COST = {"llm_calls": 0, "prompt_tokens": 0, "completion_tokens": 0, "wall_seconds": 0.0}
 
 
 def scored(rate):
@@ -49,7 +49,7 @@ def test_bad_blocks():
         with pytest.raises(SpanError):
             ledger.check_termination(block | change)
     with pytest.raises(SpanError):
-        ledger.check_cost(COST | {"calls": 2}, COST)
+        ledger.check_cost(COST | {"llm_calls": 2}, COST)
 
 
 def test_logs(tmp_path):

@@ -123,8 +123,8 @@ def test_stopping():
     assert stop(*(1 - i / 10 for i in range(8))) == "ceiling"
     with pytest.raises(SpanError):
         stop(*range(9))
-    block = {"calls": 1, "prompt_tokens": 2, "completion_tokens": 3, "wall_seconds": 0.1}
-    assert rounds.sum_costs([block] * 3) == {"calls": 3, "completion_tokens": 9, "prompt_tokens": 6, "wall_seconds": 0.3}
+    block = {"llm_calls": 1, "prompt_tokens": 2, "completion_tokens": 3, "wall_seconds": 0.1}
+    assert rounds.sum_costs([block] * 3) == {"llm_calls": 3, "completion_tokens": 9, "prompt_tokens": 6, "wall_seconds": 0.3}
     with pytest.raises(SpanError):
         rounds.sum_costs([block | {"x": 1}])
     assert rounds.sum_caching([None]) is None
@@ -214,7 +214,7 @@ def test_one_shot_arm(spark, tmp_path):
     docs = spark.createDataFrame([("a", "id 123 and 45"), ("b", "none")], "doc_id string, text string")
     gold = spark.createDataFrame([("a", 0, 3, 6, "ID", False)], "doc_id string, span_index int, start int, end int, phi_type string, excluded boolean")
     run = {"corpus": "es-meddocan", "detector": "R", "supervision": "sup-free", "porting": "port-oneshot", "split": "dev", "model_id": "none", "generated": "2026-01-02T03:04:05Z", "tree": "clean", "commit": "abc"}
-    cost = {"calls": 0, "prompt_tokens": 0, "completion_tokens": 0, "wall_seconds": 0.0}
+    cost = {"llm_calls": 0, "prompt_tokens": 0, "completion_tokens": 0, "wall_seconds": 0.0}
     rule = {"rule_id": "n", "layer": "regex_checksum", "phi_type": "ID", "pattern": r"[0-9]+"}
     got = rounds.run_arm(docs, gold, lambda: {"version": 1, "lang": "es", "rules": [rule]}, "es", str(tmp_path), run, cost)
     assert got["scores"]["modes"]["fully_covered"]["leak"]["leak_rate"] == 0 and got["termination"]["reason"] == "not_applicable"

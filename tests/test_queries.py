@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not SF.is_dir(), reason="no test tables")
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for t in ("documents", "lineitem", "orders", "benchmark"):
+    for t in ("documents", "lineitem", "orders", "benchmark", "part"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 
