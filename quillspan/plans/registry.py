@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -195,8 +196,9 @@ def read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = docs.join(notes, "doc_id", "left").select(F.col("doc_id").cast("string"), _fold(F.col("doc_id")).alias("split"), F.concat(F.repeat(F.lit(brat.BOM), F.col("mark")), F.coalesce("text", F.lit(""))).alias("text"), F.array_join(F.transform("found", note), "\n").alias("ann"))
     path = shared_path(spark, "corpus")
     standoff.write_folder(files, path)
-    read, gold = brat.parse_standoff(standoff.read_folder(spark, path, folds="train,dev,test", slices=2 * spark.sparkContext.defaultParallelism), CORPUS, {r.rule_id: r.phi_type for r in RULES}, ())
-    return gold.join(read.select("doc_id", "split"), "doc_id").select("doc_id", "split", "span_index", "start", "end", "surface", "subtype", "phi_type")
+    read = functools.partial(standoff.read_folder, spark, path, folds="train,dev,test", slices=spark.sparkContext.defaultParallelism)
+    _, gold = brat.parse_standoff(read(), CORPUS, {r.rule_id: r.phi_type for r in RULES}, ())
+    return gold.join(read(columns="doc_id string, split string"), "doc_id").select("doc_id", "split", "span_index", "start", "end", "surface", "subtype", "phi_type")
 
 
 def sorted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
