@@ -13,8 +13,9 @@ Counts travel by shuffle and never gather in one place.  Documents are cut into
 blocks of about ``BLOCK_BYTES``.  A block asks for its distinct n-grams, with their
 counts in its training texts, in ``SHARDS`` slices of the key space (more for very
 large inputs); a shard adds up what all blocks hold of its keys and answers each
-with the totals, in the order asked.  A block's sorted keys and the answers by shard
-are the same sequence, so answers carry no keys.  From them each block builds the
+with the totals, in the order asked.  The key space is asked in ``PASSES`` stretches, one
+after the other, so that only one stretch's requests lie on disk at a time.  A
+block's sorted keys and the answers by shard are the same sequence, so answers carry no keys.  From them each block builds the
 part of the automaton that its texts pass, and walks every text once from left to
 right: the state is carried along, a token without an arc takes failure arcs down to
 a state that has one, and the weights on the way add up.
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm import kernels as K
 from quillspan.llm.kneser import pair_key, triple_key
-from quillspan.llm.store import settle, sweep
+from quillspan.llm.store import settle
 
 FOLDS = 10
 ADD = 0.1
@@ -47,6 +49,7 @@ BLOCK_BYTES = 16 << 20  #: no result depends on it
 WALK_TOKENS = 1 << 18  #: tokens whose part of the automaton is built at a time; no result depends on it
 SHARDS = 512
 SHARD_BYTES = 1 << 25  #: text for each shard, at most
+PASSES = 2  #: no result depends on it
 END = np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -124,8 +127,8 @@ def _cut(most: int):
     return run
 
 
-def _ask(shards: int, most: int):
-    """A block's distinct n-grams and how often each stands in its training texts, cut by shard."""
+def _ask(shards: int, most: int, begin: int, end: int):
+    """A block's distinct n-grams of the shards from begin to end and how often each stands in its training texts, cut by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,12 +143,14 @@ def _ask(shards: int, most: int):
         train = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False), np.diff(first))
         columns: list[list[bytes]] = []
         for k in ngrams(h, first):
-            keys, place = np.unique(k, return_inverse=True)
-            own = np.bincount(place, weights=train).astype(np.uint32)
-            cuts = np.concatenate([[0], np.searchsorted(shard_of(keys, shards), np.arange(1, shards)), [len(keys)]]).tolist()
+            of = shard_of(k, shards)
+            here = (of >= begin) & (of < end)
+            keys, place = np.unique(k[here], return_inverse=True)
+            own = np.bincount(place, weights=train[here], minlength=len(keys)).astype(np.uint32)
+            cuts = np.concatenate([[0], np.searchsorted(shard_of(keys, shards), np.arange(begin + 1, end)), [len(keys)]]).tolist()
             columns.append([pack(keys[x:y]) for x, y in zip(cuts, cuts[1:])])
             columns.append([squeeze(own[x:y]) for x, y in zip(cuts, cuts[1:])])
-        arrays = [pa.array(np.arange(shards, dtype=np.int32)), pa.array(np.full(shards, block)), *(pa.array(c, pa.binary()) for c in columns)]
+        arrays = [pa.array(np.arange(begin, end, dtype=np.int32)), pa.array(np.full(end - begin, block)), *(pa.array(c, pa.binary()) for c in columns)]
         yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in REQUESTS.split(", ")])
 
     return run
@@ -242,9 +247,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     blocks = settle(split.mapInArrow(K.tidy(_cut(BLOCK_BYTES)), "block long, doc_id long, held_out boolean, text string"), "blocks")
     size = blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(SHARDS, 1 << max(0, -(-size // SHARD_BYTES) - 1).bit_length())
-    asked = blocks.mapInArrow(K.tidy(_ask(shards, BLOCK_BYTES)), REQUESTS)
-    answers = settle(asked.groupBy("shard").applyInArrow(add_up, ANSWERS), "answers")
-    sweep(docs.sparkSession)
+    edges = [shards * i // PASSES for i in range(PASSES + 1)]
+    asked = (blocks.mapInArrow(K.tidy(_ask(shards, BLOCK_BYTES, a, b)), REQUESTS) for a, b in zip(edges, edges[1:]))
+    answers = reduce(DataFrame.unionByName, [settle(x.groupBy("shard").applyInArrow(add_up, ANSWERS), "answers", clean=True) for x in asked])
     figures = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "kinds", "once", "twice"))).first()
     n_train, kinds, once, twice = (int(x) for x in figures)
     d = once / (once + 2 * twice) if once and twice else 0.5

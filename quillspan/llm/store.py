@@ -31,11 +31,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: the lineage ends there, and lost executors cost nothing of it."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark's switch that deletes a query's shuffle files as soon as the query has ended, whoever still refers to its plan.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settle(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: the lineage ends there, and lost executors cost nothing of it.
+
+    With ``clean`` the shuffle files of the step are gone when it has been written.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, None)
+    if clean:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if clean:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._settled = path
     return out
 

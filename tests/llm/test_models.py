@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -468,3 +469,38 @@ def test_a_block_that_asks_twice_gets_one_answer():
     rows = [ask(7, [1, 5], [1, 0]), ask(3, [5, 9], [2, 1])]
     assert got(rows) == {(7, (1, 2)), (3, (2, 1))}
     assert got([*rows, ask(7, [2, 5], [4, 1])]) == {(7, (1, 4, 3)), (3, (3, 1))}
+
+
+def test_requests_are_gone_when_they_are_answered(spark, monkeypatch):
+    """No shuffle file outlasts its step, though plans are still referred to; the requests lay beside all later steps before."""
+    from pathlib import Path
+
+    from quillspan.llm import store
+
+    dirs = [Path(str(d)) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p for d in dirs for p in d.rglob("shuffle_*")}
+    monkeypatch.setattr(store.gc, "collect", lambda: 0)
+    begun, left, steps = files(), [], []
+
+    def settled(df, name, **more):
+        out = store.settle(df, name, **more)
+        until = time.perf_counter() + 10
+        while files() - begun and time.perf_counter() < until:
+            time.sleep(0.1)
+        left.append(files() - begun)
+        steps.append(name)
+        return out
+
+    monkeypatch.setattr(automaton, "settle", settled)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a b c", None, "", "b c d " * 50])], "doc_id long, text string")
+    assert automaton.score(docs).count() == 4
+    assert not any(left) and steps == ["blocks"] + ["answers"] * automaton.PASSES
+    assert spark.conf.get(store.CLEANUP, "false") == "false"
+
+
+@pytest.mark.parametrize("passes", [1, 3])
+def test_passes_do_not_change_scores(spark, monkeypatch, passes):
+    docs = spark.createDataFrame(real(), "doc_id long, text string")
+    want = sorted(map(tuple, automaton.score(docs).collect()))
+    monkeypatch.setattr(automaton, "PASSES", passes)
+    assert sorted(map(tuple, automaton.score(docs).collect())) == want
