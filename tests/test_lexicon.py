@@ -106,3 +106,27 @@ def test_time_grows_with_the_matches(spark):
     found = frame.collect()[0]["m"]
     assert time.perf_counter() - began < 10  # on a busy machine; about half a second alone
     assert [(m["start"], m["end"], m["hit"]) for m in found] == [(7 * i + 3, 7 * i + 5, "12") for i in range(16_000)]
+
+
+def test_rows_move_once_to_their_text(spark):
+    """Matches moved three times, through windows and lists by chain, and that took most of the time at size."""
+    docs = spark.createDataFrame([(1, "aa b aa"), (2, "B aa")], "doc_id long, text string")
+    found = lexicon.find_terms(docs, spark.createDataFrame([("aa",), ("b aa",)], "term string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "row_number" not in plan and plan.count("RepartitionByExpression") == 1
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 2, "aa", "aa"), (1, 3, 7, "b aa", "b aa"), (2, 0, 4, "B aa", "b aa")]
+
+
+def test_sequences_do_not_cross_texts(monkeypatch):
+    import pyarrow as pa
+
+    known = pa.table({"first": ["a", "a", "ñ"], "n": pa.array([1, 3, 1], pa.int32()), "plain": ["a", "a b", "ñ"]})
+    texts = [["A", " ", "b"], [], ["a"], [" ", "b", "a", " "], ["b", "Ñ", "a"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(list("vwxyz")), pa.array(texts, pa.list_(pa.string()))], names=["row", "doc_id", "t"])
+    want = [(0, 0, "A"), (0, 0, "A b"), (2, 0, "a"), (3, 2, "a"), (4, 1, "Ñ"), (4, 2, "a")]
+    for stretch in (1, 4, 100):
+        monkeypatch.setattr(lexicon, "STRETCH", stretch)
+        for part in (batch, batch.slice(2)):
+            rows = [r for b in lexicon._sequences(known, False)(iter([part])) for r in b.to_pylist()]
+            assert sorted((r["row"], r["start"], r["hit"]) for r in rows) == [w for w in want if w[0] >= 5 - part.num_rows]
+            assert all(r["plain"] == (r["hit"].lower() if r["hit"].isascii() else None) for r in rows)
