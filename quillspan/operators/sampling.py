@@ -6,7 +6,7 @@ import hashlib
 import random
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.model import ERROR_FIELDS, ERRORS, NON_TARGET_TYPES, SpanError, check_value
@@ -101,6 +101,12 @@ def _bounds(pool: DataFrame, total: int, stretches: int) -> dict[str, list[tuple
     return out
 
 
+def _rank(bounds: Column, key: Column, most: int) -> Column:
+    """How many of the sorted bounds (``most`` of them at most) don't lie behind the key: halved step by step, not looked through."""
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(most.bit_length())))).cast("array<int>")
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= key, at + step).otherwise(at))
+
+
 def draw_compat(errors: DataFrame, corpus: str, iteration: int, n: int = N_SPANS, practice: bool = False, scheme: str = SCHEME, stretches: int = STRETCHES) -> DataFrame:
     """The draw of one Mersenne Twister per type over the sorted pool.
 
@@ -115,7 +121,7 @@ def draw_compat(errors: DataFrame, corpus: str, iteration: int, n: int = N_SPANS
     ranks = {t: sorted(random.Random(_first_eight(f"{seed}\0{t}")).sample(range(sizes[t]), min(q, sizes[t]))) for t, q in quota.items()}
     bounds = _bounds(pool, sum(sizes.values()), stretches)
     table = spark.createDataFrame([(t, bounds.get(t, [])) for t in sizes], "t string, bounds array<struct<doc_id:string,start:int,end:int>>")
-    place = F.size(F.filter("bounds", lambda b: b <= F.struct("doc_id", "start", "end")))
+    place = _rank(F.col("bounds"), F.struct("doc_id", "start", "end"), max(map(len, bounds.values()), default=0))
     # a row for each type, and a stretch has a place in a list of about STRETCHES: both are small whatever the pool
     cut = pool.join(F.broadcast(table), F.col("phi_type") == F.col("t")).withColumn("stretch", place).drop("bounds", "t")
     counts = sorted((r["phi_type"], r["stretch"], r["n"]) for r in cut.groupBy("phi_type", "stretch").agg(F.count("*").alias("n")).collect())

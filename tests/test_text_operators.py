@@ -152,6 +152,30 @@ def test_compat_draw_is_that_of_one_sorted_list(spark, stretches):
     assert plan.count() == 0
 
 
+def test_stretches_are_found_by_halving(spark):
+    """Every row looked through all bounds before."""
+    import bisect
+
+    for n in (0, 1, 2, 7, 8, 100):
+        bounds = sorted((random.Random(n).randint(0, 50), i) for i in range(n))
+        keys = [(k, i) for k in range(-1, 52) for i in (0, n // 2, n)]
+        frame = spark.createDataFrame([(bounds[: n - m], list(k)) for k in keys for m in (0, n // 3)], "b array<struct<x:int,y:int>>, k array<int>")
+        got = frame.select("b", "k", sampling._rank(F.col("b"), F.struct(F.get("k", F.lit(0)).alias("x"), F.get("k", F.lit(1)).alias("y")), n).alias("n")).collect()
+        assert all(r["n"] == bisect.bisect_right([tuple(x) for x in r["b"]], tuple(r["k"])) for r in got)
+
+
+def test_split_unions_do_not_hang_on_the_order_of_equal_spans(spark, monkeypatch):
+    """Of equal spans one opens a chain; when a join had dealt them anew another could come first, and fell into the chain before."""
+    rows = [("a", i, s, s + 3, kind) for i, (s, kind) in enumerate((s, k) for s in range(0, 200, 5) for k in ("NAME", "ID", "DATE") for _ in range(3))]
+    rows += [("a", 1000 + i, 7, 7, "ID") for i in range(3)]
+    spans = spark.createDataFrame(rows, "doc_id string, span_index int, start int, end int, phi_type string")
+    want = sorted(map(tuple, intervals.mask_union(spans).collect()))
+    dealt = intervals._with_carried
+    for seed in range(3):
+        monkeypatch.setattr(intervals, "_with_carried", lambda *a: dealt(*a).orderBy(F.rand(seed)))  # noqa: B023
+        assert sorted(map(tuple, intervals.mask_union(spans, width=16).collect())) == want
+
+
 def test_split_documents_give_the_same_unions(spark):
     rng = random.Random(3)
     rows = [(rng.choice(["a", "b", None]), i, s := rng.randint(0, 300), s + rng.choice([1, 2, 5, 90]), rng.choice(["NAME", "ID"])) for i in range(150)]
