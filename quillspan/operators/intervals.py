@@ -55,7 +55,9 @@ def with_island(spans: DataFrame, keys: Sequence[str], touching: bool, width: in
     opened = met.withColumn("__opens", opens.cast("int")).drop("__carried")
     starts = opened.groupBy(*keys, "__bucket").agg(F.sum("__opens").alias("__v"))
     placed = _with_carried(opened, _carried(starts, keys, F.sum("__v"), "__bucket"), keys, "__bucket")
-    island = F.coalesce("__carried", F.lit(0)) + F.sum("__opens").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    # equal spans may come in another order than before the joins; the one that opens a chain counts first
+    again = Window.partitionBy(*keys, "__bucket").orderBy("start", "end", F.desc("__opens")).rowsBetween(Window.unboundedPreceding, 0)
+    island = F.coalesce("__carried", F.lit(0)) + F.sum("__opens").over(again)
     return placed.withColumn("island", island).drop("__opens", "__carried", "__bucket")
 
 
