@@ -26,7 +26,7 @@ components.  In these rounds the tiles of more than SMALL classes carry the hash
 arrays and decide their pairs on the spot, leaving out pairs that are connected by
 then; smaller ones give a few spanning pairs.  So a group of m near copies gives
 about m edges; no link between different components is ever skipped.  Tables between
-the steps are deleted once they have been read.
+the steps are deleted once they have been read, shuffle files as soon as their step ends.
 
 Null and empty texts, and texts without words, have an empty set and no links.
 Texts of 1 or 2 words have their whole sequence as the one shingle.  Rows that
@@ -290,15 +290,19 @@ def _met(keyed: DataFrame, keys: DataFrame, labelled: DataFrame, percent: int |
     and each without its most crowded keys, one fewer than that: the keys that two
     linked classes share lose at most so many of the most crowded, so one is left.
     """
-    met = keyed.select("key", "cid").join(keys, "key")
+    # most keys end here: what remains is written before it is counted, so that all keys are dealt out once
+    met = settle(keyed.select("key", "cid").join(keys, "key"), "meetings", clean=True)
     crowd = met.groupBy("key").agg(F.count("*").alias("m"))
     if percent is None:
-        return settle(met.join(crowd.where("m > 1"), "key"), "met")
+        out = settle(met.join(crowd.where("m > 1"), "key"), "met", clean=True)
+        drop(met)
+        return out
     own = Window.partitionBy("cid")
     ranked = met.join(crowd, "key").join(labelled.select("cid", "n"), "cid").withColumn("of", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.desc("m"), "key")))
     least = needed(F.col("n"), percent)
-    left = settle(ranked.where((F.col("of") >= least) & (F.col("rank") >= least)).select("key", "cid"), "left")
-    out = settle(left.join(left.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"), "met")
+    left = settle(ranked.where((F.col("of") >= least) & (F.col("rank") >= least)).select("key", "cid"), "left", clean=True)
+    out = settle(left.join(left.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"), "met", clean=True)
+    drop(met)
     drop(left)
     return out
 
@@ -357,7 +361,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["cid", "hashes"])
 
     scanned = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("h"), "text").mapInArrow(K.tidy(run), "cid long, hashes binary")
-    return settle(scanned.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
+    return settle(scanned.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "sets", clean=True)
 
 
 def _linked(percent: int):
@@ -379,7 +383,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _round(picked: DataFrame, labelled: DataFrame, of: Column, k: int, percent: int, full: bool) -> DataFrame | None:
     """Links (a, b) found among classes of different components that share one of the keys; None if no key is shared."""
     keyed = labelled.select(F.explode(of).alias("key"), "cid", "comp")
-    shared = settle(_shared(keyed), "shared")
+    shared = settle(_shared(keyed), "shared", clean=True)
     if shared.isEmpty():
         drop(shared)
         return None
@@ -388,19 +392,20 @@ def _round(picked: DataFrame, labelled: DataFrame, of: Column, k: int, percent:
     large = met.where(F.col("m") > SMALL)
     close = None
     if full:
-        pairs = settle(_tile_pairs(large.unionByName(_same_few(met)), labelled, "all", percent), "pairs")
+        pairs = settle(_tile_pairs(large.unionByName(_same_few(met)), labelled, "all", percent), "pairs", clean=True)
     else:
         # hash arrays go to classes alone whose bitmaps allow a link in such a tile
-        close = settle(_tile_pairs(large, labelled, "touch", percent).select(F.col("a").alias("cid")).distinct(), "close")
-        pairs = settle(_tile_pairs(_same_few(met), labelled, "spanning", percent), "pairs")
+        close = settle(_tile_pairs(large, labelled, "touch", percent).select(F.col("a").alias("cid")).distinct(), "close", clean=True)
+        pairs = settle(_tile_pairs(_same_few(met), labelled, "spanning", percent), "pairs", clean=True)
     ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))
     ends = (ends if close is None else ends.unionByName(close)).distinct()
-    sets = _sets_of(picked, settle(labelled.join(ends, "cid", "left_semi").select("cid", F.col("rep").alias("doc_id")), "wanted"), k)
+    wanted = settle(labelled.join(ends, "cid", "left_semi").select("cid", F.col("rep").alias("doc_id")), "wanted", clean=True)
+    sets = _sets_of(picked, wanted, k)
     links = _verified(pairs, sets, percent)
     if close is not None:
         links = links.unionByName(_tile_pairs(large, labelled.join(close, "cid", "left_semi").join(sets, "cid"), "exact", percent))
-    out = settle(links, "links")
-    for table in (met, pairs, sets, *([close] if close is not None else [])):
+    out = settle(links, "links", clean=True)
+    for table in (met, pairs, wanted, sets, *([close] if close is not None else [])):
         drop(table)
     sweep(picked.sparkSession)
     return out
@@ -412,10 +417,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(picked, k))
     profile = settle(picked.mapInArrow(K.tidy(_profiler(k, percent, levels)), PROFILE), "profile")
     rows = settle(profile.select("doc_id", "n", "cid"), "rows")
+    sweep(docs.sparkSession)
     firsts = (F.first(c).alias(c) for c in ("n", "seeds", "keys", "bits"))
-    classes = settle(profile.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), *firsts), "classes")
+    classes = settle(profile.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), *firsts), "classes", clean=True)
     drop(profile)
-    sweep(docs.sparkSession)
     labelled, edges = classes.withColumn("comp", F.col("cid")), []
     for step in (0, 2, None):
         found = _round(picked, labelled, F.col("keys") if step is None else F.slice("seeds", step + 1, 2), k, percent, full=step is None)
@@ -424,8 +429,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         edges.append(found)
         named = components(functools.reduce(DataFrame.unionByName, edges)).select(F.col("v").alias("cid"), "root")
         labelled = classes.join(named, "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
-    names = settle(labelled.select("cid", "rep", "comp"), "names")
+    names = settle(labelled.select("cid", "rep", "comp"), "names", clean=True)
     drop(classes)
+    sweep(docs.sparkSession)
     least = names.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = names.select("cid", "comp").join(least, "comp").select("cid", "component_id")
     return rows.join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -7,6 +7,7 @@ import random
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -83,6 +84,32 @@ def test_join_on_documents_and_edges(spark):
     assert sorted(tuple(r) for r in tiles.jaccard_components(twice).collect()) == [(0, 2, 0), (0, 2, 0), (1, 1, 1), (1, 1, 1)]
 
 
+def test_shuffle_files_go_with_their_step(spark, monkeypatch):
+    """None outlasts its step, though nothing is collected; those of all keys lay beside the steps after them before."""
+    dirs = [Path(str(d)) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p for d in dirs for p in d.rglob("shuffle_*")}
+    settle, steps, left = tiles.settle, [], []
+
+    def settled(df, name, **more):
+        begun = files()
+        out = settle(df, name, **more)
+        until = time.perf_counter() + 10
+        while files() - begun and time.perf_counter() < until:
+            time.sleep(0.1)
+        steps.append(name)
+        if files() - begun:
+            left.append(name)
+        return out
+
+    monkeypatch.setattr(tiles, "settle", settled)
+    monkeypatch.setattr(tiles, "sweep", lambda session: None)
+    rng = random.Random(12)
+    texts = near_copies(rng, prose(rng, 60), 30, 3) + [f"{prose(rng, 12)} the same closing line of words here {prose(rng, 12)}" for _ in range(20)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in tiles.jaccard_components(table(spark, texts)).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+    assert not left and {"classes", "shared", "meetings", "met", "left", "pairs", "sets", "links", "names"} <= set(steps)
+
+
 def test_parity_bound_never_undershoots():
     rng = np.random.default_rng(4)
     for n in (5, 100, 700):
@@ -257,6 +284,24 @@ def test_held_out_accuracy(spark):
     assert sum(good) / len(good) > 0.98 and sum(bad) / len(bad) < 0.5
 
 
+def test_no_text_is_written_for_thresholds(spark, monkeypatch):
+    """Held-out documents' scores alone lie beside later stages; a copy of all rows did before."""
+    docs, labels, n = labelled(spark)
+    written, settle = {}, kneser.settle
+
+    def settled(df, name, **more):
+        written[name] = settle(df, name, **more)
+        return written[name]
+
+    monkeypatch.setattr(kneser, "settle", settled)
+    monkeypatch.setattr(kneser, "drop", lambda table: None)
+    want = {r["doc_id"] for r in kneser.classify(docs, labels).collect() if r["kept"]}
+    assert {r["doc_id"] for r in kneser.keep_good(docs, labels).collect()} == want
+    assert not any("text" in table.columns for table in written.values())
+    held = [r["id"] for r in written["perplexity"].collect()]
+    assert len(held) < n / 2 and all(i < n and held_out_id(spark, i) for i in held)
+
+
 # --- fingerprints ---
 
 
