@@ -66,7 +66,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = F.min_by(row, F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias(row)
     stay = members.groupBy(component).agg(first).select(row)
     bare = F.col("doc_id").isNull() & (F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) == "")
-    once = rows.where(~bare).join(stay, row, "left_semi").withColumn(key, row_key(docs)).dropDuplicates([key])
+    wide = rows.where(~bare).withColumn(key, row_key(docs))
+    # both names of the rows that stay, so that whole rows are dealt out once, for dropping repeats, and join as they lie
+    named = stay.join(wide.select(row, key).distinct(), row)
+    once = wide.dropDuplicates([row, key]).join(named, [row, key], "left_semi")
     return once.select(*docs.columns).unionByName(rows.where(bare).select(*docs.columns))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 from collections import Counter
 
 import numpy as np
@@ -87,6 +88,23 @@ def test_near_copies_of_five_word_shingles_go(spark):
     assert got == smallest_of_groups([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_whole_rows_are_dealt_out_once(spark):
+    """Dropping near copies and repeats moves each text once between tasks; it was twice."""
+    docs = spark.createDataFrame([(k % 9, " ".join(f"k{k % 9}w{i}" for i in range(20)), "x", "s", 9) for k in range(20)], SCHEMA)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.near_duplicates(spark, docs, SF)
+        plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+        got = Counter(map(tuple, out.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == Counter(set(map(tuple, docs.collect())))
+    moved = re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[([^\]]*)", plan)
+    # half aggregated rows are a first# of each column
+    assert len(moved) > 1 and sum("text#" in columns or columns.count("first#") >= len(docs.columns) for columns in moved) == 1
+
+
 def test_bounds_of_the_search_hold_at_80():
     """Linked sets share the kept shingles asked of each, lie in bands that meet, and no bitmap bound ends them."""
     rng, seen = np.random.default_rng(9), 0
